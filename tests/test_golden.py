@@ -133,7 +133,7 @@ def test_empty_set_is_an_error(forests):
     with pytest.raises(ValueError):
         forests["paper_ex"].diversity("sample_id > 99")
     with pytest.raises(ValueError):
-        forests["paper_ex"].f2(S == 0, B)
+        forests["paper_ex"].f2("sample_id = 0", B)
 
 
 def test_archives(spark, forests, tmp_path):
