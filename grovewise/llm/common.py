@@ -43,10 +43,13 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(run, schema)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, readable by every executor, without lineage."""
+def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, readable by every executor, without lineage.
+
+    narrow: no more files than the cluster has cores, for tables of a few numbers per row that a shuffle has
+    spread over many partitions; each file costs its writer a process or more."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -78,7 +78,7 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
 
     `docs` has doc_id, text; `items` has item_id, text. _text is the hash of the document's text."""
     percent = round(containment * 100)
-    i = stored(items.select("item_id", shingles(F.col("text")).alias("_set")).where("_set IS NOT NULL").distinct().withColumn("n_item", F.size("_set")), "items")
+    i = stored(items.select("item_id", shingles(F.col("text")).alias("_set")).where("_set IS NOT NULL").distinct().withColumn("n_item", F.size("_set")), "items", narrow=True)
     stats = i.agg(F.min("n_item").alias("least"), F.sum("n_item").alias("all")).first()
     if stats.least is None:
         return docs.select("doc_id", F.xxhash64("text").alias("_text"), F.lit(None).cast(i.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_common"), F.lit(0).alias("n_item")).where("false")
@@ -91,7 +91,7 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     d = keyed.select("doc_id", "_text", shingles(F.col("text")).alias("_set"))
     d = d.withColumn("_s", partition_of(F.size("_set"))).withColumn("_bits", _bits(F.col("_s"), e))
-    candidates = stored(_minima(d, "doc_id", "_text").join(broadcast_if(sketch, sketch_rows, BROADCAST_ROWS), ["_s", "_h"]).select("doc_id", "_text", "item_id").distinct(), "candidates")
+    candidates = stored(_minima(d, "doc_id", "_text").join(broadcast_if(sketch, sketch_rows, BROADCAST_ROWS), ["_s", "_h"]).select("doc_id", "_text", "item_id").distinct(), "candidates", narrow=True)
     few = candidates.count()
 
     on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_text"] == b["_text"])
@@ -107,5 +107,5 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = stored(contained(docs, items, containment).select(F.col("doc_id").alias("_doc"), F.col("_text")).distinct(), "contaminated")
+    bad = stored(contained(docs, items, containment).select(F.col("doc_id").alias("_doc"), F.col("_text")).distinct(), "contaminated", narrow=True)
     return docs.join(broadcast_if(bad, bad.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_text"]), "left_anti")

@@ -39,7 +39,7 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATI
     """`pages` with `text` without boilerplate lines, and n_lines, n_dropped.
 
     A host has fewer than (its mean number of lines) / ratio such lines, so its list is short."""
-    bad = stored(boilerplate(pages, host, text, ratio, min_pages).select("_host", "_line"), "boilerplate")
+    bad = stored(boilerplate(pages, host, text, ratio, min_pages).select("_host", "_line"), "boilerplate", narrow=True)
     listed = bad.groupBy("_host").agg(F.collect_set("_line").alias("_bad"))
     x = pages.join(broadcast_if(listed, bad.count(), BROADCAST_LINES), F.col(host) == F.col("_host"), "left")
     x = x.withColumn("_all", F.split(text, "\n"))

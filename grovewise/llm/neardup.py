@@ -124,13 +124,13 @@ def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the least vertex reachable from each vertex of links (x, y), by least neighbours and pointer jumps."""
-    both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links")
-    label = stored(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.col("x")).alias("c")), "labels")
+    both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links", narrow=True)
+    label = stored(both.groupBy(F.col("x").alias("v")).agg(F.least(F.min("y"), F.col("x")).alias("c")), "labels", narrow=True)
     while True:
         near = both.join(label.select(F.col("v").alias("y"), "c"), "y").groupBy(F.col("x").alias("v")).agg(F.min("c").alias("n"))
         step = label.join(near, "v", "left").select("v", "c", F.least("c", "n").alias("n"))
         jump = label.select(F.col("v").alias("n"), F.col("c").alias("j"))
-        new = stored(step.join(jump, "n", "left").select("v", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) < F.col("c")).alias("moved")), "labels")
+        new = stored(step.join(jump, "n", "left").select("v", F.least("n", F.coalesce("j", "n")).alias("c"), (F.least("n", F.coalesce("j", "n")) < F.col("c")).alias("moved")), "labels", narrow=True)
         if new.where("moved").isEmpty():
             return new.select("v", "c")
         label = new.select("v", "c")
@@ -141,7 +141,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     far = 1 - percent / 100
     sig = stored(signatures(docs, size), "signatures")
     some = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
     own = some.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"])
     repeats = not some.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
     equal = own.where("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y")).distinct()
@@ -150,8 +150,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     keys = first.select(F.col("doc_id").alias("v"), F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("v").alias("x"), F.count("*").alias("_n")).where("_n > 1").select("key", "x")
     buckets = stored(keys.join(shared, "key").where("v >= x"), "buckets")
-    pairs = stored(buckets.where("x < v").select("x", F.col("v").alias("y")).distinct(), "pairs")
-    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids")
+    pairs = stored(buckets.where("x < v").select("x", F.col("v").alias("y")).distinct(), "pairs", narrow=True)
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids", narrow=True)
     few = ids.count()
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(broadcast_if(ids, few, BROADCAST_IDS), "doc_id", "left_semi")
     texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else texts, "texts")
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     placed = buckets.join(tested.select("x", F.col("y").alias("v"), (1 - F.col("common") / F.col("total")).alias("d")), ["x", "v"], "left").join(c, "v", "left").select("key", "x", "v", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("c", "v").alias("c"))
     groups = placed.where("v <> x").groupBy("key", "c").agg(F.min("d").alias("least"), F.max("d").alias("most"))
     open_ = groups.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    groups = stored(groups.join(open_, "key"), "groups")
+    groups = stored(groups.join(open_, "key"), "groups", narrow=True)
     g, h = groups.alias("g"), groups.alias("h")
     near = F.lit(far + 1e-9)
     apart = g.join(h, (F.col("g.key") == F.col("h.key")) & (F.col("g.c") < F.col("h.c")) & (F.col("g.least") <= F.col("h.most") + near) & (F.col("h.least") <= F.col("g.most") + near)).select(F.col("g.key").alias("key"), F.col("g.c").alias("ca"), F.col("h.c").alias("cb"))
@@ -172,7 +172,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     a = apart.join(m.select("key", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da")), ["key", "ca"])
     b = a.join(m.select("key", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), ["key", "cb"]).where(F.abs(F.col("da") - F.col("db")) <= near)
     more = b.select(F.least("va", "vb").alias("x"), F.greatest("va", "vb").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-    again = similarities(stored(more, "pairs"), texts, size).where(similar).select("x", "y")
+    again = similarities(stored(more, "pairs", narrow=True), texts, size).where(similar).select("x", "y")
 
     final = components(links.unionByName(equal).unionByName(again))
     out = sig.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("v"), "left")
@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns: the one whose id is least. Of rows that repeat an id, one stays."""
-    verdict = stored(near_duplicates(docs, size, percent), "verdict")
+    verdict = stored(near_duplicates(docs, size, percent), "verdict", narrow=True)
     gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     out = docs.join(broadcast_if(gone, gone.count(), 2 * BROADCAST_IDS), docs.doc_id == F.col("_gone"), "left_anti")
     again = verdict.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

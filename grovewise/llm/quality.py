@@ -172,12 +172,12 @@ def estimates(x: DataFrame, min_group: int = MIN_GROUP, chunk: int = CHUNK) -> D
     rows = _levels(x.where("n_words > 0"))
     size = rows.groupBy(*key).agg(F.count("*").alias("_n"))
     size = size.where((F.col("_n") >= min_group) | (F.col("level") == 0))
-    size = stored(size, "group-sizes")
+    size = stored(size, "group-sizes", narrow=True)
     groups = size.count()
     rows = rows.join(broadcast_if(size, groups, BROADCAST_GROUPS), _SAME(rows, size)).select(rows["*"], "_n").withColumn("_chunk", F.pmod("h", F.ceil(F.col("_n") / chunk)))
     schema = "level int, lang string, source string, n long, " + ", ".join(f"{c} double" for c in _M + _C)
     parts = rows.groupBy(*key, "_chunk").applyInPandas(_fit, schema)
-    raw = stored(_inverted(parts.groupBy(*key).agg(F.sum("n").alias("n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in _M + _C))), "raw-estimates")
+    raw = stored(_inverted(parts.groupBy(*key).agg(F.sum("n").alias("n"), *((F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in _M + _C))), "raw-estimates", narrow=True)
     near = rows.join(broadcast_if(raw, groups, BROADCAST_GROUPS), _SAME(rows, raw)).where(_distance() <= chi_square(0.975, P)).select(rows["*"])
     mean = [F.avg(c).alias(m) for c, m in zip(NAMES, _M)]
     cov = [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c{i}_{j}") for i, j in PAIRS]
@@ -188,7 +188,7 @@ def estimates(x: DataFrame, min_group: int = MIN_GROUP, chunk: int = CHUNK) -> D
 def judged(docs: DataFrame, alpha: float = ALPHA, min_group: int = MIN_GROUP) -> DataFrame:
     """(doc_id, base counts, vector, base_failed, distance, kept): one row per document of (doc_id, lang, source, text)."""
     x = stored(measured(docs), "quality")
-    e = stored(estimates(x, min_group), "estimates")
+    e = stored(estimates(x, min_group), "estimates", narrow=True)
     groups = e.count()
     level = lambda k: e.where(F.col("level") == k)
     cols = _M + _C
@@ -204,5 +204,5 @@ def judged(docs: DataFrame, alpha: float = ALPHA, min_group: int = MIN_GROUP) ->
 def kept(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """The documents that the rules keep, with all their columns; equal (doc_id, lang, source, text) are judged alike."""
     keyed = docs.select(F.xxhash64("doc_id", "lang", "source", "text").alias("doc_id"), "lang", "source", "text")
-    bad = stored(judged(keyed, alpha).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "rejected")
+    bad = stored(judged(keyed, alpha).where(~F.col("kept")).select(F.col("doc_id").alias("_bad")).distinct(), "rejected", narrow=True)
     return docs.join(broadcast_if(bad, bad.count(), 1_000_000), F.xxhash64("doc_id", "lang", "source", "text") == F.col("_bad"), "left_anti")
