@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -53,6 +54,12 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove shuffle files of finished steps now, rather than when the driver next collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Broadcast a side whose counted rows are within the bound; beyond it, the join stays a shuffled one."""
     return F.broadcast(df) if rows <= most else df
