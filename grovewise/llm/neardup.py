@@ -3,10 +3,11 @@
 A text is its set of distinct word shingles. Equal sets are one class at once. Each class has a signature that keeps both the least and
 the largest value under every hash function, so half as many functions fill it; bands of it propose pairs.
 
-In each bucket of a band all members are compared with the least one only, on full sets. Jaccard distance is a
-metric, so two members can be similar only if their distances to that one differ by no more than the threshold's distance. Buckets whose
-members are not connected yet have just those pairs compared, after whole components have been ruled out by
-their ranges of distance. So no bucket is expanded into all pairs, and no proposed link is lost.
+In each bucket of a band all members are compared with the least one only, on full sets. In buckets that are not connected then, members
+outside the largest component are compared with a few of its members. Jaccard distance is a metric, so two members can be
+similar only if their distances to the least one differ by no more than the threshold's distance: buckets still not connected have just those
+pairs of different components compared, after whole components have been ruled out by their ranges of distance. So no bucket is
+expanded into all pairs, and no proposed link is lost.
 
 Cases: texts that are NULL or have no word have the empty set and stand alone; texts shorter than a shingle are one shingle of all
 their words; rows that repeat an id are one document to the components; a NULL id stands alone with a NULL component and is kept;
@@ -23,12 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, mapped, stored
+from grovewise.llm.common import broadcast_if, mapped, release, stored
 
 #: Bands, and signature values in each: a pair of similarity 0.8 is missed with chance (1 - 0.8 ** ROWS) ** BANDS, under 1e-5.
 BANDS, ROWS = 40, 6
 FUNCTIONS = BANDS * ROWS // 2
 BROADCAST_IDS = 500_000
+#: Members of the largest component that those outside it are compared with, before what is left is compared in full.
+PIVOTS = 6
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -136,6 +139,13 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("v", "c")
 
 
+def _open(members: DataFrame, c: DataFrame) -> DataFrame:
+    """(key, v, d, c): members of buckets that hold more than one component."""
+    placed = members.join(c, "v", "left").select("key", "v", "d", F.coalesce("c", "v").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("key")
+    return stored(placed.join(several, "key", "left_semi"), "open")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: 100 * common >= percent * union links two documents."""
     far = 1 - percent / 100
@@ -159,18 +169,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     similar = f"100 * common >= {percent} * total"
     links = tested.where(similar).select("x", "y")
 
-    # buckets that one comparison per member leaves in more than one component
-    c = components(links)
-    placed = buckets.join(tested.select("x", F.col("y").alias("v"), (1 - F.col("common") / F.col("total")).alias("d")), ["x", "v"], "left").join(c, "v", "left").select("key", "x", "v", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("c", "v").alias("c"))
-    groups = placed.where("v <> x").groupBy("key", "c").agg(F.min("d").alias("least"), F.max("d").alias("most"))
-    open_ = groups.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")
-    groups = stored(groups.join(open_, "key"), "groups", narrow=True)
+    # buckets that one comparison per member leaves in several components: compare the members outside each
+    # bucket's largest one with a few of its members, whose order is the same in all buckets
+    first_d = tested.select("x", F.col("y").alias("v"), (1 - F.col("common") / F.col("total")).alias("d"))
+    placed = _open(buckets.join(first_d, ["x", "v"], "left").select("key", "v", F.coalesce("d", F.lit(0.0)).alias("d")), components(links))
+    pivots = [F.min_by("v", F.xxhash64(F.lit(i), "v")).alias(f"p{i}") for i in range(PIVOTS)]
+    largest = placed.groupBy("key", "c").agg(F.count("*").alias("_n"), *pivots).groupBy("key").agg(F.max_by(F.struct("c", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("p")), F.struct("_n", "c")).alias("b"))
+    asked = placed.join(largest, "key").where("c <> b.c").select("v", F.explode("b.p").alias("p")).select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y")).distinct()
+    second = stored(similarities(asked.join(tested.select("x", "y"), ["x", "y"], "left_anti"), texts, size), "tested")
+    links = links.unionByName(second.where(similar).select("x", "y"))
+    tested = tested.unionByName(second)
+    release(docs.sparkSession)
+
+    # what is still open, exactly: pairs of different components that no distance to the least member rules out
+    placed = _open(placed.drop("c"), components(links))
+    groups = stored(placed.groupBy("key", "c").agg(F.min("d").alias("least"), F.max("d").alias("most")), "groups", narrow=True)
     g, h = groups.alias("g"), groups.alias("h")
     near = F.lit(far + 1e-9)
     apart = g.join(h, (F.col("g.key") == F.col("h.key")) & (F.col("g.c") < F.col("h.c")) & (F.col("g.least") <= F.col("h.most") + near) & (F.col("h.least") <= F.col("g.most") + near)).select(F.col("g.key").alias("key"), F.col("g.c").alias("ca"), F.col("h.c").alias("cb"))
-    m = placed.where("v <> x").select("key", "c", "v", "d")
-    a = apart.join(m.select("key", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da")), ["key", "ca"])
-    b = a.join(m.select("key", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), ["key", "cb"]).where(F.abs(F.col("da") - F.col("db")) <= near)
+    a = apart.join(placed.select("key", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da")), ["key", "ca"])
+    b = a.join(placed.select("key", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), ["key", "cb"]).where(F.abs(F.col("da") - F.col("db")) <= near)
     more = b.select(F.least("va", "vb").alias("x"), F.greatest("va", "vb").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
     again = similarities(stored(more, "pairs", narrow=True), texts, size).where(similar).select("x", "y")
 
