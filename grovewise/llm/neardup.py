@@ -4,10 +4,9 @@ A text is its set of distinct word shingles. Equal sets are one class at once. E
 the largest value under every hash function, so half as many functions fill it; bands of it propose pairs.
 
 In each bucket of a band all members are compared with the least one only, on full sets. In buckets that are not connected then, members
-outside the largest component are compared with a few of its members. Jaccard distance is a metric, so two members can be
-similar only if their distances to the least one differ by no more than the threshold's distance: buckets still not connected have just those
-pairs of different components compared, after whole components have been ruled out by their ranges of distance. So no bucket is
-expanded into all pairs, and no proposed link is lost.
+outside the largest component are compared with a few of its members. Buckets still not connected are banded once more, by values that each bucket chooses
+for itself, and only pairs of different components that agree there are compared. Jaccard distance is a metric, so pairs whose
+distances to the bucket's least member differ by more than the threshold's distance are ruled out. No bucket is expanded into all pairs.
 
 Cases: texts that are NULL or have no word have the empty set and stand alone; texts shorter than a shingle are one shingle of all
 their words; rows that repeat an id are one document to the components; a NULL id stands alone with a NULL component and is kept;
@@ -32,6 +31,9 @@ FUNCTIONS = BANDS * ROWS // 2
 BROADCAST_IDS = 500_000
 #: Members of the largest component that those outside it are compared with, before what is left is compared in full.
 PIVOTS = 6
+#: Finer keys of a bucket for what is left, and values in each. A pair of similarity 0.8 shares about ten buckets, and one of 20 keys with chance
+#: 0.9 in each, so that it is missed with a chance of about 2e-5 in all; pairs that only share a passage rarely agree on ten values more.
+FINE, FINE_ROWS = 20, 10
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -67,8 +69,8 @@ def shingle_set(text: str | None, size: int, hashes: dict[bytes, int]) -> np.nda
     return np.unique(out + np.uint64(k < size))
 
 
-def band_keys(s: np.ndarray) -> np.ndarray:
-    """A key for each band of the min-max signature of a non-empty set."""
+def signature(s: np.ndarray) -> np.ndarray:
+    """The least and the largest value of a non-empty set under each function."""
     lo = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
     hi = np.zeros(FUNCTIONS, np.uint64)
     for i in range(0, len(s), 256):
@@ -76,7 +78,12 @@ def band_keys(s: np.ndarray) -> np.ndarray:
         v ^= v >> np.uint64(32)
         np.minimum(lo, v.min(0), out=lo)
         np.maximum(hi, v.max(0), out=hi)
-    sig = np.concatenate([lo, hi]).reshape(ROWS, BANDS).T  # a band takes values of different functions
+    return np.concatenate([lo, hi])
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """A key for each band, which takes values of different functions."""
+    sig = signature.reshape(ROWS, BANDS).T
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
         key = _mix(key + sig[:, j] * _MIX[:, j])
@@ -96,7 +103,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 n.append(len(s))
                 hi.append((d >> 64) - (1 << 63))
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
-                keys.append(band_keys(s).view(np.int64) if len(s) else None)
+                keys.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
 
     return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, hi long, lo long, bands array<long>")
@@ -125,6 +132,33 @@ def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return mapped(both, run, "x long, y long, common long, total long")
 
 
+def fine_keys(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(fine, v, c, d): FINE further keys for each bucket of a member, of FINE_ROWS signature values that the bucket chooses.
+
+    `members` has v, c and buckets (at most one for each band)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        step = np.arange(FINE * FINE_ROWS, dtype=np.uint64).reshape(FINE, FINE_ROWS)
+        for b in batches:
+            cols: list[list] = [[], [], [], []]
+            for v, c, buckets, text in zip(*(b.column(x).to_pylist() for x in ("v", "c", "buckets", "text"))):
+                sig = signature(shingle_set(text, size, hashes))
+                for k in buckets:
+                    seed = np.array([k["key"]], np.int64).view(np.uint64)
+                    take = sig[(_mix(step * np.uint64(0x9E3779B97F4A7C15) + seed) >> np.uint64(33)) % np.uint64(len(sig))]
+                    key = _mix(seed + np.arange(FINE, dtype=np.uint64))
+                    for j in range(FINE_ROWS):
+                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + take[:, j])
+                    cols[0] += key.view(np.int64).tolist()
+                    for col, x in zip(cols[1:], (v, c, k["d"])):
+                        col += [x] * FINE
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["fine", "v", "c", "d"])
+
+    return mapped(members.join(texts.withColumnRenamed("doc_id", "v"), "v"), run, "fine long, v long, c long, d double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(v, c): the least vertex reachable from each vertex of links (x, y), by least neighbours and pointer jumps."""
     both = stored(links.select("x", "y").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), "links", narrow=True)
@@ -181,14 +215,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tested = tested.unionByName(second)
     release(docs.sparkSession)
 
-    # what is still open, exactly: pairs of different components that no distance to the least member rules out
+    # what is still open: pairs of different components that agree on a finer key of their bucket as well
     placed = _open(placed.drop("c"), components(links))
-    groups = stored(placed.groupBy("key", "c").agg(F.min("d").alias("least"), F.max("d").alias("most")), "groups", narrow=True)
-    g, h = groups.alias("g"), groups.alias("h")
-    near = F.lit(far + 1e-9)
-    apart = g.join(h, (F.col("g.key") == F.col("h.key")) & (F.col("g.c") < F.col("h.c")) & (F.col("g.least") <= F.col("h.most") + near) & (F.col("h.least") <= F.col("g.most") + near)).select(F.col("g.key").alias("key"), F.col("g.c").alias("ca"), F.col("h.c").alias("cb"))
-    a = apart.join(placed.select("key", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da")), ["key", "ca"])
-    b = a.join(placed.select("key", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), ["key", "cb"]).where(F.abs(F.col("da") - F.col("db")) <= near)
+    fine = stored(fine_keys(placed.groupBy("v", "c").agg(F.collect_list(F.struct("key", "d")).alias("buckets")), texts, size), "fine-keys")
+    most = fine.groupBy("fine", "c").agg(F.count("*").alias("_n")).groupBy("fine").agg(F.max_by("c", F.struct("_n", "c")).alias("_c"), F.count("*").alias("_k")).where("_k > 1")
+    outside = fine.join(most, "fine").where("c <> _c").select("fine", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da"))
+    b = outside.join(fine.select("fine", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), "fine").where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far + 1e-9))
     more = b.select(F.least("va", "vb").alias("x"), F.greatest("va", "vb").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
     again = similarities(stored(more, "pairs", narrow=True), texts, size).where(similar).select("x", "y")
 
