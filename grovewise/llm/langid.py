@@ -140,4 +140,4 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
 
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped(docs.select(*keep, "text"), run, f"{fields}, lang_pred string, score double, rejected boolean")
+    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{fields}, lang_pred string, score double, rejected boolean")

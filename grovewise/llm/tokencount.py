@@ -103,4 +103,4 @@ def token_counts(docs: DataFrame, path: str, limit: int, *keep: str) -> DataFram
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
-    return mapped(docs.select(*keep, "text"), run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{fields}, n_bytes long, n_tokens long, over_limit boolean")
