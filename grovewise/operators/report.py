@@ -21,11 +21,11 @@ def walltime_summary(results: DataFrame) -> DataFrame:
 
 
 def speedup(summarised: DataFrame, reference: str) -> DataFrame:
-    """The reference variant's median over each other variant's median, min, max, q10, q90."""
+    """The reference variant's median over each other variant's median, min, max, q10, q90; NULL where that is 0."""
     on = ["section", "collection", "chromosome", "variable"]
     ref = summarised.where(F.col("variant") == reference).select(*on, F.col("median").alias("_ref"))
     s = summarised.where(F.col("variant") != reference).join(ref, on)
-    return s.select(*on, "variant", *((F.col("_ref") / F.col(c)).alias(f"speedup_{c}") for c in ("median", "min", "max", "q10", "q90")))
+    return s.select(*on, "variant", *((F.col("_ref") / F.nullif(F.col(c), F.lit(0.0))).alias(f"speedup_{c}") for c in ("median", "min", "max", "q10", "q90")))
 
 
 def speedup_summary(speedups: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ inv AS (SELECT * FROM inv0 UNION SELECT te.tree_id, te.parent FROM inv0 JOIN te
 _BENCH = """
 res AS (SELECT event_type AS section, (user_id % 3)::VARCHAR AS variant, 'c' || (event_id % 2) AS collection, (event_id % 3)::INT AS chromosome, value FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
 sm AS (SELECT section, variant, collection, chromosome, 'walltime' AS variable, quantile_cont(value, 0.5) AS median, min(value) AS mi, max(value) AS ma, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.9) AS q90, stddev_samp(value) AS sd FROM res GROUP BY ALL),
-sp AS (SELECT s.section, s.collection, s.chromosome, s.variable, s.variant, r.median / s.median AS speedup_median, r.median / s.mi AS speedup_min, r.median / s.ma AS speedup_max, r.median / s.q10 AS speedup_q10, r.median / s.q90 AS speedup_q90 FROM sm s JOIN sm r USING (section, collection, chromosome, variable) WHERE r.variant = '0' AND s.variant <> '0'),
+sp AS (SELECT s.section, s.collection, s.chromosome, s.variable, s.variant, r.median / nullif(s.median, 0) AS speedup_median, r.median / nullif(s.mi, 0) AS speedup_min, r.median / nullif(s.ma, 0) AS speedup_max, r.median / nullif(s.q10, 0) AS speedup_q10, r.median / nullif(s.q90, 0) AS speedup_q90 FROM sm s JOIN sm r USING (section, collection, chromosome, variable) WHERE r.variant = '0' AND s.variant <> '0'),
 fs AS (SELECT 'c' || (s_nationkey % 4) AS collection, s_suppkey::INT AS chromosome, s_suppkey * 37 + 1000 AS num_edges, s_suppkey * 11 + 300 AS num_dag_edges, s_suppkey * 5 + 7 AS num_mutations, s_suppkey * 3 + 7 AS num_sites FROM supplier)
 """
 
