@@ -4,9 +4,9 @@ A text is its set of distinct word shingles. Equal sets are one class at once. E
 the largest value under every hash function, so half as many functions fill it; bands of it propose pairs.
 
 In each bucket of a band all members are compared with the least one only, on full sets. In buckets that are not connected then, members
-outside the largest component are compared with a few of its members. Buckets still not connected are banded once more, by values that each bucket chooses
-for itself, and only pairs of different components that agree there are compared. Jaccard distance is a metric, so pairs whose
-distances to the bucket's least member differ by more than the threshold's distance are ruled out. No bucket is expanded into all pairs.
+outside the largest component are compared with a few of its members. In buckets still not
+connected, members are held against a centre of the largest component: what their sets do not share with it is small, and two sets that are similar
+agree on rare parts of it, which an equi-join finds without loss. No bucket is expanded into all pairs.
 
 Cases: texts that are NULL or have no word have the empty set and stand alone; texts shorter than a shingle are one shingle of all
 their words; rows that repeat an id are one document to the components; a NULL id stands alone with a NULL component and is kept;
@@ -31,9 +31,6 @@ FUNCTIONS = BANDS * ROWS // 2
 BROADCAST_IDS = 500_000
 #: Members of the largest component that those outside it are compared with, before what is left is compared in full.
 PIVOTS = 6
-#: Finer keys of a bucket for what is left, and values in each. A pair of similarity 0.8 shares about ten buckets, and one of 20 keys with chance
-#: 0.9 in each, so that it is missed with a chance of about 2e-5 in all; pairs that only share a passage rarely agree on ten values more.
-FINE, FINE_ROWS = 20, 10
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -132,31 +129,63 @@ def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     return mapped(both, run, "x long, y long, common long, total long")
 
 
-def fine_keys(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(fine, v, c, d): FINE further keys for each bucket of a member, of FINE_ROWS signature values that the bucket chooses.
+def differences(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(v, c, p, m, n, n_m, diff): the hashes that only one of the sets of v and of its centre m has, and the sizes of both sets.
 
-    `members` has v, c and buckets (at most one for each band)."""
+    `members` has v, c, p and m."""
+    x = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("_tv"))
+    y = texts.select(F.col("doc_id").alias("m"), F.col("text").alias("_tm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        step = np.arange(FINE * FINE_ROWS, dtype=np.uint64).reshape(FINE, FINE_ROWS)
+        hashes, last, s = _Hashes(), None, np.zeros(0, np.uint64)
         for b in batches:
-            cols: list[list] = [[], [], [], []]
-            for v, c, buckets, text in zip(*(b.column(x).to_pylist() for x in ("v", "c", "buckets", "text"))):
-                sig = signature(shingle_set(text, size, hashes))
-                for k in buckets:
-                    seed = np.array([k["key"]], np.int64).view(np.uint64)
-                    take = sig[(_mix(step * np.uint64(0x9E3779B97F4A7C15) + seed) >> np.uint64(33)) % np.uint64(len(sig))]
-                    key = _mix(seed + np.arange(FINE, dtype=np.uint64))
-                    for j in range(FINE_ROWS):
-                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + take[:, j])
-                    cols[0] += key.view(np.int64).tolist()
-                    for col, x in zip(cols[1:], (v, c, k["d"])):
-                        col += [x] * FINE
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["fine", "v", "c", "d"])
-
-    return mapped(members.join(texts.withColumnRenamed("doc_id", "v"), "v"), run, "fine long, v long, c long, d double")
+            n, n_m, diff = [], [], []
+            for m, tv, tm in zip(b.column("m").to_pylist(), b.column("_tv"), b.column("_tm")):
+                if m != last:
+                    last, s = m, shingle_set(tm.as_py(), size, hashes)
+                t = shingle_set(tv.as_py(), size, hashes)
+                n.append(len(t))
+                n_m.append(len(s))
+                diff.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("v", "c", "p", "m")] + [pa.array(z, k) for z, k in zip((n, n_m, diff), kinds)], names=["v", "c", "p", "m", "n", "n_m", "diff"])
+
+    both = members.join(x, "v").join(y, "m").select("v", "c", "p", "m", "_tv", "_tm")
+    return mapped(both, run, "v long, c long, p long, m long, n long, n_m long, diff array<long>")
+
+
+def centred(placed: DataFrame) -> DataFrame:
+    """(v, c, p, m): for each member of an open bucket, the bucket's largest component p and the centre m of p.
+
+    The centre is the member that shares most keys of open buckets with members of its component."""
+    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("p"))
+    score = placed.join(sizes, ["key", "c"]).groupBy("c", "v").agg(F.sum("_n").alias("_s"))
+    centre = score.groupBy(F.col("c").alias("p")).agg(F.max_by("v", F.struct("_s", "v")).alias("m"))
+    return placed.join(largest, "key").select("v", "c", "p").distinct().join(centre, "p").where("v <> m").select("v", "c", "p", "m")
+
+
+def rare_agreements(diffs: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of different components that may reach the similarity; none that reaches it is left out.
+
+    Sets are as far apart as their differences from a common centre m are: |x ^ y| = |dx ^ dy|. Similar sets differ in at most k * (|x| + |y|),
+    so dx and dy have t = (|dx| + |dy| - k * (|x| + |y|)) / 2 hashes in common or more, and the first of these, rarest first, stands among the
+    first |dx| - t + 1 and |dy| - t + 1. A member that is not similar to m has |dx| > k * (|x| + |m|), so t is over 0. Pairs without such a
+    member are connected by m. Hashes of one member only take places, but are not joined."""
+    k = (100 - percent) / (100 + percent)
+    d = diffs.withColumn("a", F.size("diff").cast("long")).withColumn("out", (F.col("c") != F.col("p")) & (F.col("a") > k * (F.col("n") + F.col("n_m")) + 1e-9))
+    each = d.select("m", "v", F.explode("diff").alias("e"))
+    several = each.groupBy("m", "e").agg(F.count("*").alias("f")).where("f > 1")
+    # so many of the first places can matter, whatever the other member is
+    places = F.when(F.col("out"), k * F.col("n") * (1 + 100 / percent)).otherwise(F.col("a") / 2 + k * (F.col("n") - F.col("n_m")) / 2) + 1 + 1e-6
+    ranked = each.join(several, ["m", "e"]).groupBy("m", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("r"))
+    first = d.drop("diff").join(ranked, ["m", "v"]).withColumn("alone", F.col("a") - F.size("r")).withColumn("places", places)
+    first = first.select("m", "v", "n", "a", "out", F.when(F.col("a") > k * (F.col("n") + F.col("n_m")) + 1e-9, F.col("c")).otherwise(F.col("p")).alias("c"), "alone", F.posexplode(F.slice("r", 1, F.greatest(F.floor(F.col("places") - F.col("alone")), F.lit(0)).cast("int"))).alias("i", "r"))
+    first = stored(first.select("m", F.col("r.e").alias("e"), "v", "n", "a", "out", "c", (F.col("alone") + F.col("i") + 1).alias("at")), "places", narrow=True)
+    left, right = (rows.select("m", "e", *(F.col(z).alias(z + side) for z in ("v", "n", "a", "c", "at"))) for rows, side in ((first.where("out"), "x"), (first, "y")))
+    t = (F.col("ax") + F.col("ay") - k * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
+    near = (F.col("cx") != F.col("cy")) & (F.col("ax") - F.col("atx") + 1 >= t) & (F.col("ay") - F.col("aty") + 1 >= t)
+    return left.join(right, ["m", "e"]).where(near).select(F.least("vx", "vy").alias("x"), F.greatest("vx", "vy").alias("y")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -174,15 +203,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, c: DataFrame) -> DataFrame:
-    """(key, v, d, c): members of buckets that hold more than one component."""
-    placed = members.join(c, "v", "left").select("key", "v", "d", F.coalesce("c", "v").alias("c"))
+    """(key, v, c): members of buckets that hold more than one component."""
+    placed = members.join(c, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
     several = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("key")
     return stored(placed.join(several, "key", "left_semi"), "open")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: 100 * common >= percent * union links two documents."""
-    far = 1 - percent / 100
     sig = stored(signatures(docs, size), "signatures")
     some = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
@@ -205,8 +233,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     # buckets that one comparison per member leaves in several components: compare the members outside each
     # bucket's largest one with a few of its members, whose order is the same in all buckets
-    first_d = tested.select("x", F.col("y").alias("v"), (1 - F.col("common") / F.col("total")).alias("d"))
-    placed = _open(buckets.join(first_d, ["x", "v"], "left").select("key", "v", F.coalesce("d", F.lit(0.0)).alias("d")), components(links))
+    placed = _open(buckets.select("key", "v"), components(links))
     pivots = [F.min_by("v", F.xxhash64(F.lit(i), "v")).alias(f"p{i}") for i in range(PIVOTS)]
     largest = placed.groupBy("key", "c").agg(F.count("*").alias("_n"), *pivots).groupBy("key").agg(F.max_by(F.struct("c", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("p")), F.struct("_n", "c")).alias("b"))
     asked = placed.join(largest, "key").where("c <> b.c").select("v", F.explode("b.p").alias("p")).select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y")).distinct()
@@ -215,14 +242,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     tested = tested.unionByName(second)
     release(docs.sparkSession)
 
-    # what is still open: pairs of different components that agree on a finer key of their bucket as well
+    # what is still open: members' differences from a centre of the bucket's largest component, and pairs that agree on enough of them
     placed = _open(placed.drop("c"), components(links))
-    fine = stored(fine_keys(placed.groupBy("v", "c").agg(F.collect_list(F.struct("key", "d")).alias("buckets")), texts, size), "fine-keys")
-    most = fine.groupBy("fine", "c").agg(F.count("*").alias("_n")).groupBy("fine").agg(F.max_by("c", F.struct("_n", "c")).alias("_c"), F.count("*").alias("_k")).where("_k > 1")
-    outside = fine.join(most, "fine").where("c <> _c").select("fine", F.col("c").alias("ca"), F.col("v").alias("va"), F.col("d").alias("da"))
-    b = outside.join(fine.select("fine", F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("d").alias("db")), "fine").where((F.col("ca") != F.col("cb")) & (F.abs(F.col("da") - F.col("db")) <= far + 1e-9))
-    more = b.select(F.least("va", "vb").alias("x"), F.greatest("va", "vb").alias("y")).distinct().join(tested.select("x", "y"), ["x", "y"], "left_anti")
-    again = similarities(stored(more, "pairs", narrow=True), texts, size).where(similar).select("x", "y")
+    diffs = stored(differences(centred(placed), texts, size), "differences")
+    central = diffs.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_m)").select(F.least("v", "m").alias("x"), F.greatest("v", "m").alias("y"))
+    more = stored(rare_agreements(diffs, percent).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs", narrow=True)
+    again = central.unionByName(similarities(more, texts, size).where(similar).select("x", "y"))
 
     final = components(links.unionByName(equal).unionByName(again))
     out = sig.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("v"), "left")
