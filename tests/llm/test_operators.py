@@ -133,7 +133,7 @@ def test_sentencepiece(spark):
 
     path = tokenizer_path("piece_bpe_32k.model")
     sp, m = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model.load(path)
-    texts = [*ODD, *(r.text for r in docs(spark).limit(60).collect()), "a  b   c \n d\n\n e", "日本 語 🎉 é", " lead", "q▁q"]
+    texts = [*ODD, *(r.text for r in docs(spark).limit(60).collect()), "a  b   c \n d\n\n e", "日本 語 🎉 é", " lead", "q▁q", "%" + "x" * 300, "tail%%" + "a" * 90 + "\n" + "b" * 70, "é%" + "z" * 64]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: sp.encode(t) if t else [] for i, t in enumerate(texts)}
     assert {r.doc_id: r.ids for r in pieces.encode(d, m).collect()} == want
@@ -196,6 +196,24 @@ def brute_components(rows, size, percent):
     return {i: (len(sets[i]), c[i]) for i in sets}
 
 
+def test_units_and_word_sums():
+    m = pieces.Model.load(tokenizer_path("piece_bpe_32k.model"))
+    pairs = m.pairs
+    long_words = ["%" + "x" * 300, "tail%%" + "a" * 90 + "\n" + "b" * 70, "  " * 50 + "#" * 80, "é%" + "z" * 64]
+    known = {u: (len(u), 1, hash(u) % pieces.PRIME, 1) for u in ("\u2581a", "b", "%")}
+    w = pieces._Words(known, pairs)
+    w.MOST = 3
+    for t in [*ODD, *long_words] * 2:
+        us = pieces.units(t, pairs)
+        assert "".join(us) == "".join(pieces.words(t))
+        assert not any(u[i : i + 2] not in pairs for u in us for i in range(len(u) - 1))
+        f = w.sums(pieces.words(t))
+        start = np.cumsum(f[:, 0]) - f[:, 0]
+        digest = sum((int(s) * int(h) + int(h2)) for s, h, h2 in zip(start, f[:, 3], f[:, 4])) % pieces.PRIME
+        assert f[:, 0].sum() == len(us) and digest == sum((i + 1) * known[u][2] for i, u in enumerate(us) if u in known) % pieces.PRIME
+        assert f[:, 6].sum() == sum(u not in known for u in us)
+
+
 @pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates(spark, size):
     rng = np.random.default_rng(5)
@@ -213,6 +231,28 @@ def test_near_duplicates(spark, size):
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
+def test_rare_agreements_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = {0: base}
+    for i in range(1, 90):
+        t = list(base if i % 3 or i < 4 else texts[i - 3])  # some are copies of copies, similar to them but not to the centre
+        for _ in range(int(rng.integers(2, 16))):
+            t[int(rng.integers(len(t)))] = "edit" + str(rng.integers(999))
+        texts[i] = t[: len(t) - int(rng.integers(0, 12))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    sets = {i: set(zip(t, t[1:])) for i, t in texts.items()}
+    alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
+    members = spark.createDataFrame([(i, i, 0, 0) for i in texts if i], "v long, c long, p long, m long")
+    diffs = neardup.differences(members, docs, 2)
+    assert {r.v: len(r["diff"]) for r in diffs.collect()} == {i: len(sets[i] ^ sets[0]) for i in texts if i}
+    got = {(r.x, r.y) for r in neardup.rare_agreements(diffs, 80).collect()}
+    far = [i for i in texts if i and not alike(i, 0)]
+    want = {(min(x, y), max(x, y)) for x in far for y in texts if y not in (0, x) and alike(x, y)}
+    assert len(want) > 10 and want <= got
+    assert len(got) < len(far) * len(texts) / 4
+
+
 def test_near_duplicates_of_repeated_and_missing_ids(spark):
     d = spark.createDataFrame([(None, "a b c"), (None, "a b c"), (1, "x y z"), (1, "x y z"), (2, "x y z"), (3, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(d, 2).collect()), key=repr)
