@@ -236,10 +236,10 @@ def test_rare_agreements_lose_no_similar_pair(spark):
     base = [f"w{i}" for i in range(150)]
     texts = {0: base}
     for i in range(1, 90):
-        t = list(base if i % 3 or i < 4 else texts[i - 3])  # some are copies of copies, similar to them but not to the centre
-        for _ in range(int(rng.integers(2, 16))):
+        t = list(base if i % 3 or i < 4 else texts[1 + i // 3 % 3])  # some are copies of copies, similar to them but not to the centre
+        for _ in range(25 if i < 4 else int(rng.integers(2, 12))):
             t[int(rng.integers(len(t)))] = "edit" + str(rng.integers(999))
-        texts[i] = t[: len(t) - int(rng.integers(0, 12))]
+        texts[i] = t[: len(t) - int(rng.integers(0, 6))]
     docs = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id long, text string")
     sets = {i: set(zip(t, t[1:])) for i, t in texts.items()}
     alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
