@@ -143,6 +143,32 @@ def test_sentencepiece(spark):
     assert back == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)}
 
 
+def test_merges_of_any_table(spark):
+    """Tables in which pieces score better than their parts do, so that edges are met before they can be merged."""
+    rng = np.random.default_rng(3)
+    us = sorted({"".join(rng.choice(list("abc"), int(rng.integers(1, 16)))) for _ in range(150)})
+    met_early = 0
+    for _ in range(3):
+        some = sorted({u[i : i + k] for u in us for k in (2, 3, 4) for i in range(len(u) - k + 1)})
+        rng.shuffle(some)
+        rank = {p: r for r, p in enumerate(some[: len(some) // 2])}
+        m = pieces.Model("", [(c, i, 0.0) for i, c in enumerate("abc")] + [(p, 3 + r, -1.0 - r) for p, r in rank.items()], 100_000, True, 0)
+        name = {i: p for p, i, _ in m.pieces}
+
+        def merged(u):
+            out = list(u)
+            while pairs := [(rank[x + y], i) for i, (x, y) in enumerate(zip(out, out[1:])) if x + y in rank]:
+                i = min(pairs)[1]
+                out[i : i + 2] = [out[i] + out[i + 1]]
+            return out
+
+        want = {u: merged(u) for u in us}
+        got = {r.unit: [name[i] for i in r.ids] for r in pieces.segmented(spark.createDataFrame([(u, 1) for u in us], "unit string, n long"), m).collect()}
+        assert got == want
+        met_early += sum(len(p) > 2 and all(q not in rank or rank[q] > rank[p] for q in (p[:-1], p[1:])) for u in want.values() for p in u)
+    assert met_early > 10
+
+
 def test_viterbi(spark):
     table = {"a": -2.0, "b": -2.5, "c": -3.0, "ab": -3.9, "bc": -3.1, "abc": -6.5, "▁": -1.0, "▁a": -3.2, "ca": -4.0, "cab": -5.5}
     m = pieces.Model("", [(p, i, s) for i, (p, s) in enumerate(table.items())], 100, False, 0)
