@@ -226,18 +226,28 @@ def test_units_and_word_sums():
     m = pieces.Model.load(tokenizer_path("piece_bpe_32k.model"))
     pairs = m.pairs
     long_words = ["%" + "x" * 300, "tail%%" + "a" * 90 + "\n" + "b" * 70, "  " * 50 + "#" * 80, "é%" + "z" * 64]
-    known = {u: (len(u), 1, hash(u) % pieces.PRIME, 1) for u in ("\u2581a", "b", "%")}
-    w = pieces._Words(known, pairs)
+    cutters = [pieces.Cutter(pairs), pieces.Cutter(pairs)]
+    cutters[1].table = None  # as for models of very many characters
+    names = ["\u2581a", "b", "%"]
+    known = {u: (len(u), i, hash(u) % pieces.PRIME, i % 2) for i, u in enumerate(names)}
+    w = pieces._Words(names, np.array([known[u] for u in names]).T, pairs)
     w.MOST = 3
-    for t in [*ODD, *long_words] * 2:
-        us = pieces.units(t, pairs)
-        assert "".join(us) == "".join(pieces.words(t))
-        assert not any(u[i : i + 2] not in pairs for u in us for i in range(len(u) - 1))
-        f = w.sums(pieces.words(t))
-        start = np.cumsum(f[:, 0]) - f[:, 0]
-        digest = sum((int(s) * int(h) + int(h2)) for s, h, h2 in zip(start, f[:, 3], f[:, 4])) % pieces.PRIME
-        assert f[:, 0].sum() == len(us) and digest == sum((i + 1) * known[u][2] for i, u in enumerate(us) if u in known) % pieces.PRIME
-        assert f[:, 6].sum() == sum(u not in known for u in us)
+    texts = [*ODD, *long_words, "", None] * 2
+    for group in (texts, *([t] for t in texts)):
+        total, rare = w.sums([w.find(pieces.bare_words(t)) for t in group])
+        w.forget()
+        assert len(w) <= 3 and len(total) == len(rare) == len(group)
+        for t, f, r in zip(group, total.tolist(), rare):
+            us = cutters[0](pieces.words(t))[0]
+            assert us == cutters[1](pieces.words(t))[0]
+            assert "".join(us) == "".join(pieces.words(t)) == ("" if not t else "\u2581" + t.replace(" ", "\u2581"))
+            assert not any(u[i : i + 2] not in pairs for u in us for i in range(len(u) - 1))
+            assert all(x + y in pairs for u in us for x, y in zip(u, u[1:]))
+            hits = [(i, known[u]) for i, u in enumerate(us, 1) if u in known]
+            assert f[:3] == [len(us), sum(x[0] for _, x in hits), sum(x[1] for _, x in hits)]
+            assert f[4:] == [sum(i * x[2] for i, x in hits) % pieces.PRIME, sum(1 - x[3] for _, x in hits), len(us) - len(hits)]
+            places = {u: [i for i, x in enumerate(us, 1) if x == u] for u in us if u not in known}
+            assert {x["unit"]: (x["times"], x["places"]) for x in r} == {u: (len(p), sum(p)) for u, p in places.items()}
 
 
 @pytest.mark.parametrize("size", [2, 5])
