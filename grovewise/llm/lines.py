@@ -2,11 +2,12 @@
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that have it over all of the
 host's pages; lines above the boilerplate ratio go, wherever on the site they stand. Pages of equal
-text count once on both sides, so that a page published many times is not boilerplate to itself.
+text count once on both sides, so that a page published many times is not boilerplate to itself. A line on
+a single page is no repetition: `min_pages` is 2, so that the ratio alone decides on a host of any size.
 
 Lines are split at line feeds, compared without spaces at their ends, and blank lines stay. Cases: NULL
-or empty text stays as it is; pages without a host belong to no site and stay; a line needs
-`min_pages` pages, so small sites lose nothing; extra columns pass through.
+or empty text stays as it is; pages without a host belong to no site and stay; a host with one page (or one
+text) loses nothing; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from grovewise.llm.common import broadcast_if, stored
 
-RATIO, MIN_PAGES = 0.1, 5
+RATIO, MIN_PAGES = 0.1, 2
 #: Boilerplate lines of all hosts are broadcast up to this number (24 bytes each).
 BROADCAST_LINES = 200_000
 

@@ -336,6 +336,23 @@ def test_site_lines(spark):
     assert lines.drop_boilerplate(d.where("false"), "host", "text").count() == 0
 
 
+def test_site_lines_of_hosts_of_any_size(spark):
+    """Every host size from 1 to 60: a menu on all pages, a line on two pages, and one on a tenth of them and one more."""
+    pages = []
+    for n in range(1, 61):
+        for i in range(n):
+            t = ["menu", f"body {n} {i}"] + ["twice"] * (i < 2) + ["tenth"] * (i < n // 10 + 1)
+            pages += [(len(pages), f"h{n}", "\n".join(t))] * (1 + (i == 0))  # a copy of the first page counts once
+    out = {r.page_id: r for r in lines.drop_boilerplate(spark.createDataFrame(pages, "page_id long, host string, text string"), "host", "text").collect()}
+    texts = {h: {t for _, x, t in pages if x == h} for h in {x for _, x, _ in pages}}
+    seen = {h: Counter(s for t in ts for s in set(t.split("\n"))) for h, ts in texts.items()}
+    bad = {h: {s for s, k in c.items() if k >= 2 and k > 0.1 * len(texts[h])} for h, c in seen.items()}
+    assert bad["h1"] == set() and bad["h2"] == {"menu", "twice"} and bad["h4"] == {"menu", "twice"} and bad["h20"] == {"menu", "tenth"}
+    for i, h, t in pages:
+        kept = [s for s in t.split("\n") if s not in bad[h]]
+        assert (out[i].text, out[i].n_dropped) == ("\n".join(kept), t.count("\n") + 1 - len(kept)), (h, t)
+
+
 @pytest.mark.parametrize("rows", [odd, empty])
 def test_odd_and_empty_tables(spark, rows):
     d, n = rows(spark), rows(spark).count()
