@@ -1,15 +1,19 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation (NCE).
 
 The model predicts a word from the two before it: the context vector is the sum of their embeddings, each scaled by position, and
-its product with the word's own vector, plus a bias, is the score. Its vocabulary is the most frequent words, an end
-token, and one class for all other words; inside the class, words follow their smoothed counts, so every text has a normalised
-probability.
+its product with an output's own vector, plus a bias, is the output's score. The vocabulary grows with the corpus: all words that occur `MIN_COUNT` times or
+more (the `VOCABULARY` most frequent at least), an end token, and one class for all other words; inside that class, words follow their smoothed counts, so
+every text has a normalised probability.
+
+Vocabulary words are dealt to frequency classes, so that a word's probability is its class's among all classes times its own inside the class, each
+normalised exactly by batched products for the contexts that occur. A class takes words in order of frequency until the roots of their shares add up to one, which makes
+both sums together shortest. NCE trains both steps: classes against noise shared by an update, words against noise from their class.
 
 Word counts are taken over the whole training corpus. Each partition trains on all of its texts from the same start, and the partitions' parameters are
-averaged by their tokens; rounds start from the average. Because a context is a pair of vocabulary words, the normalisers of all contexts are
-one batch of matrix products; scoring is then look-ups.
+averaged row by row, by how often a partition has met the row; rounds start from the average.
 
-Counts of the most frequent words (`HEAD`, a fixed bound) are broadcast; the other words of a text meet their counts in a join.
+Counts of the vocabulary, or of the most frequent words if they are more (`HEAD`), are broadcast; the other words of a text meet their counts in a join. Vectors
+and counts of the vocabulary are held by every worker.
 
 Cases: a NULL text is empty, with the end token only; without training rows all words are unknown and the model is uniform over its vocabulary;
 rows may repeat, ids may repeat or be NULL; very long texts are scored in one pass; extra columns are ignored.
@@ -30,8 +34,9 @@ from pyspark.sql import functions as F
 
 from grovewise.llm.common import mapped, stored
 
-#: Model words, head words that are broadcast with their counts, vector length, noise samples, texts' tokens per update.
-VOCABULARY, HEAD, WIDTH, NOISE, UPDATE = 1022, 100_000, 16, 32, 4096
+#: Least count of a model word, least number of them, head words that are broadcast with their counts, vector length, noise classes of an update, noise words
+#: of a token, tokens per update, tokens scored at once, rows per block of parameters.
+MIN_COUNT, VOCABULARY, HEAD, WIDTH, NOISE, INNER, UPDATE, BATCH, BLOCK = 50, 1022, 100_000, 16, 32, 2, 4096, 65_536, 8192
 ROUNDS, RATE = 1, 0.1
 FLUSH = 200_000
 
@@ -61,7 +66,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Parameters:
-    """Context embeddings (words, end, other, begin), their two position scales, word vectors, biases."""
+    """Context embeddings (words, end, other, begin), their two position scales, output vectors (top outputs, then words inside their classes), biases."""
 
     context: np.ndarray
     scale: np.ndarray
@@ -69,18 +74,62 @@ class Parameters:
     bias: np.ndarray
 
     @staticmethod
-    def start(p: np.ndarray, width: int = WIDTH, seed: int = 1) -> Parameters:
+    def start(p: np.ndarray, width: int = WIDTH, seed: int = 1, contexts: int | None = None) -> Parameters:
+        """p: shares of the outputs; without `contexts`, these are the words of a model without classes."""
         rng, v = np.random.default_rng(seed), len(p)
-        return Parameters(rng.normal(0, 0.1, (v + 1, width)).astype(np.float32), np.ones((2, width), np.float32), rng.normal(0, 0.1, (v, width)).astype(np.float32), np.log(p).astype(np.float32))
+        return Parameters(rng.normal(0, 0.1, (contexts or v + 1, width)).astype(np.float32), np.ones((2, width), np.float32), rng.normal(0, 0.1, (v, width)).astype(np.float32), np.log(p).astype(np.float32))
+
+    def rows(self) -> np.ndarray:
+        """All parameters as rows: contexts, scales, outputs; the last column is an output's bias."""
+        zero = lambda x: np.zeros((len(x), 1), np.float32)
+        return np.vstack([np.hstack([x, b]) for x, b in ((self.context, zero(self.context)), (self.scale, zero(self.scale)), (self.word, self.bias[:, None]))])
+
+    @staticmethod
+    def of(rows: np.ndarray, contexts: int) -> Parameters:
+        a, b, c = np.split(rows, [contexts, contexts + 2])
+        return Parameters(*(x[:, :-1].copy() for x in (a, b, c)), c[:, -1].copy())
+
+    def copy(self) -> Parameters:
+        return Parameters(self.context.copy(), self.scale.copy(), self.word.copy(), self.bias.copy())
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.context, self.scale, self.word, self.bias)])
+
+@dataclass(frozen=True)
+class Classes:
+    """Word classes as bounds of word ids (from 0 to the number of words), and counts of words, ends and others. Top outputs: classes, end, other."""
+
+    bounds: np.ndarray
+    counts: np.ndarray
 
     @staticmethod
-    def of(flat: np.ndarray, v: int, width: int = WIDTH) -> Parameters:
-        sizes = np.cumsum([(v + 1) * width, 2 * width, v * width])
-        a, b, c, d = np.split(np.asarray(flat, np.float32), sizes)
-        return Parameters(a.reshape(v + 1, width), b.reshape(2, width), c.reshape(v, width), d)
+    def of_counts(words: np.ndarray, ends: int, others: int) -> Classes:
+        """words: their counts, the most frequent first."""
+        counts = np.append(np.asarray(words, np.int64), [ends, others])
+        k = np.floor(np.cumsum(np.sqrt((counts[:-2] + 1) / (counts.sum() + len(counts)))) - 1e-9).astype(np.int64)
+        return Classes(np.append(np.flatnonzero(np.diff(k, prepend=-1)), len(words)), counts)
+
+    @property
+    def n_words(self) -> int:
+        return len(self.counts) - 2
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.bounds)
+
+    @property
+    def tops(self) -> np.ndarray:
+        """The top output of each id: words, end, other."""
+        k = len(self.bounds) - 1
+        return np.append(np.repeat(np.arange(k), self.sizes), [k, k + 1])
+
+    @property
+    def shares(self) -> np.ndarray:
+        """Smoothed shares of the top outputs, then of each word inside its class."""
+        c = self.counts + 1.0
+        top = np.bincount(self.tops, c)
+        return np.concatenate([top / top.sum(), (c / top[self.tops])[:-2]])
+
+    def start(self) -> Parameters:
+        return Parameters.start(self.shares, contexts=self.n_words + 3)
 
 
 def stream(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,96 +142,156 @@ def stream(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trainer:
-    """NCE with noise shared by an update, and Adagrad steps."""
+    """NCE with top noise shared by an update and words' noise drawn evenly from their class, and Adagrad steps."""
 
-    def __init__(self, p: Parameters, noise: np.ndarray, seed: int):
+    def __init__(self, p: Parameters, classes: Classes, seed: int):
         self.p, self.rng = p, np.random.default_rng(seed)
+        self.tops, self.sizes, self.bounds, self.n_words = classes.tops, classes.sizes, classes.bounds, classes.n_words
+        self.n_top = len(self.sizes) + 2
+        noise = classes.shares[: self.n_top]
         self.cdf, self.log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
-        self.past = [np.full_like(x, 1e-4) for x in (p.context, p.scale, p.word, p.bias)]
+        past = lambda x, a: np.full_like(x, a)
+        t = self.n_top
+        self.past_context, self.past_scale = past(p.context, 1), past(p.scale, 1e-4)
+        self.past_top, self.past_top_bias = past(p.word[:t], 1e-4), past(p.bias[:t], 1e-4)
+        self.past_word = past(np.empty((len(p.word) - t, p.word.shape[1] + 1), np.float32), 1)
+        self.context_hits, self.word_hits = np.zeros(len(p.context), np.int64), np.zeros(self.n_words, np.int64)
         self.seen = 0
 
     def update(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
-        p, k, width = self.p, len(w), self.p.word.shape[1]
+        p, k, width, n = self.p, len(w), self.p.word.shape[1], self.n_top
         r1, r2 = p.context[one], p.context[two]
         q = r1 * p.scale[0] + r2 * p.scale[1]
-        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), len(self.cdf) - 1)
-        t, tn = p.word[w], p.word[noise]
-        pos = np.einsum("ij,ij->i", q, t) + p.bias[w] - self.log_noise[w]
+        top = self.tops[w]
+        noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), n - 1)
+        t, tn = p.word[top], p.word[noise]
+        pos = np.einsum("ij,ij->i", q, t) + p.bias[top] - self.log_noise[top]
         neg = q @ tn.T + p.bias[noise] - self.log_noise[noise]
         g = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
         gn = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
         dq = g[:, None] * t + gn @ tn
-        ids = np.concatenate([w, noise])
-        dword = self._sum(ids, np.concatenate([g[:, None] * q, gn.T @ q]), len(p.word), width)
-        dbias = np.bincount(ids, np.concatenate([g, gn.sum(0)]), len(p.bias)).astype(np.float32)
-        dcontext = self._sum(np.concatenate([one, two]), np.concatenate([dq * p.scale[0], dq * p.scale[1]]), len(p.context), width)
-        dscale = np.stack([(dq * r1).sum(0), (dq * r2).sum(0)])
-        for x, d, past in zip((p.context, p.scale, p.word, p.bias), (dcontext, dscale, dword, dbias), self.past):
-            d /= k
+        u, rows, _ = self._sum(np.concatenate([top, noise]), np.concatenate([np.column_stack([g[:, None] * q, g]), np.column_stack([gn.T @ q, gn.sum(0)])]))
+        dtop = np.zeros((n, width + 1), np.float32)
+        dtop[u] = rows / k
+        self._inner(w, top, q, dq)
+        dscale = np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]) / k
+        u, rows, hits = self._sum(np.concatenate([one, two]), np.concatenate([dq * p.scale[0], dq * p.scale[1]]))
+        self.past_context[u] += rows * rows
+        p.context[u] += RATE * rows / np.sqrt(self.past_context[u])
+        self.context_hits[u] += hits
+        for x, d, past in ((p.scale, dscale, self.past_scale), (p.word[:n], dtop[:, :width], self.past_top), (p.bias[:n], dtop[:, width], self.past_top_bias)):
             past += d * d
             x += RATE * d / np.sqrt(past)
         self.seen += k
 
+    def _inner(self, w: np.ndarray, top: np.ndarray, q: np.ndarray, dq: np.ndarray) -> None:
+        """Words inside their classes; adds to dq. Classes of one word have nothing to learn."""
+        at = np.flatnonzero(w < self.n_words)
+        at = at[self.sizes[top[at]] > 1]
+        if not len(at):
+            return
+        p, n, width = self.p, self.n_top, self.p.word.shape[1]
+        q, c, size = q[at], top[at], self.sizes[top[at]]
+        noise = self.bounds[c][:, None] + (self.rng.random((len(at), INNER)) * size[:, None]).astype(np.int64)
+        ids = np.column_stack([w[at], noise])
+        x = p.word[n + ids]
+        s = np.einsum("ij,ikj->ik", q, x) + p.bias[n + ids] - np.log(INNER / size).astype(np.float32)[:, None]
+        g = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
+        g[:, 0] += 1
+        dq[at] += np.einsum("ik,ikj->ij", g, x)
+        rows = np.empty((*ids.shape, width + 1), np.float32)
+        np.multiply(g[:, :, None], q[:, None, :], out=rows[:, :, :width])
+        rows[:, :, width] = g
+        u, rows, hits = self._sum(ids.ravel(), rows.reshape(-1, width + 1))
+        self.past_word[u] += rows * rows
+        step = RATE * rows / np.sqrt(self.past_word[u])
+        p.word[n + u] += step[:, :width]
+        p.bias[n + u] += step[:, width]
+        self.word_hits[u] += hits
+
+    @property
+    def hits(self) -> np.ndarray:
+        """How often each row of the parameters was met."""
+        return np.concatenate([self.context_hits, np.full(2 + self.n_top, self.seen), self.word_hits])
+
     @staticmethod
-    def _sum(ids: np.ndarray, rows: np.ndarray, n: int, width: int) -> np.ndarray:
-        """Rows added up by id."""
+    def _sum(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct ids, their rows added up, and how many there were."""
         order = np.argsort(ids, kind="stable")
         s = ids[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        out = np.zeros((n, width), np.float32)
-        out[s[first]] = np.add.reduceat(rows[order], first, axis=0)
-        return out
+        return s[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.append(first, len(s)))
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """index: model words to ids; counts: head words to counts. Ids: words, then end, then other; begin is a context only."""
+    """index: head words to ranks; counts: by rank. The first ranks are the model's words; ids: words, then end, then other; begin is a context only."""
 
     index: dict[bytes, int]
-    counts: dict[bytes, int]
+    counts: np.ndarray
+    classes: Classes
     total: int
     types: int
     ends: int
     other_tokens: int
     other_types: int
 
-    @property
-    def end(self) -> int:
-        return len(self.index)
 
-    @property
-    def unigram(self) -> np.ndarray:
-        """Smoothed shares of the model words, the end and the others."""
-        c = [self.counts[w] for w in self.index] + [self.ends, self.other_tokens]
-        return (np.array(c, float) + 1) / (sum(c) + len(c))
+def vocabulary(counts: DataFrame, train_docs: int, min_count: int = MIN_COUNT) -> Vocabulary:
+    """The end token is counted with N and V; words by count, ties by word."""
+    s = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") >= min_count).alias("often")).first()
+    head = (counts.where(F.col("n") >= min_count) if s.often >= HEAD else counts.orderBy(F.desc("n"), "word").limit(HEAD)).select("word", "n").toArrow()
+    head = head.sort_by([("n", "descending"), ("word", "ascending")])
+    n = head.column("n").to_numpy()
+    v = min(max(s.often, VOCABULARY), len(n))
+    other = s.n - int(n[:v].sum())
+    return Vocabulary({w: i for i, w in enumerate(head.column("word").to_pylist())}, n, Classes.of_counts(n[:v], train_docs, other), s.n + train_docs, s.v + (train_docs > 0), train_docs, other, s.v - v)
 
 
-def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
-    """The end token is counted with N and V; head and model words are the most frequent, ties by word."""
-    s = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head = {bytes(r.word): r.n for r in counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()}
-    index = {w: i for i, w in enumerate(list(head)[:VOCABULARY])}
-    return Vocabulary(index, head, s.n + train_docs, s.v + (train_docs > 0), train_docs, s.n - sum(head[w] for w in index), s.v - len(index))
+def ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+    """Ranks of a text's words; -1 where a word is not of the head."""
+    get = index.get
+    return np.array([get(w, -1) for w in words], np.int64)
 
 
-def text_ids(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
+def text_ids(r: np.ndarray, n_words: int) -> np.ndarray:
     """Model ids of a text's words and its end."""
-    end = len(index)
-    get = index.get
-    return np.array([get(w, end + 1) for w in words] + [end], np.int64)
+    return np.append(np.where((r >= 0) & (r < n_words), r, n_words + 1), n_words)
+
+
+def average(grown: DataFrame, start: np.ndarray) -> np.ndarray:
+    """Rows of parameters averaged over partitions, from (block, ids, x, hits); a row that none has met stays."""
+    width = start.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for block, ids, x, hits in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "x", "hits"))):
+                total, n = sums.setdefault(block, (np.zeros((BLOCK, width)), np.zeros(BLOCK)))
+                ids, h = np.frombuffer(ids, np.int32), np.frombuffer(hits, np.int64)
+                total[ids] += np.frombuffer(x, np.float32).reshape(-1, width) * h[:, None]
+                n[ids] += h
+        for block, (total, n) in sums.items():
+            ids = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([(total[ids] / n[ids, None]).astype(np.float32).tobytes()], pa.binary())], names=["block", "ids", "x"])
+
+    out = start.copy()
+    for r in mapped(grown.repartition("block"), run, "block int, ids binary, x binary").collect():
+        out[r.block * BLOCK + np.frombuffer(bytes(r.ids), np.int32)] = np.frombuffer(bytes(r.x), np.float32).reshape(-1, width)
+    return out
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
-    """Every partition trains on all its texts; parameters are averaged inside Spark, weighted by tokens."""
-    p = Parameters.start(v.unigram)
+    """Every partition trains on all its texts; parameters are averaged inside Spark."""
+    p = v.classes.start()
     spark = docs.sparkSession
     for r in range(rounds):
-        shared = spark.sparkContext.broadcast((p, v.index, v.unigram))
+        shared = spark.sparkContext.broadcast((p, v.index, v.classes))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            p, index, noise = shared.value
-            t = Trainer(Parameters.of(p.flat().copy(), len(noise)), noise, 1000 * r + TaskContext.get().partitionId())
-            begin, kept, size = len(noise), [], 0
+            p, index, classes = shared.value
+            t = Trainer(p.copy(), classes, 1000 * r + TaskContext.get().partitionId())
+            begin, kept, size = classes.n_words + 2, [], 0
 
             def flush() -> None:
                 ids, one, two = (np.concatenate(x) for x in zip(*kept))
@@ -191,7 +300,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
 
             for b in batches:
                 for text in b.column("text"):
-                    ids = text_ids(tokens(text.as_py()), index)
+                    ids = text_ids(ranks(tokens(text.as_py()), index), classes.n_words)
                     kept.append((ids, *stream(ids, begin)))
                     size += len(ids)
                     if size >= 16 * UPDATE:
@@ -200,20 +309,18 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
             if kept:
                 flush()
             if t.seen:
-                flat = t.p.flat()
-                parts = np.array_split(flat, 32)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.astype(float).tolist() for x in parts], pa.list_(pa.float64())), pa.array([t.seen] * len(parts), pa.int64())], names=["part", "x", "seen"])
-
-        grown = mapped(docs.select("text"), run, "part int, x array<double>, seen long")
-        each = grown.select("part", "seen", F.posexplode("x").alias("i", "x")).groupBy("part", "i").agg((F.sum(F.col("x") * F.col("seen")) / F.sum("seen")).alias("x"))
-        rows = each.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("x")).collect()
-        if rows:
-            p = Parameters.of(np.concatenate([np.array(x.x) for x in sorted(rows, key=lambda x: x.part)]), len(v.unigram))
+                rows, hits = t.p.rows(), t.hits
+                for i in range(0, len(rows), BLOCK):
+                    ids = np.flatnonzero(hits[i : i + BLOCK])
+                    if len(ids):
+                        yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), rows[i + ids], hits[i + ids])], names=["block", "ids", "x", "hits"])
+
+        p = Parameters.of(average(mapped(docs.select("text"), run, "block int, ids binary, x binary, hits binary"), p.rows()), len(p.context))
     return p
 
 
 def log_normalisers(p: Parameters, one: np.ndarray) -> np.ndarray:
-    """(len(one), contexts): log of the sum over all words, for every word two back, by matrix products."""
+    """(len(one), contexts): log of the sum over all words of a model without classes, for every word two back, by matrix products."""
     out = np.empty((len(one), len(p.context)), np.float32)
     far = p.context * p.scale[1]
     for i, c in enumerate(one):
@@ -224,28 +331,58 @@ def log_normalisers(p: Parameters, one: np.ndarray) -> np.ndarray:
 
 
 class Scorer:
-    """Log10 probabilities by look-up: two tables of products, the biases, and the normalisers of all contexts."""
+    """Scores of a model without classes by look-up: two tables of products, the biases, and the normalisers of all contexts."""
 
     def __init__(self, p: Parameters, z: np.ndarray):
         self.one, self.two = ((p.context * p.scale[i]) @ p.word.T for i in (0, 1))
         self.bias, self.z = p.bias, z
-        self.begin = len(p.bias)
 
-    def tokens(self, ids: np.ndarray) -> np.ndarray:
-        one, two = stream(ids, self.begin)
-        return (self.one[one, ids] + self.two[two, ids] + self.bias[ids] - self.z[one, two]).astype(float) / math.log(10)
 
+class ClassScorer:
+    """Natural log probabilities of ids after contexts."""
 
-def normalisers(spark, p: Parameters) -> np.ndarray:
-    shared = spark.sparkContext.broadcast(p)
+    def __init__(self, p: Parameters, classes: Classes):
+        n = len(classes.sizes) + 2
+        self.tops, self.sizes, self.bounds, self.n_words = classes.tops, classes.sizes, classes.bounds, classes.n_words
+        self.one, self.two = p.context * p.scale[0], p.context * p.scale[1]
+        self.top, self.top_bias = np.ascontiguousarray(p.word[:n].T), p.bias[:n]
+        self.word, self.bias = p.word[n:], p.bias[n:]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c = b.column("id").to_numpy()
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in log_normalisers(shared.value, c)], pa.binary())], names=["id", "z"])
+    @staticmethod
+    def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log of each row's softmax at one place; overwrites s."""
+        m = s.max(1)
+        own = s[np.arange(len(s)), at] - m
+        s -= m[:, None]
+        np.exp(s, out=s)
+        return own - np.log(s.sum(1))
+
+    def log_p(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        q, top = self.one[one] + self.two[two], self.tops[ids]
+        out = np.empty(len(ids), np.float32)
+        for i in range(0, len(ids), 2048):
+            j = slice(i, i + 2048)
+            s = q[j] @ self.top
+            s += self.top_bias
+            out[j] = self._log_share(s, top[j])
+        order = np.argsort(top, kind="stable")
+        ends = np.searchsorted(top[order], np.arange(len(self.sizes) + 1))
+        for c in np.flatnonzero((np.diff(ends) > 0) & (self.sizes > 1)):
+            a, b = self.bounds[c], self.bounds[c + 1]
+            rows, most = order[ends[c] : ends[c + 1]], max(1, 1_000_000 // (b - a))
+            for i in range(0, len(rows), most):
+                r = rows[i : i + most]
+                s = q[r] @ self.word[a:b].T
+                s += self.bias[a:b]
+                out[r] += self._log_share(s, ids[r] - a)
+        return out
 
-    rows = mapped(spark.range(0, len(p.context), 1, 12), run, "id long, z binary").collect()
-    return np.stack([np.frombuffer(bytes(r.z), np.float32) for r in sorted(rows, key=lambda r: r.id)])
+    def texts(self, ids: list[np.ndarray]) -> np.ndarray:
+        """Log10 probabilities of whole texts, scored in batches."""
+        begin = self.n_words + 2
+        x = [np.concatenate(y) for y in zip(*((i, *stream(i, begin)) for i in ids))]
+        p = np.concatenate([self.log_p(*(y[i : i + BATCH] for y in x)) for i in range(0, len(x[0]), BATCH)]).astype(float)
+        return np.add.reduceat(p, np.cumsum([0] + [len(i) for i in ids[:-1]])) / math.log(10)
 
 
 def scored(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
@@ -256,33 +393,32 @@ def scored(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame
     counts = stored(word_counts(learn), "word-counts")
     v = vocabulary(counts, learn.count())
     p = train(learn, v, rounds)
-    tables = spark.sparkContext.broadcast((v, p, normalisers(spark, p)))
+    tables = spark.sparkContext.broadcast((v, p))
     n, denominator, other = v.total, v.total + v.types + 1, v.other_tokens + v.other_types + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, p, z = tables.value
-        model, index, head = Scorer(p, z), v.index, v.counts
-        base = {w: math.log10((c + 1) / denominator) for w, c in head.items()}
-        inside = {w: math.log10((c + 1) / other) for w, c in head.items() if w not in index}
+        v, p = tables.value
+        model, index, n_words = ClassScorer(p, v.classes), v.index, v.classes.n_words
+        base, inside = np.log10((v.counts + 1) / denominator), np.log10((v.counts + 1) / other)
         end = math.log10((v.ends + 1) / denominator)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
+            open_, size = [], 0
             for t in b.column("text"):
                 w = tokens(t.as_py())
-                score = float(model.tokens(text_ids(w, index)).sum())
-                bs, known, tail = end, int(v.ends > 0), Counter()
-                for x, k in Counter(w).items():
-                    if (h := base.get(x)) is None:
-                        tail[x] = k
-                    else:
-                        bs += k * h
-                        known += k
-                        if x in inside:
-                            score += k * inside[x]
-                for c, x in zip(cols, (row, len(w) + 1, known, bs, score, list(tail.items()))):
+                r = ranks(w, index)
+                known = r[r >= 0]
+                tail = Counter(w[i] for i in np.flatnonzero(r < 0))
+                for c, x in zip(cols, (row, len(w) + 1, len(known) + int(v.ends > 0), end + float(base[known].sum()), float(inside[known[known >= n_words]].sum()), list(tail.items()))):
                     c.append(x)
                 row += 1
+                open_.append(text_ids(r, n_words))
+                size += len(w) + 1
+                if size >= BATCH or len(cols[0]) == b.num_rows:
+                    k = len(cols[0])
+                    cols[4][k - len(open_) :] = np.add(cols[4][k - len(open_) :], model.texts(open_)).tolist()
+                    open_, size = [], 0
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
             tails = [[{"word": w, "k": k} for w, k in x] for x in cols[5]]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_train")] + [pa.array(c, k) for c, k in zip([*cols[:5], tails], kinds)], names=["doc_id", "_train", "row", "n_tokens", "known", "base", "own", "tail"])

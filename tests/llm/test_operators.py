@@ -92,6 +92,38 @@ def test_language_model_is_normalised():
             assert np.exp(s.one[one] + s.two[two] + s.bias - z[one, two]).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_word_classes_are_normalised_exactly():
+    rng = np.random.default_rng(6)
+    c = lm.Classes.of_counts(np.sort(rng.zipf(1.5, 3000).clip(max=10**6))[::-1], 40, 70)
+    assert c.bounds[0] == 0 and c.bounds[-1] == 3000 and c.sizes.min() >= 1 and c.sizes.max() > 20
+    p = c.start()
+    p.word[:] = rng.normal(0, 1, p.word.shape)
+    n, s = c.n_words + 2, lm.ClassScorer(p, c)
+    for one, two in rng.integers(0, n + 1, (5, 2)):
+        q = p.context[one] * p.scale[0] + p.context[two] * p.scale[1]
+        e = np.exp(p.word @ q + p.bias)
+        top, inner = e[: len(c.sizes) + 2], e[len(c.sizes) + 2 :]
+        want = top[c.tops] / top.sum()
+        want[:-2] *= inner / np.add.reduceat(inner, c.bounds[:-1])[c.tops[:-2]]
+        got = np.exp(s.log_p(np.arange(n), np.full(n, one), np.full(n, two)))
+        assert got.sum() == pytest.approx(1, abs=1e-4) and got == pytest.approx(want, rel=1e-3)
+    ids = [rng.integers(0, n, k) for k in (1, 2, 70_000, 5)]
+    each = [s.log_p(i, *lm.stream(i, n)).astype(float).sum() / np.log(10) for i in ids]
+    assert s.texts(ids) == pytest.approx(each)
+
+
+def test_language_model_learns_words_of_any_rank(spark):
+    """5,000 words of equal count, each followed by its own partner: a model of the 1,022 most frequent words knows few of the pairs."""
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"a{k} b{k}" for k in rng.integers(0, 2500, 500)) for _ in range(600)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    counts = lm.word_counts(d)
+    v = lm.vocabulary(counts, 600)
+    assert v.classes.n_words == counts.where(F.col("n") >= 50).count() == 5000 and v.other_types == v.other_tokens == 0
+    r = lm.scored(d, F.col("doc_id") < 550).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert r[0] > 0.97 * r[1]
+
+
 def test_language_model_learns_what_follows(spark):
     rng = np.random.default_rng(3)
     texts = [" ".join(x for _ in range(60) for x in (("a", "b") if rng.random() < 0.5 else ("c", "d"))) for _ in range(200)]
