@@ -34,3 +34,18 @@ def test_pipeline_stages(spark):
     good = d.join(labels.where("quality = 1"), "doc_id", "left_semi")
     first = corpus_pipeline.quality_rules(spark, d, DATA)
     assert first.join(good, "doc_id", "left_semi").count() > 0.9 * good.count()
+
+
+def test_line_stage_drops_planted_boilerplate_and_passages(spark):
+    """600 documents of a source: a license on 1 % of them and a passage on 8 documents go; lines on 4 documents, and the same license in a small source, stay."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = []
+    for i in range(600):
+        t = [f"own line {i}"] + ["All rights reserved."] * (i % 100 == 0) + [passage] * (10 <= i < 18) + ["on four"] * (i < 4)
+        rows.append((i, "\n".join(t), "en", "s", sum(map(len, t)) + len(t) - 1))
+    rows += [(700 + i, f"other {i}\nAll rights reserved.", "en", "small", 28) for i in range(3)] + [(800, None, "en", "s", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: r for r in corpus_pipeline.line_dedup(spark, d, DATA).collect()}
+    for i, t, _, source, _ in rows:
+        want = t if t is None or source == "small" else "\n".join(x for x in t.split("\n") if x not in ("All rights reserved.", passage))
+        assert out[i].text == want and out[i].n_chars == len(want or "")
