@@ -20,9 +20,9 @@ def insert_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     return edges.unionByName(more.join(F.broadcast(top), F.lit(True)).select((F.col("rank") + F.col("_top")).alias("rank"), "parent", "child"))
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """(node, neighbours): sorted lists; repeated edges stay repeated."""
-    return edges.groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("child")).alias("neighbours"))
+def adjacency(edges: DataFrame, *by: str) -> DataFrame:
+    """(*by, node, neighbours): sorted lists, for each graph that `by` tells apart; repeated edges stay repeated."""
+    return edges.groupBy(*by, F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("child")).alias("neighbours"))
 
 
 def has_edge(edges: DataFrame, parent: int, child: int) -> DataFrame:

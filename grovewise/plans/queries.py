@@ -118,7 +118,7 @@ _F: dict[str, Callable[[Forest], DataFrame]] = {
     "subtrees_with_mutations": lambda f: f.subtrees_with_mutations().agg(F.count("*").alias("num_subtrees")),
     "unique_subtrees": lambda f: f.unique_subtrees(),
     "dag_counts": _dag_counts,
-    "adjacency": lambda f: graph.adjacency(f.tree_edges.where("tree_id = 0")).select("node", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours")),
+    "adjacency": lambda f: graph.adjacency(f.tree_edges, "tree_id").select("tree_id", "node", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours")),
     "duplicate_edges": lambda f: graph.duplicate_edges(f.tree_edges),
     "postorder_violations": _postorder_check,
     "sample_set_inverse": lambda f: samples.inverse(samples.sample_sets(f.samples, samples.round_robin(3)), f.samples),

@@ -163,3 +163,15 @@ def test_stats_are_finite(forests):
     d = {r.metric: r.value for r in forests["paper_ex"].stats().collect()}
     assert d["num_dag_nodes"] == 11 and d["num_unique_subtrees"] == 10 and d["num_trees"] == 3 and d["num_bp_references"] == 5
     assert all(math.isfinite(v) for v in d.values())
+
+
+def test_adjacency_of_all_trees(spark):
+    from grovewise.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    want = {}
+    for r in QUERIES["tree_edges"](spark, d).collect():
+        want.setdefault((r.tree_id, r.parent), []).append(r.child)
+    got = QUERIES["adjacency"](spark, d).collect()
+    assert {(r.tree_id, r.node): r.neighbours for r in got} == {k: ",".join(map(str, sorted(x))) for k, x in want.items()}
+    assert len(got) == len(want) and len({r.tree_id for r in got}) == 4
