@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -12,14 +14,44 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Words are runs of anything but ASCII white space.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grovewise-")
+    """The shared folder that the session names, in spark.checkpoint.dir or as its checkpoint folder.
+
+    Where none is named, a local session gets a temporary one; on a cluster that is an error, as executors don't share the driver's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _local_dir(spark.sparkContext.applicationId)
+
+
+@functools.cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="grovewise-")
+
+
+def fresh(taken: DataFrame | list[str], *names: str) -> list[str]:
+    """Column names like those wanted, but unlike any that is there in any case."""
+    there = {c.lower() for c in (taken if isinstance(taken, list) else taken.columns)}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name += "_"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
+def name_of(column: str) -> str:
+    """A column's name for SQL text and for select, whatever characters it has."""
+    return "`" + column.replace("`", "``") + "`"
 
 
 _shipped: set[str] = set()
@@ -38,10 +70,36 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(app)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+@functools.cache
+def _libc() -> ctypes.CDLL | None:
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def trim() -> None:
+    """Gives a worker's free memory back, as workers live on for the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (c := _libc()) and hasattr(c, "malloc_trim"):
+        c.malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function, which gives its memory back when its rows are done."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return outer
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Arrow batches through a Python function, where no built-in expresses the work."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
@@ -51,13 +109,23 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spread over many partitions; each file costs its writer a process or more."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove shuffle files of finished steps now, rather than when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, dealt to partitions alike whenever they are read: files and local rows are, what comes out of a shuffle is stored."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df, name) if "Exchange" in plan or "Sample" in plan or "Limit" in plan else df
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing to come reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:

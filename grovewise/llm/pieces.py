@@ -1,54 +1,95 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 A text is cut into units that no piece crosses: words with the space marks before them and what follows a line feed, and these between
-any two characters that no piece has side by side, as neither a merge nor a path gets across there. Distinct units are encoded once: their substrings up to the longest piece are exploded and equi-joined to the piece table, the
-edges found are grouped by unit, and a fold over them with Spark's higher-order aggregate picks the segmentation.
+any two characters that no piece has side by side, as neither a merge nor a path gets across there. Texts are dealt to blocks of bounded
+size. Distinct units of all blocks are encoded once: their substrings up to the longest piece are exploded and equi-joined to the piece
+table, the edges found are grouped by unit, and a fold over them with Spark's higher-order aggregate picks the segmentation. Then the
+texts of a block meet the ids of the block's own units, so no task and no worker holds more than a block's share of them.
 
 The fold depends on the model. For a unigram model it is Viterbi: the best-scoring path to each position. For a BPE model the scores
-are merge priorities, whose best path is not what the model encodes; there the fold applies the best available merge, the leftmost of equals,
-until none is left. A position's boundary is a bit of a number, so an edge can be merged exactly when its ends are boundaries and one boundary is inside.
+are merge priorities, whose best path is not what the model encodes; there the fold applies the best available merge, the leftmost of
+equals, until none is left. A position's boundary is a bit of a number, so an edge can be merged exactly when its ends are boundaries and
+one boundary is inside. Units over 61 characters, whose boundaries don't fit a number, are merged in the worker over the same edges.
 
-Characters without a piece become their UTF-8 bytes. Units beyond 61 characters (which do not fit the bits) are merged by the library.
-Texts find the most frequent units (`HEAD`, a fixed bound) in a broadcast table, the others in a join.
+Characters without a piece become their UTF-8 bytes.
 
-Cases: NULL and empty texts have no pieces; runs of spaces are units with the word that follows; repeated rows and ids are
-encoded alike; the space mark itself, in a text, is a space to the model, so such texts do not come back unchanged; extra columns are ignored.
+Cases: NULL and empty texts have no pieces; runs of spaces are units with the word that follows; repeated rows and ids, also NULL ones, are
+encoded alike; a very long text is a block of its own; an empty table gives an empty result; the space mark itself, in a text, is a space
+to the model, so such texts do not come back unchanged; all other columns pass through, whatever their names, but one named like a
+new one is an error. Ties between merges go to the left, ties between paths to the edge that comes first by place.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from grovewise.llm.common import broadcast_if, mapped, release, stored
+from grovewise.llm.common import broadcast_if, mapped, one_of, ship, steady, trim
 
 MARK = "▁"
-HEAD, FLUSH, WORDS, GROUP, LONGEST, SPREAD = 300_000, 500_000, 200_000, 50_000, 61, 6
-PRIME = (1 << 31) - 1
+#: Bytes of text to a block; words cut at once; ids decoded at once; shuffle partitions of the distinct units for each partition of the input.
+BLOCK, GROUP, DECODED, SPREAD = 16 << 20, 50_000, 500_000, 6
+#: Characters of a unit whose boundaries are bits of a number.
+LONGEST = 61
 #: By how much a character without a piece scores less than the least piece.
 UNKNOWN = 10.0
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message: numbers, or bytes."""
+
+    def varint(i: int) -> tuple[int, int]:
+        x = shift = 0
+        while True:
+            x |= (raw[i] & 127) << shift
+            shift, i = shift + 7, i + 1
+            if raw[i - 1] < 128:
+                return x, i
+
+    i = 0
+    while i < len(raw):
+        key, i = varint(i)
+        kind = key & 7
+        if kind == 0:
+            value, i = varint(i)
+        else:
+            n, i = varint(i) if kind == 2 else ({1: 8, 5: 4}[kind], i)
+            value, i = raw[i : i + n], i + n
+        yield key >> 3, value
+
+
+def model_type(path: str) -> str:
+    """'unigram' or 'bpe', as the file's trainer_spec (field 2) says in model_type (field 3; unigram if not set)."""
+    with open(path, "rb") as f:
+        specs = [v for k, v in _fields(f.read()) if k == 2]
+    kind = next((v for s in specs for k, v in _fields(s) if k == 3), 1)
+    if kind not in (1, 2):
+        raise ValueError(f"model type {kind} is neither unigram nor BPE")
+    return ("unigram", "bpe")[kind - 1]
+
+
 @dataclass(frozen=True)
 class Model:
-    path: str
+    """pieces: (piece, id, score) of those that texts can have; spelled: by id, the bytes that decoding writes."""
+
     pieces: list[tuple[str, int, float]]
     first_byte: int
     bpe: bool
-    unknown: int
+    spelled: list[bytes] | None = None
 
     @staticmethod
-    def load(path: str, bpe: bool = True) -> Model:
+    def load(path: str) -> Model:
         """Reads the file and proves what the units rest on: pieces hold no space mark after another character, and
         none but byte pieces holds a line feed; the normaliser only marks spaces and puts one in front."""
         import sentencepiece
@@ -62,7 +103,9 @@ class Model:
         probe = "  Aéﬁ\n\t b  "
         if sp.decode(sp.encode(probe)) != probe or sp.encode("a", out_type=str)[0][0] != MARK:
             raise ValueError("the model's normaliser changes texts")
-        return Model(path, pieces, next(i for i in range(n) if sp.is_byte(i)), bpe, sp.unk_id())
+        first = next(i for i in range(n) if sp.is_byte(i))
+        spelled = [b"" if sp.is_control(i) else " ⁇ ".encode() if sp.is_unknown(i) else bytes([i - first]) if sp.is_byte(i) else sp.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)]
+        return Model(pieces, first, model_type(path) == "bpe", spelled)
 
     @property
     def pairs(self) -> frozenset[str]:
@@ -73,9 +116,6 @@ class Model:
     def longest(self) -> int:
         return max((len(p) for p, _, _ in self.pieces), default=1)
 
-    def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.pieces, "piece string, id int, score double")
-
 
 def bare_words(text: str | None) -> list[str]:
     """The words of a text in order, without the first mark of those that begin with one, which are all but those after a line feed."""
@@ -105,7 +145,7 @@ class Cutter:
 
     def __init__(self, pairs: frozenset[str]) -> None:
         chars = sorted({c for p in pairs for c in p})
-        self.of, self.k = np.zeros(0x110000, np.int64), len(chars) + 1
+        self.of, self.k = np.zeros(0x110000, np.int32), len(chars) + 1
         self.of[[ord(c) for c in chars]] = np.arange(1, self.k)
         self.codes = np.array(sorted(int(self.of[ord(p[0])]) * self.k + int(self.of[ord(p[1])]) for p in pairs), np.int64)
         self.table = np.zeros(self.k**2, bool) if self.k <= self.DENSE else None
@@ -127,67 +167,80 @@ class Cutter:
         first = np.cumsum(lens) - lens
         c = self.of[np.frombuffer(all_words.encode("utf-32-le", "surrogatepass"), np.uint32)]
         begins = np.ones(len(c), bool)
-        begins[1:] = ~self.has(c[:-1] * self.k + c[1:])
+        begins[1:] = ~self.has(c[:-1].astype(np.int64) * self.k + c[1:])
         begins[first] = True
         at = np.flatnonzero(begins).tolist()
         return [all_words[i:j] for i, j in zip(at, [*at[1:], len(c)])], np.add.reduceat(begins, first, dtype=np.int64)
 
 
-def unit_counts(docs: DataFrame, m: Model) -> DataFrame:
-    """(unit, n): distinct units of all texts, added up in each partition before the only shuffle.
+class _Blocks:
+    """Numbers the blocks of a partition's texts, in the order in which they are read: a block ends with the text that fills it."""
+
+    def __init__(self) -> None:
+        self.first, self.size = TaskContext.get().partitionId() << 31, 0
+
+    def of(self, texts: pa.Array) -> np.ndarray:
+        n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before = self.size + np.cumsum(n) - n
+        self.size += int(n.sum())
+        return self.first + before // BLOCK
+
+
+def units(docs: DataFrame, m: Model) -> DataFrame:
+    """(unit, blocks): distinct units of all texts and the blocks that have them.
 
     The shuffle has a fixed number of partitions, in proportion to the input's, as what follows makes each unit's
     lattice in place."""
-
     pairs = m.pairs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_words: Counter = Counter()
-        c: dict[str, int] = {}
-        cutter = Cutter(pairs)
-
-        def give(most: int) -> Iterator[pa.RecordBatch]:
-            left = iter(of_words.items())
-            while some := [*islice(left, GROUP)]:
-                us, k = cutter([whole(w) for w, _ in some])
-                for u, n in zip(us, np.repeat(np.fromiter((n for _, n in some), np.int64, len(some)), k).tolist()):
-                    c[u] = c.get(u, 0) + n
-            of_words.clear()
-            if len(c) > most:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["unit", "n"])
-                c.clear()
+        blocks, cutter, block, found = _Blocks(), Cutter(pairs), -1, set()
+
+        def give() -> Iterator[pa.RecordBatch]:
+            us: set[str] = set()
+            bare = list(found)
+            found.clear()
+            for i in range(0, len(bare), GROUP):
+                us.update(cutter([whole(w) for w in bare[i : i + GROUP]])[0])
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(us), block)), pa.array(list(us), pa.string())], names=["block", "unit"])
 
         for b in batches:
-            for t in b.column("text"):
-                of_words.update(bare_words(t.as_py()))
-                if len(of_words) > WORDS:
-                    yield from give(FLUSH)
-        yield from give(0)
+            for k, t in zip(blocks.of(b.column("text")).tolist(), b.column("text")):
+                if k != block:
+                    yield from give()
+                    block = k
+                found.update(bare_words(t.as_py()))
+        yield from give()
 
     few = docs.select("text")
-    return mapped(few, run, "unit string, n long").repartition(SPREAD * max(1, few.rdd.getNumPartitions()), "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    dealt = mapped(few, run, "block long, unit string").repartition(SPREAD * max(1, few.rdd.getNumPartitions()), "unit")
+    return dealt.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
 
 
 #: An edge as one number, so that edges sort by rank of score, then from left to right.
-_AT, _LEN = 1 << 8, 1 << 16
+_AT, _LEN = 31, 10
 
 
 def lattice(u: DataFrame, m: Model) -> DataFrame:
-    """(unit, n, edges): array<long> of the pieces of two characters or more at all places, best score first, then leftmost.
+    """`u` and edges: array<long> of the pieces of two characters or more (one, for paths) at all places, best score first, then leftmost.
 
-    Every unit keeps a row of no edge, so that units without pieces stay. Grouping needs no shuffle where `u` is dealt by unit."""
+    Every unit keeps a row of no edge, which has the other columns. Grouping needs no shuffle where `u` is dealt by unit."""
     n = F.char_length("unit")
     least = 2 if m.bpe else 1  # merges start from characters; paths need their scores
-    last = F.when(n <= LONGEST, F.greatest(n - least, F.lit(0))).otherwise(0)
-    spans = u.select("unit", "n", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    kept = F.struct(*(c for c in u.columns if c != "unit"), F.lit(0).alias("_"))
+    spans = u.select("unit", kept.alias("kept"), F.explode(F.sequence(F.lit(0), F.greatest(n - least, F.lit(0)))).alias("at"))
     lens = F.sequence(F.when(F.col("at") == 0, 1).otherwise(least), F.greatest(F.least(F.lit(m.longest), n - F.col("at")), F.lit(1)))
-    spans = spans.select("unit", "n", "at", F.explode(lens).alias("len")).withColumn("piece", F.substring("unit", F.col("at") + 1, F.col("len")))
+    spans = spans.select("unit", F.when(F.col("at") == 0, F.col("kept")).alias("kept"), "at", F.explode(lens).alias("len"))
+    spans = spans.withColumn("piece", F.substring("unit", F.col("at") + 1, F.col("len")))
     order = {s: r for r, s in enumerate(sorted({-s for _, _, s in m.pieces}))}
     table = [(p, order[-s]) for p, _, s in m.pieces if len(p) >= least]
     pieces = u.sparkSession.createDataFrame(table or [("", 0)], "piece string, rank long")
     edges = spans.join(broadcast_if(pieces, len(table), 1_000_000), "piece", "left").where("rank IS NOT NULL OR len = 1")
-    one = F.when(F.col("rank").isNotNull(), (F.col("rank") * _AT + F.col("at")) * _LEN + F.col("len"))
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(one)).alias("edges"))
+    one = F.when(F.col("rank").isNotNull(), F.shiftleft((F.shiftleft("rank", _AT) + F.col("at")), _LEN) + F.col("len"))
+    first = F.when((F.col("at") == 0) & (F.col("len") == 1), F.col("kept"))
+    grouped = edges.groupBy("unit").agg(F.element_at(F.collect_list(first), 1).alias("kept"), F.sort_array(F.collect_list(one)).alias("edges"))
+    return grouped.select("unit", *(F.col(f"kept.{c}").alias(c) for c in u.columns if c != "unit"), "edges")
 
 
 def _bit(x: Column) -> Column:
@@ -195,8 +248,8 @@ def _bit(x: Column) -> Column:
 
 
 def _ends(e: Column) -> tuple[Column, Column]:
-    at = F.shiftright(e, 16).bitwiseAND(F.lit(_AT - 1)).cast("int")
-    return at, at + e.bitwiseAND(F.lit(_LEN - 1)).cast("int")
+    at = F.shiftright(e, _LEN).bitwiseAND(F.lit((1 << _AT) - 1)).cast("int")
+    return at, at + e.bitwiseAND(F.lit((1 << _LEN) - 1)).cast("int")
 
 
 def edge_masks(edges: Column) -> Column:
@@ -232,224 +285,216 @@ def bpe_fold(masks: Column, n: Column) -> Column:
     return F.when((F.size(masks) > 0) & (n <= LONGEST), F.aggregate(masks, whole, once, result)).otherwise(whole)
 
 
+def merged(edges: list[int], n: int) -> list[int]:
+    """The boundaries after all merges of a unit of any length: the first edge that can be merged, again and again.
+
+    Edges are met in order. One whose inside has more than one boundary waits; when a boundary falls, the waiting ones around it that can
+    then be merged come before all edges that follow."""
+    there, ready = bytearray(b"\1") * (n + 1), []
+    waiting: dict[int, set[int]] = {}
+    at_of = lambda e: (e >> _LEN) & ((1 << _AT) - 1)
+    left = iter(edges)
+    e = next(left, None)
+    while e is not None or ready:
+        if ready and (e is None or ready[0] < e):
+            now = heapq.heappop(ready)
+        else:
+            now, e = e, next(left, None)
+        at = at_of(now)
+        end = at + (now & ((1 << _LEN) - 1))
+        if not (there[at] and there[end]):
+            continue
+        inside = there.count(1, at + 1, end)
+        if inside > 1:
+            for p in range(at + 1, end):
+                waiting.setdefault(p, set()).add(now)
+        elif inside == 1:
+            p = there.index(1, at + 1, end)
+            there[p] = 0
+            for w in waiting.pop(p, ()):
+                a = at_of(w)
+                if there.count(1, a + 1, a + (w & ((1 << _LEN) - 1))) == 1:
+                    heapq.heappush(ready, w)
+    return [i for i in range(n + 1) if there[i]]
+
+
 def viterbi_fold(edges: Column, scores: Column, single: float, n: Column) -> Column:
-    """The boundary bits of the best-scoring path over edges, with single characters at a penalty where no piece is."""
-    one = lambda e: F.struct(_ends(e)[1].alias("end"), _ends(e)[0].alias("at"), F.get(scores, F.floor(e / (_LEN * _AT)).cast("int")).alias("score"))
+    """array<int>: for each position, where the best-scoring path to it comes from; single characters at a penalty where no piece is."""
+    one = lambda e: F.struct(_ends(e)[1].alias("end"), _ends(e)[0].alias("at"), F.get(scores, F.shiftright(e, _AT + _LEN).cast("int")).alias("score"))
     gaps = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i + 1).alias("end"), i.alias("at"), F.lit(float(single)).alias("score")))
     ordered = F.array_sort(F.concat(F.transform(edges, one), gaps))
-    none = F.struct(F.lit(-1e300).alias("score"), F.lit(0).cast("long").alias("bits"))
-    start = F.concat(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("bits"))), F.array_repeat(none, n))
+    none = F.struct(F.lit(-1e300).alias("score"), F.lit(0).alias("came"))
+    start = F.concat(F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("came"))), F.array_repeat(none, n))
 
     def step(best: Column, e: Column) -> Column:
-        came = F.get(best, e["at"])
-        new = F.struct((came["score"] + e["score"]).alias("score"), came["bits"].bitwiseOR(_bit(e["end"])).alias("bits"))
+        new = F.struct((F.get(best, e["at"])["score"] + e["score"]).alias("score"), e["at"].alias("came"))
         return F.transform(best, lambda old, i: F.when((i == e["end"]) & (new["score"] > old["score"]), new).otherwise(old))
 
-    return F.when(n <= LONGEST, F.aggregate(ordered, start, step, lambda best: F.get(best, n)["bits"]))
-
-
-def dictionary(docs: DataFrame, m: Model) -> DataFrame:
-    """(unit, n, ids, decoded): every distinct unit of the texts, encoded by the fold and decoded from its ids."""
-    out = stored(segmented(unit_counts(docs, m), m), "dictionary")
-    release(docs.sparkSession)
-    return out
+    return F.aggregate(ordered, start, step, lambda best: F.transform(best, lambda x: x["came"]))
 
 
 def segmented(u: DataFrame, m: Model) -> DataFrame:
-    """(unit, n, ids, decoded) of distinct units (unit, n)."""
+    """`u` and ids, for distinct units in column unit."""
     n = F.char_length("unit")
     x = lattice(u, m)
     if m.bpe:
-        x = x.withColumn("_masks", edge_masks(F.col("edges"))).withColumn("bits", bpe_fold(F.col("_masks"), n))
+        x = x.withColumn("_masks", edge_masks(F.when(n <= LONGEST, F.col("edges")))).withColumn("_bits", bpe_fold(F.col("_masks"), n))
+        x = x.withColumn("_path", F.when(n > LONGEST, F.col("edges")))
     else:
         by_rank = F.array(*(F.lit(-s) for s in sorted({-s for _, _, s in m.pieces})))
-        x = x.withColumn("_scores", by_rank).withColumn("bits", viterbi_fold(F.col("edges"), F.col("_scores"), min((s for _, _, s in m.pieces), default=0.0) - UNKNOWN, n))
-    return _numbered(x.select("unit", "n", F.when(n <= LONGEST, F.col("bits")).alias("bits")), m)
+        x = x.withColumn("_scores", by_rank).withColumn("_bits", F.lit(None).cast("long"))
+        least = min((s for _, _, s in m.pieces), default=0.0)
+        x = x.withColumn("_path", viterbi_fold(F.col("edges"), F.col("_scores"), least - UNKNOWN, n).cast("array<long>"))
+    return _numbered(x.select(*u.columns, "_bits", "_path"), m)
 
 
 def _numbered(x: DataFrame, m: Model) -> DataFrame:
-    """Boundary bits to ids by the piece table, and ids back to text; units without bits go to the library."""
-    table, first, path = {p: i for p, i, _ in m.pieces}, m.first_byte, m.path
+    """Segmentations to ids by the piece table: boundary bits, or a path (where each position comes from), or edges to be merged."""
+    table, first, bpe = {p: i for p, i, _ in m.pieces}, m.first_byte, m.bpe
     shared = x.sparkSession.sparkContext.broadcast(table)  # bounded by the model
+    keep = x.columns[:-2]
+
+    def cuts(n: int, bits: int | None, path: list[int] | None) -> list[int]:
+        if path is None:
+            return [i for i in range(n + 1) if bits >> i & 1]
+        if bpe:
+            return merged(path, n)
+        out = [n]
+        while out[-1]:
+            out.append(path[out[-1]])
+        return out[::-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sp = shared.value, None
-        text_of = {i: p.encode() for p, i in ids_of.items()} | {first + k: bytes([k]) for k in range(256)}
+        ids_of = shared.value
         for b in batches:
-            ids, back = [], []
-            for unit, bits in zip(b.column("unit").to_pylist(), b.column("bits").to_pylist()):
-                if bits is None:
-                    if sp is None:
-                        import sentencepiece
-
-                        sp = sentencepiece.SentencePieceProcessor(model_file=path)
-                    out = sp.encode(unit[1:]) if unit[0] == MARK else sp.encode("\n" + unit)[2:]  # without what the mark in front and the line feed give
-                else:
-                    cuts = [i for i in range(len(unit) + 1) if bits >> i & 1]
-                    out = []
-                    for i, j in zip(cuts, cuts[1:]):
-                        k = ids_of.get(unit[i:j])
-                        out += [k] if k is not None else [first + c for c in unit[i:j].encode("utf-8", "surrogatepass")]
+            ids = []
+            for unit, bits, path in zip(*(b.column(c).to_pylist() for c in ("unit", "_bits", "_path"))):
+                at = cuts(len(unit), bits, path)
+                out = []
+                for i, j in zip(at, at[1:]):
+                    k = ids_of.get(unit[i:j])
+                    out += [k] if k is not None else [first + c for c in unit[i:j].encode("utf-8", "surrogatepass")]
                 ids.append(out)
-                back.append(b"".join(map(text_of.__getitem__, out)).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("n"), pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=["unit", "n", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
 
-    return mapped(x, run, "unit string, n long, ids array<int>, decoded string")
+    return mapped(x, run, StructType([x.schema[c] for c in keep] + [StructField("ids", ArrayType(IntegerType()))]))
 
 
-def text_of(units: Column) -> Column:
-    """Units in order to their text: marks are spaces, the one in front goes."""
-    return F.substring(F.translate(F.array_join(units, ""), MARK, " "), F.lit(2), F.lit(1 << 30))
+def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after another."""
+    before = np.cumsum(lens) - lens
+    return np.repeat(starts - before, lens) + np.arange(int(lens.sum()))
 
 
-def _digest(ids: Column) -> Column:
-    return F.pmod(F.xxhash64(ids), F.lit(PRIME))
+def _lists(a: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a list column without NULLs."""
+    a = a.combine_chunks() if isinstance(a, pa.ChunkedArray) else a
+    if isinstance(a, pa.ChunkedArray):  # no chunk at all
+        return np.zeros(1, np.int64), np.zeros(0, np.int32)
+    at = a.offsets.to_numpy().astype(np.int64)
+    return at - at[0], a.values.to_numpy()[at[0] : at[-1]]
 
 
-def _head(df: DataFrame) -> tuple[list[str], list[bytes]]:
-    """The rows' units, and their numbers as four int64 columns; at most HEAD rows."""
-    t = df.toArrow()
-    return t.column("unit").to_pylist(), [t.column(c).cast(pa.int64()).to_numpy().tobytes() for c in ("k", "b", "h", "ok")]
+class _Places(dict):
+    """Numbers strings in the order in which they come."""
 
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        return i
 
-class _Words(dict):
-    """Sums over the units of each bare word, kept in rows of numbers; the later half is forgotten when there are many.
-
-    A row: units, pieces, byte pieces, sum of hashes, sum of (place + 1) * hash, units that were not decoded to themselves, units that
-    are not known here. Both sums are modulo PRIME and over known units. `facts` has a column of k, b, h and ok for each known unit."""
-
-    MOST = 250_000
 
-    def __init__(self, names: list[str], facts: np.ndarray, pairs: frozenset[str]) -> None:
-        self.known, self.cut = {u: i for i, u in enumerate(names)}, Cutter(pairs)
-        self.facts = np.append(facts, [[0], [0], [0], [1]], 1)  # the last column, -1, is that of units that are not known
-        self.rows = np.zeros((0, 7), np.int64)
-        self.names: list[str] = []
+def ids_of(texts: pa.ChunkedArray, names: list[str], at: np.ndarray, values: np.ndarray, cutter: Cutter) -> pa.Array:
+    """The ids of texts, whose units are all among the names; values[at[i] : at[i + 1]] are the ids of names[i]."""
+    places = _Places()
+    rows = [np.fromiter(map(places.__getitem__, w), np.int32, len(w)) for w in map(bare_words, texts.to_pylist())]
+    known = dict(zip(names, range(len(names))))
+    bare, ids, lens = list(places), [], []
+    del places
+    for i in range(0, len(bare), GROUP):
+        us, k = cutter([whole(w) for w in bare[i : i + GROUP]])
+        x = np.fromiter(map(known.__getitem__, us), np.int64, len(us))
+        size = at[x + 1] - at[x]
+        ids.append(values[_ragged(at[x], size)])
+        lens.append(np.add.reduceat(size, np.cumsum(k) - k))
+    del known, bare
+    ids, lens = np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate(lens or [np.zeros(0, np.int64)])
+    first = np.cumsum(lens) - lens
+    parts = [ids[_ragged(first[r], lens[r])] for r in rows]
+    ends = np.cumsum([0] + [len(p) for p in parts])
+    if ends[-1] >= 1 << 31:
+        raise ValueError("a text has more pieces than a list can hold")
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)]), pa.int32()))
 
-    def __missing__(self, word: str) -> int:
-        i = self[word] = len(self.names)
-        self.names.append(word)
-        return i
 
-    def find(self, words: list[str]) -> np.ndarray:
-        """The words' rows; those of new words follow when they are settled."""
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-
-    def settle(self) -> None:
-        n_rows = len(self.rows)
-        us, n = self.cut([whole(w) for w in self.names[n_rows:]])
-        if not us:
-            return
-        x = np.fromiter(map(self.known.get, us, repeat(-1)), np.int64, len(us))
-        k, b, h, ok = self.facts[:, x]
-        first = np.cumsum(n) - n
-        place = np.arange(1, len(us) + 1) - np.repeat(first, n)
-        new = np.stack([n, *(np.add.reduceat(c, first, dtype=np.int64) for c in (k, b, h, place * h % PRIME, 1 - ok, x < 0))], 1)
-        new[:, 3:5] %= PRIME
-        self.rows = np.concatenate([self.rows, new])
-
-    def forget(self) -> None:
-        """Keeps the earlier half, which has the frequent words, where there are many."""
-        if len(self.names) > self.MOST:
-            for w in self.names[self.MOST // 2 :]:
-                del self[w]
-            del self.names[self.MOST // 2 :]
-            self.rows = self.rows[: self.MOST // 2].copy()
-
-    def sums(self, texts: list[np.ndarray]) -> tuple[np.ndarray, list[list[dict]]]:
-        """For each text, given as its words' rows: the row of sums over all its words, and its units that are not known here with how
-        often they occur and the sum of their places, counted from 1."""
-        self.settle()
-        lens = np.array([len(a) for a in texts], np.int64)
-        end = np.cumsum(lens)
-        at = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-        f = self.rows[at]
-        before = np.append(0, np.cumsum(f[:, 0]))
-        start = before[:-1] - np.repeat(before[end - lens], lens)
-        f[:, 4] = (start % PRIME * f[:, 3] + f[:, 4]) % PRIME
-        to = np.concatenate([np.zeros((1, 7), np.int64), np.cumsum(f, 0)])
-        total = to[end] - to[end - lens]
-        total[:, 3:5] %= PRIME
-        i = np.flatnonzero(f[:, 6])
-        us, n = self.cut([whole(self.names[j]) for j in at[i].tolist()])
-        text = np.repeat(np.searchsorted(end, i, "right"), n).tolist()
-        place = (np.repeat(start[i] - (np.cumsum(n) - n), n) + np.arange(1, len(us) + 1)).tolist()
-        rare: list[dict[str, list[int]]] = [{} for _ in texts]
-        for t, u, p in zip(text, us, place):
-            if u not in self.known:
-                x = rare[t].setdefault(u, [0, 0])
-                x[0] += 1
-                x[1] += p
-        return total, [[{"unit": u, "times": n, "places": p} for u, (n, p) in r.items()] for r in rare]
-
-
-def encoded(docs: DataFrame, m: Model) -> DataFrame:
-    """(doc_id, n_units, n_pieces, n_bytes, ids_digest, lossless) for every row of (doc_id, text).
-
-    ids_digest is the sum over units of (place + 1) * hash of the unit's ids, modulo 2^31 - 1: it depends on all ids and their order.
-    lossless: every unit was decoded to itself."""
-    d, pairs = dictionary(docs, m), m.pairs
-    facts = [F.size("ids").cast("long").alias("k"), F.size(F.filter("ids", lambda i: (i >= m.first_byte) & (i < m.first_byte + 256))).cast("long").alias("b"), _digest(F.col("ids")).alias("h"), (F.col("decoded") == F.col("unit")).alias("ok")]
-    shared = docs.sparkSession.sparkContext.broadcast(_head(d.orderBy(F.desc("n"), "unit").limit(HEAD).select("unit", *facts)))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, numbers = shared.value
-        seen = _Words(names, np.array([np.frombuffer(x, np.int64) for x in numbers]), pairs)
-        row = TaskContext.get().partitionId() << 33
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.struct([("unit", pa.string()), ("times", pa.int64()), ("places", pa.int64())])))
+def encode(docs: DataFrame, m: Model) -> DataFrame:
+    """`docs` with ids (array<int>), the pieces of its column text in order.
+
+    Its texts are read twice, and have to be the same both times; a text whose units were not seen fails the job."""
+    one_of(docs, "text")
+    if any(c.lower() == "ids" for c in docs.columns):
+        raise ValueError("the input already has a column ids")
+    ship(docs.sparkSession)
+    schema, place = docs.schema, docs.columns.index("text")
+    plain = docs.toDF(*(f"c{i}" if i != place else "text" for i in range(len(docs.columns))))
+    plain, pairs = steady(plain, "texts"), m.pairs
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks()
         for b in batches:
-            group: list[np.ndarray] = []
-            size = 0
-            for i, t in enumerate(b.column("text"), 1):
-                group.append(seen.find(bare_words(t.as_py())))
-                size += len(group[-1])
-                if size > GROUP or i == b.num_rows:
-                    cols: list[list] = [[] for _ in kinds]
-                    for total, rare in zip(*seen.sums(group)):
-                        n, k, n_bytes, _, h, bad, _ = total.tolist()
-                        for c, x in zip(cols, (row, n, k, n_bytes, h, bad == 0, rare)):
-                            c.append(x)
-                        row += 1
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i - len(group), len(group))] + [pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "row", "n_units", "k", "b", "h", "ok", "rare"])
-                    group, size = [], 0
-                    seen.forget()
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    x = stored(mapped(docs.select("doc_id", "text"), rows, f"doc_id {kind}, row long, n_units long, k long, b long, h long, ok boolean, rare array<struct<unit:string,times:bigint,places:bigint>>"), "head-pieces")
-    r = x.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(d.select("unit", *facts), "unit")
-    # pieces and byte pieces share a number, to keep the shuffle small
-    both = F.col("times") * (F.col("k") + F.col("b") * (1 << 32))
-    s = r.groupBy("row").agg(F.sum(both).alias("s"), F.sum(F.pmod(F.pmod("places", F.lit(PRIME)) * F.col("h"), F.lit(PRIME))).alias("h2"), F.every("ok").alias("ok2"))
-    s = s.select("row", (F.col("s") % (1 << 32)).alias("k2"), F.shiftright("s", 32).alias("b2"), "ok2", "h2")
-    y = x.drop("rare").join(s, "row", "left")
-    zero, yes = F.lit(0).cast("long"), F.lit(True)
-    return y.select("doc_id", "n_units", (F.col("k") + F.coalesce("k2", zero)).alias("n_pieces"), (F.col("b") + F.coalesce("b2", zero)).alias("n_bytes"), F.pmod(F.col("h") + F.coalesce("h2", zero), F.lit(PRIME)).alias("ids_digest"), (F.col("ok") & F.coalesce("ok2", yes)).alias("lossless"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks.of(b.column("text")))], names=[*b.schema.names, "block"])
+
+    def join(texts: pa.Table, found: pa.Table) -> pa.Table:
+        ids = ids_of(texts.column("text"), found.column("unit").to_pylist(), *_lists(found.column("ids")), Cutter(pairs))
+        trim()
+        return texts.drop_columns(["block"]).append_column("ids", ids)
+
+    dealt = mapped(plain, number, StructType([*plain.schema.fields, StructField("block", LongType())]))
+    each = segmented(units(plain, m), m).select(F.explode("blocks").alias("block"), "unit", "ids")
+    out = StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))])
+    both = dealt.groupBy("block").cogroup(each.groupBy("block")).applyInArrow(join, out)
+    return both.toDF(*schema.names, "ids")
+
+
+class Speller:
+    """Ids back to text, in bulk."""
+
+    def __init__(self, m: Model) -> None:
+        lens = np.array([len(x) for x in m.spelled], np.int64)
+        self.lens, self.starts, self.all = lens, np.cumsum(lens) - lens, np.frombuffer(b"".join(m.spelled), np.uint8)
+        self.marked = np.zeros(len(lens), bool)
+        self.marked[[i for p, i, _ in m.pieces if p[0] == MARK]] = True
+
+    def __call__(self, ids: pa.Array) -> pa.Array:
+        at, values = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
+        size = np.append(0, np.cumsum(self.lens[values]))[at]
+        raw = [self.all[_ragged(self.starts[v], self.lens[v])] for v in np.array_split(values, max(1, -(-len(values) // DECODED)))]
+        raw = np.concatenate(raw).tobytes()
+        first = values[np.minimum(at[:-1], max(0, len(values) - 1))] if len(values) else np.zeros(len(at) - 1, np.int64)
+        skip = (np.diff(at) > 0) & self.marked[first]  # the mark in front
+        texts = [raw[i:j] for i, j in zip((size[:-1] + skip).tolist(), size[1:].tolist())]
+        try:
+            return pa.array(texts, pa.binary()).cast(pa.string())
+        except pa.ArrowInvalid:  # byte pieces that are no UTF-8
+            return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
 
 
-def encode(docs: DataFrame, m: Model) -> DataFrame:
-    """(doc_id, ids): full encodings, units brought together in order. Rows of an id that repeats are told apart by their text."""
-    d, pairs = dictionary(docs, m), m.pairs
+def decode(encodings: DataFrame, m: Model) -> DataFrame:
+    """`encodings` with decoded, the text that its column ids spells."""
+    one_of(encodings, "ids")
+    if any(c.lower() == "decoded" for c in encodings.columns):
+        raise ValueError("the input already has a column decoded")
+    names, place = encodings.columns, encodings.columns.index("ids")
+    plain = encodings.toDF(*(f"c{i}" if i != place else "ids" for i in range(len(names))))
+    shared = encodings.sparkSession.sparkContext.broadcast(m)  # as large as the model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, cutter = TaskContext.get().partitionId() << 33, Cutter(pairs)
+        spell = Speller(shared.value)
         for b in batches:
-            us, n = [], []
-            for t in b.column("text"):
-                us.append(cutter(words(t.as_py()))[0])
-                n.append(row)
-                row += 1
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(us, pa.list_(pa.string()))], names=["doc_id", "row", "units"])
+            yield pa.RecordBatch.from_arrays([*b.columns, spell(b.column("ids"))], names=[*b.schema.names, "decoded"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    x = stored(mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, row long, units array<string>"), "unit-lists")
-    e = x.select("row", F.posexplode("units").alias("i", "unit")).join(d.select("unit", "ids"), "unit")
-    s = e.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("i", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return x.select("doc_id", "row").join(s, "row", "left").select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    return mapped(plain, run, StructType([*plain.schema.fields, StructField("decoded", StringType())])).toDF(*names, "decoded")
 
 
-def decode(encodings: DataFrame, m: Model) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): an equi-join of ids with the pieces' bytes, joined in order."""
-    table = m.table(encodings.sparkSession).select("id", F.to_binary("piece", F.lit("utf-8")).alias("b")).unionByName(encodings.sparkSession.range(256).select((F.col("id") + m.first_byte).cast("int").alias("id"), F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("b")))
-    p = encodings.select("doc_id", F.posexplode("ids").alias("i", "id")).join(F.broadcast(table), "id")  # as many rows as the model has pieces
-    text = F.decode(F.unhex(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: F.hex(x["b"])), "")), "utf-8")
-    return encodings.select("doc_id").join(p.groupBy("doc_id").agg(text.alias("t")), "doc_id", "left").select("doc_id", F.coalesce(F.substring(F.translate("t", MARK, " "), F.lit(2), F.lit(1 << 30)), F.lit("")).alias("text"))
+def lossless(text: Column, decoded: Column) -> Column:
+    """Whether a text came back: NULL as the empty text, and space marks in the text as spaces."""
+    return F.coalesce(F.translate(text, MARK, " "), F.lit("")) == decoded
