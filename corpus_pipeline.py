@@ -41,10 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, each document's ids, their number, and whether they decode to the text."""
-    m = pieces.Model.load(tokenizer_path("piece_bpe_32k.model"))
-    x = pieces.decode(pieces.encode(docs, m), m)
-    back = pieces.lossless(F.col("text"), F.col("decoded"))
-    return x.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), back.alias("lossless"))
+    x = pieces.encode(docs, pieces.Model.load(tokenizer_path("piece_bpe_32k.model")), check=True)
+    return x.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("SentencePiece encoding and decoding", encoding)]

@@ -29,16 +29,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from grovewise.llm.common import broadcast_if, mapped, one_of, ship, steady, trim
 
 MARK = "▁"
 #: Bytes of text to a block; words cut at once; ids decoded at once; shuffle partitions of the distinct units for each partition of the input.
 BLOCK, GROUP, DECODED, SPREAD = 16 << 20, 50_000, 500_000, 6
+#: Most rows that are sent as one.
+PACK = 1000
 #: Characters of a unit whose boundaries are bits of a number.
 LONGEST = 61
 #: By how much a character without a piece scores less than the least piece.
@@ -173,21 +176,33 @@ class Cutter:
         return [all_words[i:j] for i, j in zip(at, [*at[1:], len(c)])], np.add.reduceat(begins, first, dtype=np.int64)
 
 
+#: A unit's place among the sorted units of its block, and a block's number in its partition, as bits of a number.
+_PLACE, _BLOCK = 26, 12
+
+
 class _Blocks:
     """Numbers the blocks of a partition's texts, in the order in which they are read: a block ends with the text that fills it."""
 
     def __init__(self) -> None:
-        self.first, self.size = TaskContext.get().partitionId() << 31, 0
+        self.first, self.size = TaskContext.get().partitionId() << _BLOCK, 0
 
     def of(self, texts: pa.Array) -> np.ndarray:
         n = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         before = self.size + np.cumsum(n) - n
         self.size += int(n.sum())
-        return self.first + before // BLOCK
+        return self.first + np.minimum(before // BLOCK, (1 << _BLOCK) - 1)
+
+
+def sorted_units(bare: list[str], cutter: Cutter) -> list[str]:
+    """The distinct units of words, in order."""
+    us: set[str] = set()
+    for i in range(0, len(bare), GROUP):
+        us.update(cutter([whole(w) for w in bare[i : i + GROUP]])[0])
+    return sorted(us)
 
 
 def units(docs: DataFrame, m: Model) -> DataFrame:
-    """(unit, blocks): distinct units of all texts and the blocks that have them.
+    """(unit, places): distinct units of all texts, and (block, place in the block) of each as numbers.
 
     The shuffle has a fixed number of partitions, in proportion to the input's, as what follows makes each unit's
     lattice in place."""
@@ -197,13 +212,12 @@ def units(docs: DataFrame, m: Model) -> DataFrame:
         blocks, cutter, block, found = _Blocks(), Cutter(pairs), -1, set()
 
         def give() -> Iterator[pa.RecordBatch]:
-            us: set[str] = set()
-            bare = list(found)
+            us = sorted_units(list(found), cutter)
             found.clear()
-            for i in range(0, len(bare), GROUP):
-                us.update(cutter([whole(w) for w in bare[i : i + GROUP]])[0])
+            if len(us) >= 1 << _PLACE:
+                raise ValueError("a text has too many distinct units")
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(us), block)), pa.array(list(us), pa.string())], names=["block", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array((block << _PLACE) + np.arange(len(us)))], names=["unit", "place"])
 
         for b in batches:
             for k, t in zip(blocks.of(b.column("text")).tolist(), b.column("text")):
@@ -214,8 +228,26 @@ def units(docs: DataFrame, m: Model) -> DataFrame:
         yield from give()
 
     few = docs.select("text")
-    dealt = mapped(few, run, "block long, unit string").repartition(SPREAD * max(1, few.rdd.getNumPartitions()), "unit")
-    return dealt.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    dealt = mapped(few, run, "unit string, place long").repartition(SPREAD * max(1, few.rdd.getNumPartitions()), "unit")
+    return dealt.groupBy("unit").agg(F.collect_list("place").alias("places"))
+
+
+def packs(docs: DataFrame) -> DataFrame:
+    """(block, rows): the rows of each block as compressed Arrow streams, which are a third of the texts to sort and send."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, how = _Blocks(), pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))
+        for b in batches:
+            of = blocks.of(b.column("text"))
+            at = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            cuts = np.union1d(at, np.arange(0, b.num_rows, PACK)).tolist()
+            for i, j in zip(cuts, [*cuts[1:], b.num_rows]):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema, options=how) as out:
+                    out.write_batch(b.slice(i, j - i))
+                yield pa.RecordBatch.from_arrays([pa.array([int(of[i])]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
+
+    return mapped(docs, run, "block long, rows binary")
 
 
 #: An edge as one number, so that edges sort by rank of score, then from left to right.
@@ -333,8 +365,8 @@ def viterbi_fold(edges: Column, scores: Column, single: float, n: Column) -> Col
     return F.aggregate(ordered, start, step, lambda best: F.transform(best, lambda x: x["came"]))
 
 
-def segmented(u: DataFrame, m: Model) -> DataFrame:
-    """`u` and ids, for distinct units in column unit."""
+def folded(u: DataFrame, m: Model) -> DataFrame:
+    """`u` and its segmentations: _bits, the boundary bits; or _path, where each position comes from, or edges to be merged."""
     n = F.char_length("unit")
     x = lattice(u, m)
     if m.bpe:
@@ -345,39 +377,84 @@ def segmented(u: DataFrame, m: Model) -> DataFrame:
         x = x.withColumn("_scores", by_rank).withColumn("_bits", F.lit(None).cast("long"))
         least = min((s for _, _, s in m.pieces), default=0.0)
         x = x.withColumn("_path", viterbi_fold(F.col("edges"), F.col("_scores"), least - UNKNOWN, n).cast("array<long>"))
-    return _numbered(x.select(*u.columns, "_bits", "_path"), m)
+    return x.select(*u.columns, "_bits", "_path")
+
+
+def _cuts(n: int, bits: int | None, path: list[int] | None, bpe: bool) -> list[int]:
+    if path is None:
+        return [i for i in range(n + 1) if bits >> i & 1]
+    if bpe:
+        return merged(path, n)
+    out = [n]
+    while out[-1]:
+        out.append(path[out[-1]])
+    return out[::-1]
+
+
+def numbered(b: pa.RecordBatch, table: dict[str, int], first: int, bpe: bool) -> list[list[int]]:
+    """Ids of a batch of folded units, by the piece table; characters without a piece become bytes."""
+    out = []
+    for unit, bits, path in zip(*(b.column(c).to_pylist() for c in ("unit", "_bits", "_path"))):
+        at = _cuts(len(unit), bits, path, bpe)
+        ids: list[int] = []
+        for i, j in zip(at, at[1:]):
+            k = table.get(unit[i:j])
+            ids += [k] if k is not None else [first + c for c in unit[i:j].encode("utf-8", "surrogatepass")]
+        out.append(ids)
+    return out
+
 
+def segmented(u: DataFrame, m: Model) -> DataFrame:
+    """`u` and ids, for distinct units in column unit."""
+    x = folded(u, m)
+    shared = u.sparkSession.sparkContext.broadcast({p: i for p, i, _ in m.pieces})  # bounded by the model
+    keep, first, bpe = u.columns, m.first_byte, m.bpe
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = pa.array(numbered(b, shared.value, first, bpe), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), ids], names=[*keep, "ids"])
 
-def _numbered(x: DataFrame, m: Model) -> DataFrame:
-    """Segmentations to ids by the piece table: boundary bits, or a path (where each position comes from), or edges to be merged."""
-    table, first, bpe = {p: i for p, i, _ in m.pieces}, m.first_byte, m.bpe
-    shared = x.sparkSession.sparkContext.broadcast(table)  # bounded by the model
-    keep = x.columns[:-2]
+    return mapped(x, run, StructType([*u.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
-    def cuts(n: int, bits: int | None, path: list[int] | None) -> list[int]:
-        if path is None:
-            return [i for i in range(n + 1) if bits >> i & 1]
-        if bpe:
-            return merged(path, n)
-        out = [n]
-        while out[-1]:
-            out.append(path[out[-1]])
-        return out[::-1]
+
+def answers(u: DataFrame, m: Model) -> DataFrame:
+    """(block, ids): for each block, the ids of some of its units, packed; from (unit, places)."""
+    x = folded(u, m)
+    shared = u.sparkSession.sparkContext.broadcast({p: i for p, i, _ in m.pieces})  # bounded by the model
+    first, bpe = m.first_byte, m.bpe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = shared.value
         for b in batches:
-            ids = []
-            for unit, bits, path in zip(*(b.column(c).to_pylist() for c in ("unit", "_bits", "_path"))):
-                at = cuts(len(unit), bits, path)
-                out = []
-                for i, j in zip(at, at[1:]):
-                    k = ids_of.get(unit[i:j])
-                    out += [k] if k is not None else [first + c for c in unit[i:j].encode("utf-8", "surrogatepass")]
-                ids.append(out)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32()))], names=[*keep, "ids"])
+            ids = numbered(b, shared.value, first, bpe)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            start, flat = np.cumsum(size) - size, np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+            at, places = _lists(b.column("places"))
+            order = np.argsort(places)  # by block, then by place
+            unit = np.repeat(np.arange(len(ids)), np.diff(at))[order]
+            blocks, places = places[order] >> _PLACE, (places[order] & ((1 << _PLACE) - 1)).astype(np.uint32)
+            cuts = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1])) if len(blocks) else []
+            packed = []
+            for i, j in zip(cuts, [*cuts[1:], len(blocks)]):
+                k = unit[i:j]
+                packed.append(pack(places[i:j], size[k], flat[_ragged(start[k], size[k])]))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks[cuts], pa.int64()), pa.array(packed, pa.binary())], names=["block", "ids"])
+
+    return mapped(x, run, "block long, ids binary")
+
+
+def pack(places: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bytes:
+    """Ascending places, the number of ids of each, and all ids, as compressed bytes."""
+    head = np.array([len(places), len(ids)], np.uint32)
+    steps = np.diff(places, prepend=np.uint32(0)).astype(np.uint32)
+    raw = b"".join(x.tobytes() for x in (head, steps, sizes.astype(np.uint32), ids.astype(np.uint32)))
+    return zstandard.compress(raw, 3)
 
-    return mapped(x, run, StructType([x.schema[c] for c in keep] + [StructField("ids", ArrayType(IntegerType()))]))
+
+def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(packed), np.uint32)
+    n = int(raw[0])
+    return np.cumsum(raw[2 : 2 + n], dtype=np.int64), raw[2 + n : 2 + 2 * n].astype(np.int64), raw[2 + 2 * n :].astype(np.int32)
 
 
 def _ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -403,13 +480,17 @@ class _Places(dict):
         return i
 
 
-def ids_of(texts: pa.ChunkedArray, names: list[str], at: np.ndarray, values: np.ndarray, cutter: Cutter) -> pa.Array:
-    """The ids of texts, whose units are all among the names; values[at[i] : at[i + 1]] are the ids of names[i]."""
+def ids_of(texts: pa.ChunkedArray, at: np.ndarray, values: np.ndarray, cutter: Cutter) -> pa.Array:
+    """The ids of a block's texts; values[at[i] : at[i + 1]] are the ids of its i-th unit."""
     places = _Places()
-    rows = [np.fromiter(map(places.__getitem__, w), np.int32, len(w)) for w in map(bare_words, texts.to_pylist())]
-    known = dict(zip(names, range(len(names))))
+    rows = [np.fromiter(map(places.__getitem__, w), np.int32, len(w)) for w in (bare_words(t.as_py()) for t in texts)]
     bare, ids, lens = list(places), [], []
     del places
+    us = sorted_units(bare, cutter)
+    if len(us) != len(at) - 1:
+        raise ValueError("the texts are not those whose units were taken")
+    known = dict(zip(us, range(len(us))))
+    del us
     for i in range(0, len(bare), GROUP):
         us, k = cutter([whole(w) for w in bare[i : i + GROUP]])
         x = np.fromiter(map(known.__getitem__, us), np.int64, len(us))
@@ -419,40 +500,53 @@ def ids_of(texts: pa.ChunkedArray, names: list[str], at: np.ndarray, values: np.
     del known, bare
     ids, lens = np.concatenate(ids or [np.zeros(0, np.int32)]), np.concatenate(lens or [np.zeros(0, np.int64)])
     first = np.cumsum(lens) - lens
-    parts = [ids[_ragged(first[r], lens[r])] for r in rows]
-    ends = np.cumsum([0] + [len(p) for p in parts])
+    ends = np.cumsum([0] + [int(lens[r].sum()) for r in rows])
     if ends[-1] >= 1 << 31:
         raise ValueError("a text has more pieces than a list can hold")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts or [np.zeros(0, np.int32)]), pa.int32()))
+    out = np.empty(ends[-1], np.int32)
+    for r, i, j in zip(rows, ends[:-1], ends[1:]):
+        out[i:j] = ids[_ragged(first[r], lens[r])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
 
 
-def encode(docs: DataFrame, m: Model) -> DataFrame:
-    """`docs` with ids (array<int>), the pieces of its column text in order.
+def encode(docs: DataFrame, m: Model, *keep: str, check: bool = False) -> DataFrame:
+    """Columns `keep` of `docs` (all, if none is named) with ids (array<int>), the pieces of its column text in order; check: and lossless,
+    whether they decode to the text (space marks in the text as spaces).
 
-    Its texts are read twice, and have to be the same both times; a text whose units were not seen fails the job."""
+    Texts are read twice, and have to be the same both times; a block that has other units then fails the job."""
     one_of(docs, "text")
-    if any(c.lower() == "ids" for c in docs.columns):
-        raise ValueError("the input already has a column ids")
+    new = ["ids", "lossless"][: 1 + check]
+    names = list(keep or docs.columns)
+    if taken := {c.lower() for c in names} & set(new):
+        raise ValueError(f"the input already has {sorted(taken)}")
     ship(docs.sparkSession)
-    schema, place = docs.schema, docs.columns.index("text")
-    plain = docs.toDF(*(f"c{i}" if i != place else "text" for i in range(len(docs.columns))))
-    plain, pairs = steady(plain, "texts"), m.pairs
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = _Blocks()
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks.of(b.column("text")))], names=[*b.schema.names, "block"])
-
-    def join(texts: pa.Table, found: pa.Table) -> pa.Table:
-        ids = ids_of(texts.column("text"), found.column("unit").to_pylist(), *_lists(found.column("ids")), Cutter(pairs))
+    wanted = [i for i, c in enumerate(docs.columns) if not keep or c in keep]
+    names = [docs.columns[i] for i in wanted]
+    plain = docs.toDF(*(f"c{i}" if c != "text" else c for i, c in enumerate(docs.columns)))
+    out = [plain.columns[i] for i in wanted]
+    plain, pairs = steady(plain.select(*dict.fromkeys([*out, "text"])), "texts"), m.pairs
+    speller = docs.sparkSession.sparkContext.broadcast(m) if check else None  # as large as the model
+
+    def join(sent: pa.Table, found: pa.Table) -> pa.Table:
+        rows = pa.concat_tables(pa.ipc.open_stream(x.as_buffer()).read_all() for x in sent.column("rows")).combine_chunks()
+        none = np.zeros(0, np.int64)
+        place, size, values = (np.concatenate(x) for x in zip((none, none, none.astype(np.int32)), *(unpack(x.as_py()) for x in found.column("ids"))))
+        order, at = np.argsort(place), np.cumsum(size) - size
+        if (place[order] != np.arange(len(place))).any():
+            raise ValueError("units of a block are missing")
+        values, size = values[_ragged(at[order], size[order])], size[order]
+        ids = ids_of(rows.column("text"), np.append(0, np.cumsum(size)), values, Cutter(pairs))
+        cols = [rows.column(c) for c in out] + [ids]
+        if check:
+            text = pc.fill_null(pc.replace_substring(rows.column("text"), MARK, " "), "")
+            cols.append(pc.equal(text, Speller(speller.value)(ids)))
         trim()
-        return texts.drop_columns(["block"]).append_column("ids", ids)
+        return pa.table(cols, names=[*out, *new])
 
-    dealt = mapped(plain, number, StructType([*plain.schema.fields, StructField("block", LongType())]))
-    each = segmented(units(plain, m), m).select(F.explode("blocks").alias("block"), "unit", "ids")
-    out = StructType([*plain.schema.fields, StructField("ids", ArrayType(IntegerType()))])
-    both = dealt.groupBy("block").cogroup(each.groupBy("block")).applyInArrow(join, out)
-    return both.toDF(*schema.names, "ids")
+    each = answers(units(plain, m), m)
+    kinds = (ArrayType(IntegerType()), BooleanType())
+    schema = StructType([*(plain.schema[c] for c in out), *(StructField(c, k) for c, k in zip(new, kinds))])
+    return packs(plain).groupBy("block").cogroup(each.groupBy("block")).applyInArrow(join, schema).toDF(*names, *new)
 
 
 class Speller:
@@ -466,17 +560,25 @@ class Speller:
 
     def __call__(self, ids: pa.Array) -> pa.Array:
         at, values = _lists(pc.fill_null(ids, []) if ids.null_count else ids)
-        size = np.append(0, np.cumsum(self.lens[values]))[at]
-        raw = [self.all[_ragged(self.starts[v], self.lens[v])] for v in np.array_split(values, max(1, -(-len(values) // DECODED)))]
-        raw = np.concatenate(raw).tobytes()
-        first = values[np.minimum(at[:-1], max(0, len(values) - 1))] if len(values) else np.zeros(len(at) - 1, np.int64)
-        skip = (np.diff(at) > 0) & self.marked[first]  # the mark in front
-        texts = [raw[i:j] for i, j in zip((size[:-1] + skip).tolist(), size[1:].tolist())]
+        texts: list[bytes] = []
+        i = 0
+        while i < len(at) - 1:
+            j = max(i + 1, int(np.searchsorted(at, at[i] + DECODED, "right")) - 1)
+            texts += self._some(at[i : j + 1] - at[i], values[at[i] : at[j]])
+            i = j
         try:
             return pa.array(texts, pa.binary()).cast(pa.string())
         except pa.ArrowInvalid:  # byte pieces that are no UTF-8
             return pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())
 
+    def _some(self, at: np.ndarray, values: np.ndarray) -> list[bytes]:
+        lens = self.lens[values]
+        size = np.append(0, np.cumsum(lens))[at]
+        raw = self.all[_ragged(self.starts[values], lens)].tobytes()
+        first = values[np.minimum(at[:-1], len(values) - 1)] if len(values) else np.zeros(len(at) - 1, np.int64)
+        skip = (np.diff(at) > 0) & self.marked[first]  # the mark in front
+        return [raw[i:j] for i, j in zip((size[:-1] + skip).tolist(), size[1:].tolist())]
+
 
 def decode(encodings: DataFrame, m: Model) -> DataFrame:
     """`encodings` with decoded, the text that its column ids spells."""
@@ -493,8 +595,3 @@ def decode(encodings: DataFrame, m: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, spell(b.column("ids"))], names=[*b.schema.names, "decoded"])
 
     return mapped(plain, run, StructType([*plain.schema.fields, StructField("decoded", StringType())])).toDF(*names, "decoded")
-
-
-def lossless(text: Column, decoded: Column) -> Column:
-    """Whether a text came back: NULL as the empty text, and space marks in the text as spaces."""
-    return F.coalesce(F.translate(text, MARK, " "), F.lit("")) == decoded

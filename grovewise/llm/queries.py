@@ -42,10 +42,9 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 def op4(spark: SparkSession, d: str, path: str | None = None) -> DataFrame:
     """Digests of the ids: their number, how many of them are bytes, a hash of all in order, and whether they decode to the text."""
     m = pieces.Model.load(path or tokenizer_path("piece_bpe_32k.model"))
-    x = pieces.decode(pieces.encode(_table(spark, d, "documents").select("doc_id", "text"), m), m)
+    x = pieces.encode(_table(spark, d, "documents"), m, "doc_id", check=True)
     n_bytes = F.size(F.filter("ids", lambda i: (i >= m.first_byte) & (i < m.first_byte + 256))).cast("long")
-    back = pieces.lossless(F.col("text"), F.col("decoded"))
-    return x.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), n_bytes.alias("n_bytes"), F.xxhash64("ids").alias("ids_digest"), back.alias("lossless"))
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), n_bytes.alias("n_bytes"), F.xxhash64("ids").alias("ids_digest"), "lossless")
 
 
 def op5(spark: SparkSession, d: str) -> DataFrame:

@@ -170,7 +170,8 @@ def test_sentencepiece(spark):
     texts += ["ab" * 3000 + "abc" * 700, "the" * 50]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = {i: sp.encode(t) if t else [] for i, t in enumerate(texts)}
-    x = pieces.decode(pieces.encode(d, m), m).collect()
+    x = pieces.decode(pieces.encode(d, m, check=True), m).collect()
+    assert all(r.lossless for r in x)
     assert {r.doc_id: r.ids for r in x} == want
     assert {r.doc_id: r.decoded for r in x} == {i: (t or "").replace("▁", " ") for i, t in enumerate(texts)} == {i: sp.decode(v) for i, v in want.items()}
     odd_ids = spark.createDataFrame([([sp.unk_id(), 5 + m.first_byte],), ([1, 2],), ([m.first_byte + 0xE9],), (None,)], "ids array<int>")
@@ -185,8 +186,9 @@ def test_blocks_of_texts_meet_their_units(spark, monkeypatch):
     sp, m = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Model.load(path)
     d = docs(spark).limit(30).select("text", F.col("doc_id").alias("block"), F.lit("u").alias("unit"), F.lit(1).alias("a b`c"))
     monkeypatch.setattr(pieces, "BLOCK", 3000)
+    monkeypatch.setattr(pieces, "PACK", 3)
     out = pieces.encode(d, m)
-    assert out.columns == [*d.columns, "ids"]
+    assert out.columns == [*d.columns, "ids"] and pieces.encode(d, m, "unit").columns == ["unit", "ids"]
     assert sorted((r.block, r.unit, r["a b`c"], r.ids) for r in out.collect()) == sorted((r.block, "u", 1, sp.encode(r.text)) for r in d.collect())
 
 
@@ -402,6 +404,6 @@ def test_odd_and_empty_tables(spark, rows):
     assert quality.judged(d).count() == n and quality.kept(d).columns == d.columns
     assert lm.scored(d, F.lit(True)).count() == n and lm.scored(d, F.lit(False)).count() == n
     assert decontaminate.decontaminated(d, items.where("false")).count() == n and decontaminate.contained(d, items).where("n_common > n_item").count() == 0
-    assert pieces.decode(pieces.encode(d, m), m).where(pieces.lossless(F.col('text'), F.col('decoded'))).count() == n and neardup.near_duplicates(d).count() == n and neardup.deduplicated(d).columns == d.columns
+    assert pieces.decode(pieces.encode(d, m, check=True), m).where('lossless').count() == n and neardup.near_duplicates(d).count() == n and neardup.deduplicated(d).columns == d.columns
     assert lines.drop_boilerplate(d, "source", "text").count() == n
     assert tokencount.token_counts(d, tokenizer_path("byte_bpe_50k.json"), 512, "doc_id").count() == n
