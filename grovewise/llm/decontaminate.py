@@ -7,9 +7,14 @@ one-row band. So however long a document is, an item inside it meets a fixed sha
 minima, while the sketch holds one hash per bin. Items are sketched once for each partition. Sketches
 that share a minimum are candidates, and are verified by the exact count of common shingles.
 
+Every item has bins for its own size, and coarser bins' minima are among finer bins' minima, so a document has one
+sketch, as fine as the shortest item needs. An item all of whose shingles are needed (up to four of them) has its least
+shingle as its key and meets all shingles of the documents; none of these is missed.
+
 Cases: NULL and empty texts have no shingles and match nothing; items under five words match only documents
-that are the same words; repeated rows match alike; a document's key is (doc_id, its text), so ids
-may repeat or be NULL; extra columns are ignored.
+that are the same words; a very long text is one row and a sketch in proportion to it; ties between equal hashes cannot
+arise, as sets are distinct; repeated rows match alike; without items or documents nothing matches; a document's key is (doc_id, its text), so
+ids may repeat or be NULL and are of any type; other columns are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, stored, words
+from grovewise.llm.common import broadcast_if, fresh, one_of, stored, words
 
 SHINGLE, CONTAINMENT = 5, 0.8
-#: The chance that a contained item shares no minimum with its document stays under this.
-MISS = 1e-7
+#: The chance that a contained item shares no minimum with its document stays under this; bins of 2^COARSEST shingles suffice for long items.
+MISS, COARSEST = 1e-7, 2
 #: Bounds for broadcasts: sketch or shingle rows of all items (28 bytes each), candidates (24 bytes each).
 BROADCAST_ROWS = 1_000_000
 PARTITIONS = 36
@@ -49,20 +54,33 @@ def partition_of(n: Column) -> Column:
 def bin_bits(common: int) -> int:
     """Powers of two by which bins are fewer (positive) or more than shingles, so that `common` shared shingles are missed
     with a chance of at most MISS: in bins of mean load x one of them is the minimum with chance (1 - e^-x) / x."""
-    e = 2
-    while e > -12:
-        load = 2.0**e
-        if (1 - (1 - math.exp(-load)) / load) ** common <= MISS:
-            break
+    e = COARSEST
+    while (1 - (1 - math.exp(-(2.0**e))) / 2.0**e) ** common > MISS:
         e -= 1
     return e
 
 
+def needed(n: int, percent: int) -> int:
+    return -(-n * percent // 100)
+
+
+def _bins(n: Column, percent: int) -> Column:
+    """`bin_bits` for an item of n shingles; NULL where it needs all of them."""
+    size, first = 1, {}
+    while COARSEST not in first:
+        first.setdefault(bin_bits(needed(size, percent)), size)
+        size += 1
+    bits = F.lit(None).cast("int")
+    for e, least in sorted(first.items()):  # larger items have coarser bins
+        bits = F.when(n >= least, F.lit(e)).otherwise(bits)
+    return F.when(F.floor((n * percent + 99) / 100) < n, bits)
+
+
 def _bin(h: Column, bits: Column) -> Column:
     return F.when(bits > 0, F.call_function("shiftrightunsigned", h, F.lit(64) - bits)).otherwise(0)
 
 
-def _bits(s: Column, e: int) -> Column:
+def _bits(s: Column, e: Column) -> Column:
     return F.least(F.greatest(s - e, F.lit(0)), F.lit(48))
 
 
@@ -77,35 +95,40 @@ def contained(docs: DataFrame, items: DataFrame, containment: float = CONTAINMEN
     """(doc_id, _text, item_id, n_common, n_item): documents that hold at least `containment` of an item's shingles.
 
     `docs` has doc_id, text; `items` has item_id, text. _text is the hash of the document's text."""
+    one_of(docs, "doc_id", "text")
+    one_of(items, "item_id", "text")
     percent = round(containment * 100)
-    i = stored(items.select("item_id", shingles(F.col("text")).alias("_set")).where("_set IS NOT NULL").distinct().withColumn("n_item", F.size("_set")), "items", narrow=True)
-    stats = i.agg(F.min("n_item").alias("least"), F.sum("n_item").alias("all")).first()
-    if stats.least is None:
+    i = items.select("item_id", shingles(F.col("text")).alias("_set")).where("_set IS NOT NULL").distinct().withColumn("n_item", F.size("_set"))
+    i = stored(i.withColumn("_e", _bins(F.col("n_item"), percent)).withColumn("_item", F.monotonically_increasing_id()), "items", narrow=True)
+    about = i.agg(F.count("*").alias("n"), F.min("_e").alias("finest"), F.bool_or(F.col("_e").isNull()).alias("every"), F.sum("n_item").alias("shingles")).first()
+    if not about.n:
         return docs.select("doc_id", F.xxhash64("text").alias("_text"), F.lit(None).cast(i.schema["item_id"].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_common"), F.lit(0).alias("n_item")).where("false")
-    e = bin_bits(max(1, math.ceil(stats.least * containment)))
     per = i.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1)))).where(F.pow(F.lit(2.0), F.col("_s")) * 100 >= F.col("n_item") * percent)
-    sketch = _minima(per.withColumn("_bits", _bits(F.col("_s"), e)), "item_id").distinct()
-    sketch_rows = int(stats["all"]) * PARTITIONS
+    sketch = stored(_minima(per.withColumn("_bits", F.coalesce(_bits(F.col("_s"), F.col("_e")), F.lit(0))), "_item"), "sketch", narrow=True)
 
     # filters on the set, or an explode that implies them, would compute it once more
     keyed = docs.select("doc_id", F.xxhash64("text").alias("_text"), "text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     d = keyed.select("doc_id", "_text", shingles(F.col("text")).alias("_set"))
-    d = d.withColumn("_s", partition_of(F.size("_set"))).withColumn("_bits", _bits(F.col("_s"), e))
-    candidates = stored(_minima(d, "doc_id", "_text").join(broadcast_if(sketch, sketch_rows, BROADCAST_ROWS), ["_s", "_h"]).select("doc_id", "_text", "item_id").distinct(), "candidates", narrow=True)
-    few = candidates.count()
-
-    on = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["_text"] == b["_text"])
-    ids = candidates.select("doc_id", "_text").distinct()
-    again = keyed.join(broadcast_if(ids, few, BROADCAST_ROWS), on(keyed, ids), "left_semi").dropDuplicates(["doc_id", "_text"])
+    d = d.withColumn("_s", partition_of(F.size("_set")))
+    d = d.withColumn("_bits", F.lit(64) if about.every else _bits(F.col("_s"), F.lit(about.finest)))
+    met = _minima(d, "doc_id", "_text").join(broadcast_if(sketch, sketch.count(), BROADCAST_ROWS), ["_s", "_h"])
+    candidates = stored(met.select("doc_id", "_text", "_item").distinct(), "candidates", narrow=True)
+
+    # a document's shingles meet those of its own candidates only
+    ids = stored(candidates.select("doc_id", "_text").distinct(), "ids", narrow=True)
+    same = keyed["doc_id"].eqNullSafe(ids["doc_id"]) & (keyed["_text"] == ids["_text"])
+    again = keyed.join(broadcast_if(ids, ids.count(), BROADCAST_ROWS), same, "left_semi").dropDuplicates(["doc_id", "_text"])
     rows = again.select("doc_id", "_text", F.explode_outer(shingles(F.col("text"))).alias("_h"))
-    each = i.select("item_id", "n_item", F.explode("_set").alias("_h"))
-    hits = rows.join(broadcast_if(each, int(stats["all"]), BROADCAST_ROWS), "_h").groupBy("doc_id", "_text", "item_id", "n_item").agg(F.count("*").alias("n_common"))
-    c = candidates.alias("c")
-    verified = hits.where(F.col("n_common") * 100 >= F.col("n_item") * percent).join(c, hits.doc_id.eqNullSafe(F.col("c.doc_id")) & (hits._text == F.col("c._text")) & hits.item_id.eqNullSafe(F.col("c.item_id")), "left_semi")
-    return verified.select("doc_id", "_text", "item_id", "n_common", "n_item")
+    each = broadcast_if(i.select("_item", F.explode("_set").alias("_h")), int(about.shingles), BROADCAST_ROWS)
+    wanted = candidates.join(each, "_item").select(F.col("doc_id").alias("_d"), F.col("_text").alias("_t"), "_item", F.col("_h").alias("_w"))
+    hits = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_text") == F.col("_t")) & (F.col("_h") == F.col("_w")))
+    n = hits.groupBy("doc_id", "_text", "_item").agg(F.count("*").alias("n_common"))
+    found = n.join(broadcast_if(i.select("_item", "item_id", "n_item"), about.n, BROADCAST_ROWS), "_item").where(F.col("n_common") * 100 >= F.col("n_item") * percent)
+    return found.select("doc_id", "_text", "item_id", "n_common", "n_item")
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = stored(contained(docs, items, containment).select(F.col("doc_id").alias("_doc"), F.col("_text")).distinct(), "contaminated", narrow=True)
-    return docs.join(broadcast_if(bad, bad.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(bad["_doc"]) & (F.xxhash64(docs["text"]) == bad["_text"]), "left_anti")
+    doc, text = fresh(docs, "_doc", "_hash")
+    bad = stored(contained(docs, items, containment).select(F.col("doc_id").alias(doc), F.col("_text").alias(text)).distinct(), "contaminated", narrow=True)
+    return docs.join(broadcast_if(bad, bad.count(), BROADCAST_ROWS), docs["doc_id"].eqNullSafe(bad[doc]) & (F.xxhash64(docs["text"]) == bad[text]), "left_anti")
