@@ -3,9 +3,10 @@
 Turns are compared in order by role and text up to the first that differs. What follows is each
 side's completion, with the spans of it that are learned: the assistant's text and its end mark.
 
-Cases: turns sort by (turn, role, text) with NULLs first; a NULL role or text renders as empty; a missing
-side has no turns, so the pair has an empty prompt and a NULL completion; a side that ends with the prefix has an
-empty completion; repeated turns are turns; extra columns are ignored.
+Cases: conversation ids may be of any type that the pairs' ids can be compared with; turns sort by (turn, role, text) with NULLs first; a NULL role or text renders as empty; a missing
+side or a NULL id has no turns, so the pair has an empty prompt and a NULL completion; a side that ends with the prefix has an
+empty completion; repeated turns are turns, and turns that tie in (turn, role, text) are equal; a conversation is one row, however long;
+an empty table gives no pairs; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,10 +65,16 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("pair_id", "chosen_id", "rejected_id", "n_prefix", "prompt", _render(F.col("_c")).alias("chosen"), _render(F.col("_r")).alias("rejected"), _mask(F.col("_c")).alias("chosen_mask"), _mask(F.col("_r")).alias("rejected_mask"))
 
 
+def numbered(turns: DataFrame) -> DataFrame:
+    """Turns with conv_id as a whole number; NULL where it is none, so that text ids of other kinds are in no pair."""
+    return turns.select("turn", "role", "text", F.expr("try_cast(conv_id AS bigint)").alias("conv_id"))
+
+
 def neighbours(turns: DataFrame) -> DataFrame:
     """(pair_id, chosen_id, rejected_id): conversation 2k is preferred to 2k + 1, where at least one of them exists."""
-    ids = turns.where("conv_id IS NOT NULL").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id")).distinct()
-    return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+    low = F.col("conv_id").bitwiseAND(1)
+    ids = numbered(turns).where("conv_id IS NOT NULL").select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") - low).alias("chosen_id"), (F.col("conv_id") - low + 1).alias("rejected_id"))
+    return ids.distinct()
 
 
 def spans_text(mask: Column) -> Column:

@@ -54,6 +54,9 @@ def name_of(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+#: Frequent keys that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
+
 _shipped: set[str] = set()
 
 
@@ -133,6 +136,18 @@ def broadcast_if(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df
 
 
+def join_on_hot(rows: DataFrame, sizes: DataFrame, key: str, size: str, hot: int) -> DataFrame:
+    """The inner join of rows with a table of one row per key that carries `size`, the key's number of rows, without all rows of a frequent key in one task.
+
+    Keys of `hot` rows or more are at most (rows / hot); they are broadcast where their count is within bounds, and the others meet in a shuffle."""
+    often = sizes.where(F.col(size) >= hot)
+    n = often.count()
+    if n == 0 or n > BROADCAST_KEYS:
+        return rows.join(sizes, key)
+    few = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(sizes.where(F.col(size) < hot), key)
+    return rows.join(F.broadcast(often), key).unionByName(few)
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; none for NULL."""
     return F.coalesce(F.array_remove(F.split(text, SPACE), ""), F.array().cast("array<string>"))

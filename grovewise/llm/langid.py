@@ -5,31 +5,37 @@ weighted by inverse document frequency and normalised. Each language's sample is
 the centroid with the largest cosine; it is marked as rejected when that cosine is under what nearly all of the
 centroid's own members reach.
 
-Fitting uses a bounded sample of labelled rows (`PER_LANGUAGE`, `SAMPLE`), chosen by a hash of the text; prediction covers every row and whole texts.
+Fitting uses a bounded sample of labelled rows: of each language's distinct texts those with the least hashes, `PER_LANGUAGE` of them, or fewer where
+languages are many (`SAMPLE` in all, one of each language at least). More than `LANGUAGES` languages are an error, as no model of that size is held by workers. Prediction
+covers every row and whole texts.
 
-Cases: texts that are NULL or have no letter are 'und' with score 0; so is everything when nothing was learned; ties go to the
-language first in order; repeated rows are predicted alike; extra columns are ignored.
+Cases: texts that are NULL or have no letter (of Unicode's category L) are 'und' with score 0; so is everything when nothing was learned; ties go to the
+language first in order, and inside it to its first centroid; repeated rows are predicted alike and learned once; a very long text is one vector, counted in parts;
+an empty table gives an empty result; other columns are ignored, and kept ones may have any name but those of the new columns.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import mapped
+from grovewise.llm.common import mapped, name_of, one_of, stored
 
 UND = "und"
-DIMENSIONS, CENTROIDS, PER_LANGUAGE, SAMPLE = 4096, 4, 1000, 8000
+DIMENSIONS, CENTROIDS, PER_LANGUAGE, SAMPLE, LANGUAGES = 4096, 4, 1000, 8000, 4000
 #: The share of a centroid's members that its rejection cosine leaves out.
 LEFT_OUT = 0.01
 BATCH = 256
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+_HAS_LETTER = regex.compile(r"\p{L}")
+#: Bytes of a text that are counted at once.
+PART = 1 << 22
 _MAP = np.full(256, 32, np.uint8)
 for _c in (*range(65, 91), *range(97, 123)):
     _MAP[_c] = _c | 32
@@ -43,11 +49,15 @@ def has_letter(text: str | None) -> bool:
 def counts(text: str) -> np.ndarray:
     """Hashed bigram and trigram counts of the letters; runs of other characters are one space."""
     b = _MAP[np.frombuffer(f" {text} ".encode("utf-8", "surrogatepass"), np.uint8)]
-    b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))].astype(np.uint32)
-    two = b[:-1] << 8 | b[1:]
-    three = two[:-1] << 8 | b[2:]
-    at = np.concatenate([(two * np.uint32(2654435761)) >> np.uint32(20), ((three + np.uint32(1 << 24)) * np.uint32(2654435761)) >> np.uint32(20)])
-    return np.bincount(at, minlength=DIMENSIONS)
+    b = b[np.append(True, (b[1:] != 32) | (b[:-1] != 32))]
+    out = np.zeros(DIMENSIONS, np.int64)
+    for i in range(0, len(b) - 1, PART):  # the last two bytes of a part are the first of the next
+        x = b[i : i + PART + 2].astype(np.uint32)
+        two = x[:-1] << 8 | x[1:]
+        three = two[:-1] << 8 | x[2:]
+        out += np.bincount((two[:PART] * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMENSIONS)
+        out += np.bincount(((three[:PART] + np.uint32(1 << 24)) * np.uint32(2654435761)) >> np.uint32(20), minlength=DIMENSIONS)
+    return out
 
 
 def normalised(c: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -108,29 +118,38 @@ def build(langs: list[str], c: np.ndarray) -> Model:
     return Model(names, idf, np.concatenate(cs).astype(np.float32), np.array(owner, int), np.array(least))
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """(lang, text): of each language's distinct texts with a letter those with the least hashes.
+
+    Only (lang, hash) is shuffled, a row for each distinct text, and a window keeps the first of each task before it meets the others'."""
+    one_of(labelled, "lang", "text")
+    usable = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text").withColumn("h", F.xxhash64(F.lit("sample"), "text"))
+    keys = stored(usable.select("lang", "h").distinct(), "language-texts", narrow=True)
+    n = keys.select("lang").distinct().count()
+    if n > LANGUAGES:
+        raise ValueError(f"{n} languages, {LANGUAGES} at most can be learned")
+    each = min(PER_LANGUAGE, max(1, SAMPLE // max(1, n)))
+    first = keys.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= each).select("lang", "h")
+    chosen = usable.join(F.broadcast(first), ["lang", "h"], "left_semi")  # SAMPLE + LANGUAGES rows at most
+    return chosen.groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def fit(labelled: DataFrame) -> Model:
-    """From (lang, text), on at most about SAMPLE rows: PER_LANGUAGE of each language, or fewer when there are many."""
-    usable = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text")
-    n = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(SAMPLE).collect()}
-    if not n:
-        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
-    each = min(PER_LANGUAGE, max(1, SAMPLE // len(n)))
-    share: Column = F.lit(0.0)
-    for lang, k in n.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / k))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / float(1 << 30)
+    """From (lang, text), on a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            pairs = [(x, y) for x, y in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()) if has_letter(y)]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.string()), pa.array([np.minimum(counts(y), 65535).astype(np.uint16).tobytes() for _, y in pairs], pa.binary())], names=["lang", "c"])
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array([np.minimum(counts(y), 65535).astype(np.uint16).tobytes() for y in b.column("text").to_pylist()], pa.binary())], names=["lang", "c"])
 
-    rows = mapped(usable.where(draw < share).limit(2 * SAMPLE), run, "lang string, c binary").collect()
-    return build([r.lang for r in rows], np.stack([np.frombuffer(bytes(r.c), np.uint16) for r in rows])) if rows else fit(labelled.where("false"))
+    rows = sorted((r.lang, bytes(r.c)) for r in mapped(sample(labelled), run, "lang string, c binary").collect())
+    if not rows:
+        return Model([], np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int), np.zeros(0))
+    return build([x for x, _ in rows], np.stack([np.frombuffer(c, np.uint16) for _, c in rows]))
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """(keep..., lang_pred, score, rejected) for every row; only `text` is used."""
+    one_of(docs, "text", *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: languages * CENTROIDS * DIMENSIONS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,5 +158,5 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
             cols = [b.column(c) for c in keep] + [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "rejected"])
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{fields}, lang_pred string, score double, rejected boolean")
+    fields = ", ".join(f"{name_of(c)} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return mapped(docs.select(*map(name_of, dict.fromkeys([*keep, "text"]))), run, f"{fields}, lang_pred string, score double, rejected boolean")

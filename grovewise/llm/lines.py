@@ -1,13 +1,16 @@
 """Boilerplate lines by their frequency on a site.
 
 Pages are grouped by host. A line's ratio is the number of the host's pages that have it over all of the
-host's pages; lines above the boilerplate ratio go, wherever on the site they stand. Pages of equal
-text count once on both sides, so that a page published many times is not boilerplate to itself. A line on
+host's pages; lines above the boilerplate ratio go, wherever on the site they stand. A line on
 a single page is no repetition: `min_pages` is 2, so that the ratio alone decides on a host of any size.
+With `distinct`, pages of equal text count once on both sides, so that a text published many times is not
+boilerplate to itself; that is for tables whose copies are still to be removed.
 
 Lines are split at line feeds, compared without spaces at their ends, and blank lines stay. Cases: NULL
-or empty text stays as it is; pages without a host belong to no site and stay; a host with one page (or one
-text) loses nothing; extra columns pass through.
+or empty text stays as it is; pages without a host belong to no site and stay; a host with one page loses
+nothing; repeated rows are pages of their own; a line exactly at the ratio stays; very long texts are split whole;
+an empty table gives an empty result; host and text may be of any name, other columns pass through, and where
+one is named n_lines or n_dropped already, the new one, always among the last two, gets a trailing _.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, stored
+from grovewise.llm.common import fresh, name_of, one_of, stored
 
 RATIO, MIN_PAGES = 0.1, 2
 #: Boilerplate lines of all hosts are broadcast up to this number (24 bytes each).
@@ -26,29 +29,48 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, _line, n_pages, n_host_pages): hashes of the lines to drop."""
-    lines = F.transform(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), _hash)
-    distinct = pages.where(F.col(host).isNotNull() & F.col(text).isNotNull()).select(F.col(host).alias("_host"), F.xxhash64(text).alias("_text"), F.array_distinct(lines).alias("_lines")).groupBy("_host", "_text").agg(F.any_value("_lines").alias("_lines"))
-    distinct = stored(distinct, "site-lines")
-    total = distinct.groupBy("_host").agg(F.count("*").alias("n_host_pages"))
-    per = distinct.select("_host", F.explode("_lines").alias("_line")).groupBy("_host", "_line").agg(F.count("*").alias("n_pages")).where(F.col("n_pages") >= min_pages)
-    return per.join(total, "_host").where(F.col("n_pages") > ratio * F.col("n_host_pages"))
+def _lines(text: Column) -> Column:
+    """The hashes of a text's lines that are not blank, each once."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda s: F.trim(s) != ""), _hash))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False) -> DataFrame:
+    """(_host, _line, n_pages, n_host_pages): hashes of the lines to drop. Lines are counted before they are shuffled."""
+    x = pages.where(F.col(name_of(host)).isNotNull() & F.col(name_of(text)).isNotNull())
+    x = x.select(F.col(name_of(host)).alias("_host"), *([F.xxhash64(name_of(text)).alias("_text")] if distinct else []), _lines(F.col(name_of(text))).alias("_lines"))
+    if distinct:
+        x = stored(x.groupBy("_host", "_text").agg(F.any_value("_lines").alias("_lines")), "site-lines")
+    # the pages of a host are counted with its lines, as a line without a name
+    each = x.select("_host", F.explode(F.concat(F.array(F.lit(None).cast("long")), "_lines")).alias("_line"))
+    per = stored(each.groupBy("_host", "_line").agg(F.count("*").alias("n_pages")).where((F.col("n_pages") >= min_pages) | F.col("_line").isNull()), "line-counts", narrow=True)
+    total = per.where("_line IS NULL").select("_host", F.col("n_pages").alias("n_host_pages"))
+    return per.where("_line IS NOT NULL").join(total, "_host").where(F.col("n_pages") > ratio * F.col("n_host_pages"))
+
+
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, distinct: bool = False, broadcast: int = BROADCAST_LINES) -> DataFrame:
     """`pages` with `text` without boilerplate lines, and n_lines, n_dropped.
 
-    A host has fewer than (its mean number of lines) / ratio such lines, so its list is short."""
-    bad = stored(boilerplate(pages, host, text, ratio, min_pages).select("_host", "_line"), "boilerplate", narrow=True)
-    listed = bad.groupBy("_host").agg(F.collect_set("_line").alias("_bad"))
-    x = pages.join(broadcast_if(listed, bad.count(), BROADCAST_LINES), F.col(host) == F.col("_host"), "left")
-    x = x.withColumn("_all", F.split(text, "\n"))
-    x = x.withColumn("_kept", F.when(F.col("_bad").isNotNull(), F.filter("_all", lambda s: (F.trim(s) == "") | ~F.array_contains(F.col("_bad"), _hash(s)))).otherwise(F.col("_all")))
-    n = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c)).cast("long")
-    x = x.withColumn("n_lines", n("_all")).withColumn("n_dropped", n("_all") - n("_kept"))
-    same = F.col("n_dropped") == 0
-    return x.withColumn(text, F.when(same, F.col(text)).otherwise(F.array_join("_kept", "\n"))).drop("_host", "_bad", "_all", "_kept")
+    Up to `broadcast` lines to drop go to every executor. Beyond, pages shuffle no text to find them: the hashes of a
+    page's lines meet the lines to drop by (host, line), and what they find meets the page by the hashes of host and text."""
+    one_of(pages, host, text)
+    bad = stored(boilerplate(pages, host, text, ratio, min_pages, distinct).select("_host", "_line"), "boilerplate", narrow=True)
+    n_lines, n_dropped, site, drop, key, every, kept = fresh(pages, "n_lines", "n_dropped", "_host", "_bad", "_key", "_all", "_kept")
+    h, t = F.col(name_of(host)), F.col(name_of(text))
+    if bad.count() <= broadcast:
+        listed = bad.groupBy(F.col("_host").alias(site)).agg(F.collect_set("_line").alias(drop))
+        x = pages.join(F.broadcast(listed), h == F.col(site), "left").drop(site)
+    else:
+        mine = F.struct(F.xxhash64(h), F.xxhash64(t))
+        met = pages.where(h.isNotNull() & t.isNotNull()).select(mine.alias(key), h.alias("_host"), F.explode(_lines(t)).alias("_line")).join(bad, ["_host", "_line"])
+        listed = met.groupBy(key).agg(F.collect_set("_line").alias(drop))
+        x = pages.withColumn(key, mine).join(listed, key, "left").drop(key)
+    x = x.withColumn(every, F.split(t, "\n"))
+    gone = F.col(drop)
+    x = x.withColumn(kept, F.when(gone.isNotNull(), F.filter(every, lambda s: (F.trim(s) == "") | ~F.array_contains(gone, _hash(s)))).otherwise(F.col(every)))
+    n = lambda c: F.when(t.isNull(), 0).otherwise(F.size(c)).cast("long")
+    x = x.withColumn(n_lines, n(every)).withColumn(n_dropped, n(every) - n(kept))
+    rest = F.when(F.col(n_dropped) == 0, t).otherwise(F.array_join(kept, "\n"))
+    return x.select(*(rest.alias(c) if c == text else F.col(name_of(c)) for c in pages.columns), n_lines, n_dropped)
 
 
 #: Fixed patterns: what of a page is not text, and which tags end a line.

@@ -8,9 +8,13 @@ outside the largest component are compared with a few of its members. In buckets
 connected, members are held against a centre of the largest component: what their sets do not share with it is small, and two sets that are similar
 agree on rare parts of it, which an equi-join finds without loss. No bucket is expanded into all pairs.
 
+Classes of equal sets are the vertices, under numbers of their own, so ids may be of any type that has an order. A class is sketched once, and compared by the text
+of its least row. Frequent sets and keys are broadcast to the rows that have them, so that no task holds all rows of one.
+
 Cases: texts that are NULL or have no word have the empty set and stand alone; texts shorter than a shingle are one shingle of all
-their words; rows that repeat an id are one document to the components; a NULL id stands alone with a NULL component and is kept;
-extra columns are ignored.
+their words; rows that repeat an id are one document, which links the classes of all its texts; a NULL id stands alone with a NULL component and is kept;
+very long texts are sketched in parts and compared whole; ties between ids cannot arise, the least of a component stays; an empty table gives an empty result;
+other columns are ignored or pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, mapped, stored
+from grovewise.llm.common import broadcast_if, fresh, join_on_hot, mapped, one_of, stored
 
 #: Bands, and signature values in each: a pair of similarity 0.8 is missed with chance (1 - 0.8 ** ROWS) ** BANDS, under 1e-5.
 BANDS, ROWS = 40, 6
 FUNCTIONS = BANDS * ROWS // 2
 BROADCAST_IDS = 500_000
+#: A set or a key with so many rows is broadcast to them.
+HOT = 1000
 #: Members of the largest component that those outside it are compared with, before what is left is compared in full.
 PIVOTS = 6
 _RNG = np.random.default_rng(20)
@@ -79,16 +85,17 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    """A key for each band, which takes values of different functions."""
-    sig = signature.reshape(ROWS, BANDS).T
+    """A key for each band, of least values of some functions and greatest values of others, so that its values are independent."""
+    low, high = signature.reshape(2, ROWS // 2, BANDS)
+    sig = np.concatenate([low, np.roll(high, 1, axis=1)])
     key = np.arange(BANDS, dtype=np.uint64)
     for j in range(ROWS):
-        key = _mix(key + sig[:, j] * _MIX[:, j])
+        key = _mix(key + sig[j] * _MIX[:, j])
     return key
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo, bands): hi and lo identify the set, bands hold the keys."""
+    """(doc_id, t, n_shingles, hi, lo, bands): t is a hash of the text, hi and lo identify the set, bands hold the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -101,15 +108,15 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 hi.append((d >> 64) - (1 << 63))
                 lo.append((d & ((1 << 64) - 1)) - (1 << 63))
                 keys.append(band_keys(signature(s)).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "hi", "lo", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("t"), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "t", "n_shingles", "hi", "lo", "bands"])
 
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, hi long, lo long, bands array<long>")
+    return mapped(docs.select("doc_id", "text", F.xxhash64("text").alias("t")), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, n_shingles long, hi long, lo long, bands array<long>")
 
 
-def similarities(pairs: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """(x, y, common, total): exact sizes of intersection and union, from the whole texts of both."""
-    x = docs.select(F.col("doc_id").alias("x"), F.col("text").alias("_tx"))
-    y = docs.select(F.col("doc_id").alias("y"), F.col("text").alias("_ty"))
+def similarities(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(x, y, common, total): exact sizes of intersection and union, from the whole texts (v, text) of both."""
+    x = texts.select(F.col("v").alias("x"), F.col("text").alias("_tx"))
+    y = texts.select(F.col("v").alias("y"), F.col("text").alias("_ty"))
     both = pairs.join(y, "y").join(x, "x").select("x", "y", "_tx", "_ty")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,8 +140,8 @@ def differences(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(v, c, p, m, n, n_m, diff): the hashes that only one of the sets of v and of its centre m has, and the sizes of both sets.
 
     `members` has v, c, p and m."""
-    x = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("_tv"))
-    y = texts.select(F.col("doc_id").alias("m"), F.col("text").alias("_tm"))
+    x = texts.select("v", F.col("text").alias("_tv"))
+    y = texts.select(F.col("v").alias("m"), F.col("text").alias("_tm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, s = _Hashes(), None, np.zeros(0, np.uint64)
@@ -154,15 +161,23 @@ def differences(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return mapped(both, run, "v long, c long, p long, m long, n long, n_m long, diff array<long>")
 
 
+def _largest(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes by (key, c), with pivots; and each key's largest component with its pivots and the key's number of rows."""
+    pivots = [F.min_by("v", F.xxhash64(F.lit(i), "v")).alias(f"p{i}") for i in range(PIVOTS)]
+    sizes = stored(placed.groupBy("key", "c").agg(F.count("*").alias("_n"), *pivots), "sizes", narrow=True)
+    best = F.max_by(F.struct("c", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("p")), F.struct("_n", "c"))
+    return sizes, stored(sizes.groupBy("key").agg(best.alias("b"), F.sum("_n").alias("_rows")), "largest", narrow=True)
+
+
 def centred(placed: DataFrame) -> DataFrame:
     """(v, c, p, m): for each member of an open bucket, the bucket's largest component p and the centre m of p.
 
     The centre is the member that shares most keys of open buckets with members of its component."""
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("_n"))
-    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("p"))
-    score = placed.join(sizes, ["key", "c"]).groupBy("c", "v").agg(F.sum("_n").alias("_s"))
+    sizes, largest = _largest(placed)
+    both = F.struct("key", "c")
+    score = join_on_hot(placed.withColumn("at", both), sizes.select(both.alias("at"), "_n"), "at", "_n", HOT).groupBy("c", "v").agg(F.sum("_n").alias("_s"))
     centre = score.groupBy(F.col("c").alias("p")).agg(F.max_by("v", F.struct("_s", "v")).alias("m"))
-    return placed.join(largest, "key").select("v", "c", "p").distinct().join(centre, "p").where("v <> m").select("v", "c", "p", "m")
+    return join_on_hot(placed, largest.select("key", F.col("b.c").alias("p"), "_rows"), "key", "_rows", HOT).select("v", "c", "p").distinct().join(centre, "p").where("v <> m").select("v", "c", "p", "m")
 
 
 def rare_agreements(diffs: DataFrame, percent: int) -> DataFrame:
@@ -204,29 +219,21 @@ def components(links: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, c: DataFrame) -> DataFrame:
     """(key, v, c): members of buckets that hold more than one component."""
-    placed = members.join(c, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).where("_a <> _b").select("key")
-    return stored(placed.join(several, "key", "left_semi"), "open")
+    placed = stored(members.join(c, "v", "left").select("key", "v", F.coalesce("c", "v").alias("c")), "placed", narrow=True)
+    several = stored(placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("_n")).where("_a <> _b").select("key", "_n"), "several", narrow=True)
+    return join_on_hot(placed, several, "key", "_n", HOT).drop("_n")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row: 100 * common >= percent * union links two documents."""
-    sig = stored(signatures(docs, size), "signatures")
-    some = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("rep")), "classes", narrow=True)
-    own = some.select("doc_id", "n_shingles", "hi", "lo").join(classes, ["hi", "lo"])
-    repeats = not some.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
-    equal = own.where("doc_id <> rep").select(F.col("rep").alias("x"), F.col("doc_id").alias("y")).distinct()
-
-    first = some.join(classes, (some.hi == classes.hi) & (some.lo == classes.lo) & (some.doc_id == classes.rep), "left_semi")
-    keys = first.select(F.col("doc_id").alias("v"), F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("v").alias("x"), F.count("*").alias("_n")).where("_n > 1").select("key", "x")
-    buckets = stored(keys.join(shared, "key").where("v >= x"), "buckets")
+def _class_links(sig: DataFrame, classes: DataFrame, size: int, percent: int, docs: DataFrame) -> DataFrame:
+    """(x, y): links between similar classes, enough of them to connect all that are connected."""
+    first = sig.join(classes, (sig.hi == classes.hi) & (sig.lo == classes.lo) & (sig.doc_id == classes["first.doc_id"]) & (sig.t == classes["first.t"])).select("v", "bands")
+    keys = first.dropDuplicates(["v"]).select("v", F.explode("bands").alias("key"))
+    shared = stored(keys.groupBy("key").agg(F.min("v").alias("x"), F.count("*").alias("_n")).where("_n > 1"), "shared", narrow=True)
+    buckets = stored(join_on_hot(keys, shared, "key", "_n", HOT).select("key", "x", "v"), "buckets")
     pairs = stored(buckets.where("x < v").select("x", F.col("v").alias("y")).distinct(), "pairs", narrow=True)
-    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct(), "ids", narrow=True)
-    few = ids.count()
-    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(broadcast_if(ids, few, BROADCAST_IDS), "doc_id", "left_semi")
-    texts = stored(texts.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else texts, "texts")
+    ids = stored(pairs.select(F.explode(F.array("x", "y")).alias("v")).distinct().join(classes, "v").select("v", F.col("first.doc_id").alias("doc_id"), F.col("first.t").alias("t")), "ids", narrow=True)
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(broadcast_if(ids, ids.count(), BROADCAST_IDS), ["doc_id", "t"]).select("v", "text")
+    texts = stored(texts.groupBy("v").agg(F.min("text").alias("text")) if _repeats(sig) else texts, "texts")
     tested = stored(similarities(pairs, texts, size), "tested")
     similar = f"100 * common >= {percent} * total"
     links = tested.where(similar).select("x", "y")
@@ -234,9 +241,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # buckets that one comparison per member leaves in several components: compare the members outside each
     # bucket's largest one with a few of its members, whose order is the same in all buckets
     placed = _open(buckets.select("key", "v"), components(links))
-    pivots = [F.min_by("v", F.xxhash64(F.lit(i), "v")).alias(f"p{i}") for i in range(PIVOTS)]
-    largest = placed.groupBy("key", "c").agg(F.count("*").alias("_n"), *pivots).groupBy("key").agg(F.max_by(F.struct("c", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("p")), F.struct("_n", "c")).alias("b"))
-    asked = placed.join(largest, "key").where("c <> b.c").select("v", F.explode("b.p").alias("p")).select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y")).distinct()
+    asked = join_on_hot(placed, _largest(placed)[1], "key", "_rows", HOT).where("c <> b.c").select("v", F.explode("b.p").alias("p")).select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y")).distinct()
     second = stored(similarities(asked.join(tested.select("x", "y"), ["x", "y"], "left_anti"), texts, size), "tested")
     links = links.unionByName(second.where(similar).select("x", "y"))
     tested = tested.unionByName(second)
@@ -246,19 +251,46 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     diffs = stored(differences(centred(placed), texts, size), "differences")
     central = diffs.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_m)").select(F.least("v", "m").alias("x"), F.greatest("v", "m").alias("y"))
     more = stored(rare_agreements(diffs, percent).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs", narrow=True)
-    again = central.unionByName(similarities(more, texts, size).where(similar).select("x", "y"))
+    return links.unionByName(central).unionByName(similarities(more, texts, size).where(similar).select("x", "y"))
+
+
+def _repeats(sig: DataFrame) -> bool:
+    return not sig.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+
 
-    final = components(links.unionByName(equal).unionByName(again))
-    out = sig.select("doc_id", "n_shingles").join(final, F.col("doc_id") == F.col("v"), "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row: 100 * common >= percent * union links two documents."""
+    one_of(docs, "doc_id", "text")
+    sig = stored(signatures(docs, size), "signatures")
+    some = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
+    least = F.min(F.struct("doc_id", "t")).alias("first")
+    classes = stored(some.groupBy("hi", "lo").agg(least, F.count("*").alias("_n")).withColumn("v", F.monotonically_increasing_id()), "classes", narrow=True)
+    links = _class_links(some, classes, size, percent, docs)
+
+    both = F.struct("hi", "lo")
+    alone = sig.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component"))
+    own = join_on_hot(some.select("doc_id", "n_shingles", both.alias("set")), classes.select(both.alias("set"), "v", "_n"), "set", "_n", HOT).select("doc_id", "n_shingles", "v")
+    if _repeats(sig):  # a document's texts belong together
+        own = stored(own, "own", narrow=True)
+        texts = own.groupBy("doc_id").agg(F.min("v").alias("x"), F.collect_set("v").alias("vs")).where("size(vs) > 1")
+        links = links.unionByName(texts.select("x", F.explode("vs").alias("y")).where("x <> y"))
+        empty = alone.where("doc_id IS NOT NULL").join(own.select(F.col("doc_id").alias("_d"), "v").groupBy("_d").agg(F.min("v").alias("v")), F.col("doc_id") == F.col("_d"), "left")
+        own = own.unionByName(empty.where("v IS NOT NULL").select("doc_id", "n_shingles", "v"))
+        alone = empty.where("v IS NULL").select(*alone.columns).unionByName(alone.where("doc_id IS NULL"))
+    c = components(links)
+    names = classes.select("v", "_n", F.col("first.doc_id").alias("rep"))
+    named = c.join(names.select("v", "rep"), "v").groupBy("c").agg(F.min("rep").alias("component"))
+    label = names.join(c.join(named, "c").select("v", "component"), "v", "left").select("v", "_n", F.coalesce("component", "rep").alias("component"))
+    out = join_on_hot(own, stored(label, "label", narrow=True), "v", "_n", HOT).select("doc_id", "n_shingles", "component").unionByName(alone)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all columns: the one whose id is least. Of rows that repeat an id, one stays."""
     verdict = stored(near_duplicates(docs, size, percent), "verdict", narrow=True)
-    gone = verdict.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.join(broadcast_if(gone, gone.count(), 2 * BROADCAST_IDS), docs.doc_id == F.col("_gone"), "left_anti")
+    (name,) = fresh(docs, "_gone")
+    gone = verdict.where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(broadcast_if(gone, gone.count(), 2 * BROADCAST_IDS), docs["doc_id"] == gone[name], "left_anti")
     again = verdict.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return out

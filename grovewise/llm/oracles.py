@@ -39,9 +39,9 @@ OP10 = r"""
 WITH g AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)), '') AS host,
   list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
     '(?i)</?(?:html|head|title|body|nav|header|footer|main|article|section|aside|div|p|h[1-6]|ul|ol|li|table|tr|td|th|br|hr|pre|blockquote)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM pages),
-u AS (SELECT host, unnest(list_distinct(l)) AS line, t FROM (SELECT DISTINCT host, l, array_to_string(l, chr(10)) AS t FROM g WHERE host IS NOT NULL AND l IS NOT NULL)),
-h AS (SELECT host, count(DISTINCT array_to_string(l, chr(10))) AS n FROM g WHERE host IS NOT NULL AND l IS NOT NULL GROUP BY host),
-bad AS (SELECT host, list(line) AS bad FROM (SELECT u.host, line, count(*) AS k, any_value(n) AS n FROM u JOIN h USING (host) GROUP BY u.host, line) WHERE k >= 5 AND k > 0.1::DOUBLE * n GROUP BY host),
+u AS (SELECT host, unnest(list_distinct(l)) AS line FROM g WHERE host IS NOT NULL AND l IS NOT NULL),
+h AS (SELECT host, count(*) AS n FROM g WHERE host IS NOT NULL AND l IS NOT NULL GROUP BY host),
+bad AS (SELECT host, list(line) AS bad FROM (SELECT u.host, line, count(*) AS k, any_value(n) AS n FROM u JOIN h USING (host) GROUP BY u.host, line) WHERE k >= 2 AND k > 0.1::DOUBLE * n GROUP BY host),
 k AS (SELECT page_id, g.host, l, CASE WHEN bad IS NULL THEN l ELSE list_filter(l, lambda x: NOT list_contains(bad, x)) END AS kept FROM g LEFT JOIN bad ON bad.host = g.host)
 SELECT page_id, host, CASE WHEN l IS NULL THEN 0 ELSE greatest(len(l), 1) END::BIGINT AS n_lines, CASE WHEN l IS NULL THEN 0 ELSE len(l) - len(kept) END::BIGINT AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
 """

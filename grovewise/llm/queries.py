@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.llm import chat, decontaminate, langid, lines, lm, neardup, pieces, quality, sharding, tokencount
+from grovewise.llm.common import stored
 
 SHARDS, TOKEN_LIMIT = 40, 512
 
@@ -68,13 +69,13 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:
-    turns = _table(spark, d, "conversations")
+    turns = chat.numbered(_table(spark, d, "conversations"))
     x = chat.preference_pairs(turns, chat.neighbours(turns))
     return x.withColumn("chosen_mask", chat.spans_text(F.col("chosen_mask"))).withColumn("rejected_mask", chat.spans_text(F.col("rejected_mask")))
 
 
 def op10(spark: SparkSession, d: str) -> DataFrame:
-    pages = _table(spark, d, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.html_text(F.col("html")).alias("text"))
+    pages = stored(_table(spark, d, "pages").select("page_id", lines.host_of(F.col("url")).alias("host"), lines.html_text(F.col("html")).alias("text")), "page-text")
     return lines.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 

@@ -160,6 +160,27 @@ def test_decontamination(spark):
     assert decontaminate.contained(d, b.where("false")).count() == 0
 
 
+def test_decontamination_of_every_window(spark):
+    """Each five-word window of long texts is an item, beside items of other sizes: no link of them is lost."""
+    rng = np.random.default_rng(3)
+    texts = [[f"x{j}" for j in rng.integers(0, 100_000, 2000)] for _ in range(3)]
+    items = {" ".join(t[i : i + k]) for t in texts for k in (5, 8, 9, 14, 30) for i in range(0, len(t) - k + 1, 1 if k == 5 else 7)}
+    d = spark.createDataFrame([(str(i), " ".join(t)) for i, t in enumerate(texts)], "doc_id string, text string")
+    b = spark.createDataFrame(list(enumerate(sorted(items))), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.n_common, r.n_item) for r in decontaminate.contained(d, b).collect()}
+    windows = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = {}
+    for i, t in enumerate(sorted(items)):
+        w = t.split()
+        s = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        for k, x in enumerate(windows):
+            if 100 * len(s & x) >= 80 * len(s):
+                want[str(k), i] = (len(s & x), len(s))
+    assert got == want and len(want) > 7000
+    clash = d.withColumn("_doc", F.lit("a")).withColumn("_hash", F.lit("b"))
+    assert decontaminate.decontaminated(clash, b).count() == 0 and decontaminate.decontaminated(clash, b.where("false")).columns == clash.columns
+
+
 def test_sentencepiece(spark):
     import sentencepiece
 
@@ -253,6 +274,42 @@ def test_language_id(spark):
     assert langid.predict(odd(spark), langid.fit(d.where("false")), "doc_id").where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_forgets_no_language(spark):
+    rows = [(x, f"{x} one text of this language" if i else f"{x} text {j} of many") for i, x in enumerate(("aa", "bb", "cc", "dd", "ee")) for j in range(1500)] + [("ff", "a rare language"), (None, "no label"), ("gg", "½ ² ① Ⅷ 12"), ("hh", None)]
+    d = spark.createDataFrame(rows, "lang string, text string")
+    s = Counter(r.lang for r in langid.sample(d).collect())
+    assert s == {"aa": 1000, "bb": 1, "cc": 1, "dd": 1, "ee": 1, "ff": 1}
+    m = langid.fit(d)
+    assert m.languages == ["aa", "bb", "cc", "dd", "ee", "ff"]
+    assert [x for x, *_ in m.predict(["½", "²²", "①", "Ⅷ", "ab"])][:4] == ["und"] * 4
+
+
+def test_language_is_that_of_the_nearest_centroid(spark):
+    """Cosines by plain loops over n-grams, on the model's own centroids."""
+    d = docs(spark)
+    m = langid.fit(d)
+    for r in langid.predict(d.orderBy("doc_id").limit(60), m, "doc_id", "text").collect():
+        if not langid.has_letter(r.text):
+            continue
+        t = re.sub(rb"[^a-z\x80-\xff]+", b" ", f" {r.text} ".encode().lower())
+        x = np.zeros(langid.DIMENSIONS)
+        for k in (2, 3):
+            for j in range(len(t) - k + 1):
+                h = int.from_bytes(t[j : j + k], "big") + (1 << 24 if k == 3 else 0)
+                x[h * 2654435761 % 2**32 >> 20] += 1
+        x = np.log1p(x) * m.idf
+        cos = (m.centroids @ x) / np.linalg.norm(x)
+        assert r.score == pytest.approx(float(cos.max()), abs=1e-4)
+        assert cos.max() - cos[[m.languages[o] == r.lang_pred for o in m.owner]].max() < 1e-4
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    t = "some words é here, and more. " * 50
+    want = langid.counts(t)
+    monkeypatch.setattr(langid, "PART", 7)
+    assert (langid.counts(t) == want).all()
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
@@ -323,7 +380,7 @@ def test_rare_agreements_lose_no_similar_pair(spark):
     sets = {i: set(zip(t, t[1:])) for i, t in texts.items()}
     alike = lambda x, y: 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])
     members = spark.createDataFrame([(i, i, 0, 0) for i in texts if i], "v long, c long, p long, m long")
-    diffs = neardup.differences(members, docs, 2)
+    diffs = neardup.differences(members, docs.withColumnRenamed("doc_id", "v"), 2)
     assert {r.v: len(r["diff"]) for r in diffs.collect()} == {i: len(sets[i] ^ sets[0]) for i in texts if i}
     got = {(r.x, r.y) for r in neardup.rare_agreements(diffs, 80).collect()}
     far = [i for i in texts if i and not alike(i, 0)]
@@ -339,6 +396,37 @@ def test_near_duplicates_of_repeated_and_missing_ids(spark):
     assert sorted((r.doc_id for r in neardup.deduplicated(d, 2).collect()), key=repr) == [1, 3, None, None]
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    """An id links the classes of all its texts, and each text is compared as it is."""
+    w = " ".join(f"w{i}" for i in range(40))
+    rows = [("1", "aaa aaa aaa bbb"), ("1", w), ("2", w + " extra"), ("3", "aaa aaa aaa bbb"), ("4", "alone"), ("4", ""), ("5", ""), ("6", None)]
+    d = spark.createDataFrame(rows, "doc_id string, text string")
+    out = neardup.near_duplicates(d, 2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in out) == [("1", "1", True)] * 2 + [("2", "1", False), ("3", "1", False)] + [("4", "4", True)] * 2 + [("5", "5", True), ("6", "6", True)]
+    assert sorted(r.doc_id for r in neardup.deduplicated(d.withColumn("_gone", F.lit(1)), 2).collect()) == ["1", "4", "5", "6"]
+
+
+def test_bands_take_different_functions():
+    sig = np.arange(2 * neardup.FUNCTIONS, dtype=np.uint64)
+    base, hit = neardup.band_keys(sig), {}
+    for i in range(len(sig)):
+        x = sig.copy()
+        x[i] += np.uint64(10_000)
+        hit[i] = set(np.flatnonzero(neardup.band_keys(x) != base))
+    assert all(len(h) == 1 for h in hit.values())
+    for b in range(neardup.BANDS):
+        assert len({i % neardup.FUNCTIONS for i, h in hit.items() if b in h}) == neardup.ROWS
+
+
+def test_frequent_keys_meet_the_same_rows(spark):
+    from grovewise.llm.common import join_on_hot
+
+    rows = spark.range(100).select((F.col("id") % 7).alias("k"), "id").unionByName(spark.range(50).select(F.lit(3).cast("long").alias("k"), "id"))
+    sizes = rows.where("k < 6").groupBy("k").agg(F.count("*").alias("n"))
+    want = sorted(map(tuple, rows.join(sizes, "k").collect()))
+    assert all(sorted(map(tuple, join_on_hot(rows, sizes, "k", "n", hot).collect())) == want for hot in (1, 40, 1000))
+
+
 def test_sharding(spark):
     d = spark.range(0, 10_003, 1, 7).select(F.col("id").alias("doc_id"))
     out = sharding.assign(d, 40, [F.col("doc_id")]).collect()
@@ -368,32 +456,50 @@ def test_preference_pairs(spark):
     assert (out[2].n_prefix, out[2].prompt, out[2].rejected) == (0, "", None) and out[2].chosen.endswith("x<|im_end|>\n")
     assert (out[3].n_prefix, out[3].chosen, out[3].rejected) == (1, "", "")
     assert chat.preference_pairs(turns.where("false"), chat.neighbours(turns.where("false"))).count() == 0
+    big = spark.createDataFrame([(2**53 + i, 0, "user", "x") for i in range(4)], "conv_id long, turn long, role string, text string").withColumn("_c", F.lit(1))
+    assert sorted((r.chosen_id, r.rejected_id, r.n_prefix) for r in chat.preference_pairs(big, chat.neighbours(big)).collect()) == [(2**53 + i, 2**53 + i + 1, 1) for i in (0, 2)]
+    named = spark.createDataFrame([("6", 0, "user", "x"), ("7", 0, "user", "x"), ("a", 0, "user", "x")], "conv_id string, turn long, role string, text string")
+    assert [(r.chosen_id, r.n_prefix) for r in chat.preference_pairs(chat.numbered(named), chat.neighbours(named)).collect()] == [(6, 1)]
 
 
-def test_site_lines(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_site_lines(spark, broadcast):
     pages = [(i, "h", f"menu\nbody {i}\n\n menu ") for i in range(20)] + [(30 + i, "h", "copy of a page") for i in range(9)] + [(50, None, "menu"), (51, "h", None), (52, "g", "menu"), (53, "h", "")]
     d = spark.createDataFrame(pages, "page_id long, host string, text string")
-    out = {r.page_id: r for r in lines.drop_boilerplate(d, "host", "text", ratio=0.5).collect()}
-    assert out[3].text == "body 3\n" and (out[3].n_lines, out[3].n_dropped) == (4, 2)
-    assert out[30].text == "copy of a page" and out[50].text == "menu" and out[51].text is None and out[52].text == "menu" and out[53].text == ""
+    for distinct in (False, True):
+        out = {r.page_id: r for r in lines.drop_boilerplate(d, "host", "text", 0.3, distinct=distinct, broadcast=broadcast).collect()}
+        assert out[3].text == "body 3\n" and (out[3].n_lines, out[3].n_dropped) == (4, 2)
+        assert out[30].text == "copy of a page"  # 9 of 30 pages, 0.3 at most
+        assert out[50].text == "menu" and out[51].text is None and out[52].text == "menu" and out[53].text == ""
     assert lines.drop_boilerplate(d.where("false"), "host", "text").count() == 0
 
 
-def test_site_lines_of_hosts_of_any_size(spark):
+@pytest.mark.parametrize("distinct", [False, True])
+def test_site_lines_of_hosts_of_any_size(spark, distinct):
     """Every host size from 1 to 60: a menu on all pages, a line on two pages, and one on a tenth of them and one more."""
     pages = []
     for n in range(1, 61):
         for i in range(n):
             t = ["menu", f"body {n} {i}"] + ["twice"] * (i < 2) + ["tenth"] * (i < n // 10 + 1)
-            pages += [(len(pages), f"h{n}", "\n".join(t))] * (1 + (i == 0))  # a copy of the first page counts once
-    out = {r.page_id: r for r in lines.drop_boilerplate(spark.createDataFrame(pages, "page_id long, host string, text string"), "host", "text").collect()}
-    texts = {h: {t for _, x, t in pages if x == h} for h in {x for _, x, _ in pages}}
+            pages += [(len(pages) + j, f"h{n}", "\n".join(t)) for j in range(1 + (i == 0 and n > 1))]
+    d = spark.createDataFrame(pages, "page_id long, host string, text string")
+    texts = {h: [t for _, x, t in pages if x == h] for h in {x for _, x, _ in pages}}
+    if distinct:  # a copy of the first page counts once
+        texts = {h: set(t) for h, t in texts.items()}
     seen = {h: Counter(s for t in ts for s in set(t.split("\n"))) for h, ts in texts.items()}
     bad = {h: {s for s, k in c.items() if k >= 2 and k > 0.1 * len(texts[h])} for h, c in seen.items()}
-    assert bad["h1"] == set() and bad["h2"] == {"menu", "twice"} and bad["h4"] == {"menu", "twice"} and bad["h20"] == {"menu", "tenth"}
-    for i, h, t in pages:
-        kept = [s for s in t.split("\n") if s not in bad[h]]
-        assert (out[i].text, out[i].n_dropped) == ("\n".join(kept), t.count("\n") + 1 - len(kept)), (h, t)
+    assert bad["h1"] == set() and {"menu", "twice"} <= bad["h2"] and {"menu", "twice"} <= bad["h4"] and {"menu", "tenth"} <= bad["h20"]
+    for broadcast in (10, 100_000):
+        out = {r.page_id: r for r in lines.drop_boilerplate(d, "host", "text", distinct=distinct, broadcast=broadcast).collect()}
+        for i, h, t in pages:
+            kept = [s for s in t.split("\n") if s not in bad[h]]
+            assert (out[i].text, out[i].n_dropped) == ("\n".join(kept), t.count("\n") + 1 - len(kept)), (h, t)
+
+
+def test_page_text(spark):
+    rows = [(1, "HTTPS://u@Ex.org:8/x", "<p>a <b>b</b></p><script>x\n</script>\n c"), (2, "nothing", ""), (3, None, None)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").select("page_id", lines.host_of(F.col("url")).alias("h"), lines.html_text(F.col("html")).alias("t"))
+    assert [tuple(r) for r in d.orderBy("page_id").collect()] == [(1, "ex.org", "a b\nc"), (2, None, ""), (3, None, None)]
 
 
 @pytest.mark.parametrize("rows", [odd, empty])
