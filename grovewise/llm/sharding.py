@@ -4,27 +4,32 @@ How many rows of input partition p go to shard s is drawn before any row moves:
 shuffle are multivariate hypergeometric, and drawing them one partition after another from what
 each shard still takes keeps every shard's size exact. Then rows are permuted inside their partition, the
 first so many go to the first shard and so on, and are permuted again where they arrive. Only
-the partitions' row counts meet on the driver.
+the partitions' row counts meet on the driver, and the matrix goes back as a table, some of its rows at a time.
 
-Large shards are cut into blocks of known size (cells of the same matrix), so that no task orders a whole shard.
+Inside a shard, rows are ordered by a second hash; its leading bits cut the shard into blocks of about BLOCK_ROWS rows, whose
+exact sizes are counted, so that no task orders a whole shard.
 
-Cases: NULLs in any column are hashed like values; repeated rows are told apart only by their place; an
-empty table gives an empty result; columns named like the new ones are an error.
+Cases: NULLs in any column are hashed like values; repeated rows are told apart only by their place; rows that tie in both hashes
+have equal keys, and take whatever order; very long texts are read but not moved, unless the caller keeps them; an
+empty table gives an empty result; all columns pass through, whatever their names, and where one is named shard or slot already, the
+new one, always among the last two, gets a trailing _.
 """
 
 from __future__ import annotations
 
-import json
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows that one task orders after the exchange, and the most cells of the matrix.
-BLOCK_ROWS, MOST_CELLS = 200_000, 20_000_000
-#: The matrix is broadcast up to so many numbers (8 bytes each).
-BROADCAST_NUMBERS = 1_000_000
+from grovewise.llm.common import broadcast_if, fresh, name_of, stored
+
+#: Rows that one task orders after the exchange, about.
+BLOCK_ROWS = 200_000
+#: The matrix is broadcast up to so many numbers (8 bytes each), and written in pieces of so many.
+BROADCAST_NUMBERS, PIECE = 1_000_000, 2_000_000
 
 
 def shard_sizes(rows: int, shards: int) -> np.ndarray:
@@ -32,19 +37,29 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards) + (np.arange(shards) < rows % shards)
 
 
-def cells_of(sizes: np.ndarray, partitions: int) -> np.ndarray:
-    """(shards, blocks): how many rows each block of each shard takes."""
-    blocks = int(max(1, min(-(-int(sizes.max(initial=1)) // BLOCK_ROWS), MOST_CELLS // max(1, partitions * len(sizes)))))
-    return np.stack([shard_sizes(int(n), blocks) for n in sizes]) if len(sizes) else np.zeros((0, blocks), int)
-
-
-def draw(counts: list[int], cells: np.ndarray, seed: int) -> np.ndarray:
-    """(partitions, shards * blocks): row sums are the partitions' counts, column sums the cells' sizes."""
-    rng, left = np.random.default_rng(seed), cells.reshape(-1).astype(np.int64)
-    out = np.zeros((len(counts), left.size), np.int64)
-    for i, n in enumerate(counts):
-        out[i] = rng.multivariate_hypergeometric(left, n, method="marginals") if n else 0
-        left = left - out[i]
+def draw(counts: list[int], sizes: np.ndarray, seed: int) -> Iterator[np.ndarray]:
+    """For each partition, the rows it gives to each shard: they sum to the partition's count, and over partitions to the shards' sizes."""
+    rng, left = np.random.default_rng(seed), sizes.astype(np.int64)
+    for n in counts:
+        out = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
+        left = left - out
+        yield out
+
+
+def matrix(df: DataFrame, found: dict[int, int], shards: int, seed: int, partition: str, ends: str) -> DataFrame:
+    """(partition, ends): where each shard's rows end among a partition's, in a stored table."""
+    parts, spark = sorted(found), df.sparkSession
+    rows = zip(parts, draw([found[p] for p in parts], shard_sizes(sum(found.values()), shards), seed))
+    some, tables = [], []
+    schema = f"{name_of(partition)} int, {name_of(ends)} array<bigint>"
+    for p, n in rows:
+        some.append((p, np.cumsum(n).tolist()))
+        if len(some) * shards >= PIECE:
+            tables.append(stored(spark.createDataFrame(some, schema), "matrix", narrow=True))
+            some = []
+    out = stored(spark.createDataFrame(some, schema), "matrix", narrow=True)
+    for t in tables:
+        out = out.unionByName(t)
     return out
 
 
@@ -54,34 +69,32 @@ def assign(df: DataFrame, shards: int, key: list[Column], seed: int = 0) -> Data
     `key` are columns whose hash orders rows at random; ties keep whatever order, as they hold equal
     keys. The input must deal its rows to partitions alike whenever it is read (files, or an explicit
     repartition by number); a partition that changes fails the job rather than losing rows."""
-    if taken := {"shard", "slot"} & set(df.columns):
-        raise ValueError(f"the input already has {sorted(taken)}")
-    spark = df.sparkSession
-    first, second = (F.xxhash64(F.lit(f"{seed}/{i}"), *key) for i in (1, 2))
-    placed = df.withColumn("_p", F.spark_partition_id()).withColumn("_a", first).withColumn("_b", second)
-    found = {r._p: r.n for r in placed.groupBy("_p").agg(F.count("_a").alias("n")).collect()}
-    parts = sorted(found)
-    cells = cells_of(shard_sizes(sum(found.values()), shards), max(1, len(parts)))
-    matrix = draw([found[p] for p in parts], cells, seed)
-    blocks = cells.shape[1]
-    by = matrix.reshape(len(parts), shards, blocks)
-    rows = [{"_p": p, "_ends": np.cumsum(by[i].sum(1)).tolist(), "_inner": np.cumsum(by[i], axis=1).tolist()} for i, p in enumerate(parts)]
-    table = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), "array<struct<_p:int,_ends:array<bigint>,_inner:array<array<bigint>>>>")).alias("r")).select("r.*")
-    table = F.broadcast(table) if matrix.size <= BROADCAST_NUMBERS else table
-    starts = F.lit(json.dumps((np.cumsum(cells, axis=1) - cells).tolist()))
-    starts = F.from_json(starts, "array<array<bigint>>")
-
-    local = placed.sortWithinPartitions("_a", "_b").withColumn("_j", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-    x = local.join(table, "_p")
-    x = x.withColumn("_s", F.size(F.filter("_ends", lambda e: e <= F.col("_j"))))
-    x = x.withColumn("_j", F.col("_j") - F.when(F.col("_s") > 0, F.get("_ends", F.col("_s") - 1)).otherwise(0))
-    x = x.withColumn("_c", F.size(F.filter(F.get("_inner", F.col("_s")), lambda e: e <= F.col("_j"))))
-    x = x.withColumn("_s", F.when(F.col("_s") < shards, F.col("_s")).otherwise(F.raise_error(F.lit("a partition has more rows than were counted"))))
-    order = F.row_number().over(W.partitionBy("_s", "_c").orderBy("_b", "_a"))
-    x = x.withColumn("slot", F.get(F.get(starts, F.col("_s")), F.col("_c")) + order - 1).withColumn("shard", F.col("_s").cast("int"))
-    return x.select(*df.columns, "shard", F.col("slot").cast("long").alias("slot"))
+    shard, slot, part, one, two, place, ends, block, first, n = fresh(df, "shard", "slot", "_p", "_a", "_b", "_j", "_ends", "_block", "_first", "_n")
+    hashes = (F.xxhash64(F.lit(f"{seed}/{i}"), *key) for i in (1, 2))
+    placed = df.withColumn(part, F.spark_partition_id()).withColumns(dict(zip((one, two), hashes)))
+    found = {r[0]: r[1] for r in placed.groupBy(part).agg(F.count("*").alias(n)).collect()}
+    total = sum(found.values())
+    bits = max(0, int(np.ceil(np.log2(max(1, total // shards) / BLOCK_ROWS))))
+    table = broadcast_if(matrix(df, found, shards, seed, part, ends), len(found) * shards, BROADCAST_NUMBERS)
+
+    # the hashes are computed where rows are read, and the count of a partition's rows is that of its places
+    local = placed.sortWithinPartitions(one, two).withColumn(place, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    x = local.join(table, part)
+    at = F.size(F.filter(F.col(ends), lambda e: e <= F.col(place)))
+    x = x.withColumn(shard, F.when(at < shards, at).otherwise(F.raise_error(F.lit("a partition has more rows than were counted"))).cast("int"))
+    x = x.withColumn(block, F.call_function("shiftrightunsigned", F.col(two), F.lit(64 - bits)) if bits else F.lit(0).cast("long"))
+    order = F.row_number().over(W.partitionBy(shard, block).orderBy(F.col(two), F.col(one)))
+    if not bits:
+        return x.withColumn(slot, (order - 1).cast("long")).select(*map(name_of, df.columns), shard, slot)
+    counts = stored(x.groupBy(shard, block).agg(F.count("*").alias(n)), "blocks", narrow=True)  # shards * rows / BLOCK_ROWS rows
+    before = F.coalesce(F.sum(n).over(W.partitionBy(shard).orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = broadcast_if(counts.select(shard, block, before.alias(first)), counts.count(), BROADCAST_NUMBERS)
+    x = x.withColumn(slot, order).join(offsets, [shard, block]).withColumn(slot, (F.col(slot) + F.col(first) - 1).cast("long"))
+    return x.select(*map(name_of, df.columns), shard, slot)
 
 
 def write_shards(df: DataFrame, path: str, shards: int, key: list[Column], seed: int = 0) -> None:
     """The shards as folders shard=<k>, rows with their slots."""
-    assign(df, shards, key, seed).repartition(F.col("shard"), F.floor(F.col("slot") / BLOCK_ROWS)).write.partitionBy("shard").parquet(path)
+    out = assign(df, shards, key, seed)
+    shard, slot = out.columns[-2:]
+    out.repartition(F.col(shard), F.floor(F.col(slot) / BLOCK_ROWS)).write.partitionBy(shard).parquet(path)

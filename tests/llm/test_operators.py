@@ -427,7 +427,10 @@ def test_frequent_keys_meet_the_same_rows(spark):
     assert all(sorted(map(tuple, join_on_hot(rows, sizes, "k", "n", hot).collect())) == want for hot in (1, 40, 1000))
 
 
-def test_sharding(spark):
+@pytest.mark.parametrize("block", [20, 200_000])
+def test_sharding(spark, monkeypatch, block):
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", block)
+    monkeypatch.setattr(sharding, "PIECE", 100)
     d = spark.range(0, 10_003, 1, 7).select(F.col("id").alias("doc_id"))
     out = sharding.assign(d, 40, [F.col("doc_id")]).collect()
     n = Counter(r.shard for r in out)
@@ -440,10 +443,21 @@ def test_sharding(spark):
     assert sharding.assign(d.where("false"), 40, [F.col("doc_id")]).count() == 0
 
 
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["shard", "slot", "_p", "_a", "_b", "_j", "_ends", "_s", "_c", "_n", "a b"]
+    d = spark.createDataFrame([tuple([i if i % 4 else None] * len(names)) for i in range(90)] * 2, ", ".join(f"`{c}` long" for c in names))
+    out = sharding.assign(d, 7, [F.col("_p")])
+    assert out.columns == [*names, "shard_", "slot_"] and out.select(*(f"`{c}`" for c in names)).exceptAll(d).isEmpty()
+    assert sorted(Counter(r.shard_ for r in out.collect()).values()) == [25] * 2 + [26] * 5
+
+
 def test_communication_matrix():
-    cells = sharding.cells_of(sharding.shard_sizes(1003, 7), 4)
-    m = sharding.draw([3, 0, 500, 500], cells, 1)
-    assert m.sum(1).tolist() == [3, 0, 500, 500] and (m.sum(0) == cells.reshape(-1)).all()
+    sizes = sharding.shard_sizes(1003, 7)
+    m = np.stack(list(sharding.draw([3, 0, 500, 500], sizes, 1)))
+    assert m.sum(1).tolist() == [3, 0, 500, 500] and (m.sum(0) == sizes).all()
+    # one row of a shuffle is hypergeometric: its mean over seeds is in proportion to the shards
+    mean = np.mean([next(sharding.draw([100, 903], sizes, s)) for s in range(300)], axis=0)
+    assert np.abs(mean - 100 / 7).max() < 0.8
 
 
 def test_preference_pairs(spark):
