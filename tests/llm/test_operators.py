@@ -1,5 +1,6 @@
 """Operators against brute force, libraries, and the cases that their docstrings name."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -60,11 +61,47 @@ def test_quality_rejects_planted_outliers(spark):
     assert out[2000].base_failed and out[2001].base_failed and not out[2001].kept and out[2001].n_words == 0
 
 
-def test_mcd_resists_a_third_of_outliers():
+def vectors(spark, groups):
+    rows = [(100, lang, source, *map(float, v)) for (lang, source), x in groups.items() for v in x]
+    return spark.createDataFrame(rows, "n_words long, lang string, source string, " + ", ".join(f"{c} double" for c in quality.NAMES))
+
+
+def test_mcd_is_the_least_determinant(spark):
+    """All halves of small groups, and of large ones with a third of outliers, the good rows."""
     rng = np.random.default_rng(2)
-    x = np.vstack([rng.normal(0, 1, (400, quality.P)), rng.normal(9, 0.1, (180, quality.P))])
-    m, c = quality.mcd(x)
-    assert np.abs(m).max() < 0.4 and 0.4 < np.diag(c).min() and np.diag(c).max() < 2.5
+    scale = np.sqrt(np.diag(quality.FLOOR)) * 3
+    groups = {("en", f"s{k}"): np.vstack([rng.normal(0, 1, (9, quality.P)), rng.normal(9, 0.1, (3, quality.P))]) * scale for k in range(4)}
+    groups["de", None] = np.vstack([rng.normal(0, 1, (6000, quality.P)), rng.normal(9, 0.1, (2500, quality.P))]) * scale
+    got = {r.g: r for r in quality.robust(vectors(spark, groups)).collect()}
+    for k in range(4):
+        x, r = groups["en", f"s{k}"], got[f"2/2:en/2:s{k}"]
+        best = min((np.linalg.slogdet(np.cov(x[list(t)].T, bias=True) + quality.FLOOR)[1], t) for t in itertools.combinations(range(12), 9))
+        assert np.linalg.slogdet(quality.square(r.c))[1] == pytest.approx(best[0], abs=1e-9) and np.allclose(r.m, x[list(best[1])].mean(0))
+    assert np.abs(np.array(got["2/2:de/-"].m) / scale).max() < 0.2 and set(got) == {"0", "1/2:en", "1/2:de", "2/2:de/-", *(f"2/2:en/2:s{k}" for k in range(4))}
+    e = {r.g: r for r in quality.estimates(vectors(spark, groups)).collect()}["2/2:de/-"]
+    spread = np.sqrt(np.diag(np.linalg.inv(quality.square(e.i)))) / scale
+    assert np.abs(np.array(e.m) / scale).max() < 0.2 and 0.7 < spread.min() and spread.max() < 1.5
+
+
+def test_distances_are_those_of_the_estimates(spark, monkeypatch):
+    """Distances and verdicts by numpy, with broadcast groups and without."""
+    d = docs(spark)
+    x = {r.doc_id: r for r in quality.judged(d).collect()}
+    e = {r.g: r for r in quality.estimates(quality.measured(d)).collect()}
+    part = lambda v: "-" if v is None else f"{len(v)}:{v}"
+    limit = quality.chi_square(1 - quality.ALPHA, quality.P)
+    for r in x.values():
+        if r.n_words == 0:
+            assert r.distance is None and not r.kept
+            continue
+        g = e[f"2/{part(r.lang)}/{part(r.source)}"]
+        v = np.array([r[c] for c in quality.NAMES]) - g.m
+        assert r.distance == pytest.approx(v @ quality.square(g.i) @ v, rel=1e-6)
+        assert r.kept == (not r.base_failed and r.distance <= limit)
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    monkeypatch.setattr(quality, "HOT", 5)
+    again = {r.doc_id: r.distance for r in quality.judged(d).collect()}
+    assert all(again[i] == pytest.approx(r.distance, rel=1e-6) for i, r in x.items())
 
 
 def test_language_model(spark):
