@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.llm import decontaminate, lines, neardup, pieces, quality
-from grovewise.llm.common import stored
+from grovewise.llm.common import name_of, stored
 from grovewise.llm.queries import tokenizer_path
 
 
@@ -22,11 +22,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that too many of a source's documents have go; documents stay, with n_chars of what is left."""
-    out = lines.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCS)
+    out = lines.drop_boilerplate(docs, "source", "text", LINE_RATIO, LINE_DOCS, distinct=True)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(out.columns[-1]) > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*map(name_of, docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All columns, each document's ids, their number, and whether they decode to the text."""
     x = pieces.encode(docs, pieces.Model.load(tokenizer_path("piece_bpe_32k.model")), check=True)
-    return x.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
+    return x.select(*map(name_of, docs.columns), "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("SentencePiece encoding and decoding", encoding)]
