@@ -1,22 +1,24 @@
 """Log-bilinear language model, trained in numpy by noise-contrastive estimation (NCE).
 
 The model predicts a word from the two before it: the context vector is the sum of their embeddings, each scaled by position, and
-its product with an output's own vector, plus a bias, is the output's score. The vocabulary grows with the corpus: all words that occur `MIN_COUNT` times or
-more (the `VOCABULARY` most frequent at least), an end token, and one class for all other words; inside that class, words follow their smoothed counts, so
+its product with an output's own vector, plus a bias, is the output's score. The vocabulary grows with the corpus: all words that occur at least sqrt(N) / `GROWTH`
+times among N, so at most `GROWTH` sqrt(N) of them, an end token, and one class for all other words; inside that class, words follow their smoothed counts, so
 every text has a normalised probability.
 
 Vocabulary words are dealt to frequency classes, so that a word's probability is its class's among all classes times its own inside the class, each
 normalised exactly by batched products for the contexts that occur. A class takes words in order of frequency until the roots of their shares add up to one, which makes
 both sums together shortest. NCE trains both steps: classes against noise shared by an update, words against noise from their class.
 
-Word counts are taken over the whole training corpus. Each partition trains on all of its texts from the same start, and the partitions' parameters are
-averaged row by row, by how often a partition has met the row; rounds start from the average.
+Word counts are taken over the whole training corpus. Texts are dealt to learners, as many as the corpus has tokens for (`EACH` for every row of parameters), whatever its partitions. Each
+learner trains on all of its texts from the same start, and the learners' parameters are averaged row by row, by how often a learner has met the row; rounds start from the average.
+So what learners send is in proportion to the corpus, and what one has learned doesn't fade as partitions become more.
 
-Counts of the vocabulary, or of the most frequent words if they are more (`HEAD`), are broadcast; the other words of a text meet their counts in a join. Vectors
+Counts of the vocabulary, or of the most frequent words if they are more (at most `HEAD`), are broadcast; the other words of a text meet their counts in a join. Vectors
 and counts of the vocabulary are held by every worker.
 
 Cases: a NULL text is empty, with the end token only; without training rows all words are unknown and the model is uniform over its vocabulary;
-rows may repeat, ids may repeat or be NULL; very long texts are scored in one pass; extra columns are ignored.
+rows may repeat, ids may repeat or be NULL and are of any type; words of equal count rank by their bytes; very long texts are scored in batches; an empty table gives an empty result;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import mapped, stored
+from grovewise.llm.common import mapped, one_of, stored
 
-#: Least count of a model word, least number of them, head words that are broadcast with their counts, vector length, noise classes of an update, noise words
-#: of a token, tokens per update, tokens scored at once, rows per block of parameters.
-MIN_COUNT, VOCABULARY, HEAD, WIDTH, NOISE, INNER, UPDATE, BATCH, BLOCK = 50, 1022, 100_000, 16, 32, 2, 4096, 65_536, 8192
+#: Most model words for the root of the number of words, head words that are broadcast with their counts, vector length, noise classes of an update, noise words
+#: of a token, tokens per update, tokens scored at once, rows per block of parameters, a learner's tokens for each row of parameters.
+GROWTH, HEAD, WIDTH, NOISE, INNER, UPDATE, BATCH, BLOCK, EACH = 40, 100_000, 16, 32, 2, 4096, 65_536, 8192, 128
 ROUNDS, RATE = 1, 0.1
+#: Scores that are made at once, which fit a core's cache.
+CELLS = 80_000
 FLUSH = 200_000
 
 
@@ -74,10 +78,10 @@ class Parameters:
     bias: np.ndarray
 
     @staticmethod
-    def start(p: np.ndarray, width: int = WIDTH, seed: int = 1, contexts: int | None = None) -> Parameters:
-        """p: shares of the outputs; without `contexts`, these are the words of a model without classes."""
+    def start(p: np.ndarray, contexts: int, width: int = WIDTH, seed: int = 1) -> Parameters:
+        """p: shares of the outputs."""
         rng, v = np.random.default_rng(seed), len(p)
-        return Parameters(rng.normal(0, 0.1, (contexts or v + 1, width)).astype(np.float32), np.ones((2, width), np.float32), rng.normal(0, 0.1, (v, width)).astype(np.float32), np.log(p).astype(np.float32))
+        return Parameters(rng.normal(0, 0.1, (contexts, width)).astype(np.float32), np.ones((2, width), np.float32), rng.normal(0, 0.1, (v, width)).astype(np.float32), np.log(p).astype(np.float32))
 
     def rows(self) -> np.ndarray:
         """All parameters as rows: contexts, scales, outputs; the last column is an output's bias."""
@@ -129,7 +133,7 @@ class Classes:
         return np.concatenate([top / top.sum(), (c / top[self.tops])[:-2]])
 
     def start(self) -> Parameters:
-        return Parameters.start(self.shares, contexts=self.n_words + 3)
+        return Parameters.start(self.shares, self.n_words + 3)
 
 
 def stream(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,13 +145,22 @@ def stream(ids: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
     return one, two
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place; the exponential of a large number is infinite, and its inverse 0."""
+    with np.errstate(over="ignore"):
+        np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 class Trainer:
-    """NCE with top noise shared by an update and words' noise drawn evenly from their class, and Adagrad steps."""
+    """NCE with top noise shared by an update and words' noise from their class, both by their shares, and Adagrad steps."""
 
     def __init__(self, p: Parameters, classes: Classes, seed: int):
         self.p, self.rng = p, np.random.default_rng(seed)
         self.tops, self.sizes, self.bounds, self.n_words = classes.tops, classes.sizes, classes.bounds, classes.n_words
         self.n_top = len(self.sizes) + 2
+        self.log_share = np.log(INNER * classes.shares[self.n_top :]).astype(np.float32)
         noise = classes.shares[: self.n_top]
         self.cdf, self.log_noise = np.cumsum(noise), np.log(noise * NOISE).astype(np.float32)
         past = lambda x, a: np.full_like(x, a)
@@ -166,18 +179,24 @@ class Trainer:
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), n - 1)
         t, tn = p.word[top], p.word[noise]
         pos = np.einsum("ij,ij->i", q, t) + p.bias[top] - self.log_noise[top]
-        neg = q @ tn.T + p.bias[noise] - self.log_noise[noise]
-        g = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
-        gn = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
+        neg = q @ tn.T
+        neg += p.bias[noise] - self.log_noise[noise]
+        g = _sigmoid(-pos)
+        gn = np.negative(_sigmoid(neg), out=neg)
         dq = g[:, None] * t + gn @ tn
         u, rows, _ = self._sum(np.concatenate([top, noise]), np.concatenate([np.column_stack([g[:, None] * q, g]), np.column_stack([gn.T @ q, gn.sum(0)])]))
         dtop = np.zeros((n, width + 1), np.float32)
         dtop[u] = rows / k
         self._inner(w, top, q, dq)
         dscale = np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]) / k
-        u, rows, hits = self._sum(np.concatenate([one, two]), np.concatenate([dq * p.scale[0], dq * p.scale[1]]))
-        self.past_context[u] += rows * rows
-        p.context[u] += RATE * rows / np.sqrt(self.past_context[u])
+        # a word is two before a token where it is one before the token before
+        near, far = dq * p.scale[0], dq * p.scale[1]
+        same = np.append(False, two[1:] == one[:-1])
+        near[np.flatnonzero(same) - 1] += far[same]
+        u, rows, hits = self._sum(np.concatenate([one, two[~same]]), np.concatenate([near, far[~same]]))
+        past = self.past_context[u] + rows * rows
+        self.past_context[u] = past
+        p.context[u] += RATE * rows / np.sqrt(past)
         self.context_hits[u] += hits
         for x, d, past in ((p.scale, dscale, self.past_scale), (p.word[:n], dtop[:, :width], self.past_top), (p.bias[:n], dtop[:, width], self.past_top_bias)):
             past += d * d
@@ -185,29 +204,46 @@ class Trainer:
         self.seen += k
 
     def _inner(self, w: np.ndarray, top: np.ndarray, q: np.ndarray, dq: np.ndarray) -> None:
-        """Words inside their classes; adds to dq. Classes of one word have nothing to learn."""
+        """Words inside their classes; adds to dq. Classes of one word have nothing to learn.
+
+        A token's noise words are the words of other tokens of its class in the update, by turns of the class's tokens, so noise follows the
+        words' own shares and takes no rows but those of the update's words."""
         at = np.flatnonzero(w < self.n_words)
         at = at[self.sizes[top[at]] > 1]
         if not len(at):
             return
+        at = at[np.argsort(w[at])]  # by word, and so by class
         p, n, width = self.p, self.n_top, self.p.word.shape[1]
-        q, c, size = q[at], top[at], self.sizes[top[at]]
-        noise = self.bounds[c][:, None] + (self.rng.random((len(at), INNER)) * size[:, None]).astype(np.int64)
-        ids = np.column_stack([w[at], noise])
-        x = p.word[n + ids]
-        s = np.einsum("ij,ikj->ik", q, x) + p.bias[n + ids] - np.log(INNER / size).astype(np.float32)[:, None]
-        g = -1 / (1 + np.exp(-np.clip(s, -30, 30)))
-        g[:, 0] += 1
-        dq[at] += np.einsum("ik,ikj->ij", g, x)
-        rows = np.empty((*ids.shape, width + 1), np.float32)
-        np.multiply(g[:, :, None], q[:, None, :], out=rows[:, :, :width])
-        rows[:, :, width] = g
-        u, rows, hits = self._sum(ids.ravel(), rows.reshape(-1, width + 1))
-        self.past_word[u] += rows * rows
-        step = RATE * rows / np.sqrt(self.past_word[u])
-        p.word[n + u] += step[:, :width]
-        p.bias[n + u] += step[:, width]
-        self.word_hits[u] += hits
+        ids, q, c = w[at], q[at], top[at]
+        first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
+        size = np.diff(np.append(first, len(c)))
+        start, size = np.repeat(first, size), np.repeat(size, size)
+        place = np.arange(len(at)) - start
+        x, bias = p.word[n + ids], p.bias[n + ids]
+        known = bias - self.log_share[ids]
+        g = _sigmoid(np.einsum("ij,ij->i", x, q) + known)
+        g -= 1
+        rows, back = np.empty((len(at), width + 1), np.float32), g[:, None] * x
+        np.multiply(g[:, None], q, out=rows[:, :width])
+        rows[:, width] = g
+        for u in self.rng.random(INNER):
+            turn = (u * size).astype(np.int64)
+            to, fro = start + (place + turn) % size, start + (place - turn) % size
+            other = x[to]
+            h = _sigmoid(np.einsum("ij,ij->i", other, q) + known[to])
+            back += h[:, None] * other
+            h = h[fro]
+            rows[:, :width] += h[:, None] * q[fro]
+            rows[:, width] += h
+        dq[at] -= back
+        u = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids, rows, hits = ids[u], -np.add.reduceat(rows, u, axis=0), np.diff(np.append(u, len(ids)))
+        past = self.past_word[ids] + rows * rows
+        self.past_word[ids] = past
+        rows *= RATE / np.sqrt(past)
+        p.word[n + ids] += rows[:, :width]
+        p.bias[n + ids] += rows[:, width]
+        self.word_hits[ids] += hits
 
     @property
     def hits(self) -> np.ndarray:
@@ -217,7 +253,7 @@ class Trainer:
     @staticmethod
     def _sum(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct ids, their rows added up, and how many there were."""
-        order = np.argsort(ids, kind="stable")
+        order = np.argsort(ids)
         s = ids[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         return s[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.append(first, len(s)))
@@ -237,15 +273,26 @@ class Vocabulary:
     other_types: int
 
 
-def vocabulary(counts: DataFrame, train_docs: int, min_count: int = MIN_COUNT) -> Vocabulary:
-    """The end token is counted with N and V; words by count, ties by word."""
-    s = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") >= min_count).alias("often")).first()
-    head = (counts.where(F.col("n") >= min_count) if s.often >= HEAD else counts.orderBy(F.desc("n"), "word").limit(HEAD)).select("word", "n").toArrow()
-    head = head.sort_by([("n", "descending"), ("word", "ascending")])
-    n = head.column("n").to_numpy()
-    v = min(max(s.often, VOCABULARY), len(n))
-    other = s.n - int(n[:v].sum())
-    return Vocabulary({w: i for i, w in enumerate(head.column("word").to_pylist())}, n, Classes.of_counts(n[:v], train_docs, other), s.n + train_docs, s.v + (train_docs > 0), train_docs, other, s.v - v)
+def vocabulary(counts: DataFrame, train_docs: int) -> Vocabulary:
+    """The end token is counted with N and V; words by count, ties by word.
+
+    The head is found by a histogram of counts, 16 bins for each power of two, so that no task orders the words."""
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("v"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("b")).collect()
+    n, types = sum(r.n for r in bins), sum(r.v for r in bins)
+    least, head, at = math.sqrt(n) / GROWTH, 0, math.inf
+    for r in bins:
+        head += r.v
+        if head <= HEAD:
+            at = r.least
+    table = counts.where(F.col("n") >= min(least, at)).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    k = table.column("n").to_numpy()
+    v = int((k >= least).sum())
+    other = n - int(k[:v].sum())
+    return Vocabulary({w: i for i, w in enumerate(table.column("word").to_pylist())}, k, Classes.of_counts(k[:v], train_docs, other), n + train_docs, types + (train_docs > 0), train_docs, other, types - v)
+
+
+def learners(v: Vocabulary) -> int:
+    return max(1, v.total // (EACH * (2 * v.classes.n_words + len(v.classes.bounds))))
 
 
 def ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
@@ -282,9 +329,9 @@ def average(grown: DataFrame, start: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
-    """Every partition trains on all its texts; parameters are averaged inside Spark."""
+    """Every learner trains on all its texts; parameters are averaged inside Spark."""
     p = v.classes.start()
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, docs.select("text").coalesce(learners(v))
     for r in range(rounds):
         shared = spark.sparkContext.broadcast((p, v.index, v.classes))
 
@@ -315,29 +362,10 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
                     if len(ids):
                         yield pa.RecordBatch.from_arrays([pa.array([i // BLOCK], pa.int32())] + [pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int32), rows[i + ids], hits[i + ids])], names=["block", "ids", "x", "hits"])
 
-        p = Parameters.of(average(mapped(docs.select("text"), run, "block int, ids binary, x binary, hits binary"), p.rows()), len(p.context))
+        p = Parameters.of(average(mapped(docs, run, "block int, ids binary, x binary, hits binary"), p.rows()), len(p.context))
     return p
 
 
-def log_normalisers(p: Parameters, one: np.ndarray) -> np.ndarray:
-    """(len(one), contexts): log of the sum over all words of a model without classes, for every word two back, by matrix products."""
-    out = np.empty((len(one), len(p.context)), np.float32)
-    far = p.context * p.scale[1]
-    for i, c in enumerate(one):
-        s = (far + p.context[c] * p.scale[0]) @ p.word.T + p.bias
-        m = s.max(1)
-        out[i] = m + np.log(np.exp(s - m[:, None]).sum(1))
-    return out
-
-
-class Scorer:
-    """Scores of a model without classes by look-up: two tables of products, the biases, and the normalisers of all contexts."""
-
-    def __init__(self, p: Parameters, z: np.ndarray):
-        self.one, self.two = ((p.context * p.scale[i]) @ p.word.T for i in (0, 1))
-        self.bias, self.z = p.bias, z
-
-
 class ClassScorer:
     """Natural log probabilities of ids after contexts."""
 
@@ -350,26 +378,32 @@ class ClassScorer:
 
     @staticmethod
     def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log of each row's softmax at one place; overwrites s."""
+        """Log of each row's softmax at one place; overwrites s. Rows are scaled by their maximum only where the plain sum leaves a float's range."""
+        rows = np.arange(len(s))
+        own = s[rows, at]
+        if s.max() < 80:
+            e = np.exp(s)
+            sums = e @ np.ones(s.shape[1], np.float32)
+            if sums.min() > 1e-30:
+                return own - np.log(sums)
         m = s.max(1)
-        own = s[np.arange(len(s)), at] - m
         s -= m[:, None]
         np.exp(s, out=s)
-        return own - np.log(s.sum(1))
+        return own - m - np.log(s.sum(1))
 
     def log_p(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         q, top = self.one[one] + self.two[two], self.tops[ids]
         out = np.empty(len(ids), np.float32)
-        for i in range(0, len(ids), 2048):
-            j = slice(i, i + 2048)
-            s = q[j] @ self.top
+        step = max(1, CELLS // len(self.top_bias))
+        for i in range(0, len(ids), step):
+            s = q[i : i + step] @ self.top
             s += self.top_bias
-            out[j] = self._log_share(s, top[j])
+            out[i : i + step] = self._log_share(s, top[i : i + step])
         order = np.argsort(top, kind="stable")
         ends = np.searchsorted(top[order], np.arange(len(self.sizes) + 1))
         for c in np.flatnonzero((np.diff(ends) > 0) & (self.sizes > 1)):
             a, b = self.bounds[c], self.bounds[c + 1]
-            rows, most = order[ends[c] : ends[c + 1]], max(1, 1_000_000 // (b - a))
+            rows, most = order[ends[c] : ends[c + 1]], max(1, CELLS // (b - a))
             for i in range(0, len(rows), most):
                 r = rows[i : i + most]
                 s = q[r] @ self.word[a:b].T
@@ -387,6 +421,7 @@ class ClassScorer:
 
 def scored(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of (doc_id, text)."""
+    one_of(docs, "doc_id", "text")
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", training.alias("_train"))
     learn = marked.where("_train")
