@@ -3,9 +3,8 @@
 A text is its set of distinct word shingles. Equal sets are one class at once. Each class has a signature that keeps both the least and
 the largest value under every hash function, so half as many functions fill it; bands of it propose pairs.
 
-In each bucket of a band all members are compared with the least one only, on full sets. In buckets that are not connected then, members
-outside the largest component are compared with a few of its members. In buckets still not
-connected, members are held against a centre of the largest component: what their sets do not share with it is small, and two sets that are similar
+In each bucket of a band all members are compared with the least one only, on full sets; classes are numbered in order of their least ids, so that an original is mostly less than its copies.
+In buckets that are not connected then, members are held against a centre of the largest component: what their sets do not share with it is small, and two sets that are similar
 agree on rare parts of it, which an equi-join finds without loss. No bucket is expanded into all pairs.
 
 Classes of equal sets are the vertices, under numbers of their own, so ids may be of any type that has an order. A class is sketched once, and compared by the text
@@ -35,8 +34,6 @@ FUNCTIONS = BANDS * ROWS // 2
 BROADCAST_IDS = 500_000
 #: A set or a key with so many rows is broadcast to them.
 HOT = 1000
-#: Members of the largest component that those outside it are compared with, before what is left is compared in full.
-PIVOTS = 6
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, FUNCTIONS, np.uint64)
@@ -161,23 +158,16 @@ def differences(members: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     return mapped(both, run, "v long, c long, p long, m long, n long, n_m long, diff array<long>")
 
 
-def _largest(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes by (key, c), with pivots; and each key's largest component with its pivots and the key's number of rows."""
-    pivots = [F.min_by("v", F.xxhash64(F.lit(i), "v")).alias(f"p{i}") for i in range(PIVOTS)]
-    sizes = stored(placed.groupBy("key", "c").agg(F.count("*").alias("_n"), *pivots), "sizes", narrow=True)
-    best = F.max_by(F.struct("c", F.array(*(f"p{i}" for i in range(PIVOTS))).alias("p")), F.struct("_n", "c"))
-    return sizes, stored(sizes.groupBy("key").agg(best.alias("b"), F.sum("_n").alias("_rows")), "largest", narrow=True)
-
-
 def centred(placed: DataFrame) -> DataFrame:
     """(v, c, p, m): for each member of an open bucket, the bucket's largest component p and the centre m of p.
 
     The centre is the member that shares most keys of open buckets with members of its component."""
-    sizes, largest = _largest(placed)
+    sizes = stored(placed.groupBy("key", "c").agg(F.count("*").alias("_n")), "sizes", narrow=True)
+    largest = stored(sizes.groupBy("key").agg(F.max_by("c", F.struct("_n", "c")).alias("p"), F.sum("_n").alias("_rows")), "largest", narrow=True)
     both = F.struct("key", "c")
     score = join_on_hot(placed.withColumn("at", both), sizes.select(both.alias("at"), "_n"), "at", "_n", HOT).groupBy("c", "v").agg(F.sum("_n").alias("_s"))
     centre = score.groupBy(F.col("c").alias("p")).agg(F.max_by("v", F.struct("_s", "v")).alias("m"))
-    return join_on_hot(placed, largest.select("key", F.col("b.c").alias("p"), "_rows"), "key", "_rows", HOT).select("v", "c", "p").distinct().join(centre, "p").where("v <> m").select("v", "c", "p", "m")
+    return join_on_hot(placed, largest, "key", "_rows", HOT).select("v", "c", "p").distinct().join(centre, "p").where("v <> m").select("v", "c", "p", "m")
 
 
 def rare_agreements(diffs: DataFrame, percent: int) -> DataFrame:
@@ -238,16 +228,9 @@ def _class_links(sig: DataFrame, classes: DataFrame, size: int, percent: int, do
     similar = f"100 * common >= {percent} * total"
     links = tested.where(similar).select("x", "y")
 
-    # buckets that one comparison per member leaves in several components: compare the members outside each
-    # bucket's largest one with a few of its members, whose order is the same in all buckets
+    # buckets that one comparison per member leaves in several components: members' differences from a centre of the bucket's largest
+    # component, and pairs that agree on enough of them
     placed = _open(buckets.select("key", "v"), components(links))
-    asked = join_on_hot(placed, _largest(placed)[1], "key", "_rows", HOT).where("c <> b.c").select("v", F.explode("b.p").alias("p")).select(F.least("v", "p").alias("x"), F.greatest("v", "p").alias("y")).distinct()
-    second = stored(similarities(asked.join(tested.select("x", "y"), ["x", "y"], "left_anti"), texts, size), "tested")
-    links = links.unionByName(second.where(similar).select("x", "y"))
-    tested = tested.unionByName(second)
-
-    # what is still open: members' differences from a centre of the bucket's largest component, and pairs that agree on enough of them
-    placed = _open(placed.drop("c"), components(links))
     diffs = stored(differences(centred(placed), texts, size), "differences")
     central = diffs.where(f"{100 + percent} * size(diff) <= {100 - percent} * (n + n_m)").select(F.least("v", "m").alias("x"), F.greatest("v", "m").alias("y"))
     more = stored(rare_agreements(diffs, percent).join(tested.select("x", "y"), ["x", "y"], "left_anti"), "pairs", narrow=True)
@@ -264,7 +247,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     sig = stored(signatures(docs, size), "signatures")
     some = sig.where("doc_id IS NOT NULL AND n_shingles > 0")
     least = F.min(F.struct("doc_id", "t")).alias("first")
-    classes = stored(some.groupBy("hi", "lo").agg(least, F.count("*").alias("_n")).withColumn("v", F.monotonically_increasing_id()), "classes", narrow=True)
+    classes = stored(some.groupBy("hi", "lo").agg(least, F.count("*").alias("_n")).orderBy("first").withColumn("v", F.monotonically_increasing_id()), "classes", narrow=True)
     links = _class_links(some, classes, size, percent, docs)
 
     both = F.struct("hi", "lo")
