@@ -6,6 +6,7 @@ lineage and kept for the life of the object.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,6 +41,36 @@ class Forest:
         t, meta = archive.load(spark, path, "tables")
         return cls(TreeTables(t["nodes"], t["edges"], t["sites"], t["mutations"], meta["sequence_length"]), layout)
 
+    @staticmethod
+    def load_dag(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+        """dag_edges, dag_roots and node_map as saved."""
+        return archive.load(spark, path, "dag")[0]
+
+    @staticmethod
+    def load_bp(spark: SparkSession, path: str) -> DataFrame:
+        return archive.load(spark, path, "bp")[0]["bp_tokens"]
+
+    @staticmethod
+    def load_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+        """Sites and the mutations with their states."""
+        t = archive.load(spark, path, "sequence")[0]
+        return t["sites"], t["seq_mutations"]
+
+    @classmethod
+    def load_compressed(cls, spark: SparkSession, path: str, dag: str, seq: str | None = None) -> Forest:
+        """A forest with the layout 'dag' whose compression, and sequence, are read instead of made: path holds its tables."""
+        f = cls.load(spark, path, "dag")
+        f.__dict__.update(cls.load_dag(spark, dag))
+        if seq:
+            f.__dict__["seq_mutations"] = cls.load_sequence(spark, seq)[1]
+        return f
+
+    def fold_sites(self, rule: Rule, merge: Callable[[Column], Column], name: str) -> DataFrame:
+        """(site_id, name): a user's fold over each site's allele counts, an array of (state, is_ancestral, n) in order of states."""
+        c = self.allele_counts([rule]).withColumnRenamed("n_0", "n")
+        listed = c.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("state", "is_ancestral", "n"))).alias("counts"))
+        return listed.select("site_id", merge(F.col("counts")).alias(name))
+
     def save_dag(self, path: str) -> None:
         archive.save(path, "dag", {"dag_edges": self.dag_edges, "dag_roots": self.dag_roots, "node_map": self.node_map})
 

@@ -17,10 +17,6 @@ def leaf_hash(sample: Column) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), sample), F.xxhash64(F.lit(2), sample)
 
 
-def inner_hash(hi: Column, lo: Column) -> tuple[Column, Column]:
-    return F.xxhash64(F.lit(3), F.bit_xor(hi), F.bit_xor(lo)), F.xxhash64(F.lit(4), F.bit_xor(lo), F.bit_xor(hi))
-
-
 def subtree_hashes(tree_edges: DataFrame, samples: DataFrame) -> DataFrame:
     """(tree_id, node, height, hi, lo): one level of parents a round, each once all its children are hashed."""
     hi, lo = leaf_hash(F.col("sample_id"))

@@ -6,6 +6,7 @@ results do not depend on how rows are partitioned. Undefined ratios are NULL.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,17 +49,27 @@ def afs(counts: DataFrame, n: int, a: str = "n_0") -> DataFrame:
     return spine.join(bins, "num_derived", "left").select("num_derived", F.coalesce("k", F.lit(0)).alias("num_sites"))
 
 
+def tajimas_constants(n: int) -> dict[str, float]:
+    """The constants of Tajima's 1989 test for n >= 2 sequences, under the names of the paper."""
+    k = {"a1": math.fsum(1 / i for i in range(1, n)), "a2": math.fsum(i**-2 for i in range(1, n)), "b1": (n + 1) / (3 * (n - 1)), "b2": 2 * (n**2 + n + 3) / (9 * n * (n - 1))}
+    k["c1"] = k["b1"] - 1 / k["a1"]
+    k["c2"] = k["b2"] - (n + 2) / (k["a1"] * n) + k["a2"] / k["a1"] ** 2
+    return {**k, "e1": k["c1"] / k["a1"], "e2": k["c2"] / (k["a1"] ** 2 + k["a2"])}
+
+
 def tajimas_d(counts: DataFrame, n: int, a: str = "n_0") -> DataFrame:
-    """One row: tajimas_d; NULL without segregating sites or with fewer than two samples."""
-    both = diversity(counts, n, a).select(F.col("diversity").alias("t")).join(segregating_sites(counts, a).select(F.col("segregating_sites").cast("double").alias("s")), F.lit(True))
+    """One row: tajimas_d, the mean number of differences less Watterson's estimate over the standard deviation of both;
+    NULL without segregating sites or with fewer than two samples."""
     if n < 2:
-        return both.select(F.lit(None).cast("double").alias("tajimas_d"))
-    h = sum(1.0 / i for i in range(1, n))
-    g = sum(1.0 / (i * i) for i in range(1, n))
-    first = (n + 1) / (3 * (n - 1) * h) - 1 / (h * h)
-    second = (2 * (n * n + n + 3) / (9 * n * (n - 1)) - (n + 2) / (h * n) + g / (h * h)) / (h * h + g)
-    t, s = F.col("t"), F.col("s")
-    return both.select(F.when(s > 0, (t - s / h) / F.sqrt(first * s + second * s * (s - 1))).alias("tajimas_d"))
+        return counts.agg(F.lit(None).cast("double").alias("tajimas_d"))
+    k = tajimas_constants(n)
+    # one row per site: its share of the mean number of differences, and its segregating states
+    c = F.col(a)
+    site = counts.where(c > 0).groupBy("site_id").agg(F.sum(_product(c, n - c)).alias("differences"), (F.count("*") - 1).alias("states"))
+    both = site.agg((F.sum("differences").cast("double") / float(n * (n - 1))).alias("pi"), F.sum("states").cast("double").alias("seg"))
+    seg = F.col("seg")
+    deviation = F.sqrt(k["e1"] * seg + k["e2"] * seg * (seg - 1))
+    return both.select(F.when(seg > 0, (F.col("pi") - seg / k["a1"]) / deviation).alias("tajimas_d"))
 
 
 def fst(counts: DataFrame, n_a: int, n_b: int, a: str = "n_0", b: str = "n_1") -> DataFrame:

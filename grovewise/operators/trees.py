@@ -54,10 +54,11 @@ def roots(tree_edges: DataFrame) -> DataFrame:
     return parents.join(children, ["tree_id", "node"], "left_anti")
 
 
-def children(tree_edges: DataFrame, parent: int) -> DataFrame:
-    """(tree_id, position, child): the children of one node in each tree, from left to right."""
-    left_to_right = W.partitionBy("tree_id").orderBy("child")
-    return tree_edges.where(F.col("parent") == parent).select("tree_id", (F.row_number().over(left_to_right) - 1).alias("position"), "child")
+def children(tree_edges: DataFrame, parent: int | None = None) -> DataFrame:
+    """(tree_id, parent, position, child): the children of each node, or of one, in each tree, from left to right."""
+    left_to_right = W.partitionBy("tree_id", "parent").orderBy("child")
+    e = tree_edges if parent is None else tree_edges.where(F.col("parent") == parent)
+    return e.select("tree_id", "parent", (F.row_number().over(left_to_right) - 1).alias("position"), "child")
 
 
 def node_summary(tree_edges: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def invalidated_nodes(edges: DataFrame, trees: DataFrame, tree_edges: DataFrame)
 
 def paths(tree_edges: DataFrame) -> DataFrame:
     """(tree_id, node, parent, depth, path): the root-to-node path as a string that sorts in preorder, children by id."""
-    key = lambda c: F.lpad(F.col(c).cast("string"), 12, "0")
+    key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
     level = cut(roots(tree_edges).select("tree_id", "node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), key("node").alias("path")))
     out = level
     while not level.isEmpty():

@@ -13,7 +13,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session; a temporary one is set only where none is named (local tests)."""
     here = spark.sparkContext.getCheckpointDir()
     if here is None:
-        here = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grovewise-")
+        here = spark.conf.get("spark.checkpoint.dir", None)
+        if not here and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        here = here or tempfile.mkdtemp(prefix="grovewise-")
         spark.sparkContext.setCheckpointDir(here)
     return here
 

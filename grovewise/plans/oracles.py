@@ -45,6 +45,11 @@ inv AS (SELECT * FROM inv0 UNION SELECT te.tree_id, te.parent FROM inv0 JOIN te
   UNION SELECT t2.tree_id, t2.parent FROM inv0 JOIN te ON te.tree_id = inv0.tree_id AND te.child = inv0.node JOIN te t2 ON t2.tree_id = te.tree_id AND t2.child = te.parent
   UNION SELECT t3.tree_id, t3.parent FROM inv0 JOIN te ON te.tree_id = inv0.tree_id AND te.child = inv0.node JOIN te t2 ON t2.tree_id = te.tree_id AND t2.child = te.parent JOIN te t3 ON t3.tree_id = t2.tree_id AND t3.child = t2.parent)
 """
+_BP = """,
+bpx AS (SELECT key.*, h, row_number() OVER (PARTITION BY coalesce(h, key.node::VARCHAR) ORDER BY key.tree_id, path || '~') = 1 AS new FROM key LEFT JOIN hk ON hk.tree_id = key.tree_id AND hk.node = key.node),
+bpn AS (SELECT x.* FROM bpx x LEFT JOIN te ON te.tree_id = x.tree_id AND te.child = x.node LEFT JOIN bpx y ON y.tree_id = x.tree_id AND y.node = te.parent WHERE x.new OR x.lvl = 'r' OR y.new),
+bpi AS (SELECT h, row_number() OVER (ORDER BY tree_id, path || '~') - 1 + n AS id FROM bpn, n WHERE new AND lvl <> 's')
+"""
 _BENCH = """
 res AS (SELECT event_type AS section, (user_id % 3)::VARCHAR AS variant, 'c' || (event_id % 2) AS collection, (event_id % 3)::INT AS chromosome, value FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
 sm AS (SELECT section, variant, collection, chromosome, 'walltime' AS variable, quantile_cont(value, 0.5) AS median, min(value) AS mi, max(value) AS ma, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.9) AS q90, stddev_samp(value) AS sd FROM res GROUP BY ALL),
@@ -72,7 +77,7 @@ ORACLES = {
     "site_to_tree": _q("SELECT site_id, tree_id FROM sites"),
     "tree_roots": _q("SELECT DISTINCT tree_id, root AS node FROM anc"),
     "node_summary": _q("SELECT tree_id, node, max(parent) AS parent, sum(k)::BIGINT AS num_children FROM (SELECT tree_id, child AS node, parent, 0 AS k FROM te UNION ALL SELECT tree_id, parent, NULL, 1 FROM te) GROUP BY ALL"),
-    "children": _q("SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY child) - 1 AS position, child FROM te, n WHERE parent = n + 3"),
+    "children": _q("SELECT tree_id, parent, row_number() OVER (PARTITION BY tree_id, parent ORDER BY child) - 1 AS position, child FROM te"),
     "mutation_parent_state": _q("SELECT mutation_id, site_id, tree_id, node, parent_state, state AS derived_state FROM mp"),
     "mutation_ranges": _q("SELECT site_id, min(mutation_id) AS first_mutation, count(*) AS num_mutations FROM mut GROUP BY site_id"),
     "ancestral_states": _q("SELECT site_id, anc AS ancestral_state, CASE anc WHEN 'A' THEN 0 WHEN 'C' THEN 1 WHEN 'T' THEN 2 ELSE 3 END AS state_index FROM sites"),
@@ -89,7 +94,9 @@ ORACLES = {
     "divergence": _stat("divergence", "a * (nb - b)", "na * nb"),
     "segregating_sites": _q("SELECT (count(*) - count(DISTINCT site_id))::BIGINT AS segregating_sites FROM ac"),
     "afs": _q("SELECT i AS num_derived, count(c) AS num_sites FROM (SELECT unnest(range(n + 1)) AS i FROM sz) LEFT JOIN ac ON c = i AND NOT is_ancestral GROUP BY i"),
-    "tajimas_d": _q("SELECT round((t - s / h) / sqrt(a * s + b / (h * h + g) * s * (s - 1)), 9) AS tajimas_d FROM (SELECT *, (n + 1) / (3 * (n - 1) * h) - 1 / (h * h) AS a, 2 * (n * n + n + 3) / (9 * n * (n - 1)) - (n + 2) / (h * n) + g / (h * h) AS b FROM (SELECT n::DOUBLE AS n, (SELECT sum(c * (n - c)) FROM ac, sz)::DOUBLE / (n * (n - 1)) AS t, (SELECT count(*) - count(DISTINCT site_id) FROM ac)::DOUBLE AS s, (SELECT sum(1.0::DOUBLE / i) FROM (SELECT unnest(range(1, n)) AS i FROM sz)) AS h, (SELECT sum(1.0::DOUBLE / (i * i)) FROM (SELECT unnest(range(1, n)) AS i FROM sz)) AS g FROM sz))"),
+    "tajimas_d": _q("""SELECT round((pi - seg / a1) / sqrt((b1 - 1 / a1) / a1 * seg + (b2 - (n + 2) / (a1 * n) + a2 / (a1 * a1)) / (a1 * a1 + a2) * seg * (seg - 1)), 9) AS tajimas_d FROM
+  (SELECT n::DOUBLE AS n, (n + 1)::DOUBLE / (3 * (n - 1)) AS b1, 2::DOUBLE * (n * n + n + 3) / (9 * n * (n - 1)) AS b2, list_sum(list_transform(range(1, n), lambda i: 1::DOUBLE / i)) AS a1, list_sum(list_transform(range(1, n), lambda i: 1::DOUBLE / (i * i))) AS a2 FROM sz),
+  (SELECT sum(pairs) / (any_value(n) * (any_value(n) - 1) / 2) AS pi, sum(states - 1)::DOUBLE AS seg FROM (SELECT site_id, count(*) AS states, (any_value(n) * any_value(n) - sum(c * c))::DOUBLE / 2 AS pairs, any_value(n) AS n FROM ac, sz GROUP BY site_id))"""),
     "fst": _q("SELECT round(1 - 2 * (x + y) / (x + 2 * z + y), 9) AS fst FROM (SELECT (SELECT sum(a * (na - a)) FROM ac, sz)::DOUBLE / (na * (na - 1)) AS x, (SELECT sum(b * (nb - b)) FROM ac, sz)::DOUBLE / (nb * (nb - 1)) AS y, (SELECT sum(a * (nb - b)) FROM ac, sz)::DOUBLE / (na * nb) AS z FROM sz)"),
     "f2": _stat("f2", "(a * (a - 1))::HUGEINT * ((nb - b) * (nb - b - 1)) - (a * (na - a))::HUGEINT * (b * (nb - b))", "na::DOUBLE * (na - 1) * nb * (nb - 1)"),
     "f3": _stat("f3", "(t0 * (t0 - 1))::HUGEINT * ((n1 - t1) * (n2 - t2)) - (t0 * (n0 - t0))::HUGEINT * ((n1 - t1) * t2)", "n0::DOUBLE * (n0 - 1) * n1 * n2"),
@@ -99,7 +106,7 @@ ORACLES = {
     "subtrees_with_mutations": _q("SELECT (SELECT count(DISTINCT node) FROM mut WHERE kind = 2) + (SELECT count(DISTINCT h) FROM mut JOIN hk USING (tree_id, node)) AS num_subtrees"),
     "unique_subtrees": _q("SELECT n + (SELECT count(DISTINCT h) FROM hk) AS unique_subtrees, n + (SELECT count(*) FROM dag WHERE made) AS dag_nodes FROM n"),
     "dag_counts": _q("SELECT (SELECT sum(k) FROM dag WHERE made)::BIGINT AS num_edges, n + (SELECT count(*) FROM dag WHERE made) AS num_nodes, 4::BIGINT AS num_roots, n AS num_leaves FROM n"),
-    "adjacency": _q("SELECT parent AS node, string_agg(child::VARCHAR, ',' ORDER BY child) AS neighbours FROM te WHERE tree_id = 0 GROUP BY parent"),
+    "adjacency": _q("SELECT tree_id, parent AS node, string_agg(child::VARCHAR, ',' ORDER BY child) AS neighbours FROM te GROUP BY tree_id, parent"),
     "duplicate_edges": _q("SELECT parent, child, count(*) AS times FROM te GROUP BY ALL HAVING count(*) > 1"),
     "postorder_violations": "SELECT 0::BIGINT AS violations, true AS sorted",
     "sample_set_inverse": _q("SELECT s.set_id, sample_id FROM smp, (SELECT unnest(['0', '1', '2']) AS set_id) s WHERE (sample_id % 3)::VARCHAR <> s.set_id"),
@@ -107,12 +114,9 @@ ORACLES = {
     "invalidated_nodes": _q("SELECT DISTINCT tree_id, node FROM inv"),
     "eulertour": _q("SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY k) - 1 AS position, node, visit FROM tour"),
     "postorder": _q("SELECT tree_id, row_number() OVER (PARTITION BY tree_id ORDER BY path || '~') - 1 AS position, node FROM key"),
-    "bp_tokens": _q("""SELECT row_number() OVER (ORDER BY tree_id, k) - 1 AS pos, tree_id, bp, NOT new AS is_ref, new AND lvl = 's' AS is_leaf FROM (
-  SELECT tree_id, lvl, new, unnest([{'k': path, 'bp': true}, {'k': path || '~', 'bp': false}], recursive := true) FROM (
-    SELECT x.*, y.new AS above FROM (SELECT key.*, row_number() OVER (PARTITION BY coalesce(h, key.node::VARCHAR) ORDER BY key.tree_id, path || '~') = 1 AS new FROM key LEFT JOIN hk ON hk.tree_id = key.tree_id AND hk.node = key.node) x
-    LEFT JOIN te ON te.tree_id = x.tree_id AND te.child = x.node LEFT JOIN (SELECT key.tree_id, key.node, row_number() OVER (PARTITION BY coalesce(h, key.node::VARCHAR) ORDER BY key.tree_id, path || '~') = 1 AS new FROM key LEFT JOIN hk ON hk.tree_id = key.tree_id AND hk.node = key.node) y ON y.tree_id = x.tree_id AND y.node = te.parent
-  ) WHERE new OR lvl = 'r' OR above)"""),
-    "dataset_stats": _q("SELECT 'num_sites' AS metric, count(*)::DOUBLE AS value FROM sites UNION ALL SELECT 'num_mutations', count(*) FROM mut UNION ALL SELECT 'num_trees', 4 UNION ALL SELECT 'num_samples', n FROM n UNION ALL SELECT 'num_edges', count(*) FROM edges UNION ALL SELECT 'num_nodes', n + 31 FROM n UNION ALL SELECT 'sequence_length', p FROM p UNION ALL SELECT 'num_subtrees', count(*) FROM key UNION ALL SELECT 'num_dag_nodes', n + (SELECT count(*) FROM dag WHERE made) FROM n UNION ALL SELECT 'num_dag_edges', (SELECT sum(k) FROM dag WHERE made) UNION ALL SELECT 'num_unique_subtrees', n + (SELECT count(DISTINCT h) FROM hk) FROM n"),
+    "bp_tokens": _q("SELECT row_number() OVER (ORDER BY tree_id, k) - 1 AS pos, tree_id, bp, NOT new AS is_ref, new AND lvl = 's' AS is_leaf, CASE WHEN lvl = 's' THEN node WHEN NOT new OR NOT bp THEN id END AS node_id FROM (SELECT tree_id, node, lvl, new, id, unnest([{'k': path, 'bp': true}, {'k': path || '~', 'bp': false}], recursive := true) FROM bpn LEFT JOIN bpi USING (h))", _BASE.strip() + _BP),
+    "bp_references": _q("SELECT row_number() OVER (ORDER BY tree_id, path) - 1 AS rank, CASE WHEN lvl = 's' THEN node ELSE id END AS node FROM bpn LEFT JOIN bpi USING (h) WHERE NOT new", _BASE.strip() + _BP),
+    "dataset_stats": _q("SELECT 'num_sites' AS metric, count(*)::DOUBLE AS value FROM sites UNION ALL SELECT 'num_mutations', count(*) FROM mut UNION ALL SELECT 'num_trees', 4 UNION ALL SELECT 'num_samples', n FROM n UNION ALL SELECT 'num_edges', count(*) FROM edges UNION ALL SELECT 'num_nodes', n + 31 FROM n UNION ALL SELECT 'sequence_length', p FROM p UNION ALL SELECT 'num_subtrees', count(*) FROM key UNION ALL SELECT 'num_dag_nodes', n + (SELECT count(*) FROM dag WHERE made) FROM n UNION ALL SELECT 'num_dag_edges', (SELECT sum(k) FROM dag WHERE made) UNION ALL SELECT 'num_unique_subtrees', n + (SELECT count(DISTINCT h) FROM hk) FROM n UNION ALL SELECT 'num_subtrees_with_mutations', (SELECT count(DISTINCT node) FROM mut WHERE kind = 2) + (SELECT count(DISTINCT h) FROM mut JOIN hk USING (tree_id, node)) UNION ALL SELECT 'num_bp_references', count(*) FROM bpn WHERE NOT new", _BASE.strip() + _BP),
     "violations": "SELECT unnest(['sample ids are 0..n-1', 'one root per tree', 'samples are leaves', 'one parent per node and tree', 'alleles are one character', 'edges end after they begin']) AS \"check\", 0::BIGINT AS violations",
     "archive_round_trip": _q('SELECT "left", "right", parent, child FROM edges'),
     "bench_summary": _q(f"SELECT section, variant, collection, chromosome, variable, {_ROUND(['median', 'q10', 'q90', 'sd'])}, round(mi, 6) AS min, round(ma, 6) AS max, round(ma - mi, 6) AS range FROM sm", _BENCH),

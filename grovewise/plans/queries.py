@@ -92,7 +92,7 @@ _F: dict[str, Callable[[Forest], DataFrame]] = {
     "site_to_tree": lambda f: f.site_tree,
     "tree_roots": lambda f: f.roots,
     "node_summary": lambda f: trees.node_summary(f.tree_edges),
-    "children": lambda f: trees.children(f.tree_edges, f.num_samples + 3),
+    "children": lambda f: trees.children(f.tree_edges),
     "mutation_parent_state": lambda f: f.seq_mutations,
     "mutation_ranges": lambda f: sequence.mutation_ranges(f.tables.mutations),
     "ancestral_states": lambda f: f.tables.sites.select("site_id", "ancestral_state", dna_index(F.col("ancestral_state")).alias("state_index")),
@@ -126,9 +126,9 @@ _F: dict[str, Callable[[Forest], DataFrame]] = {
     "invalidated_nodes": lambda f: f.invalidated_nodes(),
     "eulertour": lambda f: f.eulertour(),
     "postorder": lambda f: f.postorder(),
-    "bp_tokens": lambda f: f.bp_tokens.drop("node_id"),
+    "bp_tokens": lambda f: f.bp_tokens,
     "bp_references": lambda f: bp.references(f.bp_tokens),
-    "dataset_stats": lambda f: f.stats().where(~F.col("metric").isin("num_bp_references", "num_subtrees_with_mutations")),
+    "dataset_stats": lambda f: f.stats(),
     "violations": lambda f: f.violations(),
 }
 

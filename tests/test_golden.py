@@ -108,7 +108,7 @@ def test_parentheses(forests):
 
 
 def test_unary_chain_heights(spark):
-    """A chain of 150 nodes above two samples: rounds are bounded by the height only."""
+    """A chain of 11 nodes above two samples: rounds are bounded by the height only."""
     n = 12
     edges = "0 1 2 0,1\n" + "\n".join(f"0 1 {i + 1} {i}" for i in range(2, n))
     from grovewise.sources.text import tables_from_text
@@ -175,3 +175,81 @@ def test_adjacency_of_all_trees(spark):
     got = QUERIES["adjacency"](spark, d).collect()
     assert {(r.tree_id, r.node): r.neighbours for r in got} == {k: ",".join(map(str, sorted(x))) for k, x in want.items()}
     assert len(got) == len(want) and len({r.tree_id for r in got}) == 4
+
+
+def test_tajimas_constants():
+    """Of the published example with ten sequences."""
+    k = stats.tajimas_constants(10)
+    assert [k[x] for x in ("a1", "a2", "b1", "b2", "c1", "c2")] == pytest.approx([2.828968, 1.539768, 0.407407, 0.279012, 0.053922, 0.047227], abs=1e-5)
+    assert (k["e1"], k["e2"]) == pytest.approx((0.019061, 0.004949), abs=1e-5)
+
+
+def test_text_of_unsorted_sites_and_odd_times(spark):
+    from grovewise.sources.text import tables_from_text
+
+    t = tables_from_text(spark, 10, "1 0\n1 0\n0 1", "0 10 2 0,1", "8 G\n2 A", "0 0 T -1 1234567.5\n1 1 C -1 0.12345\n1 0 G -1 1e2")
+    at = {r.site_id: (r.position, r.ancestral_state) for r in t.sites.collect()}
+    assert {(at[r.site_id], r.node, r.derived_state, r.time) for r in t.mutations.collect()} == {((8.0, "G"), 0, "T", 1234567.5), ((2.0, "A"), 1, "C", 0.12345), ((2.0, "A"), 0, "G", 100.0)}
+
+
+def test_compressed_forest_is_loaded(spark, forests, tmp_path):
+    f = forests["multi_derived_states"]
+    f.save(str(tmp_path / "t")), f.save_dag(str(tmp_path / "d")), f.save_bp(str(tmp_path / "b")), f.save_sequence(str(tmp_path / "s"))
+    g = Forest.load_compressed(spark, str(tmp_path / "t"), str(tmp_path / "d"), str(tmp_path / "s"))
+    assert one(g.diversity()) == pytest.approx(2) and "hashes" not in g.__dict__
+    assert bp.equal(Forest.load_bp(spark, str(tmp_path / "b")), f.bp_tokens)
+
+
+def test_user_fold_and_appenders(forests, spark):
+    f = forests["multi_derived_states"]
+    most = f.fold_sites("true", lambda c: F.array_max(F.transform(c, lambda x: x["n"])), "most")
+    assert {r.site_id: r.most for r in most.collect()} == {0: 2, 1: 3, 2: 2}
+    more = spark.createDataFrame([(9.5, "A"), (3.0, "C")], "position double, ancestral_state string")
+    assert [(r.site_id, r.ancestral_state) for r in sequence.append_sites(f.tables.sites, more).orderBy("site_id").collect()][3:] == [(3, "C"), (4, "A")]
+    rows = spark.createDataFrame([(2, 2, 1, "1", "0")], "site_id long, tree_id long, node long, parent_state string, derived_state string")
+    assert [r.mutation_id for r in sequence.append_mutations(f.seq_mutations, rows).orderBy("mutation_id").collect()] == list(range(7))
+
+
+def test_graph_edges(spark):
+    e = spark.createDataFrame([(0, 5, 1), (1, 5, 2)], "rank long, parent long, child long")
+    more = graph.insert_edges(e, spark.createDataFrame([(0, 6, 5)], e.schema))
+    assert [tuple(r) for r in graph.sort_edges(more, "rank").collect()] == [(0, 5, 1), (1, 5, 2), (2, 6, 5)]
+    assert one(graph.has_edge(more, 6, 5)) is True and one(graph.has_edge(more, 1, 5)) is False
+    leaves = spark.createDataFrame([(1,), (2,)], "node long")
+    assert graph.is_leaf(more, leaves).count() == 2 and graph.duplicate_nodes(leaves.union(leaves)).count() == 2
+
+
+def test_scalar_functions(spark):
+    from grovewise.functions import scalar
+
+    d = spark.createDataFrame([(1, 300, "7")], "a long, b long, s string")
+    r = d.select(scalar.hash64(F.col("a")).alias("h"), scalar.hash128(F.col("a")).alias("hh"), scalar.edge_hash(F.col("a"), F.col("b")).alias("e"), scalar.in_range(F.col("b"), "tinyint").alias("i"), scalar.checked_cast(F.col("a"), "tinyint").alias("c"), scalar.numeric_index(F.col("s")).alias("n"), scalar.ns_to_ms(F.col("b")).alias("ms"), scalar.with_sd(F.col("a"), F.col("b")).alias("t")).first()
+    assert r.hh.hi == r.h != r.hh.lo and r.i is False and (r.c, r.n, r.ms, r.t) == (1, 7, 3e-4, "1.00 ± 300.00")
+    with pytest.raises(Exception, match="out of range"):
+        d.select(scalar.checked_cast(F.col("b"), "tinyint")).collect()
+
+
+def test_results_and_catalogue(spark, tmp_path):
+    from grovewise.operators import report
+    from grovewise.sources import results
+
+    rows = [("a", "v", "d", "r", "m", i, "walltime", float(i), "ns") for i in (-1, 0, 1)]
+    results.write_results(spark.createDataFrame(rows, results.RESULTS), str(tmp_path / "r"))
+    assert results.collect_results(spark, [str(tmp_path / "r"), str(tmp_path / "none")]).count() == 2 and results.collect_results(spark, [str(tmp_path / "none")]).count() == 0
+    (tmp_path / "c.csv").write_text("collection,filename\nx,x_chr3.trees\ny,y_chr4.trees\n")
+    c = results.from_filename(results.catalogue(spark, str(tmp_path / "c.csv"), ["x"]))
+    assert [(r.collection, r.chromosome) for r in c.collect()] == [("x", 3)]
+    assert spark.range(1).select(report.close(F.lit(1.0), F.lit(1.00005)).alias("x")).first().x and not spark.range(1).select(report.close(F.lit(1.0), F.lit(1.1)).alias("x")).first().x
+
+
+def test_failing_tables_are_found(spark):
+    from grovewise import Forest as Trees
+    from grovewise.operators import frequencies
+    from grovewise.sources.text import tables_from_text
+
+    f = Trees(tables_from_text(spark, 10, "0 1\n1 0\n1 0", "0 10 0 1\n0 10 2 1", "1 AA", "0 1 T"))
+    bad = {r.check for r in f.violations().where("violations > 0").collect()}
+    assert {"sample ids are 0..n-1", "one root per tree", "one parent per node and tree", "alleles are one character"} <= bad
+    counts = spark.createDataFrame([(0, "A", True, 1)], "site_id long, state string, is_ancestral boolean, n_0 long")
+    lanes = spark.createDataFrame([(0, 1), (1, 1)], "sample_id long, n_0 long")
+    assert [r.site_id for r in frequencies.invalid_sites(counts, lanes).collect()] == [0]
