@@ -12,38 +12,43 @@ from pyspark.sql import functions as F
 
 from grovewise.plans.lineage import cut, with_dense_id
 
+#: Positions whose running sums one task takes.
+BLOCK = 1 << 18
+
 
 def tokens(paths: DataFrame, hashes: DataFrame, samples: DataFrame) -> DataFrame:
     """(pos, tree_id, bp, is_ref, is_leaf, node_id): the bit vectors by position. node_id is the sample, the inner node's
     number in order of closing (after the samples), or for a reference the node that it refers to; NULL
     on the opening of an inner node."""
     x = paths.join(hashes.select("tree_id", "node", "hi", "lo"), ["tree_id", "node"])
-    first = F.row_number().over(W.partitionBy("hi", "lo").orderBy("tree_id", F.concat("path", F.lit("~")))) == 1
-    x = cut(x.withColumn("new", first))
+    at = F.struct("tree_id", F.concat("path", F.lit("~")).alias("k"))
+    # the first of all equal subtrees, combined before the shuffle: a sample is in every tree
+    x = cut(x.join(x.groupBy("hi", "lo").agg(F.min(at).alias("_first")), ["hi", "lo"]).withColumn("new", at == F.col("_first")).drop("_first"))
     above = x.select("tree_id", F.col("node").alias("parent"), F.col("new").alias("_above"))
     x = x.join(above, ["tree_id", "parent"], "left").where("new OR parent IS NULL OR _above")
     x = x.join(samples.select(F.col("sample_id").alias("node"), F.lit(True).alias("_s")), "node", "left")
     leaf = F.coalesce("_s", F.lit(False)) & F.col("new")
     pair = F.array(F.struct(F.col("path").alias("k"), F.lit(True).alias("bp")), F.struct(F.concat("path", F.lit("~")).alias("k"), F.lit(False).alias("bp")))
     t = x.select("tree_id", "node", "hi", "lo", (~F.col("new")).alias("is_ref"), leaf.alias("is_leaf"), "_s", F.explode(pair).alias("p")).select("tree_id", "node", "hi", "lo", "is_ref", "is_leaf", "_s", F.col("p.k").alias("k"), F.col("p.bp").alias("bp"))
-    t = cut(with_dense_id(t, F.col("tree_id"), [F.col("k")], "pos"))
+    t = cut(with_dense_id(t, ["tree_id", "k"], "pos"))
     closing = t.where(~F.col("bp") & ~F.col("is_ref") & ~F.col("is_leaf"))
     n = samples.agg(F.count("*").alias("_n"))
-    ids = with_dense_id(closing, F.col("tree_id"), [F.col("pos")], "_id").join(F.broadcast(n), F.lit(True)).select("hi", "lo", (F.col("_id") + F.col("_n")).alias("_id"))
+    ids = with_dense_id(closing, ["pos"], "_id").join(F.broadcast(n), F.lit(True)).select("hi", "lo", (F.col("_id") + F.col("_n")).alias("_id"))
     t = t.join(ids, ["hi", "lo"], "left")
     node = F.when(F.col("_s"), F.col("node")).when(F.col("is_ref") | ~F.col("bp"), F.col("_id"))
     return t.select("pos", "tree_id", "bp", "is_ref", "is_leaf", node.alias("node_id"))
 
 
 def with_ranks(tokens: DataFrame) -> DataFrame:
-    """Rank support: closings, leaf pairs and references before each position, by running sums in each tree plus the
-    sums of the trees before it."""
-    per = tokens.groupBy("tree_id").agg(*(F.sum(F.col(c).cast("long")).alias(f"_{c}") for c in ("is_leaf", "is_ref")), F.sum((~F.col("bp")).cast("long")).alias("_zero"))
-    before = W.orderBy("tree_id").rowsBetween(W.unboundedPreceding, -1)
-    base = per.select("tree_id", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_base{c}") for c in ("_is_leaf", "_is_ref", "_zero")))
-    run = W.partitionBy("tree_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
+    """Rank support: closings, leaf pairs and references before each position, by running sums in blocks of equal
+    length plus the sums of the blocks before, whatever the trees' sizes."""
+    tokens = tokens.withColumn("_block", F.floor(F.col("pos") / BLOCK))
+    per = tokens.groupBy("_block").agg(*(F.sum(F.col(c).cast("long")).alias(f"_{c}") for c in ("is_leaf", "is_ref")), F.sum((~F.col("bp")).cast("long")).alias("_zero"))
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select("_block", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_base{c}") for c in ("_is_leaf", "_is_ref", "_zero")))
+    run = W.partitionBy("_block").orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
     own = lambda x: F.coalesce(F.sum(x.cast("long")).over(run), F.lit(0))
-    t = tokens.join(base, "tree_id")
+    t = tokens.join(base, "_block")
     return t.select("pos", "tree_id", "bp", "is_ref", "is_leaf", "node_id", (F.col("_base_zero") + own(~F.col("bp"))).alias("rank0"), (F.col("_base_is_leaf") + own(F.col("is_leaf"))).alias("leaf_rank"), (F.col("_base_is_ref") + own(F.col("is_ref"))).alias("ref_rank"))
 
 
@@ -54,12 +59,12 @@ def inner_node_ids(ranked: DataFrame, num_leaves: int) -> DataFrame:
 
 def leaves(tokens: DataFrame) -> DataFrame:
     """(rank, sample): samples in the order in which they are written."""
-    return with_dense_id(tokens.where("is_leaf AND bp"), F.col("tree_id"), [F.col("pos")], "rank").select("rank", F.col("node_id").alias("sample"))
+    return with_dense_id(tokens.where("is_leaf AND bp"), ["pos"], "rank").select("rank", F.col("node_id").alias("sample"))
 
 
 def references(tokens: DataFrame) -> DataFrame:
     """(rank, node): the nodes that references stand for, in order."""
-    return with_dense_id(tokens.where("is_ref AND bp"), F.col("tree_id"), [F.col("pos")], "rank").select("rank", F.col("node_id").alias("node"))
+    return with_dense_id(tokens.where("is_ref AND bp"), ["pos"], "rank").select("rank", F.col("node_id").alias("node"))
 
 
 def decode(tokens: DataFrame) -> DataFrame:

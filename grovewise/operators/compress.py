@@ -47,11 +47,22 @@ def node_map(hashes: DataFrame, roots: DataFrame, samples: DataFrame) -> DataFra
     n = samples.agg(F.count("*").alias("_n"))
     x = hashes.join(roots.select("tree_id", "node", F.lit(True).alias("is_root")), ["tree_id", "node"], "left").join(samples.select(F.col("sample_id").alias("node"), F.lit(True).alias("_leaf")), "node", "left")
     x = x.select("tree_id", "node", "height", "hi", "lo", F.coalesce("is_root", F.lit(False)).alias("is_root"), F.coalesce("_leaf", F.lit(False)).alias("_leaf"))
-    seen = W.partitionBy("hi", "lo").orderBy("tree_id", "height", "node")
-    inner = x.where(~F.col("_leaf")).withColumn("created", F.col("is_root") | (F.row_number().over(seen) == 1))
-    inner = cut(inner)
-    ids = with_dense_id(inner.where("created"), F.col("tree_id"), [F.col("height"), F.col("node")], "_id").join(F.broadcast(n), F.lit(True)).select("tree_id", "node", (F.col("_id") + F.col("_n")).alias("_id"))
-    mapped = inner.join(ids, ["tree_id", "node"], "left").withColumn("forest_node", F.last("_id", ignorenulls=True).over(seen.rowsBetween(W.unboundedPreceding, 0)))
+    inner = x.where(~F.col("_leaf")).drop("_leaf")
+    at = F.struct("tree_id", "height", "node")
+    # where each subtree is seen first, combined before the shuffle, as some subtrees are in all trees
+    keys = cut(inner.groupBy("hi", "lo").agg(F.min(at).alias("_first"), F.min_by("is_root", at).alias("_r"), F.sum(F.col("is_root").cast("long")).alias("_roots")))
+    keys = keys.select("hi", "lo", "_first", (F.col("_roots") > F.col("_r").cast("long")).alias("_again"))
+    again = inner.where("is_root").join(keys.where("_again"), ["hi", "lo"]).where(at != F.col("_first"))
+    made = keys.select("hi", "lo", "_first.*").unionByName(again.select("hi", "lo", "tree_id", "height", "node"))
+    ids = with_dense_id(made, ["tree_id", "height", "node"], "_i").join(F.broadcast(n), F.lit(True)).select("hi", "lo", at.alias("_at"), (F.col("_i") + F.col("_n")).alias("_id"))
+    keys = cut(keys.join(ids, ["hi", "lo"]).where("_first = _at").drop("_at"))
+    single = inner.join(keys.where("NOT _again"), ["hi", "lo"]).select("tree_id", "node", F.col("_id").alias("forest_node"), (at == F.col("_first")).alias("created"), "is_root", "height", "hi", "lo")
+    # a subtree that is the root of several trees has a node in each; what repeats it takes the latest
+    mine = ids.select("hi", "lo", "_at", F.col("_id").alias("_mine"))
+    several = inner.join(keys.where("_again").select("hi", "lo"), ["hi", "lo"]).withColumn("_at", at).join(mine, ["hi", "lo", "_at"], "left")
+    latest = W.partitionBy("hi", "lo").orderBy("tree_id", "height", "node").rowsBetween(W.unboundedPreceding, 0)
+    several = several.select("tree_id", "node", F.last("_mine", ignorenulls=True).over(latest).alias("forest_node"), F.col("_mine").isNotNull().alias("created"), "is_root", "height", "hi", "lo")
+    mapped = single.unionByName(several)
     leaves = x.where("_leaf").select("tree_id", F.col("node").alias("ts_node"), F.col("node").alias("forest_node"), F.lit(False).alias("created"), "is_root", "height", "hi", "lo")
     return mapped.select("tree_id", F.col("node").alias("ts_node"), "forest_node", "created", "is_root", "height", "hi", "lo").unionByName(leaves)
 
@@ -61,7 +72,7 @@ def dag_edges(tree_edges: DataFrame, node_map: DataFrame) -> DataFrame:
     made = node_map.where("created").select("tree_id", F.col("ts_node").alias("parent"), F.col("forest_node").alias("_from"))
     child = node_map.select("tree_id", F.col("ts_node").alias("child"), F.col("forest_node").alias("_to"))
     e = tree_edges.join(made, ["tree_id", "parent"]).join(child, ["tree_id", "child"]).select(F.col("_from").alias("parent"), F.col("_to").alias("child"))
-    return with_dense_id(e, F.floor(F.col("parent") / 65536), [F.col("parent"), F.col("child")], "rank").select("rank", "parent", "child")
+    return with_dense_id(e, ["parent", "child"], "rank").select("rank", "parent", "child")
 
 
 def dag_roots(node_map: DataFrame) -> DataFrame:

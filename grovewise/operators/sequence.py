@@ -43,14 +43,14 @@ def set_ancestral_state(sites: DataFrame, site_id: int, state: str) -> DataFrame
 def append_sites(sites: DataFrame, more: DataFrame) -> DataFrame:
     """Sites with (position, ancestral_state) of `more` numbered after them, in order of position."""
     top = sites.agg(F.coalesce(F.max("site_id") + 1, F.lit(0)).alias("_top"))
-    numbered = with_dense_id(more.select("position", "ancestral_state"), F.floor(F.col("position") / 65536), [F.col("position"), F.col("ancestral_state")], "_id")
+    numbered = with_dense_id(more.select("position", "ancestral_state"), ["position", "ancestral_state"], "_id")
     return sites.select("site_id", "position", "ancestral_state").unionByName(numbered.join(F.broadcast(top), F.lit(True)).select((F.col("_id") + F.col("_top")).alias("site_id"), "position", "ancestral_state"))
 
 
 def append_mutations(seq: DataFrame, more: DataFrame) -> DataFrame:
     """Mutations with their states; those of `more` (site_id, tree_id, node, parent_state, derived_state) are numbered after them, by site and node."""
     top = seq.agg(F.coalesce(F.max("mutation_id") + 1, F.lit(0)).alias("_top"))
-    numbered = with_dense_id(more, F.floor(F.col("site_id") / 256), [F.col("site_id"), F.col("node")], "_id")
+    numbered = with_dense_id(more, ["site_id", "node"], "_id")
     return seq.unionByName(numbered.join(F.broadcast(top), F.lit(True)).select((F.col("_id") + F.col("_top")).alias("mutation_id"), "site_id", "tree_id", "node", "parent_state", "derived_state"))
 
 

@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 
 from grovewise.plans.lineage import cut, with_dense_id
 
-#: Genome bins for interval joins and id assignment.
+#: Genome bins in which sites meet trees.
 BINS = 1024
 
 
 def breakpoints(edges: DataFrame, sequence_length: float) -> DataFrame:
     """(index, position): the distinct edge ends in genome order, the last one included."""
     ends = edges.select(F.explode(F.array("left", "right")).alias("position")).distinct()
-    width = max(float(sequence_length), 1e-300) / BINS
-    return with_dense_id(ends, F.floor(F.col("position") / width), [F.col("position")], "index").select("index", "position")
+    return with_dense_id(ends, ["position"], "index").select("index", "position")
 
 
 def trees(edges: DataFrame, sequence_length: float) -> DataFrame:
@@ -40,11 +39,20 @@ def tree_edges(edges: DataFrame, sequence_length: float) -> DataFrame:
 
 
 def site_to_tree(sites: DataFrame, trees: DataFrame, sequence_length: float) -> DataFrame:
-    """(site_id, tree_id): the tree whose [left, right) holds the position; by genome bin, then by range."""
+    """(site_id, tree_id): the tree whose [left, right) holds the position.
+
+    Sites and left ends are put in one order inside each genome bin, where a site takes the last tree that began at or before it;
+    the last tree that began before a bin comes from a row of at most one entry a bin. No site is compared with several trees."""
     width = max(float(sequence_length), 1e-300) / BINS
-    bins = trees.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("left") / width), F.floor(F.col("right") / width))))
-    s = sites.withColumn("_bin", F.floor(F.col("position") / width))
-    return s.join(bins, (s._bin == bins._bin) & (s.position >= bins.left) & (s.position < bins.right)).select("site_id", "tree_id")
+    tree = F.struct(F.col("left").alias("at"), "tree_id", "right")
+    starts = trees.select(F.col("left").alias("position"), F.lit(None).cast(sites.schema["site_id"].dataType).alias("site_id"), tree.alias("_tree"))
+    both = starts.unionByName(sites.select("position", "site_id"), allowMissingColumns=True).withColumn("_bin", F.greatest(F.lit(0), F.least(F.lit(BINS), F.floor(F.col("position") / width))))
+    so_far = W.partitionBy("_bin").orderBy("position", F.col("_tree").isNull()).rowsBetween(W.unboundedPreceding, 0)
+    latest = both.withColumn("_own", F.last("_tree", ignorenulls=True).over(so_far)).where("_tree IS NULL")
+    ends = both.where("_tree IS NOT NULL").groupBy("_bin").agg(F.max("_tree").alias("_tree")).agg(F.sort_array(F.collect_list(F.struct("_bin", "_tree"))).alias("_ends"))
+    earlier = F.expr("get(filter(_ends, e -> e._bin < _bin), size(filter(_ends, e -> e._bin < _bin)) - 1)._tree")
+    found = latest.join(F.broadcast(ends), F.lit(True)).withColumn("_in", F.coalesce("_own", earlier))
+    return found.where("position < _in.right").select("site_id", F.col("_in.tree_id").alias("tree_id"))
 
 
 def roots(tree_edges: DataFrame) -> DataFrame:

@@ -27,15 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def with_dense_id(df: DataFrame, bucket: Column, order: list[Column], name: str) -> DataFrame:
-    """Adds `name`: 0, 1, 2, ... by (bucket, order).
+def with_dense_id(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """Adds `name`: 0, 1, 2, ... by the order, which must be total.
 
-    Rows are numbered inside each bucket in parallel; only the bucket counts meet in one task, so the
-    bucket should be a coarse monotone function of the order.
+    Rows are dealt to partitions by sampled ranges of the order, sorted there and checkpointed, so that a row's place in its
+    partition is fixed. Only the partitions' counts meet in one task: no bucket of the caller's can be too large, or too many.
     """
-    b = df.withColumn("_bucket", bucket)
-    counts = b.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    own = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
-    return b.withColumn("_own", own).join(offsets, "_bucket").withColumn(name, F.col("_offset") + F.col("_own") - 1).drop("_bucket", "_own", "_offset")
+    rows = cut(df.orderBy(*order)).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(offsets), part == F.col("_part")).withColumn(name, F.col("_offset") + place).drop("_at", "_part", "_offset")

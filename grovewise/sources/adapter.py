@@ -23,7 +23,7 @@ def _acgt(i):
 def adapter(spark: SparkSession, sf_dir: str) -> TreeTables:
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     n, p = read("customer").count(), read("part").count()
-    smp = with_dense_id(read("customer").select(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long")), F.floor(F.col("c_custkey") / 65536), [F.col("c_custkey")], "sample_id")
+    smp = with_dense_id(read("customer").select(F.col("c_custkey").cast("long"), F.col("c_nationkey").cast("long")), ["c_custkey"], "sample_id")
     nation = read("nation").select(F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("long"))
     k = spark.range(TREES).select(F.col("id").alias("tree_id"), F.floor(F.col("id") * p / TREES).alias("left"), F.floor((F.col("id") + 1) * p / TREES).alias("right"))
 
@@ -38,7 +38,7 @@ def adapter(spark: SparkSession, sf_dir: str) -> TreeTables:
     runs = per_tree.withColumn("_run", F.col("tree_id") - F.row_number().over(W.partitionBy("parent", "child").orderBy("tree_id"))).join(k, "tree_id")
     edges = runs.groupBy("parent", "child", "_run").agg(F.min("left").cast("double").alias("left"), F.max("right").cast("double").alias("right")).select("left", "right", "parent", "child")
 
-    part = with_dense_id(read("part").select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")), F.floor(F.col("p_partkey") / 65536), [F.col("p_partkey")], "site_id")
+    part = with_dense_id(read("part").select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")), ["p_partkey"], "site_id")
     sites = part.select("site_id", F.col("site_id").cast("double").alias("position"), _acgt(F.col("p_size") % 4).alias("ancestral_state"))
     li = read("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("long"), F.col("l_partkey").cast("long").alias("p_partkey"), F.col("l_suppkey").cast("long"), F.col("l_quantity").cast("int").alias("q"))
     m = li.join(read("orders").select(F.col("o_orderkey").cast("long").alias("l_orderkey"), F.col("o_custkey").cast("long").alias("c_custkey")), "l_orderkey").join(part, "p_partkey")
@@ -52,7 +52,7 @@ def adapter(spark: SparkSession, sf_dir: str) -> TreeTables:
     anc = F.col("p_size") % 4
     derived = F.when(F.col("p_size") % 3 == 0, _acgt(F.col("s") % 4)).when(F.col("s") % 5 == 0, _acgt(anc)).otherwise(_acgt((F.col("p_size") + 1) % 4))
     m = m.select("site_id", "node", "kind", "up", "upup", derived.alias("derived_state"))
-    m = with_dense_id(m, F.floor(F.col("site_id") / 256), [F.col("site_id"), F.col("kind"), F.col("node")], "mutation_id")
+    m = with_dense_id(m, ["site_id", "kind", "node"], "mutation_id")
     above = lambda c: m.select("site_id", F.col("node").alias(c), F.col("mutation_id").alias(f"_{c}"))
     mutations = m.join(above("up"), ["site_id", "up"], "left").join(above("upup"), ["site_id", "upup"], "left").select("mutation_id", "site_id", "node", "derived_state", F.coalesce("_up", "_upup").alias("parent"), F.lit(None).cast("double").alias("time"))
 
