@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from grovewise.model import TreeTables, violations
 from grovewise.operators import bp, compress, frequencies, graph, samples, sequence, stats, trees
-from grovewise.sources import archive
+from grovewise.sources import archive, treefile
 from grovewise.plans.lineage import cut
 
 #: A sample set is a boolean over sample_id, as SQL text or as a column.
@@ -32,6 +32,11 @@ class Forest:
 
     from_tables = classmethod(lambda cls, *a, **b: cls(TreeTables(*a, **b)))
 
+    @classmethod
+    def from_file(cls, spark: SparkSession, path: str, layout: str = "tree") -> Forest:
+        """A forest from a binary tree file."""
+        return cls(treefile.tables_from_file(spark, path), layout)
+
     def save(self, path: str) -> None:
         t = self.tables
         archive.save(path, "tables", {"nodes": t.nodes, "edges": t.edges, "sites": t.sites, "mutations": t.mutations}, sequence_length=t.sequence_length)
