@@ -21,6 +21,15 @@ def every_nth(n: int) -> Column:
     return F.when(F.col("sample_id") % n == 0, F.lit(0))
 
 
+def random_pairs(samples: DataFrame, n: int, seed: int) -> DataFrame:
+    """(pair, u, v): n pairs of different samples, uniformly and alike for a seed. Sample ids are 0, 1, 2, ...; fewer than two have no pairs."""
+    size = samples.agg(F.count("*").alias("_n"))
+    draw = samples.sparkSession.range(n, numPartitions=1).select(F.col("id").alias("pair"), F.rand(seed).alias("_a"), F.rand(seed + 1).alias("_b"))
+    u = F.floor(F.col("_a") * F.col("_n"))
+    v = (u + 1 + F.floor(F.col("_b") * (F.col("_n") - 1))) % F.col("_n")
+    return draw.join(F.broadcast(size), F.lit(True)).where("_n > 1").select("pair", u.alias("u"), v.alias("v"))
+
+
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct()
 
