@@ -46,4 +46,46 @@ k AS (SELECT page_id, g.host, l, CASE WHEN bad IS NULL THEN l ELSE list_filter(l
 SELECT page_id, host, CASE WHEN l IS NULL THEN 0 ELSE greatest(len(l), 1) END::BIGINT AS n_lines, CASE WHEN l IS NULL THEN 0 ELSE len(l) - len(kept) END::BIGINT AS n_dropped, md5(array_to_string(kept, chr(10))) AS text_md5 FROM k
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op7_near_duplicates": OP7, "op9_preference_pairs": OP9, "op10_site_lines": OP10}
+OP11 = r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+f AS (SELECT doc_id, w, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id), c AS (SELECT count(*) AS nd, sum(n)::BIGINT AS l FROM n),
+m AS (SELECT doc_id, 50 + (50 * n * nd) // l AS m FROM n, c), v AS (SELECT w, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight FROM f, c GROUP BY w),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN v USING (w) JOIN f USING (w) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+OP12 = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, list_count(embedding) = len(embedding) AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0)) AS ok FROM embeddings),
+u AS MATERIALIZED (SELECT vec_id, e FROM v WHERE ok),
+l AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS c FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.v),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x), c AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, c = vec_id AS kept FROM v LEFT JOIN n ON x = vec_id JOIN c ON c.v = vec_id
+"""
+
+
+def _clusters(k: int, rounds: int, dim: int) -> str:
+    """Rounds written out one after another: x has each vector's components by row, c0, c1, ... the centroids'."""
+    nearest = "arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT vec_id, j, sum((x.x - c.x) * (x.x - c.x))::BIGINT AS d FROM x JOIN {} c USING (i) GROUP BY vec_id, j) GROUP BY vec_id"
+    with_ = [
+        f"v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings WHERE len(embedding) = {dim} AND list_count(embedding) = {dim} AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))))",
+        f"x AS MATERIALIZED (SELECT vec_id, unnest(range({dim})) AS i, unnest(e) AS x FROM v)",
+        f"c0 AS MATERIALIZED (SELECT j, unnest(range({dim})) AS i, unnest(e) AS x FROM (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS j, e FROM v QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id)) <= {k}))",
+    ]
+    for r in range(rounds):
+        with_ += [
+            f"a{r} AS MATERIALIZED (SELECT vec_id, {nearest.format(f'c{r}')})",
+            f"s{r} AS (SELECT j, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN x USING (vec_id) GROUP BY j, i)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c.j, c.i, coalesce((s - ((s % n) + n) % n) // n, c.x) AS x FROM c{r} c LEFT JOIN s{r} s USING (j, i))",
+        ]
+    with_ += [
+        f"a AS MATERIALIZED (SELECT vec_id, {nearest.format(f'c{rounds}')})",
+        f"h AS (SELECT j, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY j)",
+    ]
+    return "WITH " + ",\n".join(with_) + "\nSELECT vec_id, j::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY j))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM a JOIN h USING (j)"
+
+
+OP13 = _clusters(40, 5, 64)
+
+ORACLES = {"op3_decontaminate": OP3, "op7_near_duplicates": OP7, "op9_preference_pairs": OP9, "op10_site_lines": OP10, "op11_lexical_search": OP11, "op12_binary_codes": OP12, "op13_hamerly_clusters": OP13}

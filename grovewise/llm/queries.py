@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grovewise.llm import chat, decontaminate, langid, lines, lm, neardup, pieces, quality, sharding, tokencount
+from grovewise.llm import binarycodes, centroids, chat, decontaminate, langid, lines, lm, neardup, pieces, quality, search, sharding, tokencount
 from grovewise.llm.common import stored
 
 SHARDS, TOKEN_LIMIT = 40, 512
@@ -79,7 +79,21 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     return lines.drop_boilerplate(pages, "host", "text").select("page_id", "host", "n_lines", "n_dropped", F.md5("text").alias("text_md5"))
 
 
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item's 50 best documents."""
+    return search.ranked(_table(spark, d, "documents"), _table(spark, d, "benchmark"), 50)
+
+
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    return binarycodes.near_vectors(_table(spark, d, "embeddings"), 0.95)
+
+
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    return centroids.clusters(_table(spark, d, "embeddings"), k=40, rounds=5, dim=64)
+
+
 QUERIES = {
     "op1_quality_mcd": op1, "op2_log_bilinear": op2, "op3_decontaminate": op3, "op4_sentencepiece": op4, "op5_language_id": op5, "op6_token_counts": op6,
     "op7_near_duplicates": op7, "op8_sharding": op8, "op9_preference_pairs": op9, "op10_site_lines": op10,
+    "op11_lexical_search": op11, "op12_binary_codes": op12, "op13_hamerly_clusters": op13,
 }
