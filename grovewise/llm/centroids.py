@@ -97,12 +97,16 @@ def assign(x: np.ndarray, a: np.ndarray, u: np.ndarray, low: np.ndarray, c: Cent
     return a, u, low, len(todo)
 
 
-def whole(vectors: DataFrame, dim: int) -> DataFrame:
-    """(vec_id, q): kept vectors as `dim` little-endian 64-bit whole numbers."""
+def kept(vectors: DataFrame, dim: int) -> DataFrame:
+    """(vec_id, e): vectors of `dim` finite components, as doubles."""
     one_of(vectors, "vec_id", "embedding")
     e = F.transform("embedding", lambda x: x.cast("double"))
     ok = (F.size("embedding") == dim) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    kept = vectors.where(F.coalesce(ok, F.lit(False))).select("vec_id", e.alias("e"))
+    return vectors.where(F.coalesce(ok, F.lit(False))).select("vec_id", e.alias("e"))
+
+
+def whole(vectors: DataFrame, dim: int) -> DataFrame:
+    """(vec_id, q): kept vectors as `dim` little-endian 64-bit whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,19 +116,19 @@ def whole(vectors: DataFrame, dim: int) -> DataFrame:
                 raise ValueError(f"a component is beyond {LARGEST // SCALE} in size, distances do not fit 64 bits")
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())], names=["vec_id", "q"])
 
-    return mapped(kept, run, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, q binary")
+    return mapped(kept(vectors, dim), run, f"vec_id {vectors.schema['vec_id'].dataType.simpleString()}, q binary")
 
 
 def _rows(q: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(q.to_pylist()), "<i8").reshape(-1, dim)
 
 
-def starts(q: DataFrame, k: int, dim: int) -> np.ndarray:
+def starts(vectors: DataFrame, k: int, dim: int) -> np.ndarray:
     """The k vectors whose ids have the smallest hashes."""
     h = F.sha2(F.concat(F.lit("2:"), F.col("vec_id").cast("string")).cast("binary"), 256)
-    least = q.where("vec_id IS NOT NULL").select(h.alias("h"), "q").orderBy("h", "q").limit(k).collect()
-    x = [np.frombuffer(bytes(r.q), "<i8") for r in sorted(least, key=lambda r: (r.h, np.frombuffer(bytes(r.q), "<i8").tolist()))]
-    return np.array(x, np.int64).reshape(-1, dim)
+    q = F.transform("e", lambda x: F.floor(SCALE * x))
+    least = kept(vectors, dim).where("vec_id IS NOT NULL").select(h.alias("h"), q.alias("q")).orderBy("h", "q").limit(k).collect()
+    return np.array([r.q for r in least], np.int64).reshape(-1, dim)
 
 
 def _round(state: DataFrame, c: Centroids, dim: int, name: str) -> tuple[DataFrame, dict[int, tuple[int, list[int]]], int]:
@@ -169,7 +173,7 @@ def clusters(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64) ->
 
     `scans` of the result lists how many vectors each assignment scanned in full."""
     q = stored(whole(vectors, dim), "whole")
-    points = starts(q, k, dim)
+    points = starts(vectors, k, dim)
     if not len(points):
         if not q.isEmpty():
             raise ValueError("no vector has an id to start a centroid with")
