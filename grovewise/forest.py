@@ -1,7 +1,7 @@
 """The facade: a forest of trees, its sequence, and the queries on them.
 
-Everything is lazy but the level loops (subtree counts, hashes, paths), whose results are cut from their
-lineage and kept for the life of the object.
+Tables are lazy but for what needs rounds or dense ids (breakpoints, edges by ranges of trees, subtrees, DAG and parentheses, counts), which
+runs when first asked for, is cut from its lineage and kept for the life of the object.
 """
 
 from __future__ import annotations
@@ -13,27 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.model import TreeTables, violations
-from grovewise.operators import bp, compress, frequencies, graph, samples, sequence, stats, trees
-from grovewise.sources import archive, treefile
+from grovewise.operators import bp, compress, frequencies, graph, samples, sequence, spans, stats, trees
 from grovewise.plans.lineage import cut
+from grovewise.sources import archive, treefile
 
 #: A sample set is a boolean over sample_id, as SQL text or as a column.
 Rule = Column | str
 ALL = "true"
+LAYOUTS = ("dag", "bp", "tree")
 
 
 class Forest:
-    """layout 'tree' counts on per-tree edges; 'dag' counts every distinct subtree once."""
+    """layout 'dag' counts every distinct subtree once; 'bp' counts on the edges that the parentheses spell; 'tree' counts on the edges of each tree."""
 
-    def __init__(self, tables: TreeTables, layout: str = "tree"):
-        if layout not in ("tree", "dag"):
+    def __init__(self, tables: TreeTables, layout: str = "dag"):
+        if layout not in LAYOUTS:
             raise ValueError(f"unknown layout {layout}")
         self.tables, self.layout, self._below = tables, layout, {}
 
     from_tables = classmethod(lambda cls, *a, **b: cls(TreeTables(*a, **b)))
 
     @classmethod
-    def from_file(cls, spark: SparkSession, path: str, layout: str = "tree") -> Forest:
+    def from_file(cls, spark: SparkSession, path: str, layout: str = "dag") -> Forest:
         """A forest from a binary tree file."""
         return cls(treefile.tables_from_file(spark, path), layout)
 
@@ -42,18 +43,21 @@ class Forest:
         archive.save(path, "tables", {"nodes": t.nodes, "edges": t.edges, "sites": t.sites, "mutations": t.mutations}, sequence_length=t.sequence_length)
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, layout: str = "tree") -> Forest:
+    def load(cls, spark: SparkSession, path: str, layout: str = "dag") -> Forest:
         t, meta = archive.load(spark, path, "tables")
         return cls(TreeTables(t["nodes"], t["edges"], t["sites"], t["mutations"], meta["sequence_length"]), layout)
 
     @staticmethod
     def load_dag(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-        """dag_edges, dag_roots and node_map as saved."""
-        return archive.load(spark, path, "dag")[0]
+        """dag_edges, dag_roots and node_spans as saved, and chunk_size, the trees of a chunk of the latter."""
+        tables, meta = archive.load(spark, path, "dag")
+        return {**tables, "chunk_size": int(meta["chunk_size"])}
 
     @staticmethod
-    def load_bp(spark: SparkSession, path: str) -> DataFrame:
-        return archive.load(spark, path, "bp")[0]["bp_tokens"]
+    def load_bp(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+        """bp_tokens and bp_spans as saved, and chunk_size."""
+        tables, meta = archive.load(spark, path, "bp")
+        return {**tables, "chunk_size": int(meta["chunk_size"])}
 
     @staticmethod
     def load_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -62,10 +66,10 @@ class Forest:
         return t["sites"], t["seq_mutations"]
 
     @classmethod
-    def load_compressed(cls, spark: SparkSession, path: str, dag: str, seq: str | None = None) -> Forest:
-        """A forest with the layout 'dag' whose compression, and sequence, are read instead of made: path holds its tables."""
-        f = cls.load(spark, path, "dag")
-        f.__dict__.update(cls.load_dag(spark, dag))
+    def load_compressed(cls, spark: SparkSession, path: str, forest: str, seq: str | None = None, layout: str = "dag") -> Forest:
+        """A forest with the layout 'dag' or 'bp' whose compression, and sequence, are read instead of made: path holds its tables."""
+        f = cls.load(spark, path, layout)
+        f.__dict__.update({"dag": cls.load_dag, "bp": cls.load_bp}[layout](spark, forest))
         if seq:
             f.__dict__["seq_mutations"] = cls.load_sequence(spark, seq)[1]
         return f
@@ -77,10 +81,10 @@ class Forest:
         return listed.select("site_id", merge(F.col("counts")).alias(name))
 
     def save_dag(self, path: str) -> None:
-        archive.save(path, "dag", {"dag_edges": self.dag_edges, "dag_roots": self.dag_roots, "node_map": self.node_map})
+        archive.save(path, "dag", {"dag_edges": self.dag_edges, "dag_roots": self.dag_roots, "node_spans": self.node_spans}, chunk_size=self.chunk_size)
 
     def save_bp(self, path: str) -> None:
-        archive.save(path, "bp", {"bp_tokens": self.bp_tokens})
+        archive.save(path, "bp", {"bp_tokens": self.bp_tokens, "bp_spans": self.bp_spans}, chunk_size=self.chunk_size)
 
     def save_sequence(self, path: str) -> None:
         archive.save(path, "sequence", {"sites": self.tables.sites, "seq_mutations": self.seq_mutations})
@@ -93,49 +97,96 @@ class Forest:
     def num_samples(self) -> int:
         return self.samples.count()
 
+    @cached_property
+    def breakpoints(self) -> DataFrame:
+        return cut(trees.breakpoints(self.tables.edges))
+
     @cached_property
     def trees(self) -> DataFrame:
-        return trees.trees(self.tables.edges, self.tables.sequence_length)
+        return trees.trees(self.breakpoints)
+
+    @cached_property
+    def pieces(self) -> spans.Pieces:
+        """Edges by ranges of trees."""
+        return spans.pieces(self.tables.edges, self.breakpoints)
+
+    @cached_property
+    def chunk_size(self) -> int:
+        return self.pieces.size
 
     @cached_property
     def tree_edges(self) -> DataFrame:
-        return cut(trees.tree_edges(self.tables.edges, self.tables.sequence_length))
+        """Edges tree by tree; only the layout 'tree' and what asks for trees themselves needs them."""
+        return trees.tree_edges(self.pieces.edges)
 
     @cached_property
     def site_tree(self) -> DataFrame:
         return trees.site_to_tree(self.tables.sites, self.trees, self.tables.sequence_length)
 
+    @cached_property
+    def coverage(self) -> DataFrame:
+        return cut(spans.coverage(self.pieces))
+
     @cached_property
     def roots(self) -> DataFrame:
-        return trees.roots(self.tree_edges)
+        return trees.roots(self.coverage)
 
     @cached_property
     def seq_mutations(self) -> DataFrame:
         return cut(sequence.seq_mutations(self.tables.sites, self.tables.mutations, self.site_tree))
 
+    @cached_property
+    def subtrees(self) -> DataFrame:
+        """The versions of every node's subtree."""
+        return spans.subtrees(self.pieces, self.samples)
+
     @cached_property
     def hashes(self) -> DataFrame:
-        return compress.subtree_hashes(self.tree_edges, self.samples)
+        return compress.subtree_hashes(self.subtrees)
+
+    @cached_property
+    def node_spans(self) -> DataFrame:
+        return cut(compress.node_spans(self.subtrees, self.samples, self.chunk_size))
 
     @cached_property
     def node_map(self) -> DataFrame:
-        return cut(compress.node_map(self.hashes, self.roots, self.samples))
+        return compress.node_map(self.node_spans)
 
     @cached_property
     def dag_edges(self) -> DataFrame:
-        return compress.dag_edges(self.tree_edges, self.node_map)
+        return compress.dag_edges(self.node_spans, self.chunk_size)
 
     @cached_property
     def dag_roots(self) -> DataFrame:
-        return compress.dag_roots(self.node_map)
+        return compress.dag_roots(self.node_spans)
 
     @cached_property
-    def paths(self) -> DataFrame:
-        return trees.paths(self.tree_edges)
+    def bp_pairs(self) -> DataFrame:
+        return bp.pairs(self.subtrees, self.samples, self.chunk_size)
 
     @cached_property
     def bp_tokens(self) -> DataFrame:
-        return bp.tokens(self.paths, self.hashes, self.samples)
+        return bp.tokens(self.bp_pairs)
+
+    @cached_property
+    def bp_spans(self) -> DataFrame:
+        """Which pair stands for a node, by ranges of trees."""
+        return cut(bp.spans(self.bp_pairs, self.subtrees))
+
+    @cached_property
+    def forest_spans(self) -> DataFrame:
+        """(chunk, node, first, last, forest_node, height, ...) of the layout's own nodes."""
+        return self.bp_spans if self.layout == "bp" else self.node_spans
+
+    @cached_property
+    def forest_edges(self) -> DataFrame:
+        """(parent, child) of the layout's own nodes."""
+        return cut(bp.decode(self.bp_tokens)) if self.layout == "bp" else self.dag_edges.select("parent", "child")
+
+    @cached_property
+    def forest_mutations(self) -> DataFrame:
+        """Mutations with the forest node that they are on; NULL on a node without edges."""
+        return cut(sequence.to_forest_nodes(self.seq_mutations, self.forest_spans, self.chunk_size, optional=True))
 
     def lanes(self, rules: list[Rule]) -> DataFrame:
         return samples.lanes(self.samples, [F.expr(r) if isinstance(r, str) else r for r in rules])
@@ -144,32 +195,53 @@ class Forest:
         n = self.lanes(rules).agg(*(F.coalesce(F.sum(f"n_{i}"), F.lit(0)) for i in range(len(rules)))).first()
         return [int(x) for x in n]
 
-    def samples_below(self, rules: list[Rule]) -> DataFrame:
-        """(tree_id, node, n_0, ..., height); rules are booleans over sample_id, one per set."""
-        key = (str(rules), self.layout)
+    def counts(self, rules: list[Rule]) -> DataFrame:
+        """(forest_node, n_0, ..., height): each node of the layout's graph with its samples of each set; of the layout 'tree', (tree_id, node, ...)."""
+        key = str(rules)
         if key not in self._below:
             lanes = self.lanes(rules)
             if self.layout == "tree":
-                out = samples.samples_below(self.tree_edges, lanes)
+                self._below[key] = cut(samples.samples_below(self.tree_edges, lanes))
             else:
-                out = self.node_map.select("tree_id", F.col("ts_node").alias("node"), F.col("forest_node")).join(self._on_graph(self.dag_edges.select("parent", "child"), lanes), "forest_node").drop("forest_node")
-            self._below[key] = cut(out)
+                self._below[key] = cut(samples.samples_below(self.forest_edges, lanes, by=()).withColumnRenamed("node", "forest_node"))
         return self._below[key]
 
-    @staticmethod
-    def _on_graph(edges: DataFrame, lanes: DataFrame) -> DataFrame:
-        return samples.samples_below(edges, lanes, by=()).withColumnRenamed("node", "forest_node")
+    def samples_below(self, rules: list[Rule]) -> DataFrame:
+        """(tree_id, node, n_0, ..., height), tree by tree; rules are booleans over sample_id, one per set. Nodes without samples of any kind are left out."""
+        if self.layout == "tree":
+            return self.counts(rules)
+        x = self.forest_spans.select("chunk", "node", "first", "last", "forest_node").join(self.counts(rules), "forest_node").drop("forest_node")
+        return spans.per_tree(x)
 
     def samples_below_bp(self, rules: list[Rule]) -> DataFrame:
         """(bp_node, n_0, ..., height) from the edges that the parentheses spell."""
-        return self._on_graph(bp.decode(self.bp_tokens), self.lanes(rules)).withColumnRenamed("forest_node", "bp_node")
+        return samples.samples_below(bp.decode(self.bp_tokens), self.lanes(rules), by=()).withColumnRenamed("node", "bp_node")
 
-    def allele_counts(self, rules: list[Rule]) -> DataFrame:
-        return frequencies.allele_counts(self.tables.sites, self.seq_mutations, self.samples_below(rules), self.lanes(rules))
+    def _mutations(self) -> tuple[DataFrame, tuple[str, ...]]:
+        return (self.seq_mutations, ("tree_id", "node")) if self.layout == "tree" else (self.forest_mutations, ("forest_node",))
 
-    def allele_frequencies(self, rule: Rule = ALL) -> DataFrame:
-        kind = frequencies.site_kind(self.tables.sites, self.seq_mutations, self.samples_below([rule]))
-        return frequencies.allele_frequencies(self.allele_counts([rule]), kind)
+    def allele_counts(self, rules: list[Rule]) -> DataFrame:
+        """(site_id, state, is_ancestral, n_0, ...): each state's samples of one, two or more sets."""
+        m, by = self._mutations()
+        return frequencies.allele_counts(self.tables.sites, m, self.counts(rules), self.lanes(rules), by)
+
+    def site_kind(self, rule: Rule = ALL) -> DataFrame:
+        m, by = self._mutations()
+        return frequencies.site_kind(self.tables.sites, m, self.counts([rule]), by=by)
+
+    def allele_frequencies(self, *rules: Rule) -> DataFrame:
+        """(site_id, kind, num_ancestral, counts) of one set (all samples by default); of several, each set's columns end in its number."""
+        rules = rules or (ALL,)
+        if len(rules) == 1:
+            return frequencies.allele_frequencies(self.allele_counts(list(rules)), self.site_kind(rules[0]))
+        m, by = self._mutations()
+        c, below = self.allele_counts(list(rules)), self.counts(list(rules))
+        out = None
+        for i in range(len(rules)):
+            one = frequencies.allele_frequencies(c, frequencies.site_kind(self.tables.sites, m, below, f"n_{i}", by), f"n_{i}")
+            one = one.select("site_id", *(F.col(x).alias(f"{x}_{i}") for x in ("kind", "num_ancestral", "counts")))
+            out = one if out is None else out.join(one, "site_id")
+        return out
 
     def _counted(self, rules: list[Rule], least: int = 1) -> tuple[DataFrame, list[int]]:
         n = self.set_sizes(rules)
@@ -215,34 +287,39 @@ class Forest:
         return stats.f4(x, tuple(n))
 
     def lca(self, rule: Rule) -> DataFrame:
+        """(tree_id, node): only forest nodes above all of the set's samples are taken to their trees."""
         (n,) = self.set_sizes([rule])
-        return trees.lca(self.samples_below([rule]), n)
+        if self.layout == "tree" or n < 2:
+            return trees.lca(self.counts([rule]), n) if self.layout == "tree" else self.trees.select("tree_id", F.lit(None).cast("long").alias("node"))
+        above = self.counts([rule]).where(F.col("n_0") == n).select("forest_node", "n_0", "height")
+        x = self.forest_spans.select("chunk", "node", "first", "last", "forest_node").join(above, "forest_node")
+        return trees.lca(spans.per_tree(x), n)
 
     def lca_pair(self, u: int, v: int) -> DataFrame:
         return self.lca(F.col("sample_id").isin(u, v))
 
     def invalidated_nodes(self) -> DataFrame:
-        return trees.invalidated_nodes(self.tables.edges, self.trees, self.tree_edges)
+        return trees.invalidated_nodes(self.tables.edges, self.trees, self.pieces.edges, self.chunk_size)
 
     def eulertour(self) -> DataFrame:
-        return trees.eulertour(self.paths, self.tables.nodes.where("is_sample"))
+        return trees.eulertour(self.tree_edges, self.tables.nodes.where("is_sample"))
 
     def postorder(self) -> DataFrame:
-        return trees.postorder(self.paths)
+        return trees.postorder(self.tree_edges)
 
     def subtrees_with_mutations(self) -> DataFrame:
         """(forest_node): the distinct DAG nodes with a mutation."""
-        return sequence.to_forest_nodes(self.seq_mutations, self.node_map).select("forest_node").distinct()
+        return sequence.to_forest_nodes(self.seq_mutations, self.node_spans, self.chunk_size).select("forest_node").distinct()
 
     def unique_subtrees(self) -> DataFrame:
-        return compress.unique_subtrees(self.node_map, self.samples)
+        return compress.unique_subtrees(self.node_spans, self.samples)
 
     def graph_nodes(self) -> DataFrame:
         leaves = self.samples.select(F.col("sample_id").alias("node"))
         return graph.nodes(self.dag_edges, self.dag_roots, leaves)
 
     def violations(self) -> DataFrame:
-        return violations(self.tables, self.tree_edges, self.roots)
+        return violations(self.tables, self.coverage, self.roots)
 
     def stats(self) -> DataFrame:
         """(metric, value): cardinalities of the input and of both encodings."""
@@ -250,8 +327,8 @@ class Forest:
         count = lambda name, df: df.agg(F.lit(name).alias("metric"), F.count("*").cast("double").alias("value"))
         found = [
             count("num_nodes", t.nodes), count("num_edges", t.edges), count("num_sites", t.sites), count("num_mutations", t.mutations), count("num_trees", self.trees), count("num_samples", self.samples),
-            count("num_subtrees", self.tree_edges.select("tree_id", F.explode(F.array("parent", "child")).alias("node")).distinct()), count("num_dag_edges", self.dag_edges), count("num_dag_nodes", self.graph_nodes()),
-            count("num_unique_subtrees", self.hashes.select("hi", "lo").distinct()), count("num_subtrees_with_mutations", self.subtrees_with_mutations()), count("num_bp_references", self.bp_tokens.where("is_ref AND bp")),
+            self.coverage.agg(F.lit("num_subtrees").alias("metric"), F.coalesce(F.sum(F.col("last") - F.col("first")), F.lit(0)).cast("double").alias("value")), count("num_dag_edges", self.dag_edges), count("num_dag_nodes", self.graph_nodes()),
+            count("num_unique_subtrees", self.subtrees.select("hi", "lo").distinct()), count("num_subtrees_with_mutations", self.subtrees_with_mutations()), count("num_bp_references", self.bp_tokens.where("is_ref AND bp")),
         ]
         out = found[0]
         for x in found[1:]:

@@ -44,18 +44,20 @@ def is_discrete_genome(t: TreeTables) -> DataFrame:
     return x.agg(F.coalesce(F.every(F.col("p") == F.floor("p")), F.lit(True)).alias("ok"))
 
 
-def violations(t: TreeTables, tree_edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(check, violations): the preconditions of the statistics, with the number of rows that break each."""
+def violations(t: TreeTables, coverage: DataFrame, roots: DataFrame) -> DataFrame:
+    """(check, violations): the preconditions of the statistics, with the number of rows that break each.
 
-    def count(name: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.lit(name).alias("check"), F.count("*").alias("violations"))
+    `coverage` has the stretches (node, first, last, above, below) of trees with so many edges above and below a node; `roots` has tree_id."""
+
+    def count(name: str, df: DataFrame, rows: str = "1") -> DataFrame:
+        return df.agg(F.lit(name).alias("check"), F.coalesce(F.sum(F.expr(rows)).cast("long"), F.lit(0)).alias("violations"))
 
     samples = t.nodes.where("is_sample")
     found = [
         count("sample ids are 0..n-1", sample_ids_are_consecutive(t.nodes).where(~F.col("ok"))),
         count("one root per tree", roots.groupBy("tree_id").count().where("count > 1")),
-        count("samples are leaves", tree_edges.join(samples, tree_edges.parent == samples.node_id, "left_semi")),
-        count("one parent per node and tree", tree_edges.groupBy("tree_id", "child").count().where("count > 1")),
+        count("samples are leaves", coverage.join(samples, coverage.node == samples.node_id, "left_semi"), "below * (last - first)"),
+        count("one parent per node and tree", coverage.where("above > 1"), "last - first"),
         count("alleles are one character", t.sites.select(F.col("ancestral_state").alias("s")).unionByName(t.mutations.select(F.col("derived_state").alias("s"))).where("s IS NULL OR char_length(s) <> 1")),
         count("edges end after they begin", t.edges.where("NOT left < right")),
     ]

@@ -1,7 +1,11 @@
 """The forest as balanced parentheses with references to subtrees written before.
 
 A tree is written in preorder with children by id. A node opens and closes a pair; a subtree that an
-earlier tree or position has written is one pair marked as a reference, and nothing below it is written.
+earlier tree has written is one pair marked as a reference, and nothing below it is written.
+
+Positions come from sizes: a pair's length is 2 and that of all pairs inside it, and it opens behind its parent and its earlier
+siblings. Reading back needs no tree's tokens together either: depths are running sums in blocks, and the pair that closes at a depth, or that
+encloses one, is the latest that opened at that depth, found inside a block or carried over from the blocks before.
 """
 
 from __future__ import annotations
@@ -10,33 +14,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovewise.operators.contract import add_down, fold_up, running
+from grovewise.operators.spans import latest, per_tree, stab
 from grovewise.plans.lineage import cut, with_dense_id
 
 #: Positions whose running sums one task takes.
 BLOCK = 1 << 18
 
 
-def tokens(paths: DataFrame, hashes: DataFrame, samples: DataFrame) -> DataFrame:
+def written(subtrees: DataFrame, size: int) -> DataFrame:
+    """(tree_id, node, parent, hi, lo, leaf, new): every pair that is written; a subtree is new in the first tree that has it.
+
+    Those are the trees' roots, and the children, in that tree, of what is new. A subtree is at most once in a tree."""
+    keys = cut(subtrees.groupBy("hi", "lo").agg(F.min(F.struct("first", "chunk", "node")).alias("_first"), F.min("height").alias("height")))
+    seen = keys.select("hi", "lo", F.col("_first.first").alias("_tree"))
+    new = keys.where("height > 0").select("_first.chunk", F.col("_first.node").alias("parent"), F.col("_first.first").alias("tree_id"))
+    # a new pair's parent at its first tree is new as well, but the same node may be there before and after
+    children = stab(new, subtrees.where("parent IS NOT NULL"), ["chunk", "parent"], "tree_id", size).select("tree_id", "node", "parent", "hi", "lo", "height")
+    roots = per_tree(subtrees.where("parent IS NULL")).select("tree_id", "node", "parent", "hi", "lo", "height")
+    x = roots.unionByName(children).join(seen, ["hi", "lo"])
+    return x.select("tree_id", "node", "parent", "hi", "lo", (F.col("height") == 0).alias("leaf"), (F.col("tree_id") == F.col("_tree")).alias("new"))
+
+
+def pairs(subtrees: DataFrame, samples: DataFrame, size: int) -> DataFrame:
+    """(tree_id, node, parent, hi, lo, leaf, new, open, close, id): written pairs with their positions; id: the sample, or the inner node's number
+    in order of closing, after the samples, also where a pair refers to it."""
+    x = cut(written(subtrees, size))
+    own = x.select("tree_id", "node", F.lit(2).cast("long").alias("size"))
+    inside = x.where("parent IS NOT NULL").select("tree_id", "parent", F.col("node").alias("child"))
+    x = x.join(fold_up(inside, own, ["size"], ("tree_id",), all_leaves=True).drop("height"), ["tree_id", "node"])
+    roots = running(x.where("parent IS NULL"), [], "tree_id", "size", "_off")
+    others = running(x.where("parent IS NOT NULL"), ["tree_id", "parent"], "node", "size", "_off").withColumn("_off", F.col("_off") + 1)
+    x = cut(roots.unionByName(others))
+    at = add_down(x.select("tree_id", "node", "parent", "_off"), ["_off"], ("tree_id",)).withColumnRenamed("_off", "open")
+    x = x.drop("_off").join(at, ["tree_id", "node"]).withColumn("close", F.col("open") + F.col("size") - 1)
+    n = samples.agg(F.count("*").alias("_n"))
+    ids = with_dense_id(x.where("new AND NOT leaf").select("close", "hi", "lo"), ["close"], "_id").join(F.broadcast(n), F.lit(True)).select("hi", "lo", (F.col("_id") + F.col("_n")).alias("_id"))
+    return cut(x.join(ids, ["hi", "lo"], "left").select("tree_id", "node", "parent", "hi", "lo", "leaf", "new", "open", "close", F.coalesce("_id", "node").alias("id")))
+
+
+def tokens(pairs: DataFrame) -> DataFrame:
     """(pos, tree_id, bp, is_ref, is_leaf, node_id): the bit vectors by position. node_id is the sample, the inner node's
     number in order of closing (after the samples), or for a reference the node that it refers to; NULL
     on the opening of an inner node."""
-    x = paths.join(hashes.select("tree_id", "node", "hi", "lo"), ["tree_id", "node"])
-    at = F.struct("tree_id", F.concat("path", F.lit("~")).alias("k"))
-    # the first of all equal subtrees, combined before the shuffle: a sample is in every tree
-    x = cut(x.join(x.groupBy("hi", "lo").agg(F.min(at).alias("_first")), ["hi", "lo"]).withColumn("new", at == F.col("_first")).drop("_first"))
-    above = x.select("tree_id", F.col("node").alias("parent"), F.col("new").alias("_above"))
-    x = x.join(above, ["tree_id", "parent"], "left").where("new OR parent IS NULL OR _above")
-    x = x.join(samples.select(F.col("sample_id").alias("node"), F.lit(True).alias("_s")), "node", "left")
-    leaf = F.coalesce("_s", F.lit(False)) & F.col("new")
-    pair = F.array(F.struct(F.col("path").alias("k"), F.lit(True).alias("bp")), F.struct(F.concat("path", F.lit("~")).alias("k"), F.lit(False).alias("bp")))
-    t = x.select("tree_id", "node", "hi", "lo", (~F.col("new")).alias("is_ref"), leaf.alias("is_leaf"), "_s", F.explode(pair).alias("p")).select("tree_id", "node", "hi", "lo", "is_ref", "is_leaf", "_s", F.col("p.k").alias("k"), F.col("p.bp").alias("bp"))
-    t = cut(with_dense_id(t, ["tree_id", "k"], "pos"))
-    closing = t.where(~F.col("bp") & ~F.col("is_ref") & ~F.col("is_leaf"))
-    n = samples.agg(F.count("*").alias("_n"))
-    ids = with_dense_id(closing, ["pos"], "_id").join(F.broadcast(n), F.lit(True)).select("hi", "lo", (F.col("_id") + F.col("_n")).alias("_id"))
-    t = t.join(ids, ["hi", "lo"], "left")
-    node = F.when(F.col("_s"), F.col("node")).when(F.col("is_ref") | ~F.col("bp"), F.col("_id"))
-    return t.select("pos", "tree_id", "bp", "is_ref", "is_leaf", node.alias("node_id"))
+    both = F.explode(F.array(F.struct(F.col("open").alias("pos"), F.lit(True).alias("bp")), F.struct(F.col("close").alias("pos"), F.lit(False).alias("bp")))).alias("p")
+    t = pairs.select("tree_id", "leaf", "new", "id", both).select("p.pos", "tree_id", "p.bp", (~F.col("new")).alias("is_ref"), (F.col("leaf") & F.col("new")).alias("is_leaf"), "leaf", "id")
+    return t.select("pos", "tree_id", "bp", "is_ref", "is_leaf", F.when(F.col("leaf") | F.col("is_ref") | ~F.col("bp"), F.col("id")).alias("node_id"))
+
+
+def spans(pairs: DataFrame, subtrees: DataFrame) -> DataFrame:
+    """`subtrees` with forest_node: the sample, or the number of the pair that is written for the subtree."""
+    ids = pairs.where("new").select("hi", "lo", F.col("id").alias("forest_node"))
+    return subtrees.join(ids, ["hi", "lo"])
 
 
 def with_ranks(tokens: DataFrame) -> DataFrame:
@@ -68,21 +97,16 @@ def references(tokens: DataFrame) -> DataFrame:
 
 
 def decode(tokens: DataFrame) -> DataFrame:
-    """(parent, child): the DAG edges that the parentheses spell.
-
-    At its opening, a pair is a child of the latest pair opened one level higher: both are brought under
-    the key (tree, level) and the parent is the last such opening before it."""
-    depth = F.sum(F.when(F.col("bp"), 1).otherwise(-1)).over(W.partitionBy("tree_id").orderBy("pos"))
-    t = tokens.withColumn("_d", depth)
-    # an inner node has its number at its closing, the next position at which its level ends
-    closes = t.where("NOT bp").select("tree_id", (F.col("_d") + 1).alias("_d"), "pos", "node_id")
-    opens = t.where("bp").select("tree_id", "_d", "pos", F.lit(None).cast("long").alias("node_id"))
-    level = W.partitionBy("tree_id", "_d").orderBy("pos")
-    pairs = closes.withColumn("o", F.lit(False)).unionByName(opens.withColumn("o", F.lit(True))).withColumn("node_id", F.lead("node_id").over(level)).where("o")
-    both = F.explode(F.array(F.struct((F.col("_d") + 1).alias("k"), F.col("node_id").alias("up"), F.lit(None).cast("long").alias("down")), F.struct(F.col("_d").alias("k"), F.lit(None).cast("long").alias("up"), F.col("node_id").alias("down")))).alias("r")
-    x = pairs.select("tree_id", "pos", both).select("tree_id", "pos", "r.*")
-    parent = F.last("up", ignorenulls=True).over(W.partitionBy("tree_id", "k").orderBy("pos", F.col("up").isNull()))
-    return x.withColumn("parent", parent).where("down IS NOT NULL AND parent IS NOT NULL").select("parent", F.col("down").alias("child"))
+    """(parent, child): the DAG edges that the parentheses spell."""
+    step = F.when(F.col("bp"), 1).otherwise(-1)
+    t = cut(running(tokens.withColumn("_s", step.cast("long")), [], "pos", "_s", "_before"))
+    # pairs by the depth inside them: the latest that opened at a depth is the one that closes there, and the one around what opens below
+    opens = t.where("bp").select((F.col("_before") + 1).alias("d"), F.col("pos").alias("at"), F.col("pos").alias("id"))
+    closes = latest(t.where("NOT bp").select(F.col("_before").alias("d"), F.col("pos").alias("at"), "node_id"), opens, ["d"], BLOCK)
+    name = cut(closes.select(F.col("id").alias("open"), "node_id"))
+    inside = latest(t.where("bp AND _before > 0").select(F.col("_before").alias("d"), F.col("pos").alias("at"), F.col("pos").alias("open")), opens, ["d"], BLOCK)
+    child = inside.select("open", F.col("id").alias("_up")).join(name, "open").select("_up", F.col("node_id").alias("child"))
+    return child.join(name.select(F.col("open").alias("_up"), F.col("node_id").alias("parent")), "_up").select("parent", "child")
 
 
 def equal(a: DataFrame, b: DataFrame) -> bool:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from grovewise.plans.lineage import cut
+from grovewise.operators.contract import fold_up
+
+
+#: Sets whose complements are listed at once.
+MANY_SETS = 1000
 
 
 def sample_sets(samples: DataFrame, rule: Column) -> DataFrame:
@@ -39,9 +43,11 @@ def remove(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def inverse(sets: DataFrame, samples: DataFrame) -> DataFrame:
-    """Each set's complement in `samples`. Sets are few: their ids meet every sample once each."""
+    """Each set's complement in `samples`: as many rows as sets times samples, less the members. More than MANY_SETS sets are an error."""
     ids = sets.select("set_id").distinct()
-    every = samples.select("sample_id").join(ids, F.lit(True))
+    if (n := ids.limit(MANY_SETS + 1).count()) > MANY_SETS:
+        raise ValueError(f"complements of more than {MANY_SETS} sets are not listed")
+    every = samples.select("sample_id", F.explode(F.array(*(F.lit(r.set_id) for r in ids.collect()))).alias("set_id")) if n else samples.select("sample_id", F.lit(None).cast("string").alias("set_id")).where("false")
     return every.join(sets, ["set_id", "sample_id"], "left_anti").select("set_id", "sample_id")
 
 
@@ -58,19 +64,7 @@ def samples_below(edges: DataFrame, lanes: DataFrame, by: tuple[str, ...] = ("tr
     """(by..., node, n_0, ..., height): samples of each set in the subtree of each node; all sets in one pass.
 
     `edges` has `by`, parent, child: the edges of trees, or with by=() those of a DAG, where an edge
-    that occurs twice counts twice. Counts move up one level a round, summed by parent, so a round
-    shuffles at most one row per edge; rounds are as many as the highest tree has levels.
-    """
-    by, n = list(by), [c for c in lanes.columns if c != "sample_id"]
-    leaf = lanes.withColumnRenamed("sample_id", "node")
-    here = edges.select(*by, F.col("child").alias("node")).distinct().join(leaf, "node") if by else leaf
-    level = cut(here.select(*by, "node", *n))
-    out, height = level.withColumn("height", F.lit(0)), 0
-    up = edges.withColumnRenamed("child", "node")
-    while True:
-        height += 1
-        level = cut(level.join(up, [*by, "node"]).groupBy(*by, "parent").agg(*(F.sum(c).alias(c) for c in n)).withColumnRenamed("parent", "node"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level.withColumn("height", F.lit(height)))
-    return out.groupBy(*by, "node").agg(*(F.sum(c).alias(c) for c in n), F.max("height").alias("height"))
+    that occurs twice counts twice, and samples without edges are nodes as well. Counts move up by tree contraction: rounds are logarithmic in
+    the nodes, and an edge is shuffled only while it is open."""
+    n = [c for c in lanes.columns if c != "sample_id"]
+    return fold_up(edges, lanes.withColumnRenamed("sample_id", "node"), n, by, all_leaves=not by)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovewise.operators.spans import stab
 from grovewise.plans.lineage import with_dense_id
 
 
@@ -21,10 +22,11 @@ def seq_mutations(sites: DataFrame, mutations: DataFrame, site_tree: DataFrame)
     )
 
 
-def to_forest_nodes(seq: DataFrame, node_map: DataFrame, optional: bool = False) -> DataFrame:
-    """Mutations with the forest node of their (tree, node); unmapped ones are dropped, or kept with NULL if optional."""
-    m = node_map.select("tree_id", F.col("ts_node").alias("node"), "forest_node")
-    return seq.join(m, ["tree_id", "node"], "left" if optional else "inner")
+def to_forest_nodes(seq: DataFrame, spans: DataFrame, size: int, optional: bool = False) -> DataFrame:
+    """Mutations with the forest node of their node's range of trees, in chunks of `size` trees; unmapped ones are dropped, or kept with NULL if optional."""
+    at = seq.select("mutation_id", F.floor(F.col("tree_id") / size).alias("chunk"), "node", "tree_id")
+    m = stab(at, spans.select("chunk", "node", "first", "last", "forest_node"), ["chunk", "node"], "tree_id", size).select("mutation_id", "forest_node")
+    return seq.join(m, "mutation_id", "left" if optional else "inner")
 
 
 def mutations_at_site(seq: DataFrame, site_id: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The edge table is interval-stamped; the tree ids it covers are found by equi-joins on breakpoints, so
 no join here compares every edge with every tree. Materialised per-tree edges are meant for
-selections of trees; `compress` removes the repetition between neighbouring trees.
+selections of trees; `spans` and `compress` work without them. Orders come from sizes of subtrees, so no task takes a whole tree.
 """
 
 from __future__ import annotations
@@ -11,31 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from grovewise.operators.contract import add_down, fold_up, running
+from grovewise.operators.spans import per_tree, stab
 from grovewise.plans.lineage import cut, with_dense_id
 
 #: Genome bins in which sites meet trees.
 BINS = 1024
 
 
-def breakpoints(edges: DataFrame, sequence_length: float) -> DataFrame:
+def breakpoints(edges: DataFrame) -> DataFrame:
     """(index, position): the distinct edge ends in genome order, the last one included."""
     ends = edges.select(F.explode(F.array("left", "right")).alias("position")).distinct()
     return with_dense_id(ends, ["position"], "index").select("index", "position")
 
 
-def trees(edges: DataFrame, sequence_length: float) -> DataFrame:
+def trees(breakpoints: DataFrame) -> DataFrame:
     """(tree_id, left, right): one row per interval between neighbouring breakpoints."""
-    p = breakpoints(edges, sequence_length)
-    after = p.select((F.col("index") - 1).alias("index"), F.col("position").alias("right"))
-    return p.join(after, "index").select(F.col("index").alias("tree_id"), F.col("position").alias("left"), "right")
+    after = breakpoints.select((F.col("index") - 1).alias("index"), F.col("position").alias("right"))
+    return breakpoints.join(after, "index").select(F.col("index").alias("tree_id"), F.col("position").alias("left"), "right")
 
 
-def tree_edges(edges: DataFrame, sequence_length: float) -> DataFrame:
-    """(tree_id, parent, child): every edge in every tree whose interval it covers."""
-    p = breakpoints(edges, sequence_length)
-    first = p.select(F.col("position").alias("left"), F.col("index").alias("_from"))
-    last = p.select(F.col("position").alias("right"), F.col("index").alias("_to"))
-    return edges.join(first, "left").join(last, "right").select(F.explode(F.sequence("_from", F.col("_to") - 1)).alias("tree_id"), "parent", "child")
+def tree_edges(pieces: DataFrame) -> DataFrame:
+    """(tree_id, parent, child): every edge in every tree that it holds for, from edges as ranges of trees. Nothing but selections of trees needs it."""
+    return per_tree(pieces).select("tree_id", "parent", "child")
 
 
 def site_to_tree(sites: DataFrame, trees: DataFrame, sequence_length: float) -> DataFrame:
@@ -55,11 +53,9 @@ def site_to_tree(sites: DataFrame, trees: DataFrame, sequence_length: float) ->
     return found.where("position < _in.right").select("site_id", F.col("_in.tree_id").alias("tree_id"))
 
 
-def roots(tree_edges: DataFrame) -> DataFrame:
-    """(tree_id, node): parents that are nobody's child in their tree."""
-    parents = tree_edges.select("tree_id", F.col("parent").alias("node")).distinct()
-    children = tree_edges.select("tree_id", F.col("child").alias("node"))
-    return parents.join(children, ["tree_id", "node"], "left_anti")
+def roots(coverage: DataFrame) -> DataFrame:
+    """(tree_id, node): parents that are nobody's child in their tree, from `spans.coverage`."""
+    return per_tree(coverage.where("below > 0 AND above = 0")).select("tree_id", "node")
 
 
 def children(tree_edges: DataFrame, parent: int | None = None) -> DataFrame:
@@ -76,45 +72,55 @@ def node_summary(tree_edges: DataFrame) -> DataFrame:
     return up.unionByName(down).groupBy("tree_id", "node").agg(F.max("parent").alias("parent"), F.sum("n").alias("num_children"))
 
 
-def invalidated_nodes(edges: DataFrame, trees: DataFrame, tree_edges: DataFrame) -> DataFrame:
+def invalidated_nodes(edges: DataFrame, trees: DataFrame, pieces: DataFrame, size: int) -> DataFrame:
     """(tree_id, node): nodes whose subtree may differ from the tree before: the parents of edges that
-    end or begin at the tree's left border, and their ancestors in the tree. The first tree has none."""
+    end or begin at the tree's left border, and their ancestors in the tree. The first tree has none.
+
+    `pieces` are the edges by ranges of trees, in chunks of `size` trees; a round climbs by one level."""
     border = trees.where("tree_id > 0").select("tree_id", F.col("left").alias("at"))
     changed = edges.select(F.col("left").alias("at"), "parent").unionByName(edges.select(F.col("right").alias("at"), "parent"))
     found = changed.join(border, "at").select("tree_id", F.col("parent").alias("node")).distinct()
     frontier = found = cut(found)
     while not frontier.isEmpty():
-        up = frontier.join(tree_edges.withColumnRenamed("child", "node"), ["tree_id", "node"]).select("tree_id", F.col("parent").alias("node")).distinct()
+        at = frontier.select("tree_id", F.col("node").alias("child"), F.floor(F.col("tree_id") / size).alias("chunk"))
+        up = stab(at, pieces, ["chunk", "child"], "tree_id", size).select("tree_id", F.col("parent").alias("node")).distinct()
         frontier = cut(up.join(found, ["tree_id", "node"], "left_anti"))
         found = found.unionByName(frontier)
     return found
 
 
-def paths(tree_edges: DataFrame) -> DataFrame:
-    """(tree_id, node, parent, depth, path): the root-to-node path as a string that sorts in preorder, children by id."""
-    key = lambda c: F.lpad(F.col(c).cast("string"), 19, "0")
-    level = cut(roots(tree_edges).select("tree_id", "node", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("depth"), key("node").alias("path")))
-    out = level
-    while not level.isEmpty():
-        up = level.select("tree_id", F.col("node").alias("parent"), F.col("depth").alias("_d"), F.col("path").alias("_p"))
-        level = cut(tree_edges.join(up, ["tree_id", "parent"]).select("tree_id", F.col("child").alias("node"), "parent", (F.col("_d") + 1).alias("depth"), F.concat("_p", F.lit("/"), key("child")).alias("path")))
-        out = out.unionByName(level)
-    return out
+def _sizes(tree_edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(tree_id, node, parent, size, before): sums of `own` (tree_id, node, size) at and below each node, and over its earlier siblings."""
+    up = tree_edges.select("tree_id", F.col("child").alias("node"), "parent")
+    size = fold_up(tree_edges, own, ["size"], ("tree_id",), all_leaves=True).drop("height")
+    x = cut(size.join(up, ["tree_id", "node"], "left"))
+    top = x.where("parent IS NULL").withColumn("before", F.lit(0).cast("long"))
+    return cut(top.unionByName(running(x.where("parent IS NOT NULL"), ["tree_id", "parent"], "node", "size", "before")))
+
+
+def _nodes(tree_edges: DataFrame) -> DataFrame:
+    return tree_edges.select("tree_id", F.explode(F.array("parent", "child")).alias("node")).distinct()
+
 
+def eulertour(tree_edges: DataFrame, samples: DataFrame) -> DataFrame:
+    """(tree_id, position, node, visit): inner nodes appear as 'first' and 'second', samples once as 'leaf'; children by id.
 
-def eulertour(paths: DataFrame, samples: DataFrame) -> DataFrame:
-    """(tree_id, position, node, visit): inner nodes appear as 'first' and 'second', samples once as 'leaf'."""
-    p = paths.join(samples.select(F.col("node_id").alias("node"), F.lit(True).alias("_leaf")), "node", "left")
-    steps = F.when(F.col("_leaf"), F.array(F.struct(F.col("path").alias("k"), F.lit("leaf").alias("visit")))).otherwise(
-        F.array(F.struct(F.col("path").alias("k"), F.lit("first").alias("visit")), F.struct(F.concat("path", F.lit("~")).alias("k"), F.lit("second").alias("visit")))
-    )
-    x = p.select("tree_id", "node", F.explode(steps).alias("s"))
-    return x.select("tree_id", (F.row_number().over(W.partitionBy("tree_id").orderBy("s.k")) - 1).alias("position"), "node", F.col("s.visit").alias("visit"))
+    A node comes behind its parent's first visit and what its earlier siblings take."""
+    own = _nodes(tree_edges).join(samples.select(F.col("node_id").alias("node"), F.lit(True).alias("_leaf")), "node", "left")
+    x = _sizes(tree_edges, own.select("tree_id", "node", F.when(F.col("_leaf"), 1).otherwise(2).cast("long").alias("size")))
+    x = x.withColumn("_off", F.when(F.col("parent").isNull(), F.lit(0)).otherwise(F.col("before") + 1).cast("long"))
+    at = add_down(x.select("tree_id", "node", "parent", "_off"), ["_off"], ("tree_id",)).join(x.select("tree_id", "node", "size"), ["tree_id", "node"])
+    at = at.join(samples.select(F.col("node_id").alias("node"), F.lit(True).alias("_leaf")), "node", "left")
+    visit = lambda p, v: F.struct(p.alias("position"), F.lit(v).alias("visit"))
+    steps = F.when(F.col("_leaf"), F.array(visit(F.col("_off"), "leaf"))).otherwise(F.array(visit(F.col("_off"), "first"), visit(F.col("_off") + F.col("size") - 1, "second")))
+    return at.select("tree_id", "node", F.explode(steps).alias("s")).select("tree_id", "s.position", "node", "s.visit")
 
 
-def postorder(paths: DataFrame) -> DataFrame:
-    """(tree_id, position, node): children before parents, the root last."""
-    return paths.select("tree_id", (F.row_number().over(W.partitionBy("tree_id").orderBy(F.concat("path", F.lit("~")))) - 1).alias("position"), "node")
+def postorder(tree_edges: DataFrame) -> DataFrame:
+    """(tree_id, position, node): children before parents, the root last; children by id."""
+    x = _sizes(tree_edges, _nodes(tree_edges).select("tree_id", "node", F.lit(1).cast("long").alias("size")))
+    at = add_down(x.select("tree_id", "node", "parent", "before"), ["before"], ("tree_id",)).join(x.select("tree_id", "node", "size"), ["tree_id", "node"])
+    return at.select("tree_id", (F.col("before") + F.col("size") - 1).alias("position"), "node")
 
 
 def lca(below: DataFrame, set_size: int, column: str = "n_0") -> DataFrame:

@@ -80,7 +80,7 @@ def _alike(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, F.lit(True)).select(same.alias("ok"))
 
 
-def opened(spark: SparkSession, source: str, layout: str = "tree") -> Forest:
+def opened(spark: SparkSession, source: str, layout: str = "dag") -> Forest:
     return Forest.from_file(spark, source, layout) if source.endswith(".trees") else Forest.load(spark, source, layout)
 
 
@@ -101,25 +101,26 @@ def compress(spark: SparkSession, record: Recorder, source: str, folder: str) ->
     return f
 
 
-def _from_folder(spark: SparkSession, folder: str) -> Forest:
-    return Forest.load_compressed(spark, *(f"{folder}/{p}" for p in ("tables", "dag", "sequence")))
+def _from_folder(spark: SparkSession, folder: str, layout: str = "dag") -> Forest:
+    return Forest.load_compressed(spark, *(f"{folder}/{p}" for p in ("tables", layout, "sequence")), layout)
 
 
 def benchmark(spark: SparkSession, record: Recorder, source: str, folder: str, iterations: int = 10, warmup: int = 1, seed: int = 0, sections: dict[str, Callable[[Forest], DataFrame]] = SECTIONS) -> DataFrame:
-    """Times every section on a new forest of each layout in each iteration, and gives (section, ok): whether both gave the same.
+    """Times every section on a new forest of each layout in each iteration, and gives (section, ok): whether the layouts gave the same, a row for each layout but the first.
 
     Warm-up runs have negative iterations, which the writer of results leaves out."""
     checks = None
     for i in range(-warmup, iterations):
         forests = {}
         with record.time("load_trees_file", "tree", i):
-            forests["tree"] = opened(spark, source)
+            forests["tree"] = opened(spark, source, "tree")
             _run(forests["tree"].tables.edges, forests["tree"].tables.mutations)
         with record.time("load_forest_file", "dag", i):
             forests["dag"] = _from_folder(spark, folder)
             _run(forests["dag"].dag_edges, forests["dag"].seq_mutations)
         with record.time("load_forest_file", "bp", i):
-            _run(Forest.load_bp(spark, f"{folder}/bp"))
+            forests["bp"] = _from_folder(spark, folder, "bp")
+            _run(forests["bp"].bp_tokens, forests["bp"].seq_mutations)
         pair = random_pairs(forests["tree"].samples, 1, seed + i + warmup).first()
         here = sections if pair is None else {**sections, "lca_pairwise": lambda f, p=pair: f.lca_pair(p.u, p.v)}
         for name, query in here.items():
@@ -128,14 +129,16 @@ def benchmark(spark: SparkSession, record: Recorder, source: str, folder: str, i
                     _run(query(f))
         if checks is None:
             for name, query in sections.items():
-                ok = _alike(*(query(f) for f in forests.values())).select(F.lit(name).alias("section"), "ok")
-                checks = ok if checks is None else checks.unionByName(ok)
+                first, *others = (query(f) for f in forests.values())
+                for other in others:
+                    ok = _alike(first, other).select(F.lit(name).alias("section"), "ok")
+                    checks = ok if checks is None else checks.unionByName(ok)
     return checks if checks is not None else spark.createDataFrame([], "section STRING, ok BOOLEAN")
 
 
 def stats(spark: SparkSession, record: Recorder, source: str, folder: str) -> None:
     """Cardinalities of the source and of both encodings; the numbers of trees and samples of each encoding come from its own tables."""
-    f, dag, bp = opened(spark, source), _from_folder(spark, folder), Forest.load_bp(spark, f"{folder}/bp")
+    f, dag, bp = opened(spark, source), _from_folder(spark, folder), Forest.load_bp(spark, f"{folder}/bp")["bp_tokens"]
     for r in f.stats().collect():
         record.value("stats", "all", r.metric, r.value, "1")
     n = bp.agg(F.count("*").alias("bits"), F.count_distinct("tree_id").alias("trees"), F.sum((F.col("is_leaf") & F.col("bp")).cast("long")).alias("leaves"), F.sum((F.col("is_ref") & F.col("bp")).cast("long")).alias("refs")).first()

@@ -27,6 +27,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if(df: DataFrame, most: int) -> DataFrame:
+    """A side of a join, to be broadcast if it has no more than so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def with_dense_id(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Adds `name`: 0, 1, 2, ... by the order, which must be total.
 

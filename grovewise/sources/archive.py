@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMATS = {"tables": 1, "dag": 3, "bp": 1, "sequence": 1}
+FORMATS = {"tables": 1, "dag": 4, "bp": 2, "sequence": 1}
 
 
 def save(path: str, kind: str, tables: dict[str, DataFrame], **scalars: float) -> None:

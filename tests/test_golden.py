@@ -197,7 +197,9 @@ def test_compressed_forest_is_loaded(spark, forests, tmp_path):
     f.save(str(tmp_path / "t")), f.save_dag(str(tmp_path / "d")), f.save_bp(str(tmp_path / "b")), f.save_sequence(str(tmp_path / "s"))
     g = Forest.load_compressed(spark, str(tmp_path / "t"), str(tmp_path / "d"), str(tmp_path / "s"))
     assert one(g.diversity()) == pytest.approx(2) and "hashes" not in g.__dict__
-    assert bp.equal(Forest.load_bp(spark, str(tmp_path / "b")), f.bp_tokens)
+    assert bp.equal(Forest.load_bp(spark, str(tmp_path / "b"))["bp_tokens"], f.bp_tokens)
+    h = Forest.load_compressed(spark, str(tmp_path / "t"), str(tmp_path / "b"), str(tmp_path / "s"), "bp")
+    assert one(h.diversity()) == pytest.approx(2) and "subtrees" not in h.__dict__
 
 
 def test_user_fold_and_appenders(forests, spark):

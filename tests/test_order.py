@@ -3,7 +3,7 @@
 import bisect
 import random
 
-from grovewise.operators import compress, trees
+from grovewise.operators import compress, spans, trees
 from grovewise.plans.lineage import with_dense_id
 
 
@@ -32,9 +32,10 @@ def test_repeated_roots_get_a_node_in_each_tree(spark):
     # (tree, parent, child); samples 0 to 2. Trees 0, 2 and 3 are equal; in tree 1 another node joins 1 and 2; in tree 4 the old root stands below a new one.
     same = [(3, 0), (3, 1), (4, 3), (4, 2)]
     rows = [(t, *e) for t in (0, 2, 3) for e in same] + [(1, 5, 1), (1, 5, 2), (1, 4, 5), (1, 4, 0)] + [(4, *e) for e in same] + [(4, 6, 4)]
-    e = spark.createDataFrame(rows, "tree_id long, parent long, child long")
+    e = spark.createDataFrame([(0, t, t + 1, p, c) for t, p, c in rows], "chunk long, first long, last long, parent long, child long")
     samples = spark.createDataFrame([(i,) for i in range(3)], "sample_id long")
-    m = compress.node_map(compress.subtree_hashes(e, samples), trees.roots(e), samples).where("height > 0").collect()
+    x = compress.node_spans(spans.subtrees(spans.Pieces(e, 64), samples), samples, 64)
+    m = compress.node_map(x).where("height > 0").collect()
     got = {(r.tree_id, r.ts_node): (r.forest_node, r.created) for r in m}
     assert len(got) == len(m)
     want = {(0, 3): (3, True), (0, 4): (4, True), (1, 5): (5, True), (1, 4): (6, True), (2, 3): (3, False), (2, 4): (7, True), (3, 3): (3, False), (3, 4): (8, True), (4, 3): (3, False), (4, 4): (8, False), (4, 6): (9, True)}
