@@ -35,7 +35,7 @@ class Simulated:
                 more = {c for c, p in parent.items() if p in below} - below
                 below |= more
                 grown = bool(more)
-            y = rng.choice([c for c in parent if c not in below])
+            y = rng.choice([c for c in parent if c not in below and c != s])
             v = u if rng.random() < reuse else top
             top += v == top
             parent[v], parent[y], parent[x] = parent[y], v, v
