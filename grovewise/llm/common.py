@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -105,6 +106,18 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(tidy(run), schema)
 
 
+@contextlib.contextmanager
+def short_plans(spark: SparkSession) -> Iterator[None]:
+    """Cuts the plans' texts while many steps run: the driver keeps the text of each of the last thousand queries."""
+    key = "spark.sql.maxPlanStringLength"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: computed once, readable by every executor, without lineage.
 

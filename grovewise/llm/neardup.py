@@ -183,14 +183,19 @@ def rare_agreements(diffs: DataFrame, percent: int) -> DataFrame:
     several = each.groupBy("m", "e").agg(F.count("*").alias("f")).where("f > 1")
     # so many of the first places can matter, whatever the other member is
     places = F.when(F.col("out"), k * F.col("n") * (1 + 100 / percent)).otherwise(F.col("a") / 2 + k * (F.col("n") - F.col("n_m")) / 2) + 1 + 1e-6
-    ranked = each.join(several, ["m", "e"]).groupBy("m", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("r"))
+    both = F.struct("m", "e")
+    ranked = join_on_hot(each.withColumn("at", both), several.select(both.alias("at"), "f"), "at", "f", HOT).groupBy("m", "v").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("r"))
     first = d.drop("diff").join(ranked, ["m", "v"]).withColumn("alone", F.col("a") - F.size("r")).withColumn("places", places)
     first = first.select("m", "v", "n", "a", "out", F.when(F.col("a") > k * (F.col("n") + F.col("n_m")) + 1e-9, F.col("c")).otherwise(F.col("p")).alias("c"), "alone", F.posexplode(F.slice("r", 1, F.greatest(F.floor(F.col("places") - F.col("alone")), F.lit(0)).cast("int"))).alias("i", "r"))
     first = stored(first.select("m", F.col("r.e").alias("e"), "v", "n", "a", "out", "c", (F.col("alone") + F.col("i") + 1).alias("at")), "places", narrow=True)
-    left, right = (rows.select("m", "e", *(F.col(z).alias(z + side) for z in ("v", "n", "a", "c", "at"))) for rows, side in ((first.where("out"), "x"), (first, "y")))
+    # holders of a hash are dealt to parts of HOT rows or so, and those that look for others meet each part
+    held = first.groupBy("m", "e").agg(F.count("*").alias("f"), F.bool_or("out").alias("any")).where("any AND f > 1").select(both.alias("key"), "f")
+    first = join_on_hot(first.withColumn("key", both), stored(held, "held", narrow=True), "key", "f", HOT).withColumn("parts", F.ceil(F.col("f") / HOT).cast("int"))
+    every, own = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
+    left, right = (rows.select("m", "e", part.alias("part"), *(F.col(z).alias(z + side) for z in ("v", "n", "a", "c", "at"))) for rows, part, side in ((first.where("out"), every, "x"), (first, own, "y")))
     t = (F.col("ax") + F.col("ay") - k * (F.col("nx") + F.col("ny"))) / 2 - 1e-6
     near = (F.col("cx") != F.col("cy")) & (F.col("ax") - F.col("atx") + 1 >= t) & (F.col("ay") - F.col("aty") + 1 >= t)
-    return left.join(right, ["m", "e"]).where(near).select(F.least("vx", "vy").alias("x"), F.greatest("vx", "vy").alias("y")).distinct()
+    return left.join(right, ["m", "e", "part"]).where(near).select(F.least("vx", "vy").alias("x"), F.greatest("vx", "vy").alias("y")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

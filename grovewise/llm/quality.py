@@ -24,13 +24,12 @@ from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, fresh, join_on_hot, mapped, one_of, ship, stored
+from grovewise.llm.common import broadcast_if, fresh, join_on_hot, mapped, one_of, short_plans, stored
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Rows that a group's parent counts for; most concentration steps; bins of distance for each factor of e; a fall of the log determinant that counts.
@@ -152,13 +151,13 @@ def square(c: np.ndarray) -> np.ndarray:
 def _solved(df: DataFrame) -> DataFrame:
     """Adds i and det: the inverse of the covariance c, and the logarithm of its determinant; one small row per group."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            full = [square(c) for c in b["c"]]
-            yield b.assign(i=[[float(x[i, j]) for i, j in PAIRS] for x in map(np.linalg.inv, full)], det=[float(np.linalg.slogdet(x)[1]) for x in full])
+            full = [square(c) for c in b.column("c").to_pylist()]
+            i = pa.array([[float(x[i, j]) for i, j in PAIRS] for x in map(np.linalg.inv, full)], pa.list_(pa.float64()))
+            yield b.append_column("i", i).append_column("det", pa.array([float(np.linalg.slogdet(x)[1]) for x in full], pa.float64()))
 
-    ship(df.sparkSession)
-    return df.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", i array<double>, det double")
+    return mapped(df, run, ", ".join(f"{c} {t}" for c, t in df.dtypes) + ", i array<double>, det double")
 
 
 _FLAT = [float(FLOOR[i, j]) for i, j in PAIRS]
@@ -180,7 +179,7 @@ def _concentrated(near: DataFrame, sizes: DataFrame, groups: int) -> DataFrame:
     m = _moments(inside, "g", "start").withColumn("c", _floored(F.col("c")))
     far = F.exp((F.try_element_at("last", F.col("start")) + 1) / FINE)
     tries = _solved(m).join(last, "g").withColumn("far", far).groupBy("g").agg(F.collect_list(F.struct("start", "m", "c", "i", "det", "far")).alias("tries"))
-    return stored(tries.join(sizes, "g"), "tries", narrow=True)
+    return tries.join(sizes, "g")
 
 
 def _measured(rows: DataFrame, tries: DataFrame, groups: int) -> DataFrame:
@@ -203,9 +202,9 @@ def robust(x: DataFrame) -> DataFrame:
     starts = (sum((a * a for a in z), F.lit(0.0)), F.greatest(*(F.abs(a) for a in z)), sum((F.pow(F.tanh(a), 2) for a in z), F.lit(0.0)))
     sizes_ = sizes.select("g", "up", "n", "middle")
     first = _meet(rows, sizes, groups).select("g", "n", "middle", "v", F.explode(F.array(*(F.struct(F.lit(k).alias("start"), d.alias("d")) for k, d in enumerate(starts)))).alias("t")).select("g", "n", "middle", "v", "t.*")
-    tries = _concentrated(first, sizes_, groups)
+    tries = stored(_concentrated(first, sizes_, groups), "tries", narrow=True)
     for _ in range(2):
-        tries = _concentrated(_measured(rows, tries, groups), sizes_, groups)
+        tries = stored(_concentrated(_measured(rows, tries, groups), sizes_, groups), "tries", narrow=True)
     least = F.array_sort("tries", lambda a, b: F.when(a["det"] < b["det"], -1).when(a["det"] > b["det"], 1).otherwise(a["start"] - b["start"]))
     best = stored(tries.withColumn("tries", F.slice(least, 1, 1)), "best", narrow=True)
     for _ in range(STEPS):
@@ -249,7 +248,8 @@ def judged(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, base counts, vector, base_failed, distance, kept): one row per document of (doc_id, lang, source, text)."""
     one_of(docs, "doc_id", "lang", "source", "text")
     x = stored(measured(docs), "quality")
-    e = stored(estimates(x), "estimates", narrow=True)
+    with short_plans(docs.sparkSession):
+        e = stored(estimates(x), "estimates", narrow=True)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     y = _meet(x.where("n_words > 0").withColumn("g", _keys()[0]).withColumn("v", F.array(*NAMES)), e, e.count())
     y = y.select(*x.columns, _quadratic(F.col("m"), F.col("i")).alias("distance")).unionByName(x.where("n_words = 0").withColumn("distance", F.lit(None).cast("double")))
