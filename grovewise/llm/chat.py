@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.plans.lineage import with_dense_id
+
 BEGIN, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>\n"
 LEARNED = "assistant"
 
@@ -65,17 +67,28 @@ def preference_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     return x.select("pair_id", "chosen_id", "rejected_id", "n_prefix", "prompt", _render(F.col("_c")).alias("chosen"), _render(F.col("_r")).alias("rejected"), _mask(F.col("_c")).alias("chosen_mask"), _mask(F.col("_r")).alias("rejected_mask"))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """Turns with conv_id as a whole number; NULL where it is none, so that text ids of other kinds are in no pair."""
-    return turns.select("turn", "role", "text", F.expr("try_cast(conv_id AS bigint)").alias("conv_id"))
+def numbered(turns: DataFrame, strict: bool = False) -> DataFrame:
+    """Turns with conv_id as a whole number; NULL where it is none, so that text ids of other kinds are in no pair, or with `strict` an error. `ranked_pairs` takes any ids."""
+    number = F.expr("try_cast(conv_id AS bigint)")
+    if strict:
+        said = F.concat(F.lit("not a whole number: conversation "), F.col("conv_id").cast("string"))
+        number = F.when(F.col("conv_id").isNotNull() & F.expr("try_cast(CAST(conv_id AS string) AS bigint)").isNull(), F.raise_error(said).cast("bigint")).otherwise(number)
+    return turns.select("turn", "role", "text", number.alias("conv_id"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
+def neighbours(turns: DataFrame, strict: bool = False) -> DataFrame:
     """(pair_id, chosen_id, rejected_id): conversation 2k is preferred to 2k + 1, where at least one of them exists."""
     low = F.col("conv_id").bitwiseAND(1)
-    ids = numbered(turns).where("conv_id IS NOT NULL").select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") - low).alias("chosen_id"), (F.col("conv_id") - low + 1).alias("rejected_id"))
+    ids = numbered(turns, strict).where("conv_id IS NOT NULL").select(F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id") - low).alias("chosen_id"), (F.col("conv_id") - low + 1).alias("rejected_id"))
     return ids.distinct()
 
 
+def ranked_pairs(turns: DataFrame) -> DataFrame:
+    """(pair_id, chosen_id, rejected_id): conversations in order of their ids, of any type with an order, two at a time; a last one without a partner has a NULL one."""
+    ids = with_dense_id(turns.select("conv_id").where("conv_id IS NOT NULL").distinct(), ["conv_id"], "_r")
+    two = ids.groupBy(F.shiftright("_r", 1).alias("pair_id"))
+    return two.agg(F.min_by("conv_id", "_r").alias("chosen_id"), F.min_by(F.when(F.col("_r") % 2 == 1, F.col("conv_id")), F.when(F.col("_r") % 2 == 1, F.col("_r"))).alias("rejected_id"))
+
+
 def spans_text(mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")

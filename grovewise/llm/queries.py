@@ -69,7 +69,7 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, d: str) -> DataFrame:
-    turns = chat.numbered(_table(spark, d, "conversations"))
+    turns = chat.numbered(_table(spark, d, "conversations"), strict=True)
     x = chat.preference_pairs(turns, chat.neighbours(turns))
     return x.withColumn("chosen_mask", chat.spans_text(F.col("chosen_mask"))).withColumn("rejected_mask", chat.spans_text(F.col("rejected_mask")))
 

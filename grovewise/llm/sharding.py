@@ -17,6 +17,7 @@ new one, always among the last two, gets a trailing _.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from grovewise.llm.common import broadcast_if, fresh, name_of, stored
 
+#: From so many rows on, numpy does not draw hypergeometric numbers.
+LARGE = 1_000_000_000
 #: Rows that one task orders after the exchange, about.
 BLOCK_ROWS = 200_000
 #: The matrix is broadcast up to so many numbers (8 bytes each), and written in pieces of so many.
@@ -37,11 +40,59 @@ def shard_sizes(rows: int, shards: int) -> np.ndarray:
     return np.full(shards, rows // shards) + (np.arange(shards) < rows % shards)
 
 
+def _log_rise(x: int, d: int) -> float:
+    """log((x + d)! / x!) less d log(x + 1): exact to rounding also where factorials are too large to subtract."""
+    z = x + 1
+    if min(z, z + d) < 1 << 20:
+        return math.lgamma(z + d) - math.lgamma(z) - d * math.log(z)
+    return (z + d - 0.5) * math.log1p(d / z) - d + 1 / (12 * (z + d)) - 1 / (12 * z)
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of n draws without replacement are good, at any size.
+
+    Below LARGE this is numpy's; beyond, rejection from a flat top with exponential tails, which lies above every log-concave distribution
+    (Devroye's method), by the probability's ratio to that of the mode."""
+    if good + bad < LARGE:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high = max(0, n - bad), min(good, n)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (good + bad + 2), low), high)
+    # (places, sign): what is divided by, as factorials, at the mode
+    terms = ((mode, 1), (good - mode, -1), (n - mode, -1), (bad - n + mode, 1))
+    ratio = math.log(((mode + 1) * (bad - n + mode + 1)) / ((good - mode + 1) * (n - mode + 1)))
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    top = 0.98 * min(1.0, math.exp(min(0.0, choose(good, mode) + choose(bad, n - mode) - choose(good + bad, n))))
+    w = 1 + top / 2
+    while True:
+        y = rng.random() * w / top if rng.random() <= w / (1 + w) else (w + rng.standard_exponential()) / top
+        x = round(y) * (1 if rng.random() < 0.5 else -1)
+        k = mode + x
+        if low <= k <= high:
+            h = -x * ratio - sum(_log_rise(at, sign * x) for at, sign in terms)
+            if math.log(1 - rng.random()) + min(0.0, w - top * y) <= h:
+                return k
+
+
+def split(rng: np.random.Generator, left: np.ndarray, n: int) -> np.ndarray:
+    """n rows drawn without replacement from `left` of each kind: halves of the kinds take their shares, down to what numpy draws at once."""
+    total = int(left.sum())
+    if total < LARGE:
+        return rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
+    if len(left) == 1:
+        return np.array([n], np.int64)
+    half = len(left) // 2
+    good = int(left[:half].sum())
+    k = hypergeometric(rng, good, total - good, n)
+    return np.concatenate([split(rng, left[:half], k), split(rng, left[half:], n - k)])
+
+
 def draw(counts: list[int], sizes: np.ndarray, seed: int) -> Iterator[np.ndarray]:
     """For each partition, the rows it gives to each shard: they sum to the partition's count, and over partitions to the shards' sizes."""
     rng, left = np.random.default_rng(seed), sizes.astype(np.int64)
     for n in counts:
-        out = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
+        out = split(rng, left, n)
         left = left - out
         yield out
 
@@ -68,7 +119,7 @@ def assign(df: DataFrame, shards: int, key: list[Column], seed: int = 0) -> Data
 
     `key` are columns whose hash orders rows at random; ties keep whatever order, as they hold equal
     keys. The input must deal its rows to partitions alike whenever it is read (files, or an explicit
-    repartition by number); a partition that changes fails the job rather than losing rows."""
+    repartition by number); a partition that has more or fewer rows than were counted fails the job."""
     shard, slot, part, one, two, place, ends, block, first, n = fresh(df, "shard", "slot", "_p", "_a", "_b", "_j", "_ends", "_block", "_first", "_n")
     hashes = (F.xxhash64(F.lit(f"{seed}/{i}"), *key) for i in (1, 2))
     placed = df.withColumn(part, F.spark_partition_id()).withColumns(dict(zip((one, two), hashes)))
@@ -84,12 +135,19 @@ def assign(df: DataFrame, shards: int, key: list[Column], seed: int = 0) -> Data
     x = x.withColumn(shard, F.when(at < shards, at).otherwise(F.raise_error(F.lit("a partition has more rows than were counted"))).cast("int"))
     x = x.withColumn(block, F.call_function("shiftrightunsigned", F.col(two), F.lit(64 - bits)) if bits else F.lit(0).cast("long"))
     order = F.row_number().over(W.partitionBy(shard, block).orderBy(F.col(two), F.col(one)))
+    wrong = F.raise_error(F.lit("a partition has fewer rows than were counted"))
+    rows = F.count("*").over(W.partitionBy(shard, block))
     if not bits:
-        return x.withColumn(slot, (order - 1).cast("long")).select(*map(name_of, df.columns), shard, slot)
+        right = rows == total // shards + (F.col(shard) < total % shards).cast("long")
+        return x.withColumn(slot, F.when(right, order - 1).otherwise(wrong).cast("long")).select(*map(name_of, df.columns), shard, slot)
     counts = stored(x.groupBy(shard, block).agg(F.count("*").alias(n)), "blocks", narrow=True)  # shards * rows / BLOCK_ROWS rows
     before = F.coalesce(F.sum(n).over(W.partitionBy(shard).orderBy(block).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = broadcast_if(counts.select(shard, block, before.alias(first)), counts.count(), BROADCAST_NUMBERS)
-    x = x.withColumn(slot, order).join(offsets, [shard, block]).withColumn(slot, (F.col(slot) + F.col(first) - 1).cast("long"))
+    sums = counts.groupBy(shard).agg(F.sum(n).alias(n)).where(F.col(n) != total // shards + (F.col(shard) < total % shards).cast("long"))
+    if not sums.isEmpty():
+        raise ValueError("a partition has fewer rows than were counted")
+    offsets = broadcast_if(counts.select(shard, block, before.alias(first), n), counts.count(), BROADCAST_NUMBERS)
+    x = x.withColumns({slot: order, place: rows}).join(offsets, [shard, block])
+    x = x.withColumn(slot, F.when(F.col(place) == F.col(n), F.col(slot) + F.col(first) - 1).otherwise(wrong).cast("long"))
     return x.select(*map(name_of, df.columns), shard, slot)
 
 
