@@ -15,23 +15,33 @@ def _lanes(df: DataFrame) -> list[str]:
     return sorted((c for c in df.columns if c.startswith("n_") and c[2:].isdigit()), key=lambda c: int(c[2:]))
 
 
-def allele_counts(sites: DataFrame, seq: DataFrame, below: DataFrame, lanes: DataFrame, by: tuple[str, ...] = ("tree_id", "node")) -> DataFrame:
-    """(site_id, state, is_ancestral, n_0, ...): rows where some set has the state.
+def moves(seq: DataFrame, below: DataFrame, lanes: DataFrame, by: tuple[str, ...] = ("tree_id", "node")) -> DataFrame:
+    """(site_id, state, n_0, ...): what mutations add to a state's counts and take from another's, added up.
 
     `seq` has the mutations with `by`, the key of `below`. A node without edges counts as its own
     sample, or as nothing."""
     n = _lanes(below)
-    total = lanes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n))
     m = seq.join(below.select(*by, *n), list(by), "left").join(lanes.select(F.col("sample_id").alias("node"), *(F.col(c).alias(f"_own{c}") for c in n)), "node", "left")
     m = m.select("site_id", "parent_state", "derived_state", *(F.coalesce(F.col(c), F.col(f"_own{c}"), F.lit(0)).alias(c) for c in n))
     signed = F.explode(F.array(*(F.struct(F.col(s).alias("state"), *((k * F.col(c)).alias(c) for c in n)) for s, k in (("derived_state", 1), ("parent_state", -1))))).alias("r")
-    moves = m.where("derived_state <> parent_state").select("site_id", signed).select("site_id", "r.*")
+    return m.where("derived_state <> parent_state").select("site_id", signed).select("site_id", "r.*").groupBy("site_id", "state").agg(*(F.sum(c).alias(c) for c in n))
+
+
+def counted(sites: DataFrame, moves: DataFrame, lanes: DataFrame) -> DataFrame:
+    """(site_id, state, is_ancestral, n_0, ...): rows where some set has the state, from the moves of any number of batches."""
+    n = _lanes(moves)
+    total = lanes.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in n))
     start = sites.select("site_id", F.col("ancestral_state").alias("state")).join(F.broadcast(total), F.lit(True))  # one row
-    counts = moves.unionByName(start).groupBy("site_id", "state").agg(*(F.sum(c).alias(c) for c in n))
+    counts = moves.select("site_id", "state", *n).unionByName(start).groupBy("site_id", "state").agg(*(F.sum(c).alias(c) for c in n))
     counts = counts.where(" OR ".join(f"{c} > 0" for c in n))
     return counts.join(sites.select("site_id", "ancestral_state"), "site_id").select("site_id", "state", (F.col("state") == F.col("ancestral_state")).alias("is_ancestral"), *n)
 
 
+def allele_counts(sites: DataFrame, seq: DataFrame, below: DataFrame, lanes: DataFrame, by: tuple[str, ...] = ("tree_id", "node")) -> DataFrame:
+    """(site_id, state, is_ancestral, n_0, ...): rows where some set has the state."""
+    return counted(sites, moves(seq, below, lanes, by), lanes)
+
+
 def site_kind(sites: DataFrame, seq: DataFrame, below: DataFrame, column: str = "n_0", by: tuple[str, ...] = ("tree_id", "node")) -> DataFrame:
     """(site_id, is_multiallelic): a site leaves the biallelic form when a mutation to a third state has samples
     of the set below it, even if that state vanishes later. The second state is the first one that a

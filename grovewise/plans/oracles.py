@@ -14,7 +14,7 @@ te AS (SELECT tree_id, nat AS parent, sample_id AS child FROM anc UNION SELECT t
 st AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS site_id, p_partkey, p_size, substr('ACGT', p_size % 4 + 1, 1) AS anc FROM part),
 sites AS (SELECT site_id, p_partkey, p_size, anc, tree_id FROM st JOIN tr ON site_id >= l AND site_id < r),
 hit AS (SELECT site_id, sites.tree_id, p_size, anc, l_suppkey, l_orderkey, l_quantity::INT % 10 AS q, sample_id, nat, reg
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN sites ON p_partkey = l_partkey JOIN anc ON anc.c_custkey = o_custkey AND anc.tree_id = sites.tree_id WHERE l_linenumber = 1),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN sites ON p_partkey = l_partkey JOIN anc ON anc.c_custkey = o_custkey AND anc.tree_id = sites.tree_id),
 cand AS (SELECT site_id, tree_id, p_size, anc, l_suppkey, l_orderkey, CASE WHEN q < 7 THEN 2 WHEN q < 9 THEN 1 ELSE 0 END AS kind, CASE WHEN q < 7 THEN sample_id WHEN q < 9 THEN nat ELSE reg END AS node FROM hit),
 one AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY site_id, node ORDER BY l_orderkey, l_suppkey) = 1),
 mut AS (SELECT row_number() OVER (ORDER BY site_id, kind, node) - 1 AS mutation_id, site_id, tree_id, kind, node, anc,
@@ -54,6 +54,7 @@ _BENCH = """
 res AS (SELECT event_type AS section, (user_id % 3)::VARCHAR AS variant, 'c' || (event_id % 2) AS collection, (event_id % 3)::INT AS chromosome, value FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL),
 sm AS (SELECT section, variant, collection, chromosome, 'walltime' AS variable, quantile_cont(value, 0.5) AS median, min(value) AS mi, max(value) AS ma, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.9) AS q90, stddev_samp(value) AS sd FROM res GROUP BY ALL),
 sp AS (SELECT s.section, s.collection, s.chromosome, s.variable, s.variant, r.median / nullif(s.median, 0) AS speedup_median, r.median / nullif(s.mi, 0) AS speedup_min, r.median / nullif(s.ma, 0) AS speedup_max, r.median / nullif(s.q10, 0) AS speedup_q10, r.median / nullif(s.q90, 0) AS speedup_q90 FROM sm s JOIN sm r USING (section, collection, chromosome, variable) WHERE r.variant = '0' AND s.variant <> '0'),
+lm AS (SELECT variant, collection, chromosome, quantile_cont(value, 0.5) AS median, min(value) AS mi, max(value) AS ma, quantile_cont(value, 0.1) AS q10, quantile_cont(value, 0.9) AS q90 FROM res GROUP BY ALL),
 fs AS (SELECT 'c' || (s_nationkey % 4) AS collection, s_suppkey::INT AS chromosome, s_suppkey * 37 + 1000 AS num_edges, s_suppkey * 11 + 300 AS num_dag_edges, s_suppkey * 5 + 7 AS num_mutations, s_suppkey * 3 + 7 AS num_sites FROM supplier)
 """
 
@@ -106,6 +107,13 @@ ORACLES = {
     "subtrees_with_mutations": _q("SELECT (SELECT count(DISTINCT node) FROM mut WHERE kind = 2) + (SELECT count(DISTINCT h) FROM mut JOIN hk USING (tree_id, node)) AS num_subtrees"),
     "unique_subtrees": _q("SELECT n + (SELECT count(DISTINCT h) FROM hk) AS unique_subtrees, n + (SELECT count(*) FROM dag WHERE made) AS dag_nodes FROM n"),
     "dag_counts": _q("SELECT (SELECT sum(k) FROM dag WHERE made)::BIGINT AS num_edges, n + (SELECT count(*) FROM dag WHERE made) AS num_nodes, 4::BIGINT AS num_roots, n AS num_leaves FROM n"),
+    "node_map": _q("SELECT x.tree_id, x.node AS ts_node, max(d.id) AS forest_node, x.height = 3 AS is_root, x.height, bool_or(d.tree_id = x.tree_id) AS created FROM hk x JOIN (SELECT *, n + row_number() OVER (ORDER BY tree_id, height, node) - 1 AS id FROM dag, n WHERE made) d ON d.h = x.h AND d.tree_id <= x.tree_id GROUP BY ALL UNION ALL SELECT tree_id, sample_id, sample_id, false, 0, false FROM anc"),
+    "dag_edges": _q("SELECT row_number() OVER (ORDER BY parent, child) - 1 AS rank, parent, child FROM (SELECT p.id AS parent, coalesce((SELECT max(c.id) FROM ids c JOIN hk x ON x.h = c.h WHERE x.tree_id = te.tree_id AND x.node = te.child AND c.tree_id <= te.tree_id), te.child) AS child FROM ids p JOIN te ON te.tree_id = p.tree_id AND te.parent = p.node)", _BASE.strip() + ",\nids AS (SELECT *, n + row_number() OVER (ORDER BY tree_id, height, node) - 1 AS id FROM dag, n WHERE made)"),
+    "dag_neighbours": _q("SELECT parent AS node, count(*) AS num_children, count(*) - count(DISTINCT child) AS repeated FROM (SELECT p.id AS parent, te.child AS child FROM ids p JOIN te ON te.tree_id = p.tree_id AND te.parent = p.node) GROUP BY parent", _BASE.strip() + ",\nids AS (SELECT *, n + row_number() OVER (ORDER BY tree_id, height, node) - 1 AS id FROM dag, n WHERE made)"),
+    "allele_frequencies_of_sets": _q("SELECT s.site_id, coalesce(sum(a) FILTER (is_ancestral), 0)::BIGINT AS num_ancestral_0, coalesce(sum(b) FILTER (is_ancestral), 0)::BIGINT AS num_ancestral_1 FROM sites s LEFT JOIN ac USING (site_id) GROUP BY s.site_id"),
+    "streamed_allele_counts": _q("SELECT site_id, state, is_ancestral, a AS n_0, b AS n_1 FROM ac"),
+    "diversity_on_bp": _stat("diversity", "c * (n - c)", "n * (n - 1)"),
+    "lca_on_bp": _q("SELECT tree_id, CASE WHEN count(DISTINCT nat) = 1 THEN min(nat) WHEN count(DISTINCT reg) = 1 THEN min(reg) ELSE min(root) END AS node FROM anc WHERE sample_id % 10 = 0 GROUP BY tree_id"),
     "adjacency": _q("SELECT tree_id, parent AS node, string_agg(child::VARCHAR, ',' ORDER BY child) AS neighbours FROM te GROUP BY tree_id, parent"),
     "duplicate_edges": _q("SELECT parent, child, count(*) AS times FROM te GROUP BY ALL HAVING count(*) > 1"),
     "postorder_violations": "SELECT 0::BIGINT AS violations, true AS sorted",
@@ -122,7 +130,7 @@ ORACLES = {
     "bench_summary": _q(f"SELECT section, variant, collection, chromosome, variable, {_ROUND(['median', 'q10', 'q90', 'sd'])}, round(mi, 6) AS min, round(ma, 6) AS max, round(ma - mi, 6) AS range FROM sm", _BENCH),
     "speedup": _q(f"SELECT section, collection, chromosome, variable, variant, {_ROUND(['speedup_median', 'speedup_min', 'speedup_max', 'speedup_q10', 'speedup_q90'])} FROM sp", _BENCH),
     "speedup_summary": _q("SELECT section, collection, variant, round(a, 6) AS min_speedup, round(b, 6) AS max_speedup, round(m, 6) AS median_speedup, round(max(m) OVER (PARTITION BY section), 6) AS best_median FROM (SELECT section, collection, variant, min(speedup_median) AS a, max(speedup_median) AS b, quantile_cont(speedup_median, 0.5) AS m FROM sp GROUP BY ALL)", _BENCH),
-    "lca_fractions": "SELECT unnest(['lca_2th', 'lca_5th', 'lca_10th']) AS section, unnest([0.5, 0.2, 0.1])::DOUBLE AS fraction",
+    "lca_fractions": _q(f"SELECT section, collection, chromosome, variable, variant, {_ROUND(['speedup_median', 'speedup_min', 'speedup_max', 'speedup_q10', 'speedup_q90'])}, round(fraction, 6) AS fraction FROM (SELECT 'lca_' || [2, 5, 10][s.chromosome + 1] || 'th' AS section, s.collection, s.chromosome, 'walltime' AS variable, s.variant, r.median / nullif(s.median, 0) AS speedup_median, r.median / nullif(s.mi, 0) AS speedup_min, r.median / nullif(s.ma, 0) AS speedup_max, r.median / nullif(s.q10, 0) AS speedup_q10, r.median / nullif(s.q90, 0) AS speedup_q90, 1 / [2, 5, 10][s.chromosome + 1]::DOUBLE AS fraction FROM lm s JOIN lm r USING (collection, chromosome) WHERE r.variant = '0' AND s.variant <> '0')", _BENCH),
     "storage_model": _q("SELECT collection, round(sum(num_edges) * 16.0 / 1048576, 9) AS edges_mib, round(sum(num_dag_edges) * 8.0 / 1048576, 9) AS dag_edges_mib, round((sum(num_mutations) * 8.5 + sum(num_sites) * 0.25) / 1048576, 9) AS sequence_mib FROM fs GROUP BY ALL", _BENCH),
     "dataset_summary": _q("SELECT collection, min(num_edges)::DOUBLE AS min, quantile_cont(num_edges, 0.5)::DOUBLE AS median, max(num_edges)::DOUBLE AS max, round(avg(num_edges), 6) AS mean, round(stddev_samp(num_edges), 6) AS sd, round(exp(avg(ln(num_edges))), 6) AS geometric_mean FROM fs GROUP BY ALL", _BENCH),
     "dataset_wide": _q("SELECT collection, chromosome, num_edges::DOUBLE AS num_edges, num_sites::DOUBLE AS num_trees, num_dag_edges::DOUBLE AS num_unique_subtrees, (num_edges + num_dag_edges)::DOUBLE AS num_subtrees, round(num_dag_edges::DOUBLE / (num_edges + num_dag_edges), 9) AS unique_share FROM fs", _BENCH),

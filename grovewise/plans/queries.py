@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from grovewise.functions.scalar import dna_index
 from grovewise.operators import bp, frequencies, graph, report, samples, sequence, stats, trees
 from grovewise.plans.lineage import checkpoint_dir
 from grovewise.sources import adapter, results
+from grovewise.streaming import ingest
 
 S2 = [f"sample_id % 2 = {i}" for i in range(2)]
 S3 = [f"sample_id % 3 = {i}" for i in range(3)]
@@ -80,9 +82,19 @@ def _bench(spark: SparkSession, d: str) -> DataFrame:
     return report.walltime_summary(adapter.bench_results(spark, d))
 
 
-def _fractions(spark: SparkSession) -> DataFrame:
-    s = spark.range(1).select(F.explode(F.array(*(F.lit(x) for x in ("lca_2th", "lca_5th", "lca_10th", "afs")))).alias("section"))
-    return report.fraction_of_samples(s)
+def _fractions(spark: SparkSession, d: str) -> DataFrame:
+    s = report.speedup(report.walltime_summary(adapter.lca_results(spark, d)), "0")
+    return _round_all(report.fraction_of_samples(s))
+
+
+def _streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The mutations as a stream of files, a file a batch, and the counts that are kept up with it."""
+    f = forest(spark, d)
+    here = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    f.seq_mutations.repartition(3).write.parquet(f"{here}/mutations")
+    stream = spark.readStream.schema(ingest.MUTATIONS).option("maxFilesPerTrigger", 1).parquet(f"{here}/mutations")
+    ingest.ingest(f, S2, stream, f"{here}/moves", f"{here}/progress").trigger(availableNow=True).start().awaitTermination()
+    return ingest.allele_counts(f, S2, f"{here}/moves")
 
 
 _F: dict[str, Callable[[Forest], DataFrame]] = {
@@ -117,6 +129,10 @@ _F: dict[str, Callable[[Forest], DataFrame]] = {
     "subtrees_with_mutations": lambda f: f.subtrees_with_mutations().agg(F.count("*").alias("num_subtrees")),
     "unique_subtrees": lambda f: f.unique_subtrees(),
     "dag_counts": _dag_counts,
+    "node_map": lambda f: f.node_map.select("tree_id", "ts_node", "forest_node", "is_root", "height", "created"),
+    "dag_edges": lambda f: f.dag_edges,
+    "dag_neighbours": lambda f: graph.adjacency(f.dag_edges).select("node", F.size("neighbours").cast("long").alias("num_children"), (F.size("neighbours") - F.size(F.array_distinct("neighbours"))).cast("long").alias("repeated")),
+    "allele_frequencies_of_sets": lambda f: f.allele_frequencies(*S2).select("site_id", "num_ancestral_0", "num_ancestral_1"),
     "adjacency": lambda f: graph.adjacency(f.tree_edges, "tree_id").select("tree_id", "node", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours")),
     "duplicate_edges": lambda f: graph.duplicate_edges(f.tree_edges),
     "postorder_violations": _postorder_check,
@@ -139,7 +155,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bench_summary": lambda s, d: _round_all(_bench(s, d)),
     "speedup": lambda s, d: _round_all(report.speedup(_bench(s, d), "0")),
     "speedup_summary": lambda s, d: _round_all(report.speedup_summary(report.speedup(_bench(s, d), "0"))),
-    "lca_fractions": lambda s, d: _fractions(s),
+    "lca_fractions": _fractions,
+    "streamed_allele_counts": _streamed,
+    "diversity_on_bp": lambda s, d: _rounded(forest(s, d, "bp").diversity(), "diversity"),
+    "lca_on_bp": lambda s, d: forest(s, d, "bp").lca("sample_id % 10 = 0"),
     "storage_model": lambda s, d: _round_all(report.storage_model(_stats(s, d)), 9),
     "dataset_summary": lambda s, d: _round_all(report.dataset_summary(_stats(s, d).withColumn("num_edges", F.col("num_edges").cast("double")), "num_edges")),
     "dataset_wide": _wide,

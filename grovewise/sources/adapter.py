@@ -40,7 +40,7 @@ def adapter(spark: SparkSession, sf_dir: str) -> TreeTables:
 
     part = with_dense_id(read("part").select(F.col("p_partkey").cast("long"), F.col("p_size").cast("long")), ["p_partkey"], "site_id")
     sites = part.select("site_id", F.col("site_id").cast("double").alias("position"), _acgt(F.col("p_size") % 4).alias("ancestral_state"))
-    li = read("lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").cast("long"), F.col("l_partkey").cast("long").alias("p_partkey"), F.col("l_suppkey").cast("long"), F.col("l_quantity").cast("int").alias("q"))
+    li = read("lineitem").select(F.col("l_orderkey").cast("long"), F.col("l_partkey").cast("long").alias("p_partkey"), F.col("l_suppkey").cast("long"), F.col("l_quantity").cast("int").alias("q"))
     m = li.join(read("orders").select(F.col("o_orderkey").cast("long").alias("l_orderkey"), F.col("o_custkey").cast("long").alias("c_custkey")), "l_orderkey").join(part, "p_partkey")
     bounds = [i * p // TREES for i in range(1, TREES)]
     tree_of = sum(((F.col("site_id") >= b).cast("long") for b in bounds), F.lit(0).cast("long"))
@@ -69,6 +69,12 @@ def bench_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def lca_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events as timings of common ancestors of every second, fifth and tenth sample."""
+    nth = F.element_at(F.array(F.lit("2"), F.lit("5"), F.lit("10")), (F.col("chromosome") + 1))
+    return bench_results(spark, sf_dir).withColumn("section", F.concat(F.lit("lca_"), nth, F.lit("th")))
+
+
 def file_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide dataset statistics by supplier, for the storage and distribution queries."""
     s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("k"), F.col("s_nationkey").cast("long").alias("c"))

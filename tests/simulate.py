@@ -4,9 +4,10 @@ import random
 
 
 class Simulated:
-    """trees: for each tree, parents by child; edges: (left, right, parent, child), tree t holding on [t, t + 1)."""
+    """trees: for each tree, parents by child; edges: (left, right, parent, child), tree t holding on [t, t + 1). low: only small subtrees move, to places of
+    at most this depth."""
 
-    def __init__(self, samples, trees, seed, reuse=0.5):
+    def __init__(self, samples, trees, seed, reuse=0.5, low=None):
         rng = random.Random(seed)
         self.n, self.trees = samples, []
         top, nodes, parent = samples, list(range(samples)), {}
@@ -24,7 +25,7 @@ class Simulated:
             self.trees.append(dict(parent))
             before = dict(parent)
             inner = [c for c in parent if parent[c] in parent]
-            x = rng.choice(inner)
+            x = rng.choice([c for c in inner if c < samples] if low else inner)
             u = parent[x]
             (s,) = (c for c in parent if parent[c] == u and c != x)
             parent[s] = parent.pop(u)
@@ -36,6 +37,8 @@ class Simulated:
                 below |= more
                 grown = bool(more)
             y = rng.choice([c for c in parent if c not in below and c != s])
+            while low and self._deeper(parent, y, low):
+                y = rng.choice([c for c in parent if c not in below and c != s])
             v = u if rng.random() < reuse else top
             top += v == top
             parent[v], parent[y], parent[x] = parent[y], v, v
@@ -46,6 +49,12 @@ class Simulated:
         self.edges += [(float(opened[c][1]), float(trees), p, c) for c, p in before.items() if parent.get(c) == p]
         self.top = top
 
+    @staticmethod
+    def _deeper(parent, u, depth):
+        while depth and u in parent:
+            u, depth = parent[u], depth - 1
+        return u in parent
+
     def tables(self, spark, sites=(), mutations=()):
         from grovewise.model import EDGES, MUTATIONS, NODES, SITES, TreeTables
 
