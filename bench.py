@@ -1,6 +1,6 @@
 """Times the headline queries: python bench.py prints one JSON line.
 
-Each query runs once to warm up and then BENCH_RUNS times (1 by default); its figure is the median. Every run is cold: of the forest only its tables, per-tree edges and
+Each query runs once to warm up and then BENCH_RUNS times (1 by default); its figure is the median. Every run is cold: of the forest only its tables, edges by ranges of trees and
 mutations are kept, whose loading is timed by itself; counts below nodes, hashes, the DAG and all that follows are made anew each time.
 """
 
@@ -14,8 +14,8 @@ from pyspark.sql import SparkSession
 SF = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS, RUNS = os.environ.get("BENCH_CPUS", "8"), int(os.environ.get("BENCH_RUNS", "1"))
 #: What a forest may keep from one run to the next.
-LOADED = {"tables", "layout", "_below", "samples", "num_samples", "trees", "tree_edges", "site_tree", "roots", "seq_mutations"}
-HEADLINE = ["diversity", "diversity_by_set", "divergence", "segregating_sites", "afs", "tajimas_d", "fst", "f2", "f3", "f4", "lca_pairwise", "lca_every_nth", "samples_below", "samples_below_dag", "allele_counts", "unique_subtrees", "bp_tokens", "bench_summary", "speedup"]
+LOADED = {"tables", "layout", "_below", "samples", "num_samples", "breakpoints", "pieces", "chunk_size", "trees", "site_tree", "seq_mutations"}
+HEADLINE = ["diversity", "diversity_by_set", "divergence", "segregating_sites", "afs", "tajimas_d", "fst", "f2", "f3", "f4", "lca_pairwise", "lca_every_nth", "samples_below", "samples_below_dag", "allele_counts", "unique_subtrees", "bp_tokens", "diversity_on_bp", "bench_summary", "speedup"]
 
 
 def main() -> None:
@@ -26,12 +26,12 @@ def main() -> None:
     out = {}
     began = time.perf_counter()
     f = forest(spark, SF)
-    f.seq_mutations.count(), f.tree_edges.count()
+    f.seq_mutations.count(), f.pieces.edges.count()
     out["load_forest"] = time.perf_counter() - began
     for name in HEADLINE:
         times = []
         for _ in range(1 + RUNS):
-            for layout in ("tree", "dag"):
+            for layout in ("tree", "dag", "bp"):
                 f = forest(spark, SF, layout)
                 f._below.clear()
                 for k in set(f.__dict__) - LOADED:

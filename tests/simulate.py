@@ -4,8 +4,8 @@ import random
 
 
 class Simulated:
-    """trees: for each tree, parents by child; edges: (left, right, parent, child), tree t holding on [t, t + 1). low: only small subtrees move, to places of
-    at most this depth."""
+    """trees: for each tree, parents by child; edges: (left, right, parent, child), tree t holding on [t, t + 1). low: only samples move, beside samples of
+    at most this depth, so that trees stay low."""
 
     def __init__(self, samples, trees, seed, reuse=0.5, low=None):
         rng = random.Random(seed)
@@ -36,9 +36,10 @@ class Simulated:
                 more = {c for c, p in parent.items() if p in below} - below
                 below |= more
                 grown = bool(more)
-            y = rng.choice([c for c in parent if c not in below and c != s])
+            places = [c for c in parent if c not in below and c != s and (not low or c < samples)]
+            y = rng.choice(places)
             while low and self._deeper(parent, y, low):
-                y = rng.choice([c for c in parent if c not in below and c != s])
+                y = rng.choice(places)
             v = u if rng.random() < reuse else top
             top += v == top
             parent[v], parent[y], parent[x] = parent[y], v, v
