@@ -118,6 +118,12 @@ def short_plans(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver drop what finished steps of a loop have left: broadcasts, shuffles and plans are cleaned up only when its garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: computed once, readable by every executor, without lineage.
 

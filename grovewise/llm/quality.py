@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from grovewise.llm.common import broadcast_if, fresh, join_on_hot, mapped, one_of, short_plans, stored
+from grovewise.llm.common import broadcast_if, fresh, join_on_hot, mapped, one_of, release, short_plans, stored
 
 MIN_WORDS, MOST_REPEATED = 50, 50
 #: Rows that a group's parent counts for; most concentration steps; bins of distance for each factor of e; a fall of the log determinant that counts.
@@ -214,6 +214,7 @@ def robust(x: DataFrame) -> DataFrame:
         best = stored(both.withColumn("tries", F.when(F.col("fell"), F.col("tries")).otherwise(F.col("_old"))).drop("_det", "_old"), "best", narrow=True)
         if best.where("fell").isEmpty():
             break
+        release(x.sparkSession)
         best = best.drop("fell")
     return best.select("g", "up", "n", "middle", F.col("tries")[0]["m"].alias("m"), F.col("tries")[0]["c"].alias("c"), F.col("tries")[0]["far"].alias("far"))
 
