@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewise.model import TreeTables, violations
-from grovewise.operators import bp, compress, frequencies, graph, samples, sequence, spans, stats, trees
+from grovewise.operators import bp, compress, folds, frequencies, graph, samples, sequence, spans, stats, trees
 from grovewise.plans.lineage import cut
 from grovewise.sources import archive, treefile
 
@@ -80,6 +80,10 @@ class Forest:
         listed = c.groupBy("site_id").agg(F.array_sort(F.collect_list(F.struct("state", "is_ancestral", "n"))).alias("counts"))
         return listed.select("site_id", merge(F.col("counts")).alias(name))
 
+    def fold(self, rules: list[Rule], by: folds.Fold) -> DataFrame:
+        """One row: a user's fold over the allele counts (site_id, state, is_ancestral, n_0, ...) of all sites, combined before it is shuffled."""
+        return folds.fold(self.allele_counts(rules), by)
+
     def save_dag(self, path: str) -> None:
         archive.save(path, "dag", {"dag_edges": self.dag_edges, "dag_roots": self.dag_roots, "node_spans": self.node_spans}, chunk_size=self.chunk_size)
 

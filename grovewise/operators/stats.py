@@ -9,9 +9,12 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from grovewise.operators.folds import Fold
+
 WIDE = "decimal(38,0)"
 
 
@@ -72,6 +75,20 @@ def tajimas_d(counts: DataFrame, n: int, a: str = "n_0") -> DataFrame:
     return both.select(F.when(seg > 0, (F.col("pi") - seg / k["a1"]) / deviation).alias("tajimas_d"))
 
 
+def tajimas_fold(n: int) -> Fold:
+    """The same for n >= 2 samples, as a fold over states: a site's counts add up to n, so sites are counted without being grouped."""
+    k = tajimas_constants(n)
+
+    def update(s: tuple, rows: pa.RecordBatch) -> tuple:
+        c = rows.column("n_0").to_numpy(zero_copy_only=False)
+        return s[0] + sum((c * (n - c)).tolist()), s[1] + int((c > 0).sum()), s[2] + sum(c.tolist())
+
+    seg = f"(states - carriers div {n})"
+    deviation = f"sqrt({k['e1']!r}D * {seg} + {k['e2']!r}D * {seg} * ({seg} - 1))"
+    d = f"CASE WHEN {seg} > 0 THEN (cast(differences AS double) / {float(n * (n - 1))!r}D - {seg} / {k['a1']!r}D) / {deviation} END"
+    return Fold("differences decimal(38,0), states long, carriers long", lambda: (0, 0, 0), update, lambda a, b: tuple(int(x) + int(y) for x, y in zip(a, b)), {"tajimas_d": d})
+
+
 def fst(counts: DataFrame, n_a: int, n_b: int, a: str = "n_0", b: str = "n_1") -> DataFrame:
     """1 - 2 (d_A + d_B) / (d_A + 2 d_AB + d_B), with the set's own size in each diversity; NULL without variation."""
     ca, cb = F.col(a), F.col(b)

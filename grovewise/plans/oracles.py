@@ -137,3 +137,5 @@ ORACLES = {
     "distribution": _q("SELECT collection, min(num_edges)::DOUBLE AS lowest, quantile_cont(num_edges, 0.25)::DOUBLE AS q25, quantile_cont(num_edges, 0.5)::DOUBLE AS q50, quantile_cont(num_edges, 0.75)::DOUBLE AS q75, max(num_edges)::DOUBLE AS highest FROM fs GROUP BY ALL", _BENCH),
     "filenames_unique": "SELECT true AS ok",
 }
+#: The same statistic by another way.
+ORACLES["tajimas_d_as_fold"] = ORACLES["tajimas_d"]

@@ -120,6 +120,7 @@ _F: dict[str, Callable[[Forest], DataFrame]] = {
     "segregating_sites": lambda f: f.segregating_sites(),
     "afs": lambda f: f.afs(),
     "tajimas_d": lambda f: _rounded(f.tajimas_d(), "tajimas_d"),
+    "tajimas_d_as_fold": lambda f: _rounded(f.fold(["true"], stats.tajimas_fold(f.num_samples)), "tajimas_d"),
     "fst": lambda f: _rounded(f.fst(*S2), "fst"),
     "f2": lambda f: _rounded(f.f2(*S2), "f2"),
     "f3": lambda f: _rounded(f.f3(*S3), "f3"),

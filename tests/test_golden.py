@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from fixtures import EXAMPLES, tables
 from grovewise import Forest
 from grovewise.operators import bp, graph, samples, sequence, stats, trees
+from grovewise.operators.folds import Fold, fold
 
 A, B = "sample_id < 2", "sample_id >= 2"
 #: all, A, B diversity; divergence; segregating sites; f2, f3, f4; F_ST; Tajima's D; AFS
@@ -212,6 +213,33 @@ def test_user_fold_and_appenders(forests, spark):
     assert [r.mutation_id for r in sequence.append_mutations(f.seq_mutations, rows).orderBy("mutation_id").collect()] == list(range(7))
 
 
+@pytest.mark.parametrize("name", EXAMPLES)
+def test_tajimas_d_as_a_fold(forests, name):
+    assert one(forests[name].fold(["true"], stats.tajimas_fold(4))) == pytest.approx(GOLDEN[name][-2], abs=1e-9)
+
+
+def test_fold_of_any_partitions(spark):
+    """Sum, count and largest of rows over 1 and 150 partitions, of rows with NULLs, and of none."""
+    import pyarrow.compute as pc
+
+    def update(s, b):
+        x = b.column("x")
+        big = pc.max(x).as_py()
+        return s[0] + (pc.sum(x).as_py() or 0), s[1] + len(x) - x.null_count, max((v for v in (s[2], big) if v is not None), default=None)
+
+    def merge(a, b):
+        return a[0] + b[0], a[1] + b[1], max((v for v in (a[2], b[2]) if v is not None), default=None)
+
+    by = Fold("s long, n long, m long", lambda: (0, 0, None), update, merge, {"mean": "s / n", "most": "m"})
+    rows = spark.range(1000).select(F.when(F.col("id") % 7 != 0, F.col("id")).alias("x"))
+    x = [i for i in range(1000) if i % 7]
+    for parts in (1, 150):
+        got = fold(rows.repartition(parts), by).collect()
+        assert [(r.mean, r.most) for r in got] == [(pytest.approx(sum(x) / len(x)), 999 if 999 % 7 else 998)]
+    for none in (rows.where("x < 0"), spark.createDataFrame([], "x long")):
+        assert [tuple(r) for r in fold(none, by.__class__(*by[:4], {"n": "n", "m": "m"})).collect()] == [(0, None)]
+
+
 def test_graph_edges(spark):
     e = spark.createDataFrame([(0, 5, 1), (1, 5, 2)], "rank long, parent long, child long")
     more = graph.insert_edges(e, spark.createDataFrame([(0, 6, 5)], e.schema))
