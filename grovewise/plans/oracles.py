@@ -70,6 +70,12 @@ def _stat(name: str, numerator: str, denominator: str) -> str:
 
 _BELOW = "SELECT tree_id, node, count(*) FILTER (sample_id % 2 = 0) AS n_0, count(*) FILTER (sample_id % 2 = 1) AS n_1 FROM desc_ GROUP BY ALL"
 _ROUND = lambda cs: ", ".join(f"round({c}, 6) AS {c}" for c in cs)
+_VIOLATIONS = """SELECT 'sample ids are 0..n-1' AS "check", (count(*) > 0 AND (min(sample_id) <> 0 OR max(sample_id) <> count(*) - 1 OR count(DISTINCT sample_id) <> count(*)))::BIGINT AS violations FROM smp
+UNION ALL SELECT 'one root per tree', count(*) FROM (SELECT tree_id FROM (SELECT tree_id, parent AS node FROM te EXCEPT SELECT tree_id, child FROM te) GROUP BY tree_id HAVING count(*) > 1)
+UNION ALL SELECT 'samples are leaves', count(*) FROM te JOIN smp ON parent = sample_id
+UNION ALL SELECT 'one parent per node and tree', coalesce(sum(k), 0)::BIGINT FROM (SELECT 1 AS k FROM te GROUP BY tree_id, child HAVING count(*) > 1)
+UNION ALL SELECT 'alleles are one character', count(*) FROM (SELECT anc AS s FROM sites UNION ALL SELECT state FROM mut) WHERE s IS NULL OR length(s) <> 1
+UNION ALL SELECT 'edges end after they begin', count(*) FROM edges WHERE NOT ("left" < "right")"""
 
 ORACLES = {
     "trees": _q('SELECT tree_id, l::DOUBLE AS "left", r::DOUBLE AS "right" FROM tr'),
@@ -116,7 +122,6 @@ ORACLES = {
     "lca_on_bp": _q("SELECT tree_id, CASE WHEN count(DISTINCT nat) = 1 THEN min(nat) WHEN count(DISTINCT reg) = 1 THEN min(reg) ELSE min(root) END AS node FROM anc WHERE sample_id % 10 = 0 GROUP BY tree_id"),
     "adjacency": _q("SELECT tree_id, parent AS node, string_agg(child::VARCHAR, ',' ORDER BY child) AS neighbours FROM te GROUP BY tree_id, parent"),
     "duplicate_edges": _q("SELECT parent, child, count(*) AS times FROM te GROUP BY ALL HAVING count(*) > 1"),
-    "postorder_violations": "SELECT 0::BIGINT AS violations, true AS sorted",
     "sample_set_inverse": _q("SELECT s.set_id, sample_id FROM smp, (SELECT unnest(['0', '1', '2']) AS set_id) s WHERE (sample_id % 3)::VARCHAR <> s.set_id"),
     "sample_set_sizes": _q("SELECT (sample_id % 4)::VARCHAR AS set_id, count(*) AS num_samples FROM smp GROUP BY ALL"),
     "invalidated_nodes": _q("SELECT DISTINCT tree_id, node FROM inv"),
@@ -125,7 +130,7 @@ ORACLES = {
     "bp_tokens": _q("SELECT row_number() OVER (ORDER BY tree_id, k) - 1 AS pos, tree_id, bp, NOT new AS is_ref, new AND lvl = 's' AS is_leaf, CASE WHEN lvl = 's' THEN node WHEN NOT new OR NOT bp THEN id END AS node_id FROM (SELECT tree_id, node, lvl, new, id, unnest([{'k': path, 'bp': true}, {'k': path || '~', 'bp': false}], recursive := true) FROM bpn LEFT JOIN bpi USING (h))", _BASE.strip() + _BP),
     "bp_references": _q("SELECT row_number() OVER (ORDER BY tree_id, path) - 1 AS rank, CASE WHEN lvl = 's' THEN node ELSE id END AS node FROM bpn LEFT JOIN bpi USING (h) WHERE NOT new", _BASE.strip() + _BP),
     "dataset_stats": _q("SELECT 'num_sites' AS metric, count(*)::DOUBLE AS value FROM sites UNION ALL SELECT 'num_mutations', count(*) FROM mut UNION ALL SELECT 'num_trees', 4 UNION ALL SELECT 'num_samples', n FROM n UNION ALL SELECT 'num_edges', count(*) FROM edges UNION ALL SELECT 'num_nodes', n + 31 FROM n UNION ALL SELECT 'sequence_length', p FROM p UNION ALL SELECT 'num_subtrees', count(*) FROM key UNION ALL SELECT 'num_dag_nodes', n + (SELECT count(*) FROM dag WHERE made) FROM n UNION ALL SELECT 'num_dag_edges', (SELECT sum(k) FROM dag WHERE made) UNION ALL SELECT 'num_unique_subtrees', n + (SELECT count(DISTINCT h) FROM hk) FROM n UNION ALL SELECT 'num_subtrees_with_mutations', (SELECT count(DISTINCT node) FROM mut WHERE kind = 2) + (SELECT count(DISTINCT h) FROM mut JOIN hk USING (tree_id, node)) UNION ALL SELECT 'num_bp_references', count(*) FROM bpn WHERE NOT new", _BASE.strip() + _BP),
-    "violations": "SELECT unnest(['sample ids are 0..n-1', 'one root per tree', 'samples are leaves', 'one parent per node and tree', 'alleles are one character', 'edges end after they begin']) AS \"check\", 0::BIGINT AS violations",
+    "violations": _q(_VIOLATIONS),
     "archive_round_trip": _q('SELECT "left", "right", parent, child FROM edges'),
     "bench_summary": _q(f"SELECT section, variant, collection, chromosome, variable, {_ROUND(['median', 'q10', 'q90', 'sd'])}, round(mi, 6) AS min, round(ma, 6) AS max, round(ma - mi, 6) AS range FROM sm", _BENCH),
     "speedup": _q(f"SELECT section, collection, chromosome, variable, variant, {_ROUND(['speedup_median', 'speedup_min', 'speedup_max', 'speedup_q10', 'speedup_q90'])} FROM sp", _BENCH),
@@ -135,7 +140,11 @@ ORACLES = {
     "dataset_summary": _q("SELECT collection, min(num_edges)::DOUBLE AS min, quantile_cont(num_edges, 0.5)::DOUBLE AS median, max(num_edges)::DOUBLE AS max, round(avg(num_edges), 6) AS mean, round(stddev_samp(num_edges), 6) AS sd, round(exp(avg(ln(num_edges))), 6) AS geometric_mean FROM fs GROUP BY ALL", _BENCH),
     "dataset_wide": _q("SELECT collection, chromosome, num_edges::DOUBLE AS num_edges, num_sites::DOUBLE AS num_trees, num_dag_edges::DOUBLE AS num_unique_subtrees, (num_edges + num_dag_edges)::DOUBLE AS num_subtrees, round(num_dag_edges::DOUBLE / (num_edges + num_dag_edges), 9) AS unique_share FROM fs", _BENCH),
     "distribution": _q("SELECT collection, min(num_edges)::DOUBLE AS lowest, quantile_cont(num_edges, 0.25)::DOUBLE AS q25, quantile_cont(num_edges, 0.5)::DOUBLE AS q50, quantile_cont(num_edges, 0.75)::DOUBLE AS q75, max(num_edges)::DOUBLE AS highest FROM fs GROUP BY ALL", _BENCH),
-    "filenames_unique": "SELECT true AS ok",
+    "filenames_unique": "SELECT count(f) = count(DISTINCT f) AS ok FROM (SELECT 'c' || (s_nationkey % 4) || '_chr' || s_suppkey || '.trees' AS f FROM supplier)",
 }
 #: The same statistic by another way.
 ORACLES["tajimas_d_as_fold"] = ORACLES["tajimas_d"]
+#: Edges of the DAG in their order: a node whose own edges end after it is first used, an inner node without edges, a parent out of order.
+ORACLES["postorder_violations"] = f"""WITH e AS ({ORACLES["dag_edges"]}), d AS (SELECT parent, max(rank) AS done FROM e GROUP BY parent), u AS (SELECT child, min(rank) AS used FROM e GROUP BY child)
+SELECT (SELECT count(*) FROM d JOIN u ON d.parent = u.child WHERE used < done) + (SELECT count(*) FROM u WHERE child >= (SELECT count(*) FROM customer) AND child NOT IN (SELECT parent FROM d)) AS violations,
+  (SELECT coalesce(bool_and(parent >= before), true) FROM (SELECT parent, lag(parent) OVER (ORDER BY rank) AS before FROM e)) AS sorted"""
