@@ -124,13 +124,24 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def crowded(spark: SparkSession) -> bool:
+    """Whether the driver's heap has grown beyond half of what it may take: most of that is what finished queries have left, and it does not shrink by itself."""
+    heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    return 2 * heap.totalMemory() > heap.maxMemory()
+
+
 def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: computed once, readable by every executor, without lineage.
 
+    Operators store dozens of tables one after the other, so the plan's text is cut, and the driver gives back what the queries before have left as soon as its heap has grown.
+
     narrow: no more files than the cluster has cores, for tables of a few numbers per row that a shuffle has
     spread over many partitions; each file costs its writer a process or more."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
+    with short_plans(df.sparkSession):
+        (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
+    if crowded(df.sparkSession):
+        release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
