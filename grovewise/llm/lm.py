@@ -6,7 +6,7 @@ times among N, so at most `GROWTH` sqrt(N) of them, an end token, and one class
 every text has a normalised probability.
 
 Vocabulary words are dealt to frequency classes, so that a word's probability is its class's among all classes times its own inside the class, each
-normalised exactly by batched products for the contexts that occur. A class takes words in order of frequency until the roots of their shares add up to one, which makes
+normalised exactly by batched products for the contexts that occur, or by products of exponentials that are made once for the most frequent contexts. A class takes words in order of frequency until the roots of their shares add up to one, which makes
 both sums together shortest. NCE trains both steps: classes against noise shared by an update, words against noise from their class.
 
 Word counts are taken over the whole training corpus. Texts are dealt to learners, as many as the corpus has tokens for (`EACH` for every row of parameters), whatever its partitions. Each
@@ -27,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +41,8 @@ from grovewise.llm.common import mapped, one_of, stored
 #: of a token, tokens per update, tokens scored at once, rows per block of parameters, a learner's tokens for each row of parameters.
 GROWTH, HEAD, WIDTH, NOISE, INNER, UPDATE, BATCH, BLOCK, EACH = 40, 100_000, 16, 32, 2, 4096, 65_536, 8192, 128
 ROUNDS, RATE = 1, 0.1
-#: Scores that are made at once, which fit a core's cache.
-CELLS = 80_000
+#: Scores that are made at once, which fit a core's cache; exponentials that a worker keeps for each place, of the top outputs and of all words inside their classes.
+CELLS, KEPT = 80_000, 1 << 23
 FLUSH = 200_000
 
 
@@ -172,31 +173,43 @@ class Trainer:
         self.seen = 0
 
     def update(self, w: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        """Tokens are taken by word, and so by top output; rows are fetched by `take`, which is several times faster than an index."""
         p, k, width, n = self.p, len(w), self.p.word.shape[1], self.n_top
-        r1, r2 = p.context[one], p.context[two]
-        q = r1 * p.scale[0] + r2 * p.scale[1]
+        order = np.argsort(w)
+        w, ones = w[order], np.ones(k, np.float32)
+        r1, r2 = p.context.take(one[order], 0), p.context.take(two[order], 0)
+        q = r1 * p.scale[0]
+        q += r2 * p.scale[1]
         top = self.tops[w]
         noise = np.minimum(np.searchsorted(self.cdf, self.rng.random(NOISE) * self.cdf[-1]), n - 1)
-        t, tn = p.word[top], p.word[noise]
-        pos = np.einsum("ij,ij->i", q, t) + p.bias[top] - self.log_noise[top]
-        neg = q @ tn.T
-        neg += p.bias[noise] - self.log_noise[noise]
-        g = _sigmoid(-pos)
-        gn = np.negative(_sigmoid(neg), out=neg)
-        dq = g[:, None] * t + gn @ tn
-        u, rows, _ = self._sum(np.concatenate([top, noise]), np.concatenate([np.column_stack([g[:, None] * q, g]), np.column_stack([gn.T @ q, gn.sum(0)])]))
+        t, tn = p.word[:n].take(top, 0), p.word[noise]
+        g = _sigmoid(-(np.einsum("ij,ij->i", q, t) + (p.bias[:n] - self.log_noise)[top]))
+        gn = q @ tn.T
+        gn += p.bias[noise] - self.log_noise[noise]
+        np.negative(_sigmoid(gn), out=gn)
+        dq = gn @ tn
+        t *= g[:, None]
+        dq += t
         dtop = np.zeros((n, width + 1), np.float32)
-        dtop[u] = rows / k
+        first = np.flatnonzero(np.append(True, top[1:] != top[:-1]))
+        dtop[top[first], :width], dtop[top[first], width] = np.add.reduceat(np.multiply(g[:, None], q, out=t), first, axis=0), np.add.reduceat(g, first)
+        np.add.at(dtop, noise, np.column_stack([gn.T @ q, ones @ gn]))
+        dtop /= k
         self._inner(w, top, q, dq)
-        dscale = np.stack([(dq * r1).sum(0), (dq * r2).sum(0)]) / k
-        # a word is two before a token where it is one before the token before
+        dscale = np.stack([ones @ np.multiply(dq, r, out=r) for r in (r1, r2)]) / k
+        # back in the order of the texts: a word is two before a token where it is one before the token before
+        back = np.empty_like(order)
+        back[order] = np.arange(k)
+        dq = dq.take(back, 0)
         near, far = dq * p.scale[0], dq * p.scale[1]
         same = np.append(False, two[1:] == one[:-1])
-        near[np.flatnonzero(same) - 1] += far[same]
+        near[:-1] += far[1:] * same[1:, None]
         u, rows, hits = self._sum(np.concatenate([one, two[~same]]), np.concatenate([near, far[~same]]))
-        past = self.past_context[u] + rows * rows
+        past = self.past_context.take(u, 0)
+        past += rows * rows
         self.past_context[u] = past
-        p.context[u] += RATE * rows / np.sqrt(past)
+        rows *= RATE / np.sqrt(past)
+        p.context[u] += rows
         self.context_hits[u] += hits
         for x, d, past in ((p.scale, dscale, self.past_scale), (p.word[:n], dtop[:, :width], self.past_top), (p.bias[:n], dtop[:, width], self.past_top_bias)):
             past += d * d
@@ -204,7 +217,7 @@ class Trainer:
         self.seen += k
 
     def _inner(self, w: np.ndarray, top: np.ndarray, q: np.ndarray, dq: np.ndarray) -> None:
-        """Words inside their classes; adds to dq. Classes of one word have nothing to learn.
+        """Words inside their classes; adds to dq. Tokens come by word. Classes of one word have nothing to learn.
 
         A token's noise words are the words of other tokens of its class in the update, by turns of the class's tokens, so noise follows the
         words' own shares and takes no rows but those of the update's words."""
@@ -212,14 +225,13 @@ class Trainer:
         at = at[self.sizes[top[at]] > 1]
         if not len(at):
             return
-        at = at[np.argsort(w[at])]  # by word, and so by class
         p, n, width = self.p, self.n_top, self.p.word.shape[1]
-        ids, q, c = w[at], q[at], top[at]
+        ids, q, c = w[at], q.take(at, 0), top[at]
         first = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
         size = np.diff(np.append(first, len(c)))
         start, size = np.repeat(first, size), np.repeat(size, size)
         place = np.arange(len(at)) - start
-        x, bias = p.word[n + ids], p.bias[n + ids]
+        x, bias = p.word.take(n + ids, 0), p.bias[n + ids]
         known = bias - self.log_share[ids]
         g = _sigmoid(np.einsum("ij,ij->i", x, q) + known)
         g -= 1
@@ -229,16 +241,20 @@ class Trainer:
         for u in self.rng.random(INNER):
             turn = (u * size).astype(np.int64)
             to, fro = start + (place + turn) % size, start + (place - turn) % size
-            other = x[to]
+            other = x.take(to, 0)
             h = _sigmoid(np.einsum("ij,ij->i", other, q) + known[to])
-            back += h[:, None] * other
+            other *= h[:, None]
+            back += other
             h = h[fro]
-            rows[:, :width] += h[:, None] * q[fro]
+            other = q.take(fro, 0)
+            other *= h[:, None]
+            rows[:, :width] += other
             rows[:, width] += h
         dq[at] -= back
         u = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         ids, rows, hits = ids[u], -np.add.reduceat(rows, u, axis=0), np.diff(np.append(u, len(ids)))
-        past = self.past_word[ids] + rows * rows
+        past = self.past_word.take(ids, 0)
+        past += rows * rows
         self.past_word[ids] = past
         rows *= RATE / np.sqrt(past)
         p.word[n + ids] += rows[:, :width]
@@ -256,7 +272,7 @@ class Trainer:
         order = np.argsort(ids)
         s = ids[order]
         first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-        return s[first], np.add.reduceat(rows[order], first, axis=0), np.diff(np.append(first, len(s)))
+        return s[first], np.add.reduceat(rows.take(order, 0), first, axis=0), np.diff(np.append(first, len(s)))
 
 
 @dataclass(frozen=True)
@@ -297,8 +313,7 @@ def learners(v: Vocabulary) -> int:
 
 def ranks(words: list[bytes], index: dict[bytes, int]) -> np.ndarray:
     """Ranks of a text's words; -1 where a word is not of the head."""
-    get = index.get
-    return np.array([get(w, -1) for w in words], np.int64)
+    return np.fromiter(map(index.get, words, repeat(-1)), np.int64, len(words))
 
 
 def text_ids(r: np.ndarray, n_words: int) -> np.ndarray:
@@ -366,49 +381,93 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> Parameters:
     return p
 
 
-class ClassScorer:
-    """Natural log probabilities of ids after contexts."""
+class Outputs:
+    """Logs of sums of exponential scores over some outputs, for contexts that are sums of two embeddings.
 
-    def __init__(self, p: Parameters, classes: Classes):
-        n = len(classes.sizes) + 2
-        self.tops, self.sizes, self.bounds, self.n_words = classes.tops, classes.sizes, classes.bounds, classes.n_words
-        self.one, self.two = p.context * p.scale[0], p.context * p.scale[1]
-        self.top, self.top_bias = np.ascontiguousarray(p.word[:n].T), p.bias[:n]
-        self.word, self.bias = p.word[n:], p.bias[n:]
+    exp(a + b) is exp(a) exp(b), so the exponentials of the first `kept` embeddings of either place are made once, and a token whose words are both among them
+    takes a product of two rows. Other tokens, and sums too small for a float, take exponentials of their own. Both ways are exact."""
+
+    def __init__(self, word: np.ndarray, one: np.ndarray, two: np.ndarray, kept: int):
+        self.word, self.kept = np.ascontiguousarray(word.T), min(kept, len(one))
+        self.step, self.ones = max(1, CELLS // len(word)), np.ones(len(word), np.float32)
+        self.one, self.two = (self._scaled(x[: self.kept] @ self.word) for x in (one, two))
 
     @staticmethod
-    def _log_share(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log of each row's softmax at one place; overwrites s. Rows are scaled by their maximum only where the plain sum leaves a float's range."""
-        rows = np.arange(len(s))
-        own = s[rows, at]
-        if s.max() < 80:
-            e = np.exp(s)
-            sums = e @ np.ones(s.shape[1], np.float32)
-            if sums.min() > 1e-30:
-                return own - np.log(sums)
+    def _scaled(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of rows less their maximum, and the maximum; overwrites s."""
         m = s.max(1)
         s -= m[:, None]
-        np.exp(s, out=s)
-        return own - m - np.log(s.sum(1))
+        return np.exp(s, out=s), m
+
+    def log_sums(self, q: np.ndarray) -> np.ndarray:
+        """For any contexts. Rows are scaled by their maximum only where the plain sum leaves a float's range."""
+        out = np.empty(len(q), np.float32)
+        for i in range(0, len(q), self.step):
+            s = q[i : i + self.step] @ self.word
+            if s.max() < 80:
+                sums = np.exp(s) @ self.ones
+                if sums.min() > 1e-30:
+                    out[i : i + self.step] = np.log(sums)
+                    continue
+            e, m = self._scaled(s)
+            out[i : i + self.step] = m + np.log(e @ self.ones)
+        return out
+
+    def log_sums_kept(self, one: np.ndarray, two: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """For contexts of kept embeddings, given by their places and as vectors."""
+        (a, m), (b, k) = self.one, self.two
+        sums = np.empty(len(q), np.float32)
+        for i in range(0, len(q), self.step):
+            np.einsum("ij,ij->i", a.take(one[i : i + self.step], 0), b.take(two[i : i + self.step], 0), out=sums[i : i + self.step])
+        small = np.flatnonzero(sums < 1e-30)
+        sums[small] = 1
+        out = np.log(sums) + m[one] + k[two]
+        if len(small):
+            out[small] = self.log_sums(q[small])
+        return out
+
+
+class ClassScorer:
+    """Natural log probabilities of ids after contexts."""
+
+    def __init__(self, p: Parameters, classes: Classes):
+        n = len(classes.sizes) + 2
+        self.tops, self.sizes, self.n_words = classes.tops, classes.sizes, classes.n_words
+        # contexts by frequency: others, begins, words, ends (which precede nothing); a last column multiplies the biases
+        order = np.append([self.n_words + 1, self.n_words + 2], np.arange(self.n_words + 1))
+        self.place = np.argsort(order)
+        self.one, self.two = (np.column_stack([p.context[order] * p.scale[i], np.full(len(order), 1 - i, np.float32)]) for i in (0, 1))
+        self.word = np.column_stack([p.word, p.bias])
+        self.top = Outputs(self.word[:n], self.one, self.two, KEPT // n)
+        self.each = min(KEPT // max(1, self.n_words), len(order))
+        self.inner = {c: Outputs(self.word[n + a : n + b], self.one, self.two, self.each) for c, (a, b) in enumerate(zip(classes.bounds, classes.bounds[1:])) if b - a > 1}
 
     def log_p(self, ids: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        q, top = self.one[one] + self.two[two], self.tops[ids]
-        out = np.empty(len(ids), np.float32)
-        step = max(1, CELLS // len(self.top_bias))
-        for i in range(0, len(ids), step):
-            s = q[i : i + step] @ self.top
-            s += self.top_bias
-            out[i : i + step] = self._log_share(s, top[i : i + step])
-        order = np.argsort(top, kind="stable")
-        ends = np.searchsorted(top[order], np.arange(len(self.sizes) + 1))
-        for c in np.flatnonzero((np.diff(ends) > 0) & (self.sizes > 1)):
-            a, b = self.bounds[c], self.bounds[c + 1]
-            rows, most = order[ends[c] : ends[c + 1]], max(1, CELLS // (b - a))
-            for i in range(0, len(rows), most):
-                r = rows[i : i + most]
-                s = q[r] @ self.word[a:b].T
-                s += self.bias[a:b]
-                out[r] += self._log_share(s, ids[r] - a)
+        # by class, and tokens of kept embeddings first
+        one, two = self.place[one], self.place[two]
+        last = np.maximum(one, two)
+        group = 2 * self.tops[ids] + (last >= self.each)
+        order = np.argsort(group)
+        ids, one, two, last, group = (x[order] for x in (ids, one, two, last, group))
+        top = group >> 1
+        q = self.one.take(one, 0)
+        q += self.two.take(two, 0)
+        p = np.einsum("ij,ij->i", q, self.word.take(top, 0))
+        kept, rest = np.flatnonzero(last < self.top.kept), np.flatnonzero(last >= self.top.kept)
+        p[kept] -= self.top.log_sums_kept(one[kept], two[kept], q.take(kept, 0))
+        p[rest] -= self.top.log_sums(q.take(rest, 0))
+        ends = np.searchsorted(group, np.arange(2 * len(self.sizes) + 1))
+        for c, x in self.inner.items():
+            a, b, end = ends[2 * c : 2 * c + 3]
+            if a < b:
+                p[a:b] -= x.log_sums_kept(one[a:b], two[a:b], q[a:b])
+            if b < end:
+                p[b:end] -= x.log_sums(q[b:end])
+        w = np.flatnonzero(ids < self.n_words)
+        w = w[self.sizes[top[w]] > 1]
+        p[w] += np.einsum("ij,ij->i", q.take(w, 0), self.word.take(len(self.sizes) + 2 + ids[w], 0))
+        out = np.empty_like(p)
+        out[order] = p
         return out
 
     def texts(self, ids: list[np.ndarray]) -> np.ndarray:
@@ -438,15 +497,18 @@ def scored(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame
         end = math.log10((v.ends + 1) / denominator)
         row = TaskContext.get().partitionId() << 33
         for b in batches:
-            cols: list[list] = [[] for _ in range(6)]
-            open_, size = [], 0
+            cols: list[list] = [[] for _ in range(5)]
+            found, times, ends, open_, size = [], [], [0], [], 0
             for t in b.column("text"):
                 w = tokens(t.as_py())
                 r = ranks(w, index)
                 known = r[r >= 0]
                 tail = Counter(w[i] for i in np.flatnonzero(r < 0))
-                for c, x in zip(cols, (row, len(w) + 1, len(known) + int(v.ends > 0), end + float(base[known].sum()), float(inside[known[known >= n_words]].sum()), list(tail.items()))):
+                for c, x in zip(cols, (row, len(w) + 1, len(known) + int(v.ends > 0), end + float(base[known].sum()), float(inside[known[known >= n_words]].sum()))):
                     c.append(x)
+                found.extend(tail)
+                times.extend(tail.values())
+                ends.append(len(found))
                 row += 1
                 open_.append(text_ids(r, n_words))
                 size += len(w) + 1
@@ -454,9 +516,9 @@ def scored(docs: DataFrame, training: Column, rounds: int = ROUNDS) -> DataFrame
                     k = len(cols[0])
                     cols[4][k - len(open_) :] = np.add(cols[4][k - len(open_) :], model.texts(open_)).tolist()
                     open_, size = [], 0
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())])))
-            tails = [[{"word": w, "k": k} for w, k in x] for x in cols[5]]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_train")] + [pa.array(c, k) for c, k in zip([*cols[:5], tails], kinds)], names=["doc_id", "_train", "row", "n_tokens", "known", "base", "own", "tail"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            tails = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(found, pa.binary()), pa.array(times, pa.int64())], names=["word", "k"]))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_train")] + [pa.array(c, k) for c, k in zip(cols, kinds)] + [tails], names=["doc_id", "_train", "row", "n_tokens", "known", "base", "own", "tail"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     x = stored(mapped(marked, run, f"doc_id {kind}, _train boolean, row long, n_tokens long, known long, base double, own double, tail array<struct<word:binary,k:bigint>>"), "head-scores")

@@ -178,6 +178,48 @@ def test_word_classes_are_normalised_exactly():
     assert s.texts(ids) == pytest.approx(each)
 
 
+def test_scoring_takes_exponentials_once_for_each_frequent_context(monkeypatch):
+    """Less than half of the exponentials of a row of top outputs and one of the class for each token, and the same probabilities: with some contexts kept, all, none, and where kept sums leave a float's range."""
+    rng = np.random.default_rng(8)
+    c = lm.Classes.of_counts(10**6 // np.arange(1, 3001), 4000, 10**6)
+    p, n, k = c.start(), c.n_words + 2, len(c.sizes) + 2
+    p.word[:] = rng.normal(0, 1, p.word.shape)
+    ids = rng.choice(n, 150_000, p=c.counts / c.counts.sum())
+    one, two = lm.stream(np.where(ids == c.n_words, n - 1, ids), n)
+
+    def plain(at):
+        q = (p.context[one[at]] * p.scale[0] + p.context[two[at]] * p.scale[1]).astype(float)
+        s, top = q @ p.word.T + p.bias, c.tops[ids[at]]
+        log_sum = lambda x: x.max() + np.log(np.exp(x - x.max()).sum())
+        out = []
+        for x, t, i in zip(s, top, ids[at]):
+            out.append(x[t] - log_sum(x[:k]))
+            if i < c.n_words:
+                out[-1] += x[k + i] - log_sum(x[k + c.bounds[t] : k + c.bounds[t + 1]])
+        return np.array(out)
+
+    made, exp = [0], np.exp
+
+    def counted(x, *args, **kw):
+        made[0] += np.size(x)
+        return exp(x, *args, **kw)
+
+    monkeypatch.setattr(lm, "KEPT", 300 * n, raising=False)
+    monkeypatch.setattr(np, "exp", counted)
+    got = lm.ClassScorer(p, c).log_p(ids, one, two)
+    monkeypatch.setattr(np, "exp", exp)
+    rows = (k + np.append(c.sizes, [0, 0])[c.tops[ids]]).sum()
+    assert made[0] < rows / 2, (made[0], rows)
+    at = rng.integers(0, len(ids), 300)
+    assert got[at] == pytest.approx(plain(at), abs=1e-4)
+    for kept in (0, 20 * n):
+        monkeypatch.setattr(lm, "KEPT", kept)
+        assert lm.ClassScorer(p, c).log_p(ids, one, two) == pytest.approx(got, abs=1e-4)
+    monkeypatch.setattr(lm, "KEPT", 10**9)
+    p.context *= 300
+    assert lm.ClassScorer(p, c).log_p(ids[at], one[at], two[at]) == pytest.approx(plain(at), rel=1e-4, abs=1e-2)
+
+
 def test_language_model_learns_words_of_any_rank(spark):
     """5,000 words of equal count, each followed by its own partner: a model of the 1,022 most frequent words knows few of the pairs."""
     rng = np.random.default_rng(7)
