@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -122,6 +123,22 @@ def release(spark: SparkSession) -> None:
     """Lets the driver drop what finished steps of a loop have left: broadcasts, shuffles and plans are cleaned up only when its garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_driver(spark)
+
+
+def trim_driver(spark: SparkSession) -> None:
+    """Gives the free memory outside the driver's heap back: its hundreds of threads leave it in pieces, which does not shrink by itself.
+
+    The JVM has a command for that from JDK 17.0.9 on; an older one keeps the memory."""
+    context = spark.sparkContext
+    java, array = context._jvm.java, context._gateway.new_array
+    server = java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    invoke = next(m for m in java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    call = array(java.lang.Object, 4)
+    call[0], call[1] = context._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    call[2], call[3] = array(java.lang.Object, 0), array(java.lang.String, 0)
+    with contextlib.suppress(Py4JError):
+        invoke.invoke(server, call)
 
 
 def crowded(spark: SparkSession) -> bool:
@@ -133,7 +150,7 @@ def crowded(spark: SparkSession) -> bool:
 def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     """The rows as a table in the shared folder: computed once, readable by every executor, without lineage.
 
-    Operators store dozens of tables one after the other, so the plan's text is cut, and the driver gives back what the queries before have left as soon as its heap has grown.
+    Operators store dozens of tables one after the other, so the plan's text is cut, and the driver gives back what the queries before have left: outside its heap each time, in it as soon as it has grown.
 
     narrow: no more files than the cluster has cores, for tables of a few numbers per row that a shuffle has
     spread over many partitions; each file costs its writer a process or more."""
@@ -142,6 +159,8 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
         (df.coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     if crowded(df.sparkSession):
         release(df.sparkSession)
+    else:
+        trim_driver(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

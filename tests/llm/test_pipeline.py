@@ -2,6 +2,7 @@
 
 import contextlib
 import random
+from pathlib import Path
 
 import pytest
 
@@ -69,3 +70,19 @@ def test_stored_tables_leave_no_full_heap(spark, monkeypatch):
         assert common.stored(spark.range(5), "t").count() == 5
     assert len(collected) == 1 and texts == ["4096"] * 2 and before != "4096"
     assert spark.conf.get(key) == before
+
+
+def test_stored_tables_return_free_memory_outside_the_heap(spark):
+    """What the driver's JVM has freed outside its heap, below memory still in use, goes back to the system with the next stored table."""
+    jvm = spark.sparkContext._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    mb = lambda: int(Path(f"/proc/{pid}/statm").read_text().split()[1]) * 4096 >> 20
+    common.trim_driver(spark)
+    zips = [jvm.java.util.zip.Deflater() for _ in range(800)]
+    full = mb()
+    for z in zips[:-1]:
+        z.end()
+    kept = mb()
+    common.stored(spark.range(5), "t")
+    assert kept > full - 20 and mb() < full - 40
+    zips[-1].end()
